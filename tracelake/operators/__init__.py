@@ -1,0 +1 @@
+"""operators of the bus-log and signal engine."""

@@ -1,0 +1 @@
+"""sources of the bus-log and signal engine."""

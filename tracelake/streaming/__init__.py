@@ -1,0 +1 @@
+"""streaming of the bus-log and signal engine."""
