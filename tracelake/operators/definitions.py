@@ -11,3 +11,59 @@ from .decode import occupied_bits, small
 def replace_definitions(samples: DataFrame, fresh: DataFrame, changed: DataFrame, keys: list[str]) -> DataFrame:
     """Samples with those of changed definitions taken out and the fresh ones put in."""
     return samples.join(small(changed.select(*keys).distinct()), keys, "left_anti").unionByName(fresh)
+
+
+def unique_ids(rows: DataFrame, keys: list[str], id_col: str, order: str) -> DataFrame:
+    """Repeated ids of a key get ``-2``, ``-3`` and so on, in order."""
+    n = F.row_number().over(Window.partitionBy(*keys, id_col).orderBy(order))
+    return rows.withColumn("__n", n).withColumn(id_col, F.when(F.col("__n") == 1, F.col(id_col)).otherwise(F.concat(id_col, F.lit("-"), "__n"))).drop("__n")
+
+
+def valid_clips(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(good, bad) clips: finite edges, rounded to microseconds, start at 0 or later, end after start."""
+    c = clips.withColumn("start_s", F.round("start_s", 6)).withColumn("end_s", F.round("end_s", 6))
+    good = F.coalesce(~F.isnan("start_s") & ~F.isnan("end_s") & (F.abs("end_s") < float("inf")) & (F.col("start_s") >= 0) & (F.col("end_s") > F.col("start_s")), F.lit(False))
+    return c.filter(good), c.filter(~good)
+
+
+def level_of(logs: DataFrame, levels: DataFrame) -> DataFrame:
+    """Nearest level of each log: the longest folder that is a prefix of its path."""
+    path, folder = F.col("path"), F.col("folder")
+    inside = (folder == "") | (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
+    hits = logs.join(small(levels.select("folder")), inside)
+    return hits.groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("level"))
+
+
+def overlay(definitions: DataFrame, key: list[str]) -> DataFrame:
+    """Of the definitions seen along a chain of levels (``place, depth``), the deepest one of each key."""
+    w = Window.partitionBy("place", *key).orderBy(F.desc("depth"), F.desc("def_id"))
+    return definitions.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+
+def changed_definitions(old: DataFrame, new: DataFrame, id_col: str = "def_id") -> DataFrame:
+    """Ids added, removed or changed, by a full join that compares the rest of each row as JSON."""
+    o, n = (d.select(id_col, F.to_json(F.struct(*sorted(c for c in d.columns if c != id_col))).alias(x)) for d, x in ((old, "o"), (new, "n")))
+    kind = F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed").otherwise("changed")
+    return o.join(n, id_col, "full").filter("not (o <=> n)").select(id_col, kind.alias("kind"))
+
+
+def validate(layouts: DataFrame, frame_bytes: int = 8) -> DataFrame:
+    """``def_id, signal_id, problem`` for each broken rule of a layout table."""
+    from ..functions.scale import scale_parts
+
+    end = F.col("byte_offset") + F.ceil((F.col("bit_offset") + F.col("length_bits")) / 8)
+    rules = F.array_compact(F.array(
+        F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "NAME_EMPTY"),
+        F.when(~F.col("length_bits").between(1, 64), "LENGTH"),
+        F.when(~F.col("bit_offset").between(0, 7) | (F.col("byte_offset") < 0), "OFFSET"),
+        F.when(end > frame_bytes, "OUTSIDE_FRAME"),
+        F.when((F.col("signedness") == "float") & ~F.col("length_bits").isin(32, 64), "FLOAT_LENGTH"),
+        F.when(scale_parts(F.col("scale"))[0].isNull(), "SCALE"),
+    ))
+    own = layouts.select("def_id", "signal_id", F.explode(rules).alias("problem"))
+    names = layouts.groupBy("def_id", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.collect_list("signal_id").alias("ids")).filter("c > 1")
+    twice = names.select("def_id", F.explode("ids").alias("signal_id"), F.lit("NAME_TWICE").alias("problem"))
+    bits = occupied_bits(layouts.filter("mux_role <> 'conditional'").withColumn("extended", F.col("extended"))).join(layouts.select("def_id", "signal_id"), "signal_id")
+    shared = bits.groupBy("def_id", "byte", "bit").agg(F.collect_set("signal_id").alias("ids")).filter("size(ids) > 1")
+    overlap = shared.select("def_id", F.explode("ids").alias("signal_id"), F.lit("OVERLAP").alias("problem")).distinct()
+    return own.unionByName(twice).unionByName(overlap)
