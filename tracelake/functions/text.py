@@ -18,13 +18,6 @@ def fixed(value: Column, digits: int) -> Column:
 
 
 def significant(value: Column, digits: int) -> Column:
-    """``digits`` significant digits, zeros trimmed. Covers sizes from 1e-9 to 1e18; others keep Spark's text."""
-    size = F.abs(value)
-    power = F.floor(F.log10(size)).cast("int")
-    plain = value.cast("decimal(38,18)")
-    text = F.lit(None).cast("string")
-    for p in range(-9, 19):
-        places = digits - 1 - p
-        rounded = F.round(plain, places) if places < 18 else plain
-        text = F.when(power == p, trim_zeros(rounded.cast("decimal(38,18)").cast("string"))).otherwise(text)
-    return F.when(value == 0, "0").otherwise(F.coalesce(text, value.cast("string")))
+    """``digits`` significant digits, zeros trimmed. Covers sizes from 1e-18 to 1e20; others keep Spark's text."""
+    rounded = F.format_string(f"%.{digits - 1}e", value).try_cast("decimal(38,18)")
+    return F.when(value == 0, "0").otherwise(F.coalesce(trim_zeros(rounded.cast("string")), value.cast("string")))

@@ -87,13 +87,13 @@ def with_labels(samples: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def occupied_bits(layouts: DataFrame) -> DataFrame:
-    """``can_id, extended, signal_id, byte, bit`` for each bit of a field; bit 0 is the least significant of its byte."""
+    """``def_id, can_id, extended, signal_id, byte, bit`` for each bit of a field; bit 0 is the least significant of its byte."""
     i = F.explode(F.sequence(F.lit(0), F.col("length_bits") - 1)).alias("i")
-    at = layouts.select("can_id", "extended", "signal_id", "byte_offset", "bit_offset", "byte_order", i)
+    at = layouts.filter("length_bits > 0").select("def_id", "can_id", "extended", "signal_id", "byte_offset", "bit_offset", "byte_order", i)
     sequential = F.col("bit_offset") + F.col("i")
     inside = (sequential % 8).cast("int")
     return at.select(
-        "can_id", "extended", "signal_id", (F.col("byte_offset") + F.floor(sequential / 8)).cast("int").alias("byte"),
+        "def_id", "can_id", "extended", "signal_id", (F.col("byte_offset") + F.floor(sequential / 8)).cast("int").alias("byte"),
         F.when(F.col("byte_order") == "little", inside).otherwise(7 - inside).alias("bit"),
     )
 

@@ -63,7 +63,7 @@ def validate(layouts: DataFrame, frame_bytes: int = 8) -> DataFrame:
     own = layouts.select("def_id", "signal_id", F.explode(rules).alias("problem"))
     names = layouts.groupBy("def_id", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.collect_list("signal_id").alias("ids")).filter("c > 1")
     twice = names.select("def_id", F.explode("ids").alias("signal_id"), F.lit("NAME_TWICE").alias("problem"))
-    bits = occupied_bits(layouts.filter("mux_role <> 'conditional'").withColumn("extended", F.col("extended"))).join(layouts.select("def_id", "signal_id"), "signal_id")
+    bits = occupied_bits(layouts.filter("mux_role <> 'conditional'"))
     shared = bits.groupBy("def_id", "byte", "bit").agg(F.collect_set("signal_id").alias("ids")).filter("size(ids) > 1")
     overlap = shared.select("def_id", F.explode("ids").alias("signal_id"), F.lit("OVERLAP").alias("problem")).distinct()
     return own.unionByName(twice).unionByName(overlap)

@@ -31,8 +31,8 @@ def decoded(frames: DataFrame, samples: DataFrame, yes: bool = True) -> DataFram
 
 
 def id_text(can_id: Column, extended: Column) -> Column:
-    """Hexadecimal id; extended ids have an ``x`` behind."""
-    return F.concat(F.hex(can_id), F.when(extended, "x").otherwise(""))
+    """Hexadecimal id; extended ids that a standard one could be have an ``x`` behind."""
+    return F.concat(F.hex(can_id), F.when(extended & (can_id <= 0x7FF), "x").otherwise(""))
 
 
 def payload_text(data: Column) -> Column:

@@ -1,6 +1,6 @@
 """Registered queries of the bus-log and signal engine."""
 
-from . import chart_queries, decode_queries, frame_queries, derived_queries, series_queries, trace_queries  # noqa: F401
+from . import chart_queries, decode_queries, definition_queries, derived_queries, frame_queries, plugin_queries, series_queries, source_queries, streaming_queries, trace_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 

@@ -26,7 +26,7 @@ def decoded(spark, sf):
     return O.decoded(f, s).select("ordinal", F.lit(True).alias("decoded")).union(O.decoded(f, s, False).select("ordinal", F.lit(False)))
 
 
-_NAMED = ", n AS (SELECT *, printf('%X', can_id) || CASE WHEN extended THEN 'x' ELSE '' END AS id_text, upper(event_type) AS name FROM fr) "
+_NAMED = ", n AS (SELECT *, printf('%X', can_id) || CASE WHEN extended AND can_id <= 2047 THEN 'x' ELSE '' END AS id_text, upper(event_type) AS name FROM fr) "
 
 
 def _named(spark, sf):
@@ -39,9 +39,9 @@ def keyword(spark, sf):
     return O.keyword(_named(spark, sf), " 18 ", O.search_fields(F.col("name"), F.lit(None).cast("string"))).select("ordinal")
 
 
-@query("F5", _NAMED + "SELECT ordinal FROM n WHERE regexp_matches(lower(id_text), '^1.*x$') OR regexp_matches(lower(name), '^1.*x$')")
+@query("F5", _NAMED + "SELECT ordinal FROM n WHERE regexp_matches(lower(id_text), '^18.*e5$') OR regexp_matches(lower(name), '^18.*e5$')")
 def by_pattern(spark, sf):
-    return O.pattern(_named(spark, sf), "^1.*x$", [O.id_text(F.col("can_id"), F.col("extended")), F.col("name")]).select("ordinal")
+    return O.pattern(_named(spark, sf), "^18.*e5$", [O.id_text(F.col("can_id"), F.col("extended")), F.col("name")]).select("ordinal")
 
 
 @query("F6", "SELECT ordinal, t_us FROM fr ORDER BY ordinal LIMIT 240 OFFSET 100")
