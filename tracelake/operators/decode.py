@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, scale
+from ..functions.once import with_computed
 from ..schemas import SAFE_INTEGER
 
 #: Layout tables up to this many rows are broadcast; larger ones are joined by shuffle.
@@ -50,7 +51,7 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     unsigned, signed = field_columns(F.col("data"))
     s = F.col("selector")
     chosen = bits.extract_unsigned(F.col("data"), s["byte_offset"], s["bit_offset"], s["length_bits"], s["byte_order"])
-    rows = rows.withColumns({"unsigned": unsigned, "selected": chosen}).withColumn("raw", signed)
+    rows = with_computed(rows, {"unsigned": unsigned, "selected": chosen}).withColumn("raw", signed)
     is_float = F.col("signedness") == "float"
     real = bits.ieee754(F.col("unsigned"), F.col("length_bits"))
     ratio = F.col("num").cast("double") / F.col("den").cast("double")
@@ -58,7 +59,7 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     value = F.when(is_float, real * ratio + shift).otherwise(scale.physical(F.col("raw"), F.col("num"), F.col("den"), F.col("o_num"), F.col("o_den"), F.col("shift_bits")))
     active = (F.col("mux_role") != "conditional") | F.coalesce(F.exists("mux_ranges", lambda r: F.col("selected").between(r["lo"], r["hi"])), F.lit(False))
     unsafe = ~is_float & ((F.abs(F.col("raw")) > SAFE_INTEGER) | ((F.col("length_bits") == 64) & (F.col("signedness") == "unsigned") & (F.col("raw") < 0)))
-    rows = rows.withColumns({"value": value, "active": active})
+    rows = with_computed(rows, {"value": value}).withColumn("active", active)
     status = (
         F.when(F.col("unsigned").isNull(), "FRAME_TOO_SHORT")
         .when(unsafe, "SIGNAL_INTEGER_UNSAFE")

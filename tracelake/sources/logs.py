@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.once import with_computed
 from ..functions.times import parse_clock, parse_date_line
 from ..operators.decode import small
 from ..operators.frames import id_text, payload_text
@@ -57,7 +58,7 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         F.when(text == "", "ignored").when(text.rlike(r"(?i)^base\s+"), "base").when(text.rlike(r"(?i)^date\s"), "date")
         .when(text.rlike(r"(?i)^(//|internal events|timestamps)"), "ignored").when(F.col("value").rlike(FD), "fd").when(F.col("value").rlike(CLASSIC), "classic").otherwise("other")
     )
-    l = lines.withColumn("kind", kind)
+    l = with_computed(lines, {"kind": kind})
     toggles = l.filter("kind = 'base'").select("source_id", F.col("line").alias("from_line"), F.when(text.rlike(r"(?i)\bdec\b"), "dec").otherwise("hex").alias("base"))
     toggles = toggles.withColumn("to_line", F.lead("from_line").over(Window.partitionBy("source_id").orderBy("from_line")))
     t = small(toggles.withColumnRenamed("source_id", "__s"))
@@ -67,9 +68,9 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     fd_rest = F.split(F.trim(F.regexp_extract("value", FD, 2)), r"\s+")
     named = F.coalesce(~F.get(fd_rest, F.lit(3)).rlike(r"^\d+$"), F.lit(False)).cast("int")
     is_fd = F.col("kind") == "fd"
-    l = l.filter("kind in ('fd', 'classic', 'other', 'date')").withColumns({"fd": F.when(is_fd, fd_rest), "skip": F.when(is_fd, named)})
+    l = with_computed(l.filter("kind in ('fd', 'classic', 'other', 'date')"), {"fd": F.when(is_fd, fd_rest), "skip": F.when(is_fd, named)})
     at = lambda i: F.get("fd", F.col("skip") + i)
-    l = l.withColumns({
+    l = with_computed(l, {
         "time": F.when(is_fd, F.regexp_extract("value", FD, 1)).otherwise(c[0]),
         "channel": F.when(is_fd, F.get("fd", F.lit(0))).otherwise(c[1]).try_cast("int"),
         "id": F.when(is_fd, F.get("fd", F.lit(2))).otherwise(c[2]),
@@ -80,8 +81,8 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "flags": F.when(is_fd, F.coalesce(at(3).rlike(r"^\d+$") & at(4).rlike(r"^\d+$"), F.lit(False))).otherwise(True),
     })
     can_id, extended = parse_can_id(F.col("id"), F.col("base"))
-    l = l.withColumns({"can_id": can_id, "extended": extended})
-    l = l.withColumn("data", F.when(F.col("length").between(0, 64), _payload(F.col("tokens"), F.col("length"))))
+    payload = F.when(F.col("length").between(0, 64), _payload(F.col("tokens"), F.col("length")))
+    l = with_computed(l, {"can_id": can_id, "extended": extended, "data": payload})
     header = F.col("channel").isNotNull() & F.col("direction").isin("Rx", "Tx") & F.col("can_id").isNotNull()
     good_dlc = F.coalesce(F.col("dlc").between(0, F.when(is_fd, 15).otherwise(8)) & F.col("length").between(0, 64), F.lit(False))
     code = (
