@@ -89,7 +89,7 @@ def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 40
         for g in set(grams(text)):
             seen[g] = seen.get(g, 0) + 1
     known = {g for texts in TEMPLATES.values() for t in texts for g in grams(t)}
-    limit = MAX_BACKGROUND_SHARE * max(1, len(background))
+    limit = max(5.0, MAX_BACKGROUND_SHARE * len(background))
     names = sorted(g for g in known if seen.get(g, 0) <= limit or "licen" in g)
     index = {g: i for i, g in enumerate(names)}
     filler = [w for text in background[:200] for w in text.lower().split()] or ["of"]
@@ -105,7 +105,8 @@ def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 40
                 y.append(k)
     license_pairs = {g for g in known if " " in g}
     plain = [t for t in background if len(license_pairs & set(grams(t))) < 2]
-    single = [" ".join(rnd.choices(filler, k=8) + [rnd.choice(names)]) for _ in range(600)]
+    lone_words = [g for g in names if " " not in g]
+    single = [" ".join(rnd.choices(filler, k=8) + [rnd.choice(lone_words)]) for _ in range(600)]
     rows += plain + single
     y += [0] * (len(plain) + len(single))
     x = np.zeros((len(rows), len(names) + 1), np.float32)
@@ -138,9 +139,14 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def background_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BACKGROUND_ROWS) -> list[str]:
-    """A bounded sample of paragraphs, those with the smallest hashes, for the unknown class."""
-    lines = paragraphs(docs, id_col, text_col).select(F.substring("text", 1, 400).alias("text"))
-    return [r["text"] for r in lines.filter("text != ''").orderBy(F.xxhash64("text"), "text").limit(rows).collect()]
+    """A bounded sample of paragraphs for the unknown class: in each of ``rows`` hash buckets the smallest hash.
+
+    Buckets are combined before the shuffle, so at most ``rows`` paragraphs reach the driver.
+    """
+    lines = paragraphs(docs, id_col, text_col).select(F.substring("text", 1, 400).alias("text")).filter("text != ''")
+    h = F.xxhash64("text")
+    best = lines.groupBy(F.pmod(h, F.lit(rows)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "text")).alias("best"))
+    return sorted(r["best"]["text"] for r in best.collect())
 
 
 def _pairs(words: Column) -> Column:
