@@ -37,31 +37,54 @@ def low_bits(value: Column, length_bits: Column) -> Column:
     return _shr(_shl(value, drop), drop)
 
 
-def extract_unsigned(data: Column, byte_offset: Column, bit_offset: Column, length_bits: Column, byte_order: Column) -> Column:
-    """Bits of a field as a 64-bit number; null where the field runs past the payload.
+def words(data: Column) -> Column:
+    """Payload as 64-bit words, most significant byte first; the last one is filled up with zeros."""
+    text = F.hex(data)
+    text = F.rpad(text, (F.ceil(F.length(data) / 8) * 16).cast("int"), "0")
+
+    def word(i: Column) -> Column:
+        high = F.conv(F.substring(text, (i * 16 + 1).cast("int"), F.lit(8)), 16, 10).cast("long")
+        low = F.conv(F.substring(text, (i * 16 + 9).cast("int"), F.lit(8)), 16, 10).cast("long")
+        return _shl(high, F.lit(32)).bitwiseOR(low)
+
+    some = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(data) / 8).cast("int") - 1, F.lit(0))), word)
+    return F.when(F.length(data) > 0, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def swap_bytes(word: Column) -> Column:
+    """A 64-bit word with its bytes in the opposite order."""
+    def mask(n: int) -> Column:
+        return F.lit(n).cast("long")
+
+    x = _shl(word.bitwiseAND(mask(0x00FF00FF00FF00FF)), F.lit(8)).bitwiseOR(_shr(word, F.lit(8)).bitwiseAND(mask(0x00FF00FF00FF00FF)))
+    y = _shl(x.bitwiseAND(mask(0x0000FFFF0000FFFF)), F.lit(16)).bitwiseOR(_shr(x, F.lit(16)).bitwiseAND(mask(0x0000FFFF0000FFFF)))
+    return _shl(y, F.lit(32)).bitwiseOR(_shr(y, F.lit(32)))
+
+
+def extract_from_words(big: Column, little: Column, length: Column, byte_offset: Column, bit_offset: Column, length_bits: Column, byte_order: Column) -> Column:
+    """Bits of a field as a 64-bit number; null where the field runs past ``length`` bytes.
 
     Little: least significant bit first across bytes. Big: ``bit_offset`` counts from the most
     significant bit, sequentially. A 64-bit field keeps its bit pattern, so its upper half is negative.
-    The first eight bytes are gathered once; a ninth, which only an unaligned wide field has, is added.
+    A field lies in one word or two; both are read with shifts.
     """
-    n = n_bytes(bit_offset, length_bits)
-    eight = F.least(n, F.lit(8))
-    text = _latin(data)
-    is_little = byte_order == "little"
-
-    def byte(i: Column) -> Column:
-        return F.ascii(F.substring(text, (byte_offset + i).cast("int") + 1, F.lit(1))).cast("long")
-
-    weight = F.when(is_little, F.lit(0)).otherwise(eight - 1)
-    turn = F.when(is_little, F.lit(8)).otherwise(F.lit(-8))
-    gathered = F.aggregate(F.sequence(F.lit(0), eight - 1), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(_shl(byte(i), weight * 8 + i * turn)))
-    spare = n * 8 - bit_offset - length_bits
-    up = F.when(is_little | (n <= 8), F.lit(0)).otherwise(F.lit(8) - spare)
-    down = F.when(is_little, bit_offset).when(n <= 8, spare).otherwise(F.lit(0))
-    ninth = byte(F.lit(8))
-    rest = F.when(n <= 8, F.lit(0).cast("long")).when(is_little, _shl(ninth, F.lit(64) - bit_offset)).otherwise(_shr(ninth, spare))
-    value = low_bits(_shr(_shl(gathered, up), down).bitwiseOR(rest), length_bits)
-    return F.when(fits(data, byte_offset, bit_offset, length_bits), value)
+    at = (byte_offset * 8 + bit_offset).cast("int")
+    word, start = F.floor(at / 64).cast("int"), at % 64
+    spill = (start + length_bits > 64) & (start > 0)
+    zero = F.lit(0).cast("long")
+    drop = F.lit(64) - length_bits
+    upper = F.when(spill, _shl(F.get(little, word + 1), F.lit(64) - start)).otherwise(zero)
+    as_little = _shr(_shl(_shr(F.get(little, word), start).bitwiseOR(upper), drop), drop)
+    lower = F.when(spill, _shr(F.get(big, word + 1), F.lit(64) - start)).otherwise(zero)
+    as_big = _shr(_shl(F.get(big, word), start).bitwiseOR(lower), drop)
+    fit = byte_offset + n_bytes(bit_offset, length_bits) <= length
+    return F.when(fit, F.when(byte_order == "little", as_little).otherwise(as_big))
+
+
+def extract_unsigned(data: Column, byte_offset: Column, bit_offset: Column, length_bits: Column, byte_order: Column) -> Column:
+    """The same for one field of a payload."""
+    big = words(data)
+    return extract_from_words(big, F.transform(words(data), swap_bytes), F.length(data), byte_offset, bit_offset, length_bits, byte_order)
 
 
 def sign(raw: Column, length_bits: Column, signedness: Column) -> Column:

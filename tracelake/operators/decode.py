@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, scale
@@ -30,12 +30,6 @@ def effective_layouts(layouts: DataFrame) -> DataFrame:
     })
 
 
-def field_columns(data: Column) -> tuple[Column, Column]:
-    """(unsigned bits, signed raw) of the layout columns at hand."""
-    raw = bits.extract_unsigned(data, F.col("byte_offset"), F.col("bit_offset"), F.col("length_bits"), F.col("byte_order"))
-    return raw, bits.sign(F.col("unsigned"), F.col("length_bits"), F.col("signedness"))
-
-
 def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     """One row per frame and signal with ``raw``, ``value``, ``active`` and ``status`` (null where a sample results).
 
@@ -47,11 +41,16 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
         "can_id", "extended", F.struct("byte_offset", "bit_offset", "length_bits", "byte_order").alias("selector")
     )
     dims = dims.join(selectors, ["can_id", "extended"], "left")
-    rows = frames.join(small(dims), ["can_id", "extended"])
-    unsigned, signed = field_columns(F.col("data"))
+    # The payload is cut into words once a frame; its fields are then shifts.
+    worded = with_computed(frames, {"__big": bits.words(F.col("data"))})
+    worded = with_computed(worded, {"__little": F.transform("__big", bits.swap_bytes)})
+    rows = worded.join(small(dims), ["can_id", "extended"])
+    payload = (F.col("__big"), F.col("__little"), F.length("data"))
     s = F.col("selector")
-    chosen = bits.extract_unsigned(F.col("data"), s["byte_offset"], s["bit_offset"], s["length_bits"], s["byte_order"])
-    rows = with_computed(rows, {"unsigned": unsigned, "selected": chosen}).withColumn("raw", signed)
+    unsigned = bits.extract_from_words(*payload, F.col("byte_offset"), F.col("bit_offset"), F.col("length_bits"), F.col("byte_order"))
+    chosen = bits.extract_from_words(*payload, s["byte_offset"], s["bit_offset"], s["length_bits"], s["byte_order"])
+    rows = with_computed(rows, {"unsigned": unsigned, "selected": chosen}).drop("__big", "__little")
+    rows = rows.withColumn("raw", bits.sign(F.col("unsigned"), F.col("length_bits"), F.col("signedness")))
     is_float = F.col("signedness") == "float"
     real = bits.ieee754(F.col("unsigned"), F.col("length_bits"))
     ratio = F.col("num").cast("double") / F.col("den").cast("double")
