@@ -53,6 +53,17 @@ def id_remainder(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows: of each of ``rows`` buckets of hashed keys the row with the smallest hash.
+
+    Buckets are combined before the shuffle, so no task sends more than ``rows`` rows on, and every
+    size of table is sampled alike.
+    """
+    h = F.xxhash64(F.col(key).cast("string"))
+    best = df.groupBy(F.pmod(h, F.lit(rows)).alias("__bucket")).agg(F.min(F.struct(h.alias("__h"), *df.columns)).alias("__row"))
+    return best.select(*[F.col(f"__row.{c}").alias(c) for c in df.columns])
+
+
 def fingerprint(df: DataFrame) -> tuple:
     """Row count and an order-free digest of a frame, for convergence tests."""
     row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first()

@@ -12,7 +12,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that the model is fitted on, at most; those with the smallest hash of their id.
+from .common import bounded_sample
+
+#: Labelled rows that the model is fitted on, at most; see ``bounded_sample``.
 FIT_ROWS = 20_000
 #: Share of the pooled covariance, and of a multiple of the unit matrix, in each class covariance.
 POOL, RIDGE = 0.1, 0.02
@@ -101,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     chosen = chosen.select(F.col(id_col).alias("__label_id"), F.col(label_col).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64(F.col("__label_id").cast("string")), "label").limit(fit_rows)
+    chosen = bounded_sample(chosen, "__label_id", fit_rows)
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__label_id")).select("label", F.col(text_col).alias("text"))
     d = len(FEATURES)
 

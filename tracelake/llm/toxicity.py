@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 #: Documents that the model is fitted on, at most: confirmed toxic ones, and ones taken as unlabelled.
 FIT_POSITIVE, FIT_UNLABELLED = 4_000, 8_000
 #: Words and word beginnings with a weight.
@@ -77,16 +79,16 @@ def fit(
 ) -> LinearModel:
     """Model from rows of ``labels`` with label 1 and from unlabelled texts of ``docs``.
 
-    Bounded samples of ids (smallest hashes) are broadcast, so no text is shuffled. Features are the
+    Bounded samples of ids are broadcast, so no text is shuffled. Features are the
     ``max_features`` words and beginnings whose document frequencies differ most between both samples.
     The class prior of the unlabelled text is its frequency of the foremost features over that in
     confirmed examples; clean text hardly has them, so the ratio is the share of toxic documents.
     Without any confirmed example every text gets the same low score.
     """
     known = labels.filter((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"))
-    by_hash = F.xxhash64(F.col("__id").cast("string"))
-    sure = known.select("__id", F.lit(1).alias("toxic")).orderBy(by_hash).limit(fit_positive)
-    rest = docs.select(F.col(id_col).alias("__id"), F.lit(0).alias("toxic")).filter("__id is not null").orderBy(by_hash).limit(fit_unlabelled)
+    sure = bounded_sample(known.select("__id", F.lit(1).alias("toxic")), "__id", fit_positive)
+    rest = docs.select(F.col(id_col).alias("__id"), F.lit(0).alias("toxic")).filter("__id is not null")
+    rest = bounded_sample(rest, "__id", fit_unlabelled)
     chosen = sure.union(rest)
     rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("toxic", F.col(text_col).alias("text"))
 
