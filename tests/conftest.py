@@ -42,13 +42,14 @@ def duck():
 
 
 def _plain(v):
-    if v is None or (isinstance(v, float) and v != v):
+    if v is None or type(v).__name__ == "NAType" or v != v:
         return None
     kind = type(v).__name__
-    if kind == "Decimal" or "float" in kind:
-        return float(v)
     if "bool" in kind:
         return bool(v)
+    if kind == "Decimal" or "float" in kind:
+        # A whole number with nulls beside it reads as float in one library and as integer in the other.
+        return int(v) if float(v).is_integer() else float(v)
     return int(v) if "int" in kind else str(v)
 
 
