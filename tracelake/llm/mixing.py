@@ -15,7 +15,7 @@ from .common import WORD, broadcast_if_small, materialise
 #: A table of sources is broadcast up to so many rows.
 MAX_BROADCAST_SOURCES = 100_000
 #: Documents of one source in a slice of its order; only the slice where a target ends is sorted.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 5_000
 
 
 def word_count(text: Column) -> Column:
