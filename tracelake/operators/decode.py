@@ -55,7 +55,10 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     real = bits.ieee754(F.col("unsigned"), F.col("length_bits"))
     ratio = F.col("num").cast("double") / F.col("den").cast("double")
     shift = F.col("o_num").cast("double") / F.col("o_den").cast("double")
-    value = F.when(is_float, real * ratio + shift).otherwise(scale.physical(F.col("raw"), F.col("num"), F.col("den"), F.col("o_num"), F.col("o_den"), F.col("shift_bits")))
+    value = scale.physical(F.col("raw"), F.col("num"), F.col("den"), F.col("o_num"), F.col("o_den"), F.col("shift_bits"))
+    # The long expression for IEEE numbers is left out where no layout needs it; the generated code stays small.
+    if dims.filter("signedness = 'float'").limit(1).count():
+        value = F.when(is_float, real * ratio + shift).otherwise(value)
     active = (F.col("mux_role") != "conditional") | F.coalesce(F.exists("mux_ranges", lambda r: F.col("selected").between(r["lo"], r["hi"])), F.lit(False))
     unsafe = ~is_float & ((F.abs(F.col("raw")) > SAFE_INTEGER) | ((F.col("length_bits") == 64) & (F.col("signedness") == "unsigned") & (F.col("raw") < 0)))
     rows = with_computed(rows, {"value": value}).withColumn("active", active)
