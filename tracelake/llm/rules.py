@@ -17,6 +17,8 @@ from .common import SPACES
 SYMBOLS = r"[#*$%&|<>]"
 #: Documents on which costs and selectivities are estimated; the order of rules never changes a verdict.
 SAMPLE_ROWS = 2_000
+#: Passes over the sample for each rule, and the least cost that a rule is given.
+TIMED_RUNS, LEAST_SECONDS = 3, 1e-3
 
 
 @dataclass(frozen=True)
@@ -94,20 +96,36 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def order_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejected share per second, highest first, as seen on a bounded sample.
+def order_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, runs: int = TIMED_RUNS, reached: Column | None = None) -> list[Rule]:
+    """The rules by rejected share per second, highest first, as seen on a bounded sample of ``measured``.
 
-    The sample (``sample_rows`` documents) only sets the order in which rules are tried. A rule that
-    rejects nothing there comes last; ties keep the given order.
+    Only rows of the sample for which ``reached`` holds count, as the cascade sees no others.
+
+    A rule's cost is its fastest of ``runs`` passes over the cached sample, less the fastest pass without
+    any rule: what a job costs by itself says nothing about a rule. The sample only sets the order in
+    which rules are tried. A rule that rejects nothing there comes last; ties keep the given order.
     """
-    sample = measured.limit(sample_rows).cache()
+    cached = measured.limit(sample_rows).cache()
+    # The condition is put on the cached rows: pushed into the measures, it would compute them anew.
+    cached.count()
+    sample = cached if reached is None else cached.filter(reached)
     n = max(1, sample.count())
+
+    def timed(condition: str) -> tuple[int, float]:
+        rejected, best = 0, float("inf")
+        for _ in range(runs):
+            began = time.perf_counter()
+            rejected = sample.agg(F.count_if(F.expr(condition))).first()[0]
+            best = min(best, time.perf_counter() - began)
+        return rejected, best
+
+    # ``text is null`` never holds and reads the column that the dearest rules read.
+    _, idle = timed("text is null")
     worth = {}
     for rule in rules:
-        began = time.perf_counter()
-        rejected = sample.filter(F.expr(rule.fails)).count()
-        worth[rule.name] = rejected / n / (time.perf_counter() - began)
-    sample.unpersist()
+        rejected, seconds = timed(rule.fails)
+        worth[rule.name] = rejected / n / max(seconds - idle, LEAST_SECONDS)
+    cached.unpersist()
     return sorted(rules, key=lambda r: -worth[r.name])
 
 
@@ -127,10 +145,10 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     Repeated rows are judged alike, an empty table gives an empty result, other columns are not read.
     """
     measured = measure(docs, id_col, text_col)
-    rules = order_rules(measured, rules)
     failed = F.lit(False)
     for rule in base:
         failed = failed | F.expr(rule.fails)
+    rules = order_rules(measured, rules, reached=~failed)
     out = measured.withColumn("base_failed", failed)
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules)))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text")
