@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import SPACES
 
 SYMBOLS = r"[#*$%&|<>]"
-#: Documents on which costs and selectivities are estimated; the order of rules never changes a verdict.
+#: Documents, as expected, on which costs and selectivities are estimated; the order of rules never changes a verdict.
 SAMPLE_ROWS = 2_000
 #: Passes over the sample for each rule, and the least cost that a rule is given.
 TIMED_RUNS, LEAST_SECONDS = 3, 1e-3
@@ -96,16 +96,23 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def order_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS, runs: int = TIMED_RUNS, reached: Column | None = None) -> list[Rule]:
-    """The rules by rejected share per second, highest first, as seen on a bounded sample of ``measured``.
+def sample_of(docs: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 5) -> DataFrame:
+    """About ``rows`` rows from all over ``docs``, by one draw for each row; a smaller table is taken whole.
+
+    A limit would take its full number from every partition before it is met, and so grow with the table.
+    """
+    return docs.sample(min(1.0, rows / max(1, docs.count())), seed)
 
-    Only rows of the sample for which ``reached`` holds count, as the cascade sees no others.
 
+def order_rules(measured: DataFrame, rules: Sequence[Rule] = RULES, runs: int = TIMED_RUNS, reached: Column | None = None) -> list[Rule]:
+    """The rules by rejected share per second, highest first, as seen on ``measured``, the measures of a bounded sample.
+
+    Only rows of the sample for which ``reached`` holds count, as the cascade sees no others.
     A rule's cost is its fastest of ``runs`` passes over the cached sample, less the fastest pass without
     any rule: what a job costs by itself says nothing about a rule. The sample only sets the order in
     which rules are tried. A rule that rejects nothing there comes last; ties keep the given order.
     """
-    cached = measured.limit(sample_rows).cache()
+    cached = measured.cache()
     # The condition is put on the cached rows: pushed into the measures, it would compute them anew.
     cached.count()
     sample = cached if reached is None else cached.filter(reached)
@@ -148,7 +155,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     failed = F.lit(False)
     for rule in base:
         failed = failed | F.expr(rule.fails)
-    rules = order_rules(measured, rules, reached=~failed)
+    rules = order_rules(measure(sample_of(docs), id_col, text_col), rules, reached=~failed)
     out = measured.withColumn("base_failed", failed)
     out = out.withColumn("rejected_by", F.when(F.col("base_failed"), F.lit("base")).otherwise(cascade(rules)))
     return out.withColumn("kept", F.col("rejected_by").isNull()).drop("text")
