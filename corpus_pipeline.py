@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelake.llm import bpe, exact_dedup, mixing, quality, simhash
+from tracelake.llm import bpe, exact_dedup, mixing, near_copies, quality
 from tracelake.llm.common import id_remainder, materialise, table
 from tracelake.llm.queries import tokenizer_path
 
@@ -29,7 +29,7 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
