@@ -111,7 +111,7 @@ def mix(
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("__slice"))
     ends = (
         sums.withColumn("upto", upto)
-        .filter("upto > rest and upto - words < rest")
+        .filter("upto > rest and upto - words <= rest")
         .select(F.col("source").alias("__s"), F.col("__slice").alias("__end"), (F.col("upto") - F.col("words")).alias("__before"))
     )
     ends = broadcast_if_small(materialise(ends), MAX_BROADCAST_SOURCES)
