@@ -74,23 +74,34 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def holds_template(text: str, templates: list[set[str]], min_similarity: float = MIN_SIMILARITY) -> bool:
+    """Whether a line has two word pairs or more, and that share of the smaller side's, in common with a template."""
+    pairs = {g for g in grams(text) if " " in g}
+    return any(len(pairs & t) >= max(2, min_similarity * min(len(pairs), len(t))) for t in templates)
+
+
 def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 400) -> LicenseModel:
     """Multinomial logistic regression on word 1- and 2-grams, with an unknown class from ``background``.
 
     Each template is repeated with words dropped or added. Words that many background paragraphs use are
-    left out of the vocabulary, so that ordinary text has no feature at all and is unknown. Half of the
+    left out of the vocabulary, so that ordinary text has no feature at all and is unknown. Paragraphs that
+    hold a template count neither as background nor in that, so a notice's own frequency never removes it; a
+    template whose pairs are all ordinary keeps them nevertheless. Half of the
     examples fit the weights; on the other half a temperature is fitted, and the least probability is
     set above all but a thousandth of the unknown ones.
     """
     rnd = random.Random(seed)
     families = [UNKNOWN, *TEMPLATES]
+    template_pairs = [{g for g in grams(t) if " " in g} for texts in TEMPLATES.values() for t in texts]
+    background = [t for t in background if not holds_template(t, template_pairs)]
     seen: dict[str, int] = {}
     for text in background:
         for g in set(grams(text)):
             seen[g] = seen.get(g, 0) + 1
     known = {g for texts in TEMPLATES.values() for t in texts for g in grams(t)}
     limit = max(5.0, MAX_BACKGROUND_SHARE * len(background))
-    names = sorted(g for g in known if seen.get(g, 0) <= limit or "licen" in g)
+    rare = {g for g in known if seen.get(g, 0) <= limit or "licen" in g}
+    names = sorted(rare.union(*(t for t in template_pairs if not t & rare)))
     index = {g: i for i, g in enumerate(names)}
     filler = [w for text in background[:200] for w in text.lower().split()] or ["of"]
     rows, y = [], []
