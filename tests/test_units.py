@@ -13,7 +13,7 @@ from tracelake.functions import bits, scale
 from tracelake.functions.expression import compile_expression
 from tracelake.operators import decode, derived, series, trace
 from tracelake.plans.tables import order_samples
-from tracelake.sources import logs
+from tracelake.sources import csv_logs, logs
 
 
 def reference_bits(data, byte, bit, length, order):
@@ -169,7 +169,7 @@ def test_lines_are_numbered_alike_for_any_split(spark, tmp_path):
 
 def test_csv_log(spark, tmp_path):
     (tmp_path / "a.csv").write_text("Time_ms,Speed [km/h],Note\n0,1.5,x\n500,,y\nbad,3,z\n1000,2,w\n")
-    s, bad = logs.read_csv_log(spark, str(tmp_path))
+    s, bad = csv_logs.read_csv_log(spark, str(tmp_path))
     rows = s.toPandas().sort_values("t_us")
     assert rows["t_us"].tolist() == [0, 500000, 1000000] and set(rows["name"]) == {"Speed"} and set(rows["unit"]) == {"km/h"}
     assert math.isnan(rows["value"].iloc[1])

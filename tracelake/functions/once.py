@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,3 +18,11 @@ def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
     out = df.select(*df.columns, made.alias("__made"))
     return out.select(*kept, *[F.col(f"__made.{n}").alias(n) for n in columns])
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it.
+
+    A plain column is copied into every place it is used, so nested uses multiply. The variable of a lambda is not.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))

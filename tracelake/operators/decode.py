@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import bits, scale
 from ..functions.once import with_computed
+from ..functions.text import significant
 from ..schemas import SAFE_INTEGER
 
-#: Layout tables up to this many rows are broadcast; larger ones are joined by shuffle.
+#: Tables up to this many rows and bytes are broadcast; larger ones are joined by shuffle.
 MAX_BROADCAST_LAYOUTS = 1_000_000
+MAX_BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, max_rows: int = MAX_BROADCAST_LAYOUTS) -> DataFrame:
-    """A broadcast hint, given only where the row count is seen to be small."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def small(df: DataFrame, max_rows: int = MAX_BROADCAST_LAYOUTS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """A broadcast hint, given only where the table is known or seen to be small.
+
+    Spark's own estimate of the plan, an upper bound for local tables and plain scans, settles it without a
+    job; else rows are counted up to the limit, which is lower for wide rows.
+    """
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= max_bytes // 8:
+        return F.broadcast(df)
+    width = sum(64 if isinstance(f.dataType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType)) else 8 for f in df.schema)
+    most = max(1, min(max_rows, max_bytes // width))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def effective_layouts(layouts: DataFrame) -> DataFrame:
@@ -106,7 +117,27 @@ def byte_masks(layouts: DataFrame) -> DataFrame:
     return occupied_bits(layouts).groupBy("can_id", "extended", "byte").agg(F.bit_or(one).alias("mask"))
 
 
-def explain(samples: DataFrame) -> DataFrame:
-    """Each sample beside the other samples of its frame, as a map of inputs by name."""
+def tag() -> Column:
+    """``name=value unit (label)`` of a sample, 12 significant digits; unit and label only where there are any."""
+    label = F.when(F.coalesce("value_label", F.lit("")) != "", F.concat(F.lit("("), "value_label", F.lit(")")))
+    return F.concat_ws(" ", F.concat("name", F.lit("="), significant(F.col("value"), 12)), F.when(F.col("unit") != "", F.col("unit")), label)
+
+
+def explain(samples: DataFrame, layouts: DataFrame | None = None) -> DataFrame:
+    """Each sample beside the other samples of its frame, as a map of inputs by name.
+
+    With ``layouts`` also where its bits lie (``bits``: first byte, bit, length, order) and how the value comes from the raw
+    integer (``calculation``: ``raw × scale + offset = value unit``). Of derived signals, ``derived.lookup`` gives the bracket
+    points and ``derived.moving_average`` the samples that a value rests on.
+    """
     inputs = samples.groupBy("source_id", "ordinal").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "value")))).alias("inputs"))
-    return samples.join(inputs, ["source_id", "ordinal"])
+    out = samples.join(inputs, ["source_id", "ordinal"])
+    if layouts is None:
+        return out
+    l = effective_layouts(layouts)
+    bits_text = F.format_string("byte %d bit %d, %d bits %s endian %s", "byte_offset", "bit_offset", "length_bits", "byte_order", "signedness")
+    factor, offset = (significant(F.col(a).cast("double") / F.col(b).cast("double"), 12) for a, b in (("num", "den"), ("o_num", "o_den")))
+    dim = l.select("def_id", "signal_id", bits_text.alias("bits"), F.format_string("%s + %s", factor, offset).alias("__rule"))
+    out = out.join(small(dim), ["def_id", "signal_id"])
+    text = F.concat("raw", F.lit(" × "), "__rule", F.lit(" = "), significant(F.col("value"), 12), F.when(F.col("unit") != "", F.concat(F.lit(" "), "unit")).otherwise(""))
+    return out.withColumn("calculation", text).drop("__rule")

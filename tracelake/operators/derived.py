@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .asof import neighbours
 from .decode import small
 
@@ -79,15 +80,29 @@ def sample_at(probes: DataFrame, series: DataFrame, keys: list[str], linear: boo
 
 
 def lineage(edges: DataFrame, roots: DataFrame, spark: SparkSession) -> DataFrame:
-    """Level of each node: 0 for roots, else one more than its deepest input; nodes of cycles get none (null)."""
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
-    found = spark.sql("""
-        WITH RECURSIVE walk(node, level) AS (
-          SELECT node, 0 FROM __roots
-          UNION ALL
-          SELECT e.node, w.level + 1 FROM walk w JOIN __edges e ON e.input = w.node WHERE w.level < 50)
-        SELECT node, max(level) AS level FROM walk GROUP BY node""")
-    nodes = edges.select("node").union(edges.select(F.col("input").alias("node"))).union(roots.select("node")).distinct()
-    level: Column = F.when(F.col("level") < 50, F.col("level"))
-    return nodes.join(found, "node", "left").select("node", level.alias("level"))
+    """Level of each node: 0 for roots, else one more than its deepest input.
+
+    Nodes that lie on a cycle, or behind one, and nodes with an input that nobody defines have no level (null);
+    ``missing`` lists those inputs. Each round settles the nodes whose inputs all have a level, and ends when a round
+    settles none; the number of rounds is the depth, without a limit.
+    """
+    links = written(edges.select("node", "input").distinct())
+    named = links.select("node").union(roots.select("node")).distinct()
+    absent = links.join(named.select(F.col("node").alias("input")), "input", "left_anti").groupBy("node").agg(F.array_sort(F.collect_set("input")).alias("missing"))
+    level = written(roots.select("node").distinct().withColumn("level", F.lit(0)))
+    waiting = written(links.join(roots.select("node").distinct(), "node", "left_anti"))
+    depth = 0
+    while True:
+        depth += 1
+        # Inputs settled in any earlier round; a node waits while it has another.
+        done = level.select(F.col("node").alias("input"), F.lit(1).alias("settled"))
+        open_ = waiting.join(done, "input", "left").groupBy("node").agg(F.count("input").alias("n"), F.count("settled").alias("settled"))
+        fresh = written(open_.filter("n = settled").select("node", F.lit(depth).alias("level")))
+        if not fresh.limit(1).count():
+            break
+        level = level.union(fresh)
+        waiting = waiting.join(fresh.select("node"), "node", "left_anti")
+        if depth % 20 == 0:
+            level, waiting = written(level), written(waiting)
+    nodes = named.union(edges.select(F.col("input").alias("node"))).distinct()
+    return nodes.join(level, "node", "left").join(absent, "node", "left").select("node", "level", "missing")

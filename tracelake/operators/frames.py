@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import re
-
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +26,7 @@ def where(frames: DataFrame, direction: str | None = None, channel: int | None =
 
 def decoded(frames: DataFrame, samples: DataFrame, yes: bool = True) -> DataFrame:
     """Frames that gave samples, or those that gave none."""
-    return frames.join(samples.select("ordinal"), "ordinal", "left_semi" if yes else "left_anti")
+    return frames.join(samples.select("source_id", "ordinal"), ["source_id", "ordinal"], "left_semi" if yes else "left_anti")
 
 
 def id_text(can_id: Column, extended: Column) -> Column:
@@ -58,8 +57,9 @@ def keyword(frames: DataFrame, text: str, fields: list[Column]) -> DataFrame:
 def pattern(frames: DataFrame, regex: str, fields: list[Column]) -> DataFrame:
     """Frames where any field matches, ignoring case; a pattern that cannot be compiled matches nothing."""
     try:
-        re.compile(regex)
-    except re.error:
+        # Spark's own engine says whether it can run the pattern; another one's syntax differs.
+        frames.sparkSession.range(1).select(F.lit("").rlike(f"(?i){regex}")).collect()
+    except PySparkException:
         return frames.filter(F.lit(False))
     hit = F.lit(False)
     for f in fields:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decode import small
@@ -12,7 +12,7 @@ KEY = ["source_id", "can_id", "extended", "channel", "direction"]
 
 
 def trace_at(frames: DataFrame, t_us: int, start_us: int | None = None, keys: list[str] | None = None) -> DataFrame:
-    """Per key: latest frame at or before ``t_us``, count, age and shortest and longest interval in ms, last change.
+    """Per key: latest frame at or before ``t_us``, count, age, latest, shortest and longest interval in ms, last change.
 
     Keys without a frame in the range are listed with count 0. Only intervals with both ends in range
     count. A change is a payload unlike the one before of the key, also beyond the start; the first frame
@@ -25,28 +25,30 @@ def trace_at(frames: DataFrame, t_us: int, start_us: int | None = None, keys: li
     f = f.withColumn("__before", F.lag("t_us").over(w)).withColumn("__changed", ~F.col("data").eqNullSafe(F.lag("data").over(w)))
     inside = F.col("t_us") >= start
     gap = F.when(inside & (F.col("__before") >= start), F.col("t_us") - F.col("__before"))
-    per = f.groupBy(*keys).agg(
+    per = f.withColumn("__gap", gap).groupBy(*keys).agg(
         F.count(F.when(inside, 1)).alias("count"),
-        F.max(F.when(inside, F.struct("t_us", "ordinal", "data"))).alias("last"),
+        F.max(F.when(inside, F.struct("t_us", "ordinal", "data", "__gap"))).alias("last"),
         F.min(F.when(inside, F.col("t_us"))).alias("first_us"),
-        (F.min(gap) / 1000).alias("min_ms"), (F.max(gap) / 1000).alias("max_ms"),
+        (F.min("__gap") / 1000).alias("min_ms"), (F.max("__gap") / 1000).alias("max_ms"),
         F.max(F.when(F.col("__changed"), F.col("t_us"))).alias("changed_us"),
     )
     everyone = frames.select(*keys).distinct()
     out = everyone.join(per, keys, "left")
     return out.select(
         *keys, F.coalesce("count", F.lit(0)).alias("count"), F.col("last.ordinal").alias("ordinal"), F.col("last.data").alias("data"),
-        F.when(F.col("last").isNotNull(), (F.lit(t_us) - F.col("last.t_us")) / 1000).alias("age_ms"), "min_ms", "max_ms",
+        F.when(F.col("last").isNotNull(), (F.lit(t_us) - F.col("last.t_us")) / 1000).alias("age_ms"), (F.col("last.__gap") / 1000).alias("interval_ms"), "min_ms", "max_ms",
         F.when(F.col("last").isNotNull(), F.greatest("changed_us", "first_us")).alias("changed_us"),
     )
 
 
-def branches(frames: DataFrame, t_us: int, mux: str) -> DataFrame:
-    """Counts and last frame for each key and for each multiplexer branch beside it, by grouping sets."""
-    f = frames.filter(F.col("t_us") <= t_us)
-    return f.groupingSets([[F.col(c) for c in KEY], [F.col(c) for c in (*KEY, mux)]], *KEY, mux).agg(
-        F.count(F.lit(1)).alias("count"), F.max("t_us").alias("last_us"), F.grouping(mux).alias("whole")
-    )
+def branches(frames: DataFrame, t_us: int, mux: str, start_us: int | None = None) -> DataFrame:
+    """The same for each key (``whole`` true, no ``mux``) and beside it for each multiplexer branch of its frames.
+
+    Intervals and changes of a branch are those between its own frames.
+    """
+    kind = dict(frames.dtypes)[mux]
+    whole = trace_at(frames, t_us, start_us).withColumn(mux, F.lit(None).cast(kind)).withColumn("whole", F.lit(True))
+    return whole.unionByName(trace_at(frames, t_us, start_us, [*KEY, mux]).withColumn("whole", F.lit(False)))
 
 
 def latest_values(samples: DataFrame, t_us: int, start_us: int, keys: list[str]) -> DataFrame:
@@ -57,8 +59,13 @@ def latest_values(samples: DataFrame, t_us: int, start_us: int, keys: list[str])
 
 
 def with_periods(trace: DataFrame, periods: DataFrame) -> DataFrame:
-    """Deviation of the mean interval from the expected period, and staleness after three of them."""
+    """Deviation of the latest interval from the id's expected period, and staleness after three of them.
+
+    The cycle of an id is not that of its multiplexer branches: rows with ``whole`` false get no period.
+    """
     t = trace.join(small(periods), ["can_id", "extended"], "left")
+    if "whole" in trace.columns:
+        t = t.withColumn("period_ms", F.when(F.col("whole"), F.col("period_ms")))
     return t.withColumn("deviation_ms", F.col("interval_ms") - F.col("period_ms")).withColumn("stale", F.coalesce(F.col("age_ms") > 3 * F.col("period_ms"), F.lit(False)))
 
 
@@ -66,3 +73,20 @@ def with_missing(trace: DataFrame, defined: DataFrame) -> DataFrame:
     """Adds defined ids that were never received, with count 0."""
     missing = defined.join(trace, ["can_id", "extended"], "left_anti")
     return trace.unionByName(missing.withColumn("count", F.lit(0).cast("long")), allowMissingColumns=True)
+
+
+def last_frames(frames: DataFrame, t_us: int, keys: list[str]) -> DataFrame:
+    """The last frame of each key at or before a time."""
+    f = frames.filter(F.col("t_us") <= t_us)
+    return f.groupBy(*keys).agg(F.max_by("ordinal", F.struct("t_us", "ordinal")).alias("ordinal"), F.max("t_us").alias("t_us"))
+
+
+def ordered(trace: DataFrame, pinned: Column, order: list[Column]) -> DataFrame:
+    """``place`` of each row of a trace table: pinned rows first, then by ``order``, then by key. A row a key, so one sort suffices."""
+    return trace.withColumn("place", F.row_number().over(Window.orderBy(pinned.desc(), *order, "can_id", "extended", "channel", "direction", "source_id")))
+
+
+def received_before_first(frames: DataFrame) -> DataFrame:
+    """``source_id, received``: frames of each source up to the first time of all, the head of a trace."""
+    lo = frames.agg(F.min("t_us").alias("__lo"))
+    return frames.crossJoin(F.broadcast(lo)).groupBy("source_id").agg(F.count(F.when(F.col("t_us") <= F.col("__lo"), 1)).alias("received"))

@@ -11,18 +11,18 @@ from .registry import query
 from .series_queries import FROM, KEY, TO
 from .tables import events, frames, order_samples, samples
 
-_UNITS = """, un AS (SELECT ordinal, value, k, CASE k % 6 WHEN 0 THEN 'km/h' WHEN 1 THEN ' mm ' WHEN 2 THEN 'degf' WHEN 3 THEN 'PSI' WHEN 4 THEN 'furlong' ELSE 'kW' END AS unit FROM fr),
- ru AS (SELECT * FROM (VALUES ('km/h', 'speed', 'm/s', 1 / 3.6::DOUBLE, 0.0::DOUBLE), (' mm ', 'length', 'm', 0.001::DOUBLE, 0), ('degf', 'temperature', '°C', 5 / 9.0::DOUBLE, -160 / 9.0::DOUBLE), ('PSI', 'pressure', 'kPa', 6.894757293::DOUBLE, 0), ('kW', 'power', 'kW', 1.0::DOUBLE, 0)) t(unit, family, canonical, scale, shift))"""
+_UNITS = """, un AS (SELECT ordinal, value, k, CASE k % 8 WHEN 0 THEN 'km/h' WHEN 1 THEN ' mm ' WHEN 2 THEN 'fahrenheit' WHEN 3 THEN 'PSI' WHEN 4 THEN 'furlong' WHEN 5 THEN 'kW' WHEN 6 THEN 'mm^2' ELSE 'kmh' END AS unit FROM fr),
+ ru AS (SELECT * FROM (VALUES ('km/h', 'speed', 'm/s', 1 / 3.6::DOUBLE, 0.0::DOUBLE), (' mm ', 'length', 'm', 0.001::DOUBLE, 0), ('fahrenheit', 'temperature', '°C', 5 / 9.0::DOUBLE, -160 / 9.0::DOUBLE), ('mm^2', 'area', 'm²', 0.000001::DOUBLE, 0), ('kmh', 'speed', 'm/s', 1 / 3.6::DOUBLE, 0), ('PSI', 'pressure', 'kPa', 6.894757293::DOUBLE, 0), ('kW', 'power', 'kW', 1.0::DOUBLE, 0)) t(unit, family, canonical, scale, shift))"""
 
 
 def _with_units(spark, sf):
-    texts = ["km/h", " mm ", "degf", "PSI", "furlong", "kW"]
-    return events(spark, sf).select("ordinal", "value", "k", "source_id", F.element_at(F.array(*map(F.lit, texts)), F.col("k") % 6 + 1).alias("unit"))
+    texts = ["km/h", " mm ", "fahrenheit", "PSI", "furlong", "kW", "mm^2", "kmh"]
+    return events(spark, sf).select("ordinal", "value", "k", "source_id", F.element_at(F.array(*map(F.lit, texts)), F.col("k") % 8 + 1).alias("unit"))
 
 
-@query("U1", _UNITS + " SELECT ordinal, family, canonical FROM un LEFT JOIN ru USING (unit)")
+@query("U1", _UNITS + " SELECT ordinal, family, canonical, CASE family WHEN 'speed' THEN 1 WHEN 'length' THEN 0 WHEN 'temperature' THEN 23 WHEN 'pressure' THEN 13 WHEN 'power' THEN 11 WHEN 'area' THEN 21 END AS axis FROM un LEFT JOIN ru USING (unit)")
 def resolved(spark, sf):
-    return U.resolve(_with_units(spark, sf), "unit").select("ordinal", "family", "canonical")
+    return U.resolve(_with_units(spark, sf), "unit").select("ordinal", "family", "canonical", "axis")
 
 
 @query("U2", _UNITS + " SELECT ordinal, round(CASE WHEN family = 'speed' THEN value * scale / 0.44704 WHEN family = 'length' THEN value ELSE value END, 9) AS converted FROM un LEFT JOIN ru USING (unit)")
@@ -31,6 +31,11 @@ def converted(spark, sf):
     return U.convert(rows, "value", "unit", "target").select("ordinal", F.round("converted", 9).alias("converted"))
 
 
+@query("U2_canonical", _UNITS + " SELECT ordinal, round(CASE WHEN family IS NULL THEN value ELSE value * scale + shift END, 9) AS converted, coalesce(canonical, unit) AS shown_unit FROM un LEFT JOIN ru USING (unit)")
+def canonical(spark, sf):
+    return U.convert(_with_units(spark, sf), "value", "unit").select("ordinal", F.round("converted", 9).alias("converted"), "shown_unit")
+
+
 @query("U3", ", g AS (SELECT user_id AS key, count(DISTINCT CASE k % 2 WHEN 0 THEN 'km' ELSE 'mm' END) AS n, arg_min(CASE k % 2 WHEN 0 THEN 'km' ELSE 'mm' END, ordinal) AS u FROM fr GROUP BY 1) SELECT key, CASE WHEN n = 1 THEN u ELSE 'm' END AS unit FROM g")
 def preferred(spark, sf):
     rows = events(spark, sf).select(F.col("user_id").alias("key"), "ordinal", F.when(F.col("k") % 2 == 0, "km").otherwise("mm").alias("unit"))

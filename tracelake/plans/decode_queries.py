@@ -12,6 +12,11 @@ def _layout(spark, text):
     return layouts(spark).filter(text)
 
 
+def _mux_labels(spark):
+    ids = layouts(spark).filter("name = 'Mux'").select("signal_id")
+    return ids.crossJoin(F.broadcast(spark.createDataFrame([("0", "idle"), ("0x1", "run")], "raw_text string, label string")))
+
+
 @query("D1", "SELECT ordinal, raw, user_id & 255 AS low_byte, user_id AS be_user, (raw >> 3) & 4095 AS mid FROM fr")
 def extract(spark, sf):
     f = frames(spark, sf)
@@ -45,25 +50,34 @@ def ieee(spark, sf):
     return f.select("ordinal", bits.ieee754(double_bits, F.lit(64)).alias("exact"), bits.ieee754(single_bits, F.lit(32)).alias("quarter"))
 
 
-@query("D4", "SELECT ordinal, ((raw * 3)::DOUBLE + 5) / 10 AS scaled, ((raw * 1)::DOUBLE * 100 - 300) / 10000 AS cents FROM fr")
+@query("D4", """, b AS (SELECT *, raw::HUGEINT * 137438953472 + user_id AS big FROM fr)
+ SELECT ordinal, ((raw * 3)::DOUBLE + 5) / 10 AS scaled, ((raw * 1)::DOUBLE * 100 - 300) / 10000 AS cents, ((big * 3 + 1)::VARCHAR || 'e-1')::DOUBLE AS large, ((big * 1234567890123456789 + 5 * 1000000000000000000)::VARCHAR || 'e-19')::DOUBLE AS long_scale,
+  round(((big * 7)::DECIMAL(38, 0) / 3)::DOUBLE / 1e6) AS thirds FROM b""")
 def exact_scale(spark, sf):
     raw = bits.extract_unsigned(F.col("data"), F.lit(0), F.lit(0), F.lit(32), F.lit("little"))
-    n, d = scale.scale_parts(F.lit("0.3"))
-    on, od = scale.scale_parts(F.lit("5e-1"))
-    cn, cd = scale.scale_parts(F.lit(".01"))
-    dn, dd = scale.scale_parts(F.lit("-.03"))
-    return frames(spark, sf).select("ordinal", scale.physical(raw, n, d, on, od).alias("scaled"), scale.physical(raw, cn, cd, dn, dd).alias("cents"))
+    user = bits.extract_unsigned(F.col("data"), F.lit(4), F.lit(0), F.lit(16), F.lit("big"))
+    f = frames(spark, sf).select("ordinal", raw.alias("raw"), (raw * 137438953472 + user).alias("big"))
+    texts = {"scaled": ("raw", "0.3", "5e-1"), "cents": ("raw", ".01", "-.03"), "large": ("big", "0.3", "0.1"), "long_scale": ("big", "0.1234567890123456789", "0.5"), "thirds": ("big", "7/3", "0")}
+    return _scaled(f, texts).withColumn("thirds", F.round(F.col("thirds") / 1e6)).drop("raw", "big")
+
+
+def _scaled(rows, texts):
+    """``rows`` with a column for each of ``name: (raw column, scale text, offset text)``."""
+    none = (F.lit(0).cast(scale.DECIMAL), F.lit(1).cast(scale.DECIMAL))
+    for name, (raw, lsb, offset) in texts.items():
+        parts = (*scale.scale_parts(F.lit(lsb)), *(none if offset == "0" else scale.scale_parts(F.lit(offset))))
+        rows = rows.withColumns(dict(zip(("__n", "__d", "__on", "__od"), parts)))
+        rows = rows.withColumn("__k", scale.power_of_two(F.col("__n"), F.col("__d")))
+        value = scale.physical(F.col(raw), *(F.col(c) for c in ("__n", "__d", "__on", "__od", "__k")))
+        rows = rows.withColumn(name, value).drop("__n", "__d", "__on", "__od", "__k")
+    return rows
 
 
 @query("D5", "SELECT ordinal, (raw >> 4)::DOUBLE AS sixteenth, (-(raw >> 4))::DOUBLE AS negated, (raw * 2)::DOUBLE AS twice FROM fr")
 def shift_scale(spark, sf):
     raw = bits.extract_unsigned(F.col("data"), F.lit(0), F.lit(0), F.lit(32), F.lit("little"))
-    zero, one = F.lit(0).cast(scale.DECIMAL), F.lit(1).cast(scale.DECIMAL)
-
-    def by(text):
-        return scale.physical(raw, *scale.scale_parts(F.lit(text)), zero, one)
-
-    return frames(spark, sf).select("ordinal", by("1/16").alias("sixteenth"), by("-0.0625").alias("negated"), by("2").alias("twice"))
+    f = frames(spark, sf).select("ordinal", raw.alias("raw"))
+    return _scaled(f, {"sixteenth": ("raw", "1/16", "0"), "negated": ("raw", "-0.0625", "0"), "twice": ("raw", "2", "0")}).drop("raw")
 
 
 @query("D6", """SELECT p_partkey AS part, (p_size)::DOUBLE AS num, (p_size + 1)::DOUBLE AS den, (p_size * 10 + 5)::DOUBLE AS d_num, 100::DOUBLE AS d_den FROM part""")
@@ -77,9 +91,7 @@ def scale_text(spark, sf):
 @query("D7", """SELECT ordinal, mux::BIGINT AS raw, CASE mux WHEN 0 THEN 'idle' WHEN 1 THEN 'run' END AS value_label FROM fr""")
 def labels(spark, sf):
     s = D.decode(frames(spark, sf), _layout(spark, "name = 'Mux'"))
-    ids = layouts(spark).filter("name = 'Mux'").select("signal_id")
-    two = spark.createDataFrame([("0", "idle"), ("0x1", "run")], "raw_text string, label string")
-    return D.with_labels(s, ids.crossJoin(F.broadcast(two))).select("ordinal", "raw", "value_label")
+    return D.with_labels(s, _mux_labels(spark)).select("ordinal", "raw", "value_label")
 
 
 @query("D8", "SELECT ordinal, k % 16 AS raw, CASE WHEN (k % 16) % 2 = 0 THEN (k % 16 / 2)::DOUBLE ELSE floor((k % 16) / 2)::DOUBLE END AS value FROM fr WHERE mux = 1")
@@ -115,15 +127,15 @@ def masks(spark, sf):
     return D.byte_masks(layouts(spark).join(used, ["can_id", "extended"], "left_semi"))
 
 
-@query("D13", "SELECT ordinal, 'Value=' || CASE WHEN raw % 100 = 0 THEN (raw // 100)::VARCHAR WHEN raw % 10 = 0 THEN (raw // 100)::VARCHAR || '.' || (raw % 100 // 10)::VARCHAR ELSE (raw // 100)::VARCHAR || '.' || lpad((raw % 100)::VARCHAR, 2, '0') END || ' m' AS tag FROM fr")
+@query("D13", "SELECT ordinal, 'Value=' || CASE WHEN raw % 100 = 0 THEN (raw // 100)::VARCHAR WHEN raw % 10 = 0 THEN (raw // 100)::VARCHAR || '.' || (raw % 100 // 10)::VARCHAR ELSE (raw // 100)::VARCHAR || '.' || lpad((raw % 100)::VARCHAR, 2, '0') END || ' m' AS tag FROM fr UNION ALL SELECT ordinal, 'Mux=' || mux || CASE mux WHEN 0 THEN ' (idle)' WHEN 1 THEN ' (run)' ELSE '' END FROM fr")
 def tags(spark, sf):
-    from ..functions.text import significant
-
-    s = D.decode(frames(spark, sf), _layout(spark, "name = 'Value'"))
-    return s.select("ordinal", F.concat_ws(" ", F.concat("name", F.lit("="), significant(F.col("value"), 12)), F.when(F.col("unit") != "", F.col("unit"))).alias("tag"))
+    s = D.decode(frames(spark, sf), _layout(spark, "name in ('Value', 'Mux')"))
+    return D.with_labels(s, _mux_labels(spark)).select("ordinal", D.tag().alias("tag"))
 
 
-@query("D14", "SELECT ordinal, raw::DOUBLE / 100 AS value, raw::BIGINT AS raw, user_id::DOUBLE AS input_user, k::DOUBLE AS input_k FROM fr")
+@query("D14", """SELECT ordinal, raw::DOUBLE / 100 AS value, raw::BIGINT AS raw, user_id::DOUBLE AS input_user, k::DOUBLE AS input_k, 'byte 0 bit 0, 32 bits little endian unsigned' AS bits,
+ raw || ' × 0.01 + 0 = ' || CASE WHEN raw % 100 = 0 THEN (raw // 100)::VARCHAR WHEN raw % 10 = 0 THEN (raw // 100)::VARCHAR || '.' || (raw % 100 // 10)::VARCHAR ELSE (raw // 100)::VARCHAR || '.' || lpad((raw % 100)::VARCHAR, 2, '0') END || ' m' AS calculation FROM fr""")
 def explained(spark, sf):
-    s = D.explain(D.decode(frames(spark, sf), _layout(spark, "name in ('Value', 'User', 'K')")))
-    return s.filter("name = 'Value'").select("ordinal", "value", "raw", F.col("inputs")["User"].alias("input_user"), F.col("inputs")["K"].alias("input_k"))
+    l = _layout(spark, "name in ('Value', 'User', 'K')")
+    s = D.explain(D.decode(frames(spark, sf), l), l)
+    return s.filter("name = 'Value'").select("ordinal", "value", "raw", F.col("inputs")["User"].alias("input_user"), F.col("inputs")["K"].alias("input_k"), "bits", "calculation")

@@ -161,12 +161,22 @@ def projects(spark, sf):
     return O.valid_clips(c)[0].drop("end_s")
 
 
-@query("M1", "SELECT ordinal, CASE WHEN k % 3 = 0 THEN t_us - 1704067200000000 ELSE t_us END AS shown_us FROM fr")
-def shown(spark, sf):
-    e = events(spark, sf)
-    mode = F.element_at(F.array(F.lit("relative"), F.lit("clock"), F.lit("unix")), F.col("k") % 3 + 1)
+_REF = ", rf AS (SELECT *, CASE WHEN source_id = 'log0' THEN 0 ELSE 1704067200000000 END AS off, CASE WHEN mux = 1 THEN 540::BIGINT END AS utc FROM fr)"
+
+
+def _referenced(spark, sf):
+    """Timestamps of logs whose own times are clock times (log0) or count from the start, with and without a UTC offset, some without a start."""
     start = F.lit(1704067200000000)
-    return e.select("ordinal", T.displayed_us(F.col("t_us") - start, mode, start, start).alias("shown_us"))
+    offset = F.when(F.col("source_id") == "log0", 0).otherwise(start).cast("long")
+    e = events(spark, sf).withColumns({"offset_us": offset, "start_us": F.when(F.col("k") != 5, start), "utc": F.when(F.col("mux") == 1, 540), "mode": F.element_at(F.array(F.lit("relative"), F.lit("datetime"), F.lit("unix")), F.col("k") % 3 + 1)})
+    return e.withColumn("t_us", F.col("t_us") - F.col("offset_us"))
+
+
+@query("M1", _REF + " SELECT ordinal, CASE WHEN k = 5 THEN t_us - off WHEN k % 3 = 0 THEN t_us - 1704067200000000 WHEN k % 3 = 1 THEN t_us ELSE t_us - coalesce(utc, 0) * 60000000 END AS shown_us, t_us - off AS back_us FROM rf")
+def shown(spark, sf):
+    reference = F.col("start_us"), F.col("offset_us"), F.col("utc")
+    e = _referenced(spark, sf).withColumn("shown_us", T.displayed_us(F.col("t_us"), F.col("mode"), *reference))
+    return e.select("ordinal", "shown_us", T.timestamp_us(F.col("shown_us"), F.col("mode"), *reference).alias("back_us"))
 
 
 @query("M2", "SELECT ordinal, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') AS full_text, strftime(make_timestamp(((t_us + 500) // 1000) * 1000), '%Y-%m-%d %H:%M:%S.%g') AS short_text, CASE WHEN k % 2 = 0 THEN '+09:00' ELSE '-03:30' END AS zone FROM fr")
@@ -175,6 +185,19 @@ def clock_texts(spark, sf):
     return events(spark, sf).select("ordinal", T.clock_text(t).alias("full_text"), T.clock_text(t, 3).alias("short_text"), T.offset_text(F.when(F.col("k") % 2 == 0, 540).otherwise(-210)).alias("zone"))
 
 
+@query("M2_cells", _REF + """, m AS (SELECT *, CASE WHEN k = 5 OR k % 3 = 0 THEN 'relative' WHEN k % 3 = 1 THEN 'datetime' ELSE 'unix' END AS mode, CASE WHEN k = 5 THEN t_us - off WHEN k % 3 = 0 THEN t_us - 1704067200000000 WHEN k % 3 = 1 THEN t_us ELSE t_us - coalesce(utc, 0) * 60000000 END AS us FROM rf)
+ SELECT ordinal, CASE mode WHEN 'datetime' THEN strftime(make_timestamp(us), '%Y-%m-%d %H:%M:%S.%f') || CASE WHEN utc IS NULL THEN '' ELSE '+09:00' END ELSE (us // 1000000) || '.' || lpad((us % 1000000)::VARCHAR, 6, '0') END AS cell,
+  CASE mode WHEN 'datetime' THEN strftime(make_timestamp(((us + 500) // 1000) * 1000), '%Y-%m-%d %H:%M:%S.%g') || '–' || CASE WHEN strftime(make_timestamp(((us + 500) // 1000) * 1000), '%Y-%m-%d') = strftime(make_timestamp(((us + 7200000500) // 1000) * 1000), '%Y-%m-%d') THEN strftime(make_timestamp(((us + 7200000500) // 1000) * 1000), '%H:%M:%S.%g') ELSE strftime(make_timestamp(((us + 7200000500) // 1000) * 1000), '%Y-%m-%d %H:%M:%S.%g') END
+   ELSE ((us + 500) // 1000 // 1000) || '.' || lpad(((us + 500) // 1000 % 1000)::VARCHAR, 3, '0') || '–' || ((us + 7200000500) // 1000 // 1000) || '.' || lpad(((us + 7200000500) // 1000 % 1000)::VARCHAR, 3, '0') || ' s' END AS span,
+  CASE mode WHEN 'datetime' THEN 'TIME' WHEN 'unix' THEN 'TIME (UNIX S)' ELSE 'TIME(S)' END AS label FROM m""")
+def time_cells(spark, sf):
+    """Exported cells, range texts over two hours and headings."""
+    reference = F.col("start_us"), F.col("offset_us"), F.col("utc")
+    e = _referenced(spark, sf)
+    span = T.range_text(F.col("t_us"), F.col("t_us") + 7200000000, F.col("mode"), *reference)
+    return e.select("ordinal", T.export_time(F.col("t_us"), F.col("mode"), *reference).alias("cell"), span.alias("span"), T.time_label(F.col("mode"), F.col("start_us")).alias("label"))
+
+
 @query("M3", "SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE epoch_us(o_orderdate) + 46800000000 + 250000 END AS start_us FROM orders", base=False)
 def date_lines(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet")
@@ -186,10 +209,11 @@ def date_lines(spark, sf):
     return o.select(F.col("o_orderkey").alias("ordinal"), T.parse_date_line(line).alias("start_us"))
 
 
-@query("M4", "SELECT ordinal, t_us AS placed_us FROM fr")
+@query("M4", _REF + " SELECT ordinal, t_us - off + CASE WHEN utc IS NULL THEN 7200000000 ELSE 0 END AS placed_us FROM rf WHERE k <> 5")
 def placed(spark, sf):
-    """Clock texts written at +02:00 placed on a log whose clock runs at +01:00 and whose time 0 is 1970 on that clock."""
-    text = F.concat(F.translate(T.clock_text(F.col("t_us") + 7200000000), "-", "/"), F.lit(" +0200"))
-    us, offset = T.parse_clock(F.col("text"))
-    e = events(spark, sf).select("ordinal", text.alias("text"))
-    return e.select("ordinal", (us + (F.lit(60) - offset).cast("long") * 60000000 - F.lit(3600000000)).alias("placed_us"))
+    """Clock texts written two hours ahead of their log's clock: converted where both offsets are known, else taken as written."""
+    e = _referenced(spark, sf)
+    ahead = F.coalesce(F.col("utc"), F.lit(0)) + 120
+    written = F.concat(F.translate(T.clock_text(F.col("t_us") + F.col("offset_us") + 7200000000), "-", "/"), F.lit(" "), F.replace(T.offset_text(ahead), F.lit(":"), F.lit("")))
+    e = e.withColumn("written", written).filter("start_us is not null")
+    return e.select("ordinal", T.timestamp_of_clock_text(F.col("written"), F.col("start_us"), F.col("offset_us"), F.col("utc")).alias("placed_us"))

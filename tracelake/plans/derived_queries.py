@@ -115,4 +115,14 @@ def at_time(spark, sf):
 def lineage(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     edges = p.filter("p_partkey > 0").select(F.col("p_partkey").alias("node"), F.floor(F.col("p_partkey") / 3).alias("input"))
-    return O.lineage(edges, p.filter("p_partkey = 0").select(F.col("p_partkey").alias("node")), spark)
+    return O.lineage(edges, p.filter("p_partkey = 0").select(F.col("p_partkey").alias("node")), spark).select("node", "level")
+
+
+@query("E12_missing", "SELECT p_partkey AS node, CASE WHEN p_partkey % 10 = 9 THEN [-p_partkey] END AS missing FROM part WHERE p_partkey > 0", base=False)
+def missing_inputs(spark, sf):
+    """Every tenth signal has an input that nobody defines."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    edges = p.filter("p_partkey > 0").select(F.col("p_partkey").alias("node"), F.lit(0).cast("long").alias("input"))
+    edges = edges.union(p.filter("p_partkey % 10 = 9").select("p_partkey", -F.col("p_partkey")))
+    found = O.lineage(edges, p.filter("p_partkey = 0").select(F.col("p_partkey").alias("node")), spark)
+    return found.filter("node > 0").select("node", "missing")

@@ -19,11 +19,14 @@ def filtered(spark, sf):
     return O.where(frames(spark, sf), "Rx", 2, 1704500000, 1706000000).select("ordinal")
 
 
-@query("F3", "SELECT ordinal, event_type IN ('click', 'view') AS decoded FROM fr")
+@query("F3", "SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY ordinal)::BIGINT AS ordinal, event_type IN ('click', 'view') AS decoded FROM fr")
 def decoded(spark, sf):
-    f = frames(spark, sf)
+    """Logs that number their frames alike: a frame is known by its source and its ordinal."""
+    from pyspark.sql import Window
+
+    f = frames(spark, sf).withColumn("ordinal", F.row_number().over(Window.partitionBy("source_id").orderBy("ordinal")).cast("long"))
     s = D.decode(f, layouts(spark).filter("def_id in ('def_click', 'def_view')"))
-    return O.decoded(f, s).select("ordinal", F.lit(True).alias("decoded")).union(O.decoded(f, s, False).select("ordinal", F.lit(False)))
+    return O.decoded(f, s).select("source_id", "ordinal", F.lit(True).alias("decoded")).union(O.decoded(f, s, False).select("source_id", "ordinal", F.lit(False)))
 
 
 _NAMED = ", n AS (SELECT *, printf('%X', can_id) || CASE WHEN extended AND can_id <= 2047 THEN 'x' ELSE '' END AS id_text, upper(event_type) AS name FROM fr) "
@@ -39,9 +42,14 @@ def keyword(spark, sf):
     return O.keyword(_named(spark, sf), " 18 ", O.search_fields(F.col("name"), F.lit(None).cast("string"))).select("ordinal")
 
 
-@query("F5", _NAMED + "SELECT ordinal FROM n WHERE regexp_matches(lower(id_text), '^18.*e5$') OR regexp_matches(lower(name), '^18.*e5$')")
+@query("F5", _NAMED + "SELECT ordinal, p AS pattern FROM n, (VALUES ('^18.*e5$'), ('(?<head>18).*e5$')) v(p) WHERE regexp_matches(lower(id_text), '18.*e5$') OR regexp_matches(lower(name), '18.*e5$')")
 def by_pattern(spark, sf):
-    return O.pattern(_named(spark, sf), "^18.*e5$", [O.id_text(F.col("can_id"), F.col("extended")), F.col("name")]).select("ordinal")
+    """Patterns that the engine can run, one with a named group, and two that it cannot, which match nothing."""
+    named, out = _named(spark, sf), None
+    for text in ("^18.*e5$", "(?<head>18).*e5$", "(?P<head>18)", "(18"):
+        hit = O.pattern(named, text, [O.id_text(F.col("can_id"), F.col("extended")), F.col("name")]).select("ordinal", F.lit(text).alias("pattern"))
+        out = hit if out is None else out.union(hit)
+    return out
 
 
 @query("F6", "SELECT ordinal, t_us FROM fr ORDER BY ordinal LIMIT 240 OFFSET 100")

@@ -1,24 +1,18 @@
 """Queries of sources, sinks and measured channels."""
 
-import uuid
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.text import significant
-from ..functions.times import parse_clock
+from ..functions.times import clock_text, offset_text, seconds_text
+from ..operators import decode as D
+from ..operators import series as S
+from ..sources import csv_logs as C
+from ..sources import databases as B
 from ..sources import logs as L
 from ..sources import measured as M
-from ..operators import series as S
+from ..storage import shared_folder
 from .registry import query
-from .tables import events, frames, samples
-
-
-def shared(spark):
-    """A new folder under the one that driver and executors share."""
-    import tempfile
-
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{where.rstrip('/')}/files/{uuid.uuid4().hex}"
+from .tables import events, frames, layouts, order_samples, samples
 
 
 @query("S1", "SELECT ordinal, t_us, can_id, extended, channel, direction, 8 AS data_length, printf('%02X%02X%02X%02X%02X%02X%02X%02X', raw & 255, (raw >> 8) & 255, (raw >> 16) & 255, raw >> 24, user_id >> 8, user_id & 255, k, mux) AS payload FROM fr")
@@ -49,25 +43,23 @@ def bases(spark, sf):
 @query("S3", "SELECT ordinal, t_us FROM fr")
 def files(spark, sf):
     """Frames written as text files and read back in small splits; each file counts its lines from 1."""
-    path = shared(spark)
+    path = shared_folder(spark)
     lines = L.asc_lines(frames(spark, sf))
     lines.repartitionByRange(4, "line").sortWithinPartitions("line").select("value").write.text(path)
     f, _, _ = L.read_asc(spark, path)
     sizes = f.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first"))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select("source_id", before.alias("before"))
     return f.join(starts, "source_id").select((F.col("ordinal") - 1 + F.col("before")).alias("ordinal"), "t_us")
 
 
 def _csv(spark, sf):
-    path = shared(spark)
+    path = shared_folder(spark)
     e = events(spark, sf)
     e.select(
         F.col("t_us").alias("Time_us"), F.col("value").alias("Speed [km/h]"), F.when(F.col("k") % 10 != 0, F.col("k")).alias("Level (%)"), F.col("user_id").alias("User"), F.concat(F.lit("t"), "k").alias("Note"),
     ).write.csv(path, header=True)
-    return L.read_csv_log(spark, path)
+    return C.read_csv_log(spark, path)
 
 
 @query("S4", "SELECT t_us, 'Speed' AS name, 'km/h' AS unit, value FROM fr UNION ALL SELECT t_us, 'Level', '%', CASE WHEN k % 10 <> 0 THEN k::DOUBLE END FROM fr UNION ALL SELECT t_us, 'User', NULL, user_id::DOUBLE FROM fr")
@@ -76,106 +68,170 @@ def csv(spark, sf):
     return s.select("t_us", "name", "unit", F.when(~F.isnan("value"), F.col("value")).alias("value"))
 
 
-@query("S5", "SELECT ordinal, t_us - 7200000000 * 0 AS t_us FROM fr")
+@query("S5", "SELECT ordinal, t_us + (SELECT CASE WHEN k % 2 = 0 THEN 60 ELSE 120 END FROM fr WHERE k % 50 <> 7 ORDER BY ordinal LIMIT 1)::BIGINT * 60000000 AS t_us FROM fr WHERE k % 50 <> 7")
 def clocks(spark, sf):
-    from ..functions.times import clock_text, offset_text
-
+    """A log with times of changing UTC offsets, some of them unreadable: all land on the first readable one's clock."""
+    path = shared_folder(spark)
     e = events(spark, sf)
     minutes = F.when(F.col("k") % 2 == 0, 60).otherwise(120)
     text = F.concat(F.translate(clock_text(F.col("t_us") + minutes.cast("long") * 60000000), " ", "T"), offset_text(minutes))
-    us, offset = parse_clock(F.col("text"))
-    return e.select("ordinal", text.alias("text")).select("ordinal", (us - offset.cast("long") * 60000000).alias("t_us"))
+    rows = e.select(F.when(F.col("k") % 50 == 7, "unreadable").otherwise(text).alias("Time"), F.col("ordinal").alias("Id"))
+    rows.repartitionByRange(4, "Id").sortWithinPartitions("Id").write.csv(path, header=True)
+    s, _ = C.read_csv_log(spark, path)
+    return s.select(F.col("value").cast("long").alias("ordinal"), "t_us")
 
 
-@query("S6", "SELECT ordinal, CASE k % 4 WHEN 0 THEN t_us WHEN 1 THEN t_us - 1704067200000000 WHEN 2 THEN (t_us // 1000) * 1000 - 1704067200000000 ELSE t_us - 1704067200000000 END AS t_us FROM fr")
+@query("S6", "SELECT ordinal, t_us - CASE WHEN source_id = 'log0' THEN 0 ELSE 1704067200000000 END AS t_us FROM fr WHERE k <> 3")
 def time_base(spark, sf):
-    e = events(spark, sf)
-    base = F.element_at(F.array(F.lit("log"), F.lit("unix"), F.lit("unix_ms"), F.lit("unix")), F.col("k") % 4 + 1)
-    written = F.when(base == "unix_ms", F.floor(F.col("t_us") / 1000)).otherwise(F.col("t_us"))
-    us = F.when(base == "unix_ms", written * 1000).otherwise(written)
-    return e.select("ordinal", F.when(base == "log", us).otherwise(us - F.lit(1704067200000000)).alias("t_us"))
+    """Overlay times written as log times, seconds from the start, Unix milliseconds and dates, on logs with and without a UTC offset."""
+    start = 1704067200000000
+    e = events(spark, sf).withColumns({
+        "start_us": F.when(F.col("k") != 3, F.lit(start)), "offset_us": F.when(F.col("source_id") == "log0", 0).otherwise(start).cast("long"), "utc_minutes": F.when(F.col("mux") == 1, 60),
+        "base": F.element_at(F.array(F.lit("log"), F.lit("relative"), F.lit("unix"), F.lit("datetime")), F.col("k") % 4 + 1),
+    })
+    ahead = F.coalesce(F.col("utc_minutes"), F.lit(0)).cast("long") * 60000000
+    unix_ms = F.concat(F.floor((F.col("t_us") - ahead) / 1000), F.lit("."), F.lpad(((F.col("t_us") - ahead) % 1000).cast("string"), 3, "0"))
+    # A log on UTC+1 gets dates written on UTC+2; the others' dates have no zone.
+    dated = F.when(F.col("mux") == 1, F.concat(clock_text(F.col("t_us") + 3600000000), F.lit("+02:00"))).otherwise(clock_text(F.col("t_us")))
+    written = F.when(F.col("base") == "log", seconds_text(F.col("t_us") - F.col("offset_us"), 6)).when(F.col("base") == "relative", seconds_text(F.col("t_us") - start, 6)).when(F.col("base") == "unix", unix_ms).otherwise(dated)
+    rows = e.select("ordinal", "start_us", "offset_us", "utc_minutes", "base", written.alias("written"))
+    placed, _ = C.place_on_log(rows, unit_seconds=F.when(F.col("base") == "unix", 0.001).otherwise(1.0))
+    return placed.select("ordinal", "t_us")
+
+
+@query("S6_unplaced", "SELECT 'CSV_TIME_BASE_UNAVAILABLE' AS code, 1::BIGINT AS n WHERE EXISTS (SELECT 1 FROM fr WHERE k % 4 = 3) UNION ALL SELECT 'CSV_TIMESTAMP_INVALID', count(*) FROM fr WHERE k % 4 = 1")
+def unplaced(spark, sf):
+    e = events(spark, sf).withColumns({"start_us": F.lit(None).cast("long"), "offset_us": F.lit(None).cast("long"), "utc_minutes": F.lit(None).cast("int")})
+    rows = e.withColumn("base", F.when(F.col("k") % 4 == 3, "datetime")).withColumn("written", F.when(F.col("k") % 4 == 1, "later").otherwise(F.col("ordinal").cast("string")))
+    return C.place_on_log(rows)[1].groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 
 
-_DBC_SQL = "SELECT p_partkey::INTEGER + 1 AS can_id, p_partkey >= 2047 AS extended, CASE WHEN i = 0 THEN 'Size' ELSE 'Price' END AS name, CASE WHEN i = 0 THEN 'mm' ELSE '' END AS unit, CASE WHEN i = 0 THEN 1 ELSE 3 END AS byte_offset, CASE WHEN i = 0 THEN 2 ELSE 0 END AS bit_offset, CASE WHEN i = 0 THEN 6 ELSE 32 END AS length_bits, CASE WHEN i = 0 THEN 'signed' ELSE 'float' END AS signedness, CASE WHEN i = 0 THEN 'big' ELSE 'little' END AS byte_order, CASE WHEN i = 0 THEN '0.' || p_size ELSE '1' END AS scale, CASE WHEN i = 0 THEN 'conditional' ELSE 'none' END AS mux_role FROM part, (VALUES (0), (1)) v(i)"
+_SCALE = "regexp_replace(('0.' || p_size)::DOUBLE::VARCHAR, '[.]0$', '')"
+_DBC_SQL = f"SELECT 'dbc-' || CASE WHEN p_partkey >= 2047 THEN 'e' ELSE 's' END || '-' || printf('%x', p_partkey + 1) || CASE WHEN i = 0 THEN '-size' ELSE '-price' END AS signal_id, p_partkey::INTEGER + 1 AS can_id, p_partkey >= 2047 AS extended, CASE WHEN i = 0 THEN 'Size' ELSE 'Price' END AS name, CASE WHEN i = 0 THEN 'mm' ELSE 'a\"b' END AS unit, CASE WHEN i = 0 THEN 1 ELSE 3 END AS byte_offset, CASE WHEN i = 0 THEN 2 ELSE 0 END AS bit_offset, CASE WHEN i = 0 THEN 6 ELSE 32 END AS length_bits, CASE WHEN i = 0 THEN 'signed' ELSE 'float' END AS signedness, CASE WHEN i = 0 THEN 'big' ELSE 'little' END AS byte_order, CASE WHEN i = 0 THEN {_SCALE} ELSE '1' END AS scale, CASE WHEN i = 0 THEN 'conditional' ELSE 'none' END AS mux_role, CASE WHEN i = 0 THEN '1-2,7-9' END AS spans FROM part, (VALUES (0), (1)) v(i)"
 
 
 def _part_layouts(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") + 1).cast("int").alias("can_id"), (F.col("p_partkey") >= 2047).alias("extended"), F.concat(F.lit("Part_"), "p_partkey").alias("message"), F.lit(8).alias("frame_bytes"), "p_size")
+    p = spark.read.parquet(f"{sf}/part.parquet").select((F.col("p_partkey") + 1).cast("int").alias("can_id"), (F.col("p_partkey") >= 2047).alias("extended"), F.concat(F.lit("Part "), "p_partkey").alias("message"), F.lit(8).alias("frame_bytes"), "p_size")
     none = F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")
     two = F.array(F.struct(F.lit(1).cast("long").alias("lo"), F.lit(2).cast("long").alias("hi")), F.struct(F.lit(7).cast("long").alias("lo"), F.lit(9).cast("long").alias("hi")))
+    no_range = F.lit(None).cast("double")
 
     def signal(name, unit, at, bit, n, signedness, order, scale, role, ranges):
-        return p.select("can_id", "extended", "message", "frame_bytes", F.lit(name).alias("name"), F.lit(unit).alias("unit"), F.lit(at).alias("byte_offset"), F.lit(bit).alias("bit_offset"), F.lit(n).alias("length_bits"), F.lit(signedness).alias("signedness"), F.lit(order).alias("byte_order"), scale.alias("scale"), F.lit("0").alias("offset"), F.lit(role).alias("mux_role"), ranges.alias("mux_ranges"))
+        signal_id = F.concat_ws(".", F.lit(name), "can_id", "extended")
+        return p.select("can_id", "extended", "message", "frame_bytes", signal_id.alias("signal_id"), F.lit(name).alias("name"), F.lit(unit).alias("unit"), F.lit(at).alias("byte_offset"), F.lit(bit).alias("bit_offset"), F.lit(n).alias("length_bits"), F.lit(signedness).alias("signedness"), F.lit(order).alias("byte_order"), scale.alias("scale"), F.lit("0").alias("offset"), F.lit(role).alias("mux_role"), ranges.alias("mux_ranges"), no_range.alias("minimum"), no_range.alias("maximum"), "p_size")
 
     return signal("Size", "mm", 1, 2, 6, "signed", "big", F.concat(F.lit("0."), "p_size"), "conditional", two).union(
-        signal("Price", "", 3, 0, 32, "float", "little", F.lit("1"), "none", none)).union(
+        signal("Price", 'a"b', 3, 0, 32, "float", "little", F.lit("1"), "none", none)).union(
         signal("Selector", "", 0, 0, 8, "unsigned", "little", F.lit("1"), "selector", none))
 
 
-def _numbered(spark, sf):
-    from pyspark.sql import Window
+def _part_labels(layouts):
+    size = layouts.filter("name = 'Size'")
+    pairs = F.array(F.struct(F.lit("0").alias("raw_text"), F.concat(F.lit("off; "), "p_size").alias("label")), F.struct(F.lit("1").alias("raw_text"), F.concat(F.lit('"on" '), "p_size").alias("label")))
+    return size.select("signal_id", F.explode(pairs).alias("e")).select("signal_id", "e.raw_text", "e.label")
+
 
-    lines = L.dbc_lines(_part_layouts(spark, sf))
-    # Each message's lines stay together; ranges and types may follow at once.
-    w = Window.partitionBy(F.floor(F.col("can_id") / 64)).orderBy("can_id", "extended", "place", "value")
-    return lines.select(F.concat(F.lit("db"), F.floor(F.col("can_id") / 64)).alias("source_id"), F.row_number().over(w).alias("line"), "value")
+def _numbered(spark, sf):
+    """The text of 64 databases, each message's lines together; value labels stand on two lines."""
+    l = _part_layouts(spark, sf)
+    lines = B.dbc_lines(l, _part_labels(l)).withColumn("value", F.when(F.col("place") == 2, F.replace("value", F.lit('" 1 "'), F.lit('"\n 1 "'))).otherwise(F.col("value")))
+    lines = lines.select("can_id", "extended", "place", "value", F.posexplode(F.split("value", "\n")).alias("at", "text"))
+    w = Window.partitionBy(F.floor(F.col("can_id") / 64)).orderBy("can_id", "extended", "place", "value", "at")
+    return lines.select(F.concat(F.lit("db"), F.floor(F.col("can_id") / 64)).alias("source_id"), F.row_number().over(w).alias("line"), F.col("text").alias("value"))
 
 
 @query("S7", _DBC_SQL, base=False)
 def dbc(spark, sf):
-    s, _, _ = L.parse_dbc(_numbered(spark, sf))
-    return s.filter("name <> 'Selector'").select("can_id", "extended", "name", "unit", "byte_offset", "bit_offset", "length_bits", "signedness", "byte_order", "scale", "mux_role")
+    s, _, _ = B.parse_dbc(_numbered(spark, sf))
+    spans = F.array_join(F.transform("mux_ranges", lambda r: F.concat_ws("-", r["lo"], r["hi"])), ",")
+    return s.filter("name <> 'Selector'").select("signal_id", "can_id", "extended", "name", "unit", "byte_offset", "bit_offset", "length_bits", "signedness", "byte_order", "scale", "mux_role", spans.alias("spans"))
 
 
-@query("S7_labels", "SELECT p_partkey::INTEGER + 1 AS can_id, v.raw AS raw_text, v.label || p_size AS label FROM part, (VALUES ('0', 'off; '), ('1', 'on ')) v(raw, label)", base=False)
+@query("S7_labels", "SELECT p_partkey::INTEGER + 1 AS can_id, v.raw AS raw_text, v.label || p_size AS label FROM part, (VALUES ('0', 'off; '), ('1', '\"on\" ')) v(raw, label)", base=False)
 def dbc_labels(spark, sf):
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    number = F.col("p_partkey") + 1 + F.when(F.col("p_partkey") >= 2047, F.lit(0x80000000)).otherwise(F.lit(0))
-    l = p.select(F.concat(F.lit("db"), "p_partkey").alias("source_id"), F.lit(1).alias("line"), F.format_string('VAL_ %d Size 0 "off; %d" 1 "on %d";', number, "p_size", "p_size").alias("value"))
-    return L.parse_dbc(l)[1].select("can_id", "raw_text", "label")
+    """Value labels over two lines, with semicolons and quotes inside."""
+    return B.parse_dbc(_numbered(spark, sf))[1].select("can_id", "raw_text", "label")
+
+
+@query("S7_reports", "SELECT 'db' || p_partkey AS source_id, v.line, v.code FROM part, (VALUES (1, 'DBC_SIGNAL_WITHOUT_MESSAGE'), (4, 'DBC_SIGNAL_CONVERSION'), (5, 'DBC_SIGNAL_SYNTAX'), (6, 'DBC_VALUE_TYPE_REFERENCE'), (7, 'DBC_VALUE_TYPE_INVALID'), (8, 'DBC_VALUE_LABEL_REFERENCE'), (9, 'DBC_VALUE_LABEL_SYNTAX'), (10, 'DBC_MULTIPLEXING_REFERENCE'), (11, 'DBC_MULTIPLEXING_FRAME'), (12, 'DBC_VALUE_LABEL_SYNTAX')) v(line, code)", base=False)
+def dbc_reports(spark, sf):
+    """A damaged database for every part: each damage is reported with its line."""
+    damaged = (
+        'SG_ Early : 0|8@1+ (1,0) [0|255] "" X', "BO_ 291 Part: 8 ECU", ' SG_ Size : 0|8@1+ (1,0) [0|255] "" X', ' SG_ Flat : 8|8@1+ (0,0) [0|255] "" X', ' SG_ Odd : 8|8@1 (1,0) [0|255] "" X', "SIG_VALTYPE_ 291 None : 1;",
+        "SIG_VALTYPE_ 291 Size : 1;", 'VAL_ 291 None 0 "off";', 'VAL_ 291 Size 0 "off" 0 "on";', "SG_MUL_VAL_ 291 Size Size 5-2;", "SG_MUL_VAL_ 292 Size Size 1-2;", 'VAL_ 291 Size 0 "off"',
+    )
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.concat(F.lit("db"), "p_partkey").alias("source_id"), F.posexplode(F.array(*map(F.lit, damaged))).alias("at", "value"))
+    return B.parse_dbc(p.select("source_id", (F.col("at") + 1).alias("line"), "value"))[2].select("source_id", "line", "code")
+
+
+@query("S7_samples", ", x AS (SELECT ordinal, 'Value' AS name, raw::DOUBLE / 100 AS value, NULL AS label FROM fr UNION ALL SELECT ordinal, 'Mux', mux::DOUBLE, CASE mux WHEN 0 THEN 'idle' WHEN 1 THEN 'run; one' END FROM fr UNION ALL SELECT ordinal, 'When_one', floor((k % 16) / 2)::DOUBLE, NULL FROM fr WHERE mux = 1) SELECT * FROM x")
+def from_texts(spark, sf):
+    """From the text of a log and the text of a database to labelled samples."""
+    l = layouts(spark).withColumns({"message": F.col("def_id"), "frame_bytes": F.lit(8), "minimum": F.lit(None).cast("double"), "maximum": F.lit(None).cast("double")})
+    labels = l.filter("name = 'Mux'").select("signal_id").crossJoin(F.broadcast(spark.createDataFrame([("0", "idle"), ("1", "run; one")], "raw_text string, label string")))
+    w = Window.orderBy("can_id", "extended", "place", "value")  # a database of five messages
+    text = B.dbc_lines(l, labels).select(F.lit("db").alias("source_id"), F.row_number().over(w).alias("line"), "value")
+    found, value_labels, _ = B.parse_dbc(text)
+    log, _, _ = L.parse_asc(L.asc_lines(frames(spark, sf)))
+    s = D.with_labels(D.decode(log, found.drop("database")), value_labels)
+    return s.filter("name in ('Value', 'Mux', 'When_one')").select("ordinal", "name", "value", F.col("value_label").alias("label"))
+
+
+@query("S8", f"""WITH p AS (SELECT *, p_partkey + 1 + CASE WHEN p_partkey >= 2047 THEN 2147483648 ELSE 0 END AS id, {_SCALE} AS lsb, regexp_replace(round(('0.' || p_size)::DOUBLE * -32, 8)::VARCHAR, '[.]0$', '') AS lo, regexp_replace(round(('0.' || p_size)::DOUBLE * 31, 8)::VARCHAR, '[.]0$', '') AS hi FROM part)
+ SELECT 'BO_ ' || id || ' Part_' || p_partkey || ': 8 Vector__XXX' AS value FROM p UNION ALL SELECT ' SG_ Size m1 : 13|6@0- (' || lsb || ',0) [' || lo || '|' || hi || '] "mm" Vector__XXX' FROM p
+ UNION ALL SELECT ' SG_ Price : 24|32@1- (1,0) [0|0] "a\\"b" Vector__XXX' FROM p UNION ALL SELECT ' SG_ Selector M : 0|8@1+ (1,0) [0|255] "" Vector__XXX' FROM p
+ UNION ALL SELECT 'VAL_ ' || id || ' Size 0 "off; ' || p_size || '" 1 "\\"on\\" ' || p_size || '";' FROM p
+ UNION ALL SELECT 'SG_MUL_VAL_ ' || id || ' Size Selector 1-2, 7-9;' FROM p UNION ALL SELECT 'SIG_VALTYPE_ ' || id || ' Price : 1;' FROM p""", base=False)
+def write_dbc(spark, sf):
+    l = _part_layouts(spark, sf)
+    return B.dbc_lines(l, _part_labels(l)).select("value")
 
 
-@query("S8", "SELECT 'BO_ ' || (p_partkey + 1 + CASE WHEN p_partkey >= 2047 THEN 2147483648 ELSE 0 END) || ' Part_' || p_partkey || ': 8 Vector__XXX' AS value FROM part UNION ALL SELECT ' SG_ Size m1 : 13|6@0- (0.' || p_size || ',0) [-32|31] \"mm\" Vector__XXX' FROM part UNION ALL SELECT ' SG_ Price : 24|32@1+ (1,0) [0|4294967295] \"\" Vector__XXX' FROM part UNION ALL SELECT ' SG_ Selector M : 0|8@1+ (1,0) [0|255] \"\" Vector__XXX' FROM part UNION ALL SELECT 'SG_MUL_VAL_ ' || (p_partkey + 1 + CASE WHEN p_partkey >= 2047 THEN 2147483648 ELSE 0 END) || ' Size Selector 1-2, 7-9;' FROM part UNION ALL SELECT 'SIG_VALTYPE_ ' || (p_partkey + 1 + CASE WHEN p_partkey >= 2047 THEN 2147483648 ELSE 0 END) || ' Price : 1;' FROM part", base=False)
-def write_dbc(spark, sf):
-    return L.dbc_lines(_part_layouts(spark, sf)).select("value")
+@query("S8_report", "SELECT 'DBC_NAME_NORMALIZED' AS code, c_name || ' -> ' || regexp_replace(c_name, '[^A-Za-z0-9_]', '_', 'g') AS message FROM customer UNION ALL SELECT 'DBC_DERIVED_SIGNALS_SKIPPED', c_mktsegment || ': ' || count(*) FROM customer GROUP BY c_mktsegment", base=False)
+def report_dbc(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    none = F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")
+    l = c.select(F.col("c_custkey").cast("int").alias("can_id"), F.lit(True).alias("extended"), F.lit("m").alias("message"), F.lit("s").alias("signal_id"), F.col("c_name").alias("name"), F.lit(0).alias("byte_offset"), F.lit(0).alias("bit_offset"), none.alias("mux_ranges"))
+    return B.export_report(l, c.select(F.col("c_mktsegment").alias("def_id"), F.col("c_mktsegment").alias("message"))).select("code", "message")
 
 
-@query("S9", "SELECT ordinal, CASE WHEN event_type = 'click' AND k <> 0 THEN value END AS click, CASE WHEN event_type = 'view' AND k <> 0 THEN value END AS view FROM fr WHERE event_type IN ('click', 'view')")
+@query("S9", "SELECT ordinal, strftime(make_timestamp(t_us), '%Y-%m-%d %H:%M:%S.%f') || '+09:00' AS time, CASE WHEN event_type = 'click' AND k <> 0 THEN value END AS click, CASE WHEN event_type = 'view' AND k <> 0 THEN value END AS view FROM fr WHERE event_type IN ('click', 'view') AND t_us BETWEEN 1704500000000000 AND 1706000000000000")
 def export_csv(spark, sf):
-    s = samples(spark, sf).withColumn("value", F.when(~F.isnan("value"), F.col("value")))
-    path = shared(spark)
-    wide = S.wide(s, ["ordinal"], ["click", "view"])
-    wide.select("ordinal", *(significant(F.col(c), 12).alias(f"{c} (m)") for c in ("click", "view"))).write.csv(path, header=True)
+    """Wide rows of a time range exported with the displayed time and units, and read back."""
+    path = shared_folder(spark)
+    wide = S.wide(samples(spark, sf), ["ordinal", "t_us"], ["click", "view"]).withColumn("id", F.col("ordinal").cast("double"))
+    cells = C.export_rows(wide, [("click", "click", "m"), ("view", "view", "m"), ("id", "id", "")], "datetime", 1704067200000000, 0, 540, (1704500000000000, 1706000000000000))
+    cells.write.csv(path, header=True)
     back = spark.read.csv(path, header=True)
-    return back.select(F.col("ordinal").cast("long").alias("ordinal"), *(F.col(f"`{c} (m)`").cast("double").alias(c) for c in ("click", "view")))
+    return back.select(F.col("id").cast("long").alias("ordinal"), F.col("TIME").alias("time"), *(F.col(f"`{c} (m)`").cast("double").alias(c) for c in ("click", "view")))
 
 
-@query("S11", "SELECT ordinal, 3 + 2 * value AS lin, round((value * value + 1) / (value + 2), 9) AS rat, round(sqrt(value) + value * 2, 9) AS alg, CASE WHEN value <= 5 THEN 1.0::DOUBLE WHEN value <= 55 THEN 2.0 ELSE 3.0 END AS near, CASE WHEN value BETWEEN 0 AND 10 THEN 1.0::DOUBLE WHEN value BETWEEN 10 AND 50 THEN 2.0 ELSE -1.0 END AS ranged FROM fr")
+@query("S11", "SELECT ordinal, round(CASE k % 7 WHEN 0 THEN 3 + 2 * value WHEN 1 THEN (value * value + 1) / (value + 2) WHEN 2 THEN sqrt(value) + value * 2 WHEN 3 THEN CASE WHEN value <= 5 THEN 1.0::DOUBLE WHEN value <= 55 THEN 2.0 ELSE 3.0 END WHEN 4 THEN CASE WHEN value BETWEEN 0 AND 10 THEN 1.0::DOUBLE WHEN value BETWEEN 10 AND 50 THEN 2.0 ELSE -1.0 END WHEN 5 THEN CASE WHEN value <= 0 THEN 1.0::DOUBLE WHEN value >= 100 THEN 3.0 WHEN value < 10 THEN 1 + value / 10 ELSE 2 + (value - 10) / 90 END ELSE value END, 9) AS y FROM fr")
 def conversions(spark, sf):
-    e = events(spark, sf)
-    points = spark.createDataFrame([(0.0, 1.0), (10.0, 2.0), (100.0, 3.0)], "input double, output double")
-    ranges = spark.createDataFrame([(1, 0.0, 10.0, 1.0), (2, 10.0, 50.0, 2.0)], "place int, lo double, hi double, value double")
-    near = M.table_nearest(e.select("ordinal", "value"), points, "value").select("ordinal", F.col("y").alias("near"))
-    ranged = M.range_value(e.select("ordinal", F.col("value").alias("x")), ranges, "x", F.lit(False), -1.0).select("ordinal", F.col("y").alias("ranged"))
-    x = F.col("value")
-    out = e.select("ordinal", M.linear(x, 3, 2).alias("lin"), F.round(M.rational(x, [1, 0, 1, 0, 1, 2]), 9).alias("rat"), F.round(M.formula(x, "sqrt(X) + X * 2"), 9).alias("alg"))
-    return out.join(near, "ordinal").join(ranged, "ordinal")
+    """One dimension of conversions of every kind; each row names its own, one has none."""
+    points = [(0.0, 1.0), (10.0, 2.0), (100.0, 3.0)]
+    dim = spark.createDataFrame(
+        [
+            (0, "linear", [3.0, 2.0], None, None, None, None, None), (1, "rational", [1.0, 0.0, 1.0, 0.0, 1.0, 2.0], None, None, None, None, None), (2, "formula", None, "sqrt(X) + X * 2", None, None, None, None),
+            (3, "nearest", None, None, points, None, None, None), (4, "ranges", None, None, None, [(0.0, 10.0, 1.0), (10.0, 50.0, 2.0)], False, -1.0), (5, "interpolated", None, None, points, None, None, None),
+        ],
+        "conversion_id int, kind string, p array<double>, text string, points array<struct<input:double,output:double>>, ranges array<struct<lo:double,hi:double,value:double>>, is_float boolean, fallback double",
+    )
+    e = events(spark, sf).select("ordinal", "value", (F.col("k") % 7).alias("conversion_id"))
+    return M.convert(e, dim, "value").select("ordinal", F.round("y", 9).alias("y"))
 
 
 @query("S12", "SELECT ordinal, CASE WHEN k BETWEEN 0 AND 9 THEN 1.0::DOUBLE WHEN k BETWEEN 10 AND 20 THEN 2.0 END AS whole, CASE WHEN k >= 0 AND k < 9 THEN 1.0::DOUBLE WHEN k >= 10 AND k < 20 THEN 2.0 END AS real FROM fr")
 def range_bounds(spark, sf):
-    ranges = spark.createDataFrame([(1, 0.0, 9.0, 1.0), (2, 10.0, 20.0, 2.0)], "place int, lo double, hi double, value double")
-    e = events(spark, sf).select("ordinal", F.col("k").cast("double").alias("x"))
-    a = M.range_value(e, ranges, "x", F.lit(False), None).select("ordinal", F.col("y").alias("whole"))
-    return a.join(M.range_value(e, ranges, "x", F.lit(True), None).select("ordinal", F.col("y").alias("real")), "ordinal")
+    ranges = F.expr("array(named_struct('lo', 0D, 'hi', 9D, 'value', 1D), named_struct('lo', 10D, 'hi', 20D, 'value', 2D))")
+    x = F.col("k").cast("double")
+    return events(spark, sf).select("ordinal", M.range_value(x, ranges, False, None).alias("whole"), M.range_value(x, ranges, True, None).alias("real"))
 
 
 @query("S13", "SELECT ordinal, CASE WHEN k = 0 THEN 'zero' WHEN k = 1 THEN 'one' ELSE 'other' END AS label FROM fr")
 def labels(spark, sf):
-    from ..operators.decode import small
-
-    first = spark.createDataFrame([(0, 1, "zero"), (1, 2, "one"), (1, 3, "uno")], "k int, place int, label string").groupBy("k").agg(F.min_by("label", "place").alias("label"))
-    return events(spark, sf).select("ordinal", "k").join(small(first), "k", "left").select("ordinal", F.coalesce("label", F.lit("other")).alias("label"))
+    table = spark.createDataFrame([(0, 1, "zero"), (1, 2, "one"), (1, 3, "uno")], "raw int, place int, label string")
+    return M.value_labels(events(spark, sf).select("ordinal", "k"), table, "other", "k").select("ordinal", "label")
 
 
 @query("S14", "SELECT ordinal, CASE WHEN (k >> 1) & 1 = 1 OR user_id = 7 THEN NULL ELSE value END AS value FROM fr")
@@ -196,17 +252,12 @@ def arrays(spark, sf):
 def remote_master(spark, sf):
     e = events(spark, sf)
     master = e.select(F.col("ordinal").alias("record"), F.col("t_us").alias("master_us"))
-    return e.select("ordinal", (F.col("ordinal") + F.col("k") * 200).alias("record")).join(master, "record", "left").select("ordinal", "master_us")
+    return M.at_remote_master(e.select("ordinal", (F.col("ordinal") + F.col("k") * 200).alias("record")), master).select("ordinal", "master_us")
 
 
 @query("S17", ", m AS (SELECT 1 AS stream, ordinal, t_us FROM fr UNION ALL SELECT 2, ordinal, t_us FROM od) SELECT stream, ordinal, row_number() OVER (PARTITION BY t_us ORDER BY stream, ordinal)::INTEGER AS place FROM m")
 def merged(spark, sf):
-    from pyspark.sql import Window
-
-    from .tables import order_samples
-
-    both = events(spark, sf).select(F.lit(1).alias("stream"), "ordinal", "t_us").unionByName(order_samples(spark, sf).select(F.lit(2).alias("stream"), "ordinal", "t_us"))
-    return both.select("stream", "ordinal", F.row_number().over(Window.partitionBy("t_us").orderBy("stream", "ordinal")).alias("place"))
+    return M.merge_streams(events(spark, sf).select("ordinal", "t_us"), order_samples(spark, sf).select("ordinal", "t_us")).select("stream", "ordinal", "place")
 
 
 @query("S18", "SELECT ordinal, can_id, extended, CASE WHEN mux = 0 THEN 1 ELSE channel END AS channel, least(k % 20, 15) AS dlc_code, CASE WHEN mux = 1 THEN [0,1,2,3,4,5,6,7,8,12,16,20,24,32,48,64][least(k % 20, 15) + 1] ELSE least(k % 20, 8) END::INTEGER AS data_length, (CASE WHEN mux = 1 THEN [0,1,2,3,4,5,6,7,8,12,16,20,24,32,48,64][least(k % 20, 15) + 1] ELSE least(k % 20, 8) END)::INTEGER AS n_bytes FROM fr WHERE NOT (extended AND k = 99)")
@@ -228,11 +279,8 @@ def validity(spark, sf):
 
 @query("S20", "SELECT ordinal, 'mdf:' || source_id || ':user%20' || user_id || CASE WHEN row_number() OVER w = 1 THEN '' ELSE ':' || row_number() OVER w END AS signal_id FROM fr WINDOW w AS (PARTITION BY source_id, user_id ORDER BY ordinal)")
 def signal_ids(spark, sf):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("source_id", "user_id").orderBy("ordinal"))
-    name = F.regexp_replace(F.url_encode(F.concat(F.lit("user "), "user_id")), r"\+", "%20")
-    return events(spark, sf).select("ordinal", F.concat(F.lit("mdf:"), F.url_encode("source_id"), F.lit(":"), name, F.when(n == 1, "").otherwise(F.concat(F.lit(":"), n))).alias("signal_id"))
+    c = events(spark, sf).select("ordinal", F.col("source_id").alias("group"), F.concat(F.lit("user "), "user_id").alias("name"))
+    return M.channel_ids(c).select("ordinal", "signal_id")
 
 
 @query("S21", "SELECT p_partkey AS part, p_name AS name, p_size || 'mm' AS unit FROM part UNION ALL SELECT p_partkey, p_name || ' [', NULL FROM part", base=False)
@@ -240,5 +288,5 @@ def headers(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     h = p.select(F.col("p_partkey").alias("part"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, " [").otherwise(" ("), "p_size", F.lit("mm"), F.when(F.col("p_partkey") % 2 == 0, "]").otherwise(")")).alias("h"))
     h = h.union(p.select("p_partkey", F.concat("p_name", F.lit(" ["))))
-    name, unit = L.name_and_unit(F.col("h"))
+    name, unit = C.name_and_unit(F.col("h"))
     return h.select("part", name.alias("name"), unit.alias("unit"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..streaming import jobs as J
 from .registry import query
-from .source_queries import shared
+from ..storage import shared_folder as shared
 
 
 def _frames(spark, sf):

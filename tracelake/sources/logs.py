@@ -1,84 +1,102 @@
-"""Readers and writers of text logs, measurement tables and signal databases."""
+"""Text logs of bus frames."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import DIGITS, HEX, made_of, words
 from ..functions.once import with_computed
-from ..functions.times import parse_clock, parse_date_line
+from ..functions.times import parse_date_line
 from ..operators.decode import small
 from ..operators.frames import id_text, payload_text
-
-CLASSIC = r"^\s*([+\-]?\d+(?:\.\d+)?)\s+(\d+)\s+([0-9A-Fa-f]+x?)\s+(Rx|Tx)\s+([dr])\s+(\d+)\s*(.*)$"
-FD = r"(?i)^\s*([+\-]?\d+(?:\.\d+)?)\s+CANFD\s+(.+)$"
+from ..storage import written
 
 
 def numbered_lines(spark: SparkSession, paths) -> DataFrame:
     """``source_id, line, value`` of text files, lines numbered from 1 as one sequential read would.
 
-    Files are read in splits. Each split numbers its own lines; the counts of the splits before, a small
-    table, are added, so no file passes through one task.
+    Files are read in splits. Spark's running row ids are consecutive inside a split, so a line's number is
+    its id less the split's first id, plus the lines of the splits before: a first read counts the lines of
+    each split (one row a split, written out), a second one numbers them. No text is shuffled. Should the files
+    be split otherwise the second time, the job fails and does not number wrongly.
     """
     raw = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("source_id"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
-    w = Window.partitionBy("source_id", "block").orderBy("id")
-    own = raw.withColumn("n", F.row_number().over(w))
-    counts = raw.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("c"))
-    before = F.coalesce(F.sum("c").over(Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select("source_id", "block", before.alias("before"))
-    return own.join(small(starts), ["source_id", "block"]).select("source_id", (F.col("before") + F.col("n")).alias("line"), "value")
+    counts = written(raw.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("lines"), F.min("id").alias("first_id")))
+    w = Window.partitionBy("source_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("before", F.coalesce(F.sum("lines").over(w), F.lit(0)))
+    within = F.col("id") - F.col("first_id")
+    failed = F.raise_error(F.lit("the files were split otherwise when they were read again")).cast("long")
+    line = F.when((within >= 0) & (within < F.col("lines")), F.col("before") + within + 1).otherwise(failed)
+    return raw.join(small(starts), ["source_id", "block"], "left").select("source_id", line.alias("line"), "value")
 
 
 def parse_can_id(text: Column, base: Column) -> tuple[Column, Column]:
     """(id, extended) of an id text in base ``hex`` or ``dec``; a trailing ``x`` or an id above 7FF is extended."""
-    t = F.trim(text)
-    marked = F.lower(t).endswith("x")
-    digits = F.regexp_replace(t, "[xX]$", "")
-    digits = F.when(base == "hex", F.regexp_replace(digits, "^0[xX]", "")).otherwise(digits)
-    number = F.when((base == "hex") & digits.rlike("^[0-9A-Fa-f]{1,15}$"), F.conv(digits, 16, 10).cast("long")).when((base == "dec") & digits.rlike(r"^\d{1,18}$"), digits.try_cast("long"))
+    t = F.lower(F.trim(text))
+    marked = t.endswith("x")
+    figures = F.when(marked, F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t)
+    hexadecimal = F.when(figures.startswith("0x"), F.substring(figures, F.lit(3), F.length(figures))).otherwise(figures)
+    number = F.when((base == "hex") & made_of(hexadecimal, HEX) & (F.length(hexadecimal) <= 15), F.conv(hexadecimal, 16, 10).cast("long"))
+    number = number.when((base == "dec") & made_of(figures, DIGITS) & (F.length(figures) <= 18), figures.try_cast("long"))
     number = F.when(number <= 0x1FFFFFFF, number).cast("int")
     return number, marked | (number > 0x7FF)
 
 
+def _seconds(word: Column) -> Column:
+    """A decimal number of seconds, null for anything else."""
+    unsigned = F.when(word.startswith("-") | word.startswith("+"), F.substring(word, F.lit(2), F.length(word))).otherwise(word)
+    plain = made_of(unsigned, DIGITS + ".") & ~unsigned.startswith(".") & ~unsigned.endswith(".")
+    return F.when(plain, word.try_cast("decimal(30,9)"))
+
+
 def _payload(tokens: Column, length: Column) -> Column:
     part = F.slice(tokens, F.lit(1), length)
-    good = (F.size(tokens) >= length) & F.forall(part, lambda b: b.rlike("^[0-9A-Fa-f]{1,2}$"))
+    good = (F.size(tokens) >= length) & F.forall(part, lambda b: made_of(b, HEX) & (F.length(b) <= 2))
     return F.when(good, F.unhex(F.array_join(F.transform(part, lambda b: F.lpad(b, 2, "0")), "")))
 
 
 def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames, diagnostics, time references) of numbered text lines ``source_id, line, value``.
 
+    A line is cut into words and its fields are read by their place: ``time channel id direction d|r length
+    bytes`` for classic rows, ``time CANFD channel direction id [name] brs esi dlc length bytes`` for FD rows.
     ``base`` lines switch how ids and FD lengths are written for all lines after them; the stretches
     between such lines are a small table that lines meet in a range join. Rows that cannot be read in
     full become diagnostics; none is dropped silently or filled up.
     """
-    text = F.trim("value")
+    l = with_computed(lines, {"word": words(F.col("value"))})
+    at = lambda i: F.get("word", F.lit(i))
+    first, n = F.lower(at(0)), F.size("word")
+    fd_row = (F.lower(at(1)) == "canfd") & _seconds(at(0)).isNotNull() & (n > 2)
+    id_figures = F.when(at(2).endswith("x"), F.substring(at(2), F.lit(1), F.length(at(2)) - 1)).otherwise(at(2))
+    classic_row = (n >= 6) & _seconds(at(0)).isNotNull() & made_of(at(1), DIGITS) & made_of(id_figures, HEX) & at(3).isin("Rx", "Tx") & at(4).isin("d", "r") & made_of(at(5), DIGITS)
+    comment = first.startswith("//") | first.startswith("timestamps") | ((first == "internal") & F.lower(at(1)).startswith("events"))
     kind = (
-        F.when(text == "", "ignored").when(text.rlike(r"(?i)^base\s+"), "base").when(text.rlike(r"(?i)^date\s"), "date")
-        .when(text.rlike(r"(?i)^(//|internal events|timestamps)"), "ignored").when(F.col("value").rlike(FD), "fd").when(F.col("value").rlike(CLASSIC), "classic").otherwise("other")
+        F.when(n == 0, "ignored").when((first == "base") & (n > 1), "base").when((first == "date") & (n > 1), "date")
+        .when(comment, "ignored").when(fd_row, "fd").when(classic_row, "classic").otherwise("other")
     )
-    l = with_computed(lines, {"kind": kind})
-    toggles = l.filter("kind = 'base'").select("source_id", F.col("line").alias("from_line"), F.when(text.rlike(r"(?i)\bdec\b"), "dec").otherwise("hex").alias("base"))
+    l = with_computed(l, {"kind": kind}).filter("kind <> 'ignored'")
+    toggles = l.filter("kind = 'base'").select("source_id", F.col("line").alias("from_line"), F.when(F.array_contains(F.transform("word", F.lower), "dec"), "dec").otherwise("hex").alias("base"))
     toggles = toggles.withColumn("to_line", F.lead("from_line").over(Window.partitionBy("source_id").orderBy("from_line")))
     t = small(toggles.withColumnRenamed("source_id", "__s"))
     l = l.join(t, (F.col("source_id") == F.col("__s")) & (F.col("line") > F.col("from_line")) & (F.col("to_line").isNull() | (F.col("line") < F.col("to_line"))), "left")
-    l = l.withColumn("base", F.coalesce("base", F.lit("hex")))
-    c = [F.regexp_extract("value", CLASSIC, i) for i in range(1, 8)]
-    fd_rest = F.split(F.trim(F.regexp_extract("value", FD, 2)), r"\s+")
-    named = F.coalesce(~F.get(fd_rest, F.lit(3)).rlike(r"^\d+$"), F.lit(False)).cast("int")
+    l = l.withColumn("base", F.coalesce("base", F.lit("hex"))).filter("kind <> 'base'")
     is_fd = F.col("kind") == "fd"
-    l = with_computed(l.filter("kind in ('fd', 'classic', 'other', 'date')"), {"fd": F.when(is_fd, fd_rest), "skip": F.when(is_fd, named)})
-    at = lambda i: F.get("fd", F.col("skip") + i)
+    named = F.coalesce(~made_of(at(5), DIGITS) & at(5).isNotNull(), F.lit(False)).cast("int")
+    l = with_computed(l, {"skip": F.when(is_fd, named).otherwise(0)})
+    fd = lambda i: F.get("word", F.col("skip") + i)
+    dlc = F.when(F.col("base") == "hex", F.when(made_of(fd(7), HEX), F.conv(fd(7), 16, 10))).otherwise(fd(7)).try_cast("int")
+    bytes_from = F.when(is_fd, F.col("skip") + 10).otherwise(7)
     l = with_computed(l, {
-        "time": F.when(is_fd, F.regexp_extract("value", FD, 1)).otherwise(c[0]),
-        "channel": F.when(is_fd, F.get("fd", F.lit(0))).otherwise(c[1]).try_cast("int"),
-        "id": F.when(is_fd, F.get("fd", F.lit(2))).otherwise(c[2]),
-        "direction": F.when(is_fd, F.get("fd", F.lit(1))).otherwise(c[3]),
-        "dlc": F.when(is_fd, F.when(F.col("base") == "hex", F.conv(at(5), 16, 10)).otherwise(at(5))).otherwise(c[5]).try_cast("int"),
-        "length": F.when(is_fd, at(6).try_cast("int")).when(c[4] == "r", 0).otherwise(c[5].try_cast("int")),
-        "tokens": F.when(is_fd, F.slice("fd", F.col("skip") + 8, F.greatest(F.size("fd") - F.col("skip") - 7, F.lit(0)))).otherwise(F.filter(F.split(F.trim(c[6]), r"\s+"), lambda b: b != "")),
-        "flags": F.when(is_fd, F.coalesce(at(3).rlike(r"^\d+$") & at(4).rlike(r"^\d+$"), F.lit(False))).otherwise(True),
+        "time": _seconds(at(0)),
+        "channel": F.when(is_fd, at(2)).otherwise(at(1)).try_cast("int"),
+        "id": F.when(is_fd, at(4)).otherwise(at(2)),
+        "direction": at(3),
+        "dlc": F.when(is_fd, dlc).otherwise(at(5).try_cast("int")),
+        "length": F.when(is_fd, fd(8).try_cast("int")).when(at(4) == "r", 0).otherwise(at(5).try_cast("int")),
+        "tokens": F.slice("word", bytes_from, F.greatest(n - bytes_from + 1, F.lit(0))),
+        "flags": ~is_fd | (made_of(fd(5), DIGITS) & made_of(fd(6), DIGITS)),
     })
     can_id, extended = parse_can_id(F.col("id"), F.col("base"))
     payload = F.when(F.col("length").between(0, 64), _payload(F.col("tokens"), F.col("length")))
@@ -91,17 +109,16 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(~F.col("flags"), "ASC_FD_FLAGS").when(~good_dlc, "ASC_FD_LENGTH")
         .when(F.col("data").isNull(), F.when(is_fd, "ASC_FD_PAYLOAD").otherwise("ASC_CLASSIC_PAYLOAD"))
     )
-    l = l.withColumn("code", code)
+    l = with_computed(l, {"code": code})
     rows = l.filter("kind <> 'date'")
-    ts = F.col("time").cast("double")
     frames = rows.filter("code is null").select(
-        "source_id", F.col("line").alias("ordinal"), F.round(F.col("time").cast("decimal(30,9)") * 1000000, 0).cast("long").alias("t_us"), ts.alias("ts"), "can_id", "extended", "direction", "channel",
+        "source_id", F.col("line").alias("ordinal"), F.round(F.col("time") * 1000000, 0).cast("long").alias("t_us"), F.col("time").cast("double").alias("ts"), "can_id", "extended", "direction", "channel",
         F.col("dlc").alias("dlc_code"), F.col("length").alias("data_length"), "data",
     )
     bad = rows.filter("code is not null").select("source_id", F.lit("parser").alias("origin"), "code", F.lit("warning").alias("severity"), F.col("value").alias("message"), F.col("line").cast("double").alias("position"))
-    first = rows.filter("code is null").groupBy("source_id").agg(F.min("line").alias("first_line"))
+    first_frames = rows.filter("code is null").groupBy("source_id").agg(F.min("line").alias("first_line"))
     dates = l.filter("kind = 'date'").select("source_id", "line", parse_date_line(F.col("value")).alias("start_us")).filter("start_us is not null")
-    refs = dates.join(first, "source_id", "left").filter("first_line is null or line < first_line").groupBy("source_id").agg(F.min_by("start_us", "line").alias("start_us"))
+    refs = dates.join(first_frames, "source_id", "left").filter("first_line is null or line < first_line").groupBy("source_id").agg(F.min_by("start_us", "line").alias("start_us"))
     return frames, bad, refs
 
 
@@ -113,141 +130,3 @@ def asc_lines(frames: DataFrame) -> DataFrame:
 
 def read_asc(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame, DataFrame]:
     return parse_asc(numbered_lines(spark, paths))
-
-
-TIME_NAMES = r"(?i)^\s*(time|timestamp|zeit|temps|時刻|時間|タイムスタンプ)(?![A-Za-z0-9_])|(^|[\s_\[(])(time|timestamp)([\s_\])]|$)"
-
-
-def time_column(headers: list[str]) -> tuple[str, float]:
-    """(name, seconds a unit) of the time column: by name, else the first."""
-    import re
-
-    name = next((h for h in headers if re.search(TIME_NAMES, h)), headers[0])
-    for pattern, unit in ((r"ns|nanoseconds?", 1e-9), (r"us|µs|μs|microseconds?", 1e-6), (r"ms|milliseconds?", 1e-3)):
-        if re.search(rf"(?i)(^|[\s_\[(/])({pattern})([\s_\])]|$)", name):
-            return name, unit
-    return name, 1.0
-
-
-def name_and_unit(header: Column) -> tuple[Column, Column]:
-    """Name and unit of ``Speed [km/h]`` or ``Speed (km/h)``."""
-    h = F.trim(header)
-    pattern = r"^(.*)(?:\[([^\[\]]*[^\[\])\s][^\[\])]*)\]|\(([^()\]]*[^()\]\s][^()\]]*)\))$"
-    unit = F.trim(F.concat(F.regexp_extract(h, pattern, 2), F.regexp_extract(h, pattern, 3)))
-    name = F.trim(F.regexp_extract(h, pattern, 1))
-    has = h.rlike(pattern) & (unit != "")
-    return F.when(has & (name != ""), name).otherwise(h), F.when(has, unit)
-
-
-def read_csv_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(samples, diagnostics) of a CSV log: one time column, every other column a signal.
-
-    The first readable time tells how times are written: clock text, Unix seconds (1e8 and up) or
-    seconds from the start. Empty cells are gaps (NaN); a column with any other text is rejected whole;
-    rows without a readable time are reported.
-    """
-    df = spark.read.csv(path, header=True, inferSchema=False)
-    time, unit = time_column(df.columns)
-    others = [c for c in df.columns if c != time]
-    us, offset = parse_clock(F.col("t"))
-    number = F.col("t").try_cast("double")
-    rows = df.select(F.trim(F.col(f"`{time}`")).alias("t"), F.monotonically_increasing_id().alias("row"), *[F.trim(F.col(f"`{c}`")).alias(c) for c in others])
-    rows = rows.withColumns({"us": us, "utc": offset, "number": number * unit})
-    first = rows.filter("us is not null or number is not null").agg(
-        F.min_by(F.struct(F.when(F.col("us").isNotNull(), "text").when(F.abs("number") >= 1e8, "unix").otherwise("relative").alias("clock"), F.col("utc").alias("utc0")), "row").alias("f")
-    ).select("f.clock", "f.utc0")
-    rows = rows.crossJoin(F.broadcast(first))
-    shift = F.coalesce((F.col("utc0") - F.col("utc")).cast("long") * 60000000, F.lit(0))
-    t_us = F.when(F.col("clock") == "text", F.col("us") + shift).otherwise(F.round(F.col("number") * 1e6).cast("long"))
-    rows = rows.withColumn("t_us", t_us)
-    long = rows.filter("t_us is not null").unpivot(["row", "t_us", "clock"], others, "column", "cell")
-    value = F.when(F.coalesce("cell", F.lit("")) == "", F.lit(float("nan"))).otherwise(F.col("cell").try_cast("double"))
-    long = long.withColumn("value", value)
-    bad = long.filter("value is null").groupBy("column").agg(F.min_by("cell", "row").alias("message"))
-    name, unit_text = name_and_unit(F.col("column"))
-    samples = long.join(small(bad.select("column")), "column", "left_anti").select("row", "column", name.alias("name"), unit_text.alias("unit"), "t_us", "value", "clock")
-    report = bad.select(F.lit("CSV_COLUMN_NOT_NUMERIC").alias("code"), F.lit("error").alias("severity"), F.concat_ws(": ", "column", "message").alias("message"))
-    late = rows.filter("t_us is null").select(F.lit("CSV_TIME_INVALID").alias("code"), F.lit("warning").alias("severity"), F.col("t").alias("message"))
-    return samples, report.union(late)
-
-
-_N = r"[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?"
-SIGNAL = rf'^\s*SG_\s+([A-Za-z_]\w*)\s*(M|m\d+M?)?\s*:\s*(\d+)\|(\d+)@([01])([+-])\s*\(\s*({_N})\s*,\s*({_N})\s*\)\s*\[\s*({_N})\s*\|\s*({_N})\s*\]\s*"((?:[^"\\]|\\.)*)"'
-MESSAGE = r"(?i)^\s*BO_\s+(0x[0-9a-f]+|\d+)\s+([A-Za-z_]\w*):\s*(\d+)\s+\S+"
-VALUES = r'(?i)^\s*VAL_\s+(\d+|0x[0-9a-f]+)\s+([A-Za-z_]\w*)\s+((?:"(?:\\.|[^"\\])*"|[^";])*);'
-TYPES = r"(?i)^\s*SIG_VALTYPE_\s+(0x[0-9a-f]+|\d+)\s+([A-Za-z_]\w*)\s*:?\s*(\d+)\s*;"
-RANGES = r"(?i)^\s*SG_MUL_VAL_\s+(0x[0-9a-f]+|\d+)\s+([A-Za-z_]\w*)\s+([A-Za-z_]\w*)\s+([^;]+);"
-
-
-def _message_id(text: Column) -> tuple[Column, Column]:
-    raw = F.when(F.lower(text).startswith("0x"), F.conv(F.substring(text, 3, 16), 16, 10)).otherwise(text).try_cast("long")
-    flagged = raw >= 0x80000000
-    number = F.when(flagged, raw - 0x80000000).otherwise(raw)
-    return F.when(number <= 0x1FFFFFFF, number).cast("int"), flagged | (number > 0x7FF)
-
-
-def parse_dbc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(layouts, value labels, diagnostics) of database lines ``source_id, line, value``.
-
-    A signal belongs to the message line before it, which is carried down each file in line order. Start
-    bits of big-endian signals name the most significant bit.
-    """
-    can_id, extended = _message_id(F.regexp_extract("value", MESSAGE, 1))
-    is_message = F.col("value").rlike(MESSAGE)
-    message = F.when(is_message, F.struct(can_id.alias("can_id"), extended.alias("extended"), F.regexp_extract("value", MESSAGE, 2).alias("message"), F.regexp_extract("value", MESSAGE, 3).cast("int").alias("frame_bytes")))
-    w = Window.partitionBy("source_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    l = lines.withColumn("m", F.last(message, True).over(w))
-    g = [F.regexp_extract("value", SIGNAL, i) for i in range(1, 12)]
-    s = l.filter(F.col("value").rlike(r"^\s*SG_\s+")).withColumn("ok", F.col("value").rlike(SIGNAL))
-    start = g[2].try_cast("int")
-    little = g[4] == "1"
-    marker = g[1]
-    branch = F.regexp_extract(marker, r"^m(\d+)", 1).try_cast("long")
-    signals = s.filter("ok and m is not null").select(
-        "source_id", F.concat(F.lit("dbc-"), F.when(F.col("m.extended"), "e").otherwise("s"), F.lit("-"), F.lower(F.hex("m.can_id"))).alias("def_id"),
-        "m.can_id", "m.extended", "m.message", "m.frame_bytes", g[0].alias("name"), g[10].alias("unit"),
-        F.floor(start / 8).cast("int").alias("byte_offset"), F.when(little, start % 8).otherwise(7 - start % 8).alias("bit_offset"), g[3].cast("int").alias("length_bits"),
-        F.when(g[5] == "-", "signed").otherwise("unsigned").alias("sign"), F.when(little, "little").otherwise("big").alias("byte_order"), g[6].alias("scale"), g[7].alias("offset"),
-        g[8].cast("double").alias("minimum"), g[9].cast("double").alias("maximum"),
-        F.when(marker == "M", "selector").when(marker != "", "conditional").otherwise("none").alias("mux_role"),
-        F.when(branch.isNotNull(), F.array(F.struct(branch.alias("lo"), branch.alias("hi")))).alias("ranges"),
-    )
-    tid, text = _message_id(F.regexp_extract("value", TYPES, 1))
-    types = lines.filter(F.col("value").rlike(TYPES)).select("source_id", tid.alias("can_id"), text.alias("extended"), F.regexp_extract("value", TYPES, 2).alias("name"), F.regexp_extract("value", TYPES, 3).alias("type"))
-    rid, rext = _message_id(F.regexp_extract("value", RANGES, 1))
-    pairs = F.transform(F.split(F.regexp_extract("value", RANGES, 4), r"\s*,\s*"), lambda p: F.struct(F.trim(F.split(p, "-")[0]).cast("long").alias("lo"), F.trim(F.split(p, "-")[1]).cast("long").alias("hi")))
-    more = lines.filter(F.col("value").rlike(RANGES)).select("source_id", rid.alias("can_id"), rext.alias("extended"), F.regexp_extract("value", RANGES, 2).alias("name"), pairs.alias("more"))
-    key = ["source_id", "can_id", "extended", "name"]
-    out = signals.join(small(types), key, "left").join(small(more), key, "left")
-    is_float = ((F.col("type") == "1") & (F.col("length_bits") == 32)) | ((F.col("type") == "2") & (F.col("length_bits") == 64))
-    out = out.withColumn("signedness", F.when(is_float, "float").otherwise(F.col("sign"))).withColumn("mux_ranges", F.coalesce("more", "ranges")).drop("sign", "type", "more", "ranges")
-    vid, vext = _message_id(F.regexp_extract("value", VALUES, 1))
-    entry = r'([+-]?\d+)\s+"((?:\\.|[^"\\])*)"'
-    body = F.regexp_extract("value", VALUES, 3)
-    labels = lines.filter(F.col("value").rlike(VALUES)).select("source_id", vid.alias("can_id"), vext.alias("extended"), F.regexp_extract("value", VALUES, 2).alias("name"), F.explode(F.arrays_zip(F.regexp_extract_all(body, F.lit(entry), F.lit(1)).alias("raw"), F.regexp_extract_all(body, F.lit(entry), F.lit(2)).alias("label"))).alias("e"))
-    labels = labels.select(*key, F.col("e.raw").alias("raw_text"), F.col("e.label").alias("label"))
-    problem = F.when(F.col("m").isNull(), "DBC_SIGNAL_WITHOUT_MESSAGE").when(~F.col("ok"), "DBC_SIGNAL_SYNTAX")
-    bad = s.select("source_id", "line", problem.alias("code")).filter("code is not null")
-    raw_id = F.regexp_extract("value", MESSAGE, 1).try_cast("long")
-    inferred = lines.filter(is_message & (raw_id > 0x7FF) & (raw_id < 0x80000000)).select("source_id", "line", F.lit("DBC_EXTENDED_ID_INFERRED").alias("code"))
-    return out, labels, bad.union(inferred)
-
-
-def dbc_lines(layouts: DataFrame) -> DataFrame:
-    """Database lines of layouts ``message, frame_bytes`` and the layout columns: ``can_id, extended, place, value``.
-
-    Messages first, each with its signals, then ranges of multiplexed signals, float types last.
-    """
-    number = F.when(F.col("extended"), F.col("can_id").cast("long") + 0x80000000).otherwise(F.col("can_id").cast("long"))
-    head = layouts.select("can_id", "extended", "message", "frame_bytes").distinct().select("can_id", "extended", F.lit(0).alias("place"), F.format_string("BO_ %d %s: %d Vector__XXX", number, "message", "frame_bytes").alias("value"))
-    start = F.col("byte_offset") * 8 + F.when(F.col("byte_order") == "little", F.col("bit_offset")).otherwise(7 - F.col("bit_offset"))
-    marker = F.when(F.col("mux_role") == "selector", " M").when(F.col("mux_role") == "conditional", F.concat(F.lit(" m"), F.get("mux_ranges", F.lit(0))["lo"].cast("string"))).otherwise("")
-    top = F.pow(F.lit(2.0), F.col("length_bits") - F.when(F.col("signedness") == "signed", 1).otherwise(0)) - 1
-    low = F.when(F.col("signedness") == "signed", -top - 1).otherwise(F.lit(0.0))
-    value = F.format_string(' SG_ %s%s : %d|%d@%s%s (%s,%s) [%s|%s] "%s" Vector__XXX', "name", marker, start, "length_bits", F.when(F.col("byte_order") == "little", "1").otherwise("0"), F.when(F.col("signedness") == "signed", "-").otherwise("+"), "scale", "offset", F.format_string("%.0f", low), F.format_string("%.0f", top), "unit")
-    body = layouts.select("can_id", "extended", F.lit(1).alias("place"), value.alias("value"))
-    selector = layouts.filter("mux_role = 'selector'").select("can_id", "extended", F.col("name").alias("selector"))
-    spans = F.array_join(F.transform("mux_ranges", lambda r: F.concat(r["lo"].cast("string"), F.lit("-"), r["hi"].cast("string"))), ", ")
-    ranges = layouts.filter("mux_role = 'conditional' and (size(mux_ranges) > 1 or mux_ranges[0].lo <> mux_ranges[0].hi)").join(small(selector), ["can_id", "extended"]).select("can_id", "extended", F.lit(2).alias("place"), F.format_string("SG_MUL_VAL_ %d %s %s %s;", number, "name", "selector", spans).alias("value"))
-    types = layouts.filter("signedness = 'float'").select("can_id", "extended", F.lit(3).alias("place"), F.format_string("SIG_VALTYPE_ %d %s : %d;", number, "name", F.when(F.col("length_bits") == 64, 2).otherwise(1)).alias("value"))
-    return head.union(body).union(ranges).union(types)

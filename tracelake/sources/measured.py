@@ -15,7 +15,7 @@ def linear(x: Column, a: Column | float, b: Column | float) -> Column:
     return a + b * x
 
 
-def rational(x: Column, p: list[float]) -> Column:
+def rational(x: Column, p: list) -> Column:
     """(p1 x² + p2 x + p3) / (p4 x² + p5 x + p6); null where the divisor is 0."""
     return F.try_divide(p[0] * x * x + p[1] * x + p[2], p[3] * x * x + p[4] * x + p[5])
 
@@ -24,20 +24,85 @@ def formula(x: Column, text: str) -> Column:
     return compile_expression(text.replace("X", "[X]"), {"X": x})
 
 
-def table_nearest(rows: DataFrame, points: DataFrame, x: str) -> DataFrame:
-    """``y`` of the nearest table point, the lower one on a tie: a range join on midpoints."""
-    w = Window.orderBy("input")
-    mid = (F.col("input") + F.lead("input").over(w)) / 2
-    seg = points.select("input", "output", mid.alias("upto")).withColumn("after", F.lag("upto").over(w))
-    near = (F.col("after").isNull() | (F.col(x) > F.col("after"))) & (F.col("upto").isNull() | (F.col(x) <= F.col("upto")))
-    return rows.join(small(seg), near).select(*rows.columns, F.col("output").alias("y"))
+def table_nearest(x: Column, points: Column) -> Column:
+    """Output of the nearest of ``points array<struct<input, output>>``, the lower one on a tie."""
+    below = F.array_max(F.filter(points, lambda p: p["input"] <= x))
+    above = F.array_min(F.filter(points, lambda p: p["input"] >= x))
+    lower = above.isNull() | (below.isNotNull() & (x - below["input"] <= above["input"] - x))
+    return F.when(lower, below["output"]).otherwise(above["output"])
 
 
-def range_value(rows: DataFrame, ranges: DataFrame, x: str, is_float: Column, default: float | None) -> DataFrame:
-    """``y`` of the first range that holds x; the upper bound counts for integers and not for floats; else the default."""
-    inside = (F.col(x) >= F.col("lo")) & F.when(is_float, F.col(x) < F.col("hi")).otherwise(F.col(x) <= F.col("hi"))
-    first = rows.select("ordinal", x).join(small(ranges), inside).groupBy("ordinal").agg(F.min_by("value", "place").alias("y"))
-    return rows.join(first, "ordinal", "left").withColumn("y", F.coalesce("y", F.lit(default).cast("double")))
+def table_interpolated(x: Column, points: Column) -> Column:
+    """Linear interpolation between the points; held before the first and behind the last."""
+    below = F.array_max(F.filter(points, lambda p: p["input"] <= x))
+    above = F.array_min(F.filter(points, lambda p: p["input"] >= x))
+    slope = F.try_divide(x - below["input"], above["input"] - below["input"])
+    return F.when(below.isNull(), above["output"]).when(above.isNull() | (below["input"] == above["input"]), below["output"]).otherwise(below["output"] + slope * (above["output"] - below["output"]))
+
+
+def range_value(x: Column, ranges: Column, is_float: Column | bool, default: Column | float | None) -> Column:
+    """Value of the first of ``ranges array<struct<lo, hi, value>>`` that holds x, else the default.
+
+    The upper bound belongs to a range of integers and not to one of floats.
+    """
+    real = F.lit(is_float) if isinstance(is_float, bool) else is_float
+    fallback = default if isinstance(default, Column) else F.lit(default).cast("double")
+    holding = F.filter(ranges, lambda r: (x >= r["lo"]) & F.when(real, x < r["hi"]).otherwise(x <= r["hi"]))
+    return F.when(F.size(holding) > 0, F.get(holding, F.lit(0))["value"]).otherwise(fallback)
+
+
+def convert(rows: DataFrame, conversions: DataFrame, x: str = "raw", key: str = "conversion_id") -> DataFrame:
+    """``rows`` with ``y``: each raw number by the conversion that its ``key`` names; as it is where there is none.
+
+    ``conversions`` has a row for each: ``kind`` (``linear``, ``rational``, ``formula``, ``interpolated``, ``nearest`` or ``ranges``),
+    ``p array<double>`` (linear: a, b; rational: p1 to p6), ``text`` (formula of X), ``points array<struct<input, output>>``
+    and ``ranges array<struct<lo, hi, value>>`` with ``is_float`` and ``fallback``. It is joined by its key; the few different formula
+    texts are compiled on the driver.
+    """
+    texts = [r["text"] for r in conversions.filter("kind = 'formula'").select("text").distinct().collect()]
+    v = F.col(x).cast("double")
+    p = [F.get("__c.p", F.lit(i)) for i in range(6)]
+    y = F.when(F.col("__c.kind") == "linear", linear(v, p[0], p[1])).when(F.col("__c.kind") == "rational", rational(v, p))
+    y = y.when(F.col("__c.kind") == "interpolated", table_interpolated(v, F.col("__c.points"))).when(F.col("__c.kind") == "nearest", table_nearest(v, F.col("__c.points")))
+    y = y.when(F.col("__c.kind") == "ranges", range_value(v, F.col("__c.ranges"), F.col("__c.is_float"), F.col("__c.fallback")))
+    for text in texts:
+        y = y.when((F.col("__c.kind") == "formula") & (F.col("__c.text") == text), formula(v, text))
+    dim = conversions.select(F.col(key).alias("__key"), F.struct(*conversions.columns).alias("__c"))
+    found = rows.join(small(dim), F.col(key) == F.col("__key"), "left")
+    return found.withColumn("y", F.when(F.col("__c").isNull(), v).otherwise(y)).drop("__c", "__key")
+
+
+def value_labels(rows: DataFrame, labels: DataFrame, default: str | None, x: str = "raw", key: str | None = None) -> DataFrame:
+    """``rows`` with ``label``: the first by ``place`` of ``labels(raw, place, label)`` for a raw number, else the default."""
+    on = [key] if key else []
+    first = labels.groupBy(*on, F.col("raw").alias(x)).agg(F.min_by("label", "place").alias("label"))
+    return rows.join(small(first), [*on, x], "left").withColumn("label", F.coalesce("label", F.lit(default)))
+
+
+def at_remote_master(rows: DataFrame, master: DataFrame, record: str = "record", time: str = "master_us") -> DataFrame:
+    """Rows of a group without times of its own with the time of the master group's record they name; null for none."""
+    return rows.join(master.select(record, time), record, "left")
+
+
+def merge_streams(*streams: DataFrame, time: str = "t_us") -> DataFrame:
+    """Streams in one table with ``stream`` (from 1) and ``place``, the order among rows of one time: by stream, then arrival.
+
+    Each stream has ``ordinal`` and the time. Sorting by time and place merges them.
+    """
+    both = None
+    for i, s in enumerate(streams, 1):
+        s = s.withColumn("stream", F.lit(i))
+        both = s if both is None else both.unionByName(s)
+    return both.withColumn("place", F.row_number().over(Window.partitionBy(time).orderBy("stream", "ordinal")))
+
+
+def channel_ids(channels: DataFrame, prefix: str = "mdf", group: str = "group", name: str = "name", order: str = "ordinal") -> DataFrame:
+    """``channels`` with ``signal_id``: prefix, group and name, percent-encoded; a repeated name gets its place behind it."""
+    def coded(c: str) -> Column:
+        return F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+    n = F.row_number().over(Window.partitionBy(group, name).orderBy(order))
+    return channels.withColumn("signal_id", F.concat_ws(":", F.lit(prefix), coded(group), coded(name), F.when(n > 1, n)))
 
 
 def validity(value: Column, flags: Column, bit: Column, all_invalid: Column) -> Column:
