@@ -7,23 +7,31 @@ from pyspark.sql import functions as F
 
 from .asof import neighbours
 from .decode import small
-from .series import ORDER, series_window, usable
+from .ranges import Ranged, totals
+from .series import ORDER, usable
 
 
 def normalise(samples: DataFrame, keys: list[str]) -> DataFrame:
     """``share``: 0 to 100 between the usable extremes of a series, 50 where these are equal, null if not finite."""
-    w = Window.partitionBy(*keys)
     v = F.when(usable(), F.col("value"))
-    s = samples.withColumn("__lo", F.min(v).over(w)).withColumn("__hi", F.max(v).over(w))
+    s = totals(samples, keys, __lo=F.min(v), __hi=F.max(v))
     finite = ~F.isnan("value") & (F.abs("value") < float("inf"))
     share = F.when(~finite, None).when(F.col("__lo") == F.col("__hi"), 50.0).otherwise((F.col("value") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * 100)
     return s.withColumn("share", share).drop("__lo", "__hi")
 
 
-def value_range(samples: DataFrame, keys: list[str], start_us: int, end_us: int, include_zero: bool = False) -> DataFrame:
-    """Range of the visible usable samples, else of all, else 0 to 1."""
-    v = F.when(usable(), F.col("value"))
-    seen = F.when(F.col("t_us").between(start_us, end_us), v)
+def value_range(samples: DataFrame, keys: list[str], start_us: int, end_us: int, include_zero: bool = False, mode: str = "visible", manual: tuple[float, float] | None = None, scale: float = 1.0, shift: float = 0.0, shift_us: str | None = None) -> DataFrame:
+    """``lo, hi`` of an axis: the visible usable samples' range, else that of all, else 0 to 1.
+
+    ``mode`` may also be ``global`` (all usable samples) or ``manual`` (the given range). Values are shown as
+    ``value * scale + shift``. With ``shift_us``, a column of each target's shift, a sample counts as visible by its
+    shifted time.
+    """
+    if mode == "manual" and manual is not None:
+        return samples.select(*keys).distinct().withColumns({"lo": F.lit(float(min(manual))), "hi": F.lit(float(max(manual)))})
+    v = F.when(usable(), F.col("value") * scale + shift)
+    t = F.col("t_us") - F.col(shift_us) if shift_us else F.col("t_us")
+    seen = v if mode == "global" else F.when(t.between(start_us, end_us), v)
     g = samples.groupBy(*keys).agg(F.min(seen).alias("a"), F.max(seen).alias("b"), F.min(v).alias("c"), F.max(v).alias("d"))
     lo, hi = F.coalesce("a", "c", F.lit(0.0)), F.coalesce("b", "d", F.lit(1.0))
     if include_zero:
@@ -31,6 +39,22 @@ def value_range(samples: DataFrame, keys: list[str], start_us: int, end_us: int,
     return g.select(*keys, lo.alias("lo"), hi.alias("hi"))
 
 
+def lane_extremes(samples: DataFrame, keys: list[str], threshold_us: Column, start_us: int, end_us: int) -> DataFrame:
+    """``lo, hi, flat`` of each lane in a view: its drawn samples inside, and where its line crosses either edge.
+
+    A line is drawn inside a run only; a lane with nothing in view has no row. ``flat`` means that the extremes
+    differ by no more than rounding.
+    """
+    r = Ranged(drawable_runs(samples, keys, threshold_us), keys, ORDER).lead(t_next="t_us", v_next="value", run_next="run").done()
+    shown = [F.when(F.col("t_us").between(start_us, end_us), F.col("value"))]
+    for edge in (start_us, end_us):
+        part = (F.lit(edge) - F.col("t_us")) / (F.col("t_next") - F.col("t_us"))
+        crosses_edge = (F.col("run_next") == F.col("run")) & (F.col("t_us") < edge) & (F.col("t_next") > edge)
+        shown.append(F.when(crosses_edge, F.col("value") + (F.col("v_next") - F.col("value")) * part))
+    g = r.groupBy(*keys).agg(F.min(F.least(*shown)).alias("lo"), F.max(F.greatest(*shown)).alias("hi")).filter("lo is not null")
+    return g.withColumn("flat", ~(F.col("hi") - F.col("lo") > F.greatest(F.abs("lo"), F.abs("hi")) * 1e-12))
+
+
 def line_value(probes: DataFrame, samples: DataFrame, gaps: DataFrame, keys: list[str], connect: bool = False) -> DataFrame:
     """Value of the drawn line: an exact usable sample, else between usable neighbours unless a gap or invalid sample lies there."""
     s = samples.withColumn("ok", usable())
@@ -52,20 +76,20 @@ def line_value(probes: DataFrame, samples: DataFrame, gaps: DataFrame, keys: lis
 
 def crosses(segments: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
     """``crosses``: whether a gap overlaps the open span from ``left_us`` to ``right_us``."""
-    g = gaps.select(*[F.col(k).alias(f"g_{k}") for k in keys], "start_us", "end_us")
-    same = [F.col(k) == F.col(f"g_{k}") for k in keys]
-    hit = segments.join(small(g), [*same, F.col("start_us") < F.col("right_us"), F.col("end_us") > F.col("left_us")], "left_semi").select(*keys, "left_us", "right_us").distinct()
-    return segments.join(hit.withColumn("crosses", F.lit(True)), [*keys, "left_us", "right_us"], "left").withColumn("crosses", F.coalesce("crosses", F.lit(False)))
+    # Gaps of a series are apart and in order, so only the last that begins before a segment's end can reach into it.
+    g = gaps.select(*keys, (F.col("start_us") + 1).alias("t_us"), "start_us", "end_us")
+    ends = segments.select(*keys, F.col("left_us"), F.col("right_us").alias("t_us")).distinct()
+    near = neighbours(ends, g, keys, "t_us", ["start_us"])
+    hit = near.select(*keys, "left_us", F.col("t_us").alias("right_us"), F.coalesce(F.col("before.end_us") > F.col("left_us"), F.lit(False)).alias("crosses"))
+    return segments.join(hit, [*keys, "left_us", "right_us"])
 
 
 def drawable_runs(samples: DataFrame, keys: list[str], threshold_us: Column, shift_us: int = 0) -> DataFrame:
     """Usable samples with the number of the unbroken run they belong to, on a shifted time axis."""
-    w = series_window(keys)
-    s = samples.withColumn("ok", usable())
-    broken = (~F.lag("ok").over(w)) | (F.col("t_us") - F.lag("t_us").over(w) > threshold_us)
-    s = s.withColumn("__b", F.when(F.col("ok") & F.coalesce(broken, F.lit(True)), 1).otherwise(0))
-    s = s.withColumn("run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return s.filter("ok").withColumn("t_us", F.col("t_us") - shift_us).drop("__b", "ok")
+    r = Ranged(samples.withColumn("ok", usable()), keys, ORDER).lag(__ok="ok", __t="t_us")
+    broken = (~F.col("__ok")) | (F.col("t_us") - F.col("__t") > threshold_us)
+    s = r.running_sum(run=F.when(F.col("ok") & F.coalesce(broken, F.lit(True)), 1).otherwise(0)).done("__ok", "__t")
+    return s.filter("ok").withColumn("t_us", F.col("t_us") - shift_us).drop("ok")
 
 
 def trajectory(x: DataFrame, y: DataFrame, z: DataFrame | None = None, invert: tuple[bool, bool, bool] = (False, False, False)) -> DataFrame:
@@ -81,13 +105,77 @@ def trajectory(x: DataFrame, y: DataFrame, z: DataFrame | None = None, invert: t
     return out.filter(good).drop(*[c for c in out.columns if c.startswith("ok_")])
 
 
+def thin_points(points: DataFrame, limit: int) -> DataFrame:
+    """At most ``limit`` points of a path that keep the extremes of every axis; a shorter path is kept whole.
+
+    The path is cut into equal runs; each keeps its first and last point and the lowest and highest one of each axis,
+    the earlier on a tie.
+    """
+    axes = [c for c in ("x", "y", "z") if c in points.columns]
+    runs = max(1, limit // (2 + 2 * len(axes)))
+    p = totals(Ranged(points, [], ("t_us", "k")).position("p").done(), [], n=F.count(F.lit(1)))
+    p = p.withColumn("__run", F.floor(((F.col("p") + 1) * runs - 1) / F.col("n")))
+    ends = [F.min("p").alias("first"), F.max("p").alias("last")]
+    for c in axes:
+        ends += [F.min(F.struct(F.col(c).alias("v"), "p")).alias(f"lo_{c}"), F.min(F.struct((-F.col(c)).alias("v"), "p")).alias(f"hi_{c}")]
+    kept = p.filter(F.col("n") > limit).groupBy("__run").agg(*ends)
+    places = F.array("first", "last", *(f"{side}_{c}.p" for c in axes for side in ("lo", "hi")))
+    kept = kept.select(F.explode(F.array_distinct(places)).alias("p"))
+    return p.join(small(kept), "p", "left_semi").unionByName(p.filter(F.col("n") <= limit)).select(*points.columns)
+
+
+def recent(points: DataFrame, at_us: int, span_us: int) -> DataFrame:
+    """The trail of a path: its points of the last ``span_us`` up to a time."""
+    return points.filter(F.col("t_us").between(at_us - span_us, at_us))
+
+
+def extent(points: DataFrame) -> DataFrame:
+    """Box, centre and largest side of a path."""
+    axes = [c for c in ("x", "y", "z") if c in points.columns]
+    ends = [f(c).alias(f"{c}{i}") for c in axes for i, f in ((0, F.min), (1, F.max))]
+    g = points.agg(*ends)
+    sides = [F.col(f"{c}1") - F.col(f"{c}0") for c in axes]
+    return g.withColumns({f"c{c}": (F.col(f"{c}0") + F.col(f"{c}1")) / 2 for c in axes} | {"span": F.greatest(*sides) if len(sides) > 1 else sides[0]})
+
+
+def point_budget(targets: int, signals: int, total: int = 100_000, least: int = 2, most: int = 4_000) -> int:
+    """Points that each series of a comparison may have."""
+    return max(least, min(most, total // max(1, targets * signals)))
+
+
+def compared_series(samples: DataFrame, ids: list[str], target: str = "source_id", total: int = 100_000) -> DataFrame:
+    """A thinned series per target for each of the signals asked for, known by their ids, within a budget for all."""
+    from .series import thin
+
+    wanted = samples.filter(F.col("signal_id").isin(ids))
+    n = wanted.select(target).distinct().count()
+    return thin(wanted, [target, "signal_id"], point_budget(n, len(ids), total))
+
+
+def unique_targets(targets: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
+    """The first of targets that name the same thing."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    return targets.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def overlaid(rows: DataFrame, keys: list[str], offset_us: int = 0) -> DataFrame:
+    """``at_us``: time from each target's own start and its offset, so that targets lie over each other."""
+    return totals(rows, keys, __start=F.min("t_us")).withColumn("at_us", F.col("t_us") - (F.col("__start") + offset_us)).drop("__start")
+
+
+def signal_owners(samples: DataFrame, signal: str, target: str) -> DataFrame:
+    """``signal, owners, common, name_missing``: which targets have a signal, whether all do, and whether those without it are fewer."""
+    n = samples.select(target).distinct().agg(F.count(F.lit(1)).alias("__n"))
+    o = samples.groupBy(signal).agg(F.array_sort(F.collect_set(target)).alias("owners")).crossJoin(F.broadcast(n))
+    return o.select(signal, "owners", (F.size("owners") == F.col("__n")).alias("common"), (F.col("__n") - F.size("owners") < F.size("owners")).alias("name_missing"))
+
+
 def path_measure(points: DataFrame, first_us: int, second_us: int) -> DataFrame:
     """Differences, straight distance, path length and mean speed between two points of a path."""
     lo, hi = min(first_us, second_us), max(first_us, second_us)
     axes = [c for c in ("x", "y", "z") if c in points.columns]
-    w = Window.partitionBy(F.lit(1)).orderBy("t_us", "k")
-    p = points.filter(F.col("t_us").between(lo, hi))
-    square = sum(((F.col(c) - F.lag(c).over(w)) ** 2 for c in axes), F.lit(0.0))
+    p = Ranged(points.filter(F.col("t_us").between(lo, hi)), [], ("t_us", "k")).lag(**{f"__{c}": c for c in axes}).done()
+    square = sum(((F.col(c) - F.col(f"__{c}")) ** 2 for c in axes), F.lit(0.0))
     p = p.withColumn("piece", F.sqrt(square))
     first, second = (F.when(F.col("t_us") == t, F.struct(*axes)) for t in (first_us, second_us))
     g = p.agg(F.min(first).alias("a"), F.min(second).alias("b"), F.sum("piece").alias("path"))
@@ -98,8 +186,7 @@ def path_measure(points: DataFrame, first_us: int, second_us: int) -> DataFrame:
 
 def edge_points(points: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Points inside a clip, and where the line crosses each of its edges."""
-    w = Window.partitionBy(F.lit(1)).orderBy("t_us", "k")
-    p = points.withColumn("n", F.lead(F.struct("t_us", "x", "y")).over(w))
+    p = Ranged(points, [], ("t_us", "k")).lead(n=F.struct("t_us", "x", "y")).done()
     parts = [points.filter(F.col("t_us").between(start_us, end_us)).select("t_us", "x", "y", F.lit(False).alias("carried"))]
     for edge in (start_us, end_us):
         part = (F.lit(edge) - F.col("t_us")) / (F.col("n.t_us") - F.col("t_us"))
@@ -122,8 +209,7 @@ def snap(anchors: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:
 def steps_from(times: DataFrame, keys: list[str], n: int) -> DataFrame:
     """``stepped``: the frame time ``n`` distinct times on (negative: back), mirrored beyond either end."""
     distinct = times.select(*keys, "t_us").distinct()
-    w = Window.partitionBy(*keys).orderBy("t_us")
-    d = distinct.withColumn("i", F.row_number().over(w) - 1).withColumn("count", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    d = totals(Ranged(distinct, keys, ("t_us",)).position("i").done(), keys, count=F.count(F.lit(1)))
     to = F.col("i") + n
     last = F.col("count") - 1
     d = d.withColumn("side", F.when(to < 0, -1).when(to > last, 1).otherwise(0)).withColumn("j", F.when(to < 0, -to).when(to > last, 2 * last - to).otherwise(to))

@@ -28,12 +28,27 @@ def valid_clips(clips: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def level_of(logs: DataFrame, levels: DataFrame) -> DataFrame:
     """Nearest level of each log: the longest folder that is a prefix of its path."""
-    path, folder = F.col("path"), F.col("folder")
-    inside = (folder == "") | (path == folder) | path.startswith(F.concat(folder, F.lit("/")))
-    hits = logs.join(small(levels.select("folder")), inside)
+    # Each log meets the levels at its own prefixes: an equi-join, whatever the number of levels.
+    parts = F.split("path", "/")
+    prefixes = F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    at = logs.select("path", F.explode(F.array_distinct(prefixes)).alias("folder"))
+    hits = at.join(small(levels.select("folder").distinct()), "folder")
     return hits.groupBy("path").agg(F.max_by("folder", F.length("folder")).alias("level"))
 
 
+def parent_level(levels: DataFrame) -> DataFrame:
+    """``folder, parent``: the nearest level above each; none above the root."""
+    up = F.when(F.contains("folder", F.lit("/")), F.regexp_replace("folder", "/[^/]*$", "")).when(F.col("folder") != "", F.lit(""))
+    above = level_of(levels.select(up.alias("path")).filter("path is not null").distinct(), levels)
+    return levels.withColumn("path", up).join(above, "path", "left").select("folder", F.col("level").alias("parent"))
+
+
+def shared_ids(definitions: DataFrame, frame: list[str], place: list[str] | None = None) -> DataFrame:
+    """Signal ids that more than one frame of a resolved place defines, with the number of frames."""
+    on = [*(place or []), "signal_id"]
+    return definitions.groupBy(*on).agg(F.count_distinct(*frame).alias("frames")).filter("frames > 1")
+
+
 def overlay(definitions: DataFrame, key: list[str]) -> DataFrame:
     """Of the definitions seen along a chain of levels (``place, depth``), the deepest one of each key."""
     w = Window.partitionBy("place", *key).orderBy(F.desc("depth"), F.desc("def_id"))
@@ -47,6 +62,49 @@ def changed_definitions(old: DataFrame, new: DataFrame, id_col: str = "def_id")
     return o.join(n, id_col, "full").filter("not (o <=> n)").select(id_col, kind.alias("kind"))
 
 
+#: Settings whose change calls for decoding everything anew.
+REBUILD_KINDS = ("plugin", "csv", "routing")
+
+
+def keys_to_decode(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFrame:
+    """``can_id, extended`` whose frames are to be decoded again: the keys that changed definitions had or have."""
+    both = old.select("def_id", "can_id", "extended").union(new.select("def_id", "can_id", "extended"))
+    return both.join(small(changed.select("def_id").distinct()), "def_id", "left_semi").select("can_id", "extended").distinct()
+
+
+def needs_full_rebuild(old: DataFrame, new: DataFrame) -> bool:
+    """Whether ``settings(kind, id, ...)`` of plugins, CSV sources or routing differ; then no part of the samples can stay."""
+    mine = F.col("kind").isin(*REBUILD_KINDS)
+    o, n = (d.filter(mine).withColumn("__id", F.concat_ws("/", "kind", "id")) for d in (old, new))
+    return changed_definitions(o, n, "__id").limit(1).count() > 0
+
+
+#: Versions of project texts that can be read.
+PROJECT_VERSIONS = (1, 4)
+PROJECT = "version int, name string, frames array<struct<id:string,canId:int,extended:boolean,name:string,frameLength:int>>, clips array<struct<id:string,name:string,sourcePath:string,start:double,`end`:double>>, groups array<struct<id:string,members:array<string>>>"
+
+
+def parse_projects(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(projects, frames, clips, report) of project texts ``project, text``.
+
+    Missing names, lists and frame lengths get defaults (the id, empty, 8). Clips without a valid range and groups without
+    members are left out and reported, as are texts of another version or that are no JSON.
+    """
+    j = texts.select("project", F.from_json("text", PROJECT).alias("j"))
+    known = F.coalesce(F.col("j.version").between(*PROJECT_VERSIONS), F.lit(False))
+    good = j.filter(known)
+    projects = good.select("project", "j.version", F.coalesce("j.name", F.lit("")).alias("name"))
+    frames = good.select("project", F.explode("j.frames").alias("f")).select("project", F.col("f.id").alias("def_id"), F.col("f.canId").alias("can_id"), F.coalesce("f.extended", F.col("f.canId") > 0x7FF).alias("extended"), F.coalesce("f.name", "f.id").alias("name"), F.coalesce("f.frameLength", F.lit(8)).alias("frame_bytes"))
+    clips = good.select("project", F.explode("j.clips").alias("c")).select("project", F.col("c.id").alias("clip"), F.coalesce("c.name", "c.id").alias("name"), F.coalesce("c.sourcePath", F.lit("")).alias("source_path"), F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"))
+    kept, bad = valid_clips(clips)
+    groups = good.select("project", F.explode("j.groups").alias("g")).filter("g.id is null or g.members is null or size(g.members) = 0")
+    report = (
+        j.filter(~known).select("project", F.lit("PROJECT_VERSION").alias("code"), F.lit(None).cast("string").alias("id"))
+        .union(bad.select("project", F.lit("CLIP_INVALID"), "clip")).union(groups.select("project", F.lit("GROUP_INVALID"), "g.id"))
+    )
+    return projects, frames, kept, report
+
+
 def validate(layouts: DataFrame, frame_bytes: int = 8) -> DataFrame:
     """``def_id, signal_id, problem`` for each broken rule of a layout table."""
     from ..functions.scale import scale_parts

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .asof import neighbours
 from .decode import small
+from .ranges import Ranged
 
 
 def lookup(rows: DataFrame, points: DataFrame, table_col: str, x: str, outside: str = "clamp") -> DataFrame:
@@ -31,9 +32,8 @@ def lookup(rows: DataFrame, points: DataFrame, table_col: str, x: str, outside:
 
 def epochs(rows: DataFrame, keys: list[str], time: str = "ts", order: str = "ordinal") -> DataFrame:
     """``epoch``: counts how often time did not advance, in order of arrival; filters start anew there."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    back = F.when(F.col(time) <= F.lag(time).over(w), 1).otherwise(0)
-    return rows.withColumn("__back", back).withColumn("epoch", F.sum("__back").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__back")
+    r = Ranged(rows, keys, (order,)).lag(__before=time)
+    return r.running_sum(epoch=F.when(F.col(time) <= F.col("__before"), 1).otherwise(0)).done("__before")
 
 
 def moving_average(rows: DataFrame, keys: list[str], seconds: float, value: str = "value", time_us: str = "t_us") -> DataFrame:

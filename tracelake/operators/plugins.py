@@ -13,7 +13,7 @@ from .decode import small
 #: One row per output or finding of a plugin.
 OUTPUT = (
     "source_id string, ordinal bigint, t_us bigint, plugin_id string, binding_id string, kind string, "
-    "signal_id string, name string, value double, label string, code string, message string"
+    "signal_id string, name string, unit string, `group` string, value double, label string, quality string, code string, message string"
 )
 FIELDS = ["source_id", "ordinal", "t_us", "can_id", "extended", "data", "plugin_id", "binding_id"]
 
@@ -25,24 +25,28 @@ def route(frames: DataFrame, bindings: DataFrame) -> DataFrame:
 
 
 def _outputs(row, decode: Callable) -> Iterator[tuple]:
-    """Rows for one frame; whatever a plugin raises or returns amiss becomes a finding of that frame alone."""
+    """Rows for one frame: each item has ``signal`` and ``value``, and may have ``name, unit, group, label, quality``; or it is an ``event``.
+
+    Whatever a plugin raises or returns amiss becomes a finding of that frame alone.
+    """
     head = (row.source_id, row.ordinal, row.t_us, row.plugin_id, row.binding_id)
     try:
         for item in decode(bytes(row.data), row):
             if item.get("event"):
-                yield (*head, "event", None, item["event"], None, item.get("label"), None, None)
+                yield (*head, "event", None, item["event"], None, item.get("group"), None, item.get("label"), None, None, None)
                 continue
             value = item.get("value")
             if not isinstance(value, (int, float)) or value != value or value in (float("inf"), float("-inf")):
-                yield (*head, "diagnostic", item.get("signal"), None, None, None, "PLUGIN_VALUE", "value is not finite")
+                yield (*head, "diagnostic", item.get("signal"), *[None] * 6, "PLUGIN_VALUE", "value is not finite")
                 continue
-            yield (*head, "sample", f"plugin:{row.plugin_id}:{row.binding_id}:{item['signal']}", item["signal"], float(value), item.get("label"), None, None)
+            signal = f"plugin:{row.plugin_id}:{row.binding_id}:{item['signal']}"
+            yield (*head, "sample", signal, item.get("name", item["signal"]), item.get("unit"), item.get("group"), float(value), item.get("label"), item.get("quality", "valid"), None, None)
     except Exception as error:  # noqa: BLE001 - user code
-        yield (*head, "diagnostic", None, None, None, None, "PLUGIN_ERROR", str(error)[:200])
+        yield (*head, "diagnostic", *[None] * 7, "PLUGIN_ERROR", str(error))
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split(" ")[0] for c in OUTPUT.split(", ")])
+    return pd.DataFrame(rows, columns=[c.split(" ")[0].strip("`") for c in OUTPUT.split(", ")])
 
 
 def run_stateless(routed: DataFrame, decode: Callable) -> DataFrame:

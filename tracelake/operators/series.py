@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
+from .decode import small
+from .ranges import Ranged, totals
+
 ORDER = ("t_us", "ordinal")
 
 
@@ -37,8 +41,7 @@ def even_positions(n: Column, limit: int) -> Column:
 
 
 def thin_evenly(samples: DataFrame, keys: list[str], limit: int) -> DataFrame:
-    w = series_window(keys)
-    at = samples.withColumn("position", (F.row_number().over(w) - 1).cast("long"))
+    at = Ranged(samples, keys, ORDER).position("position").done()
     n = at.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).select(*keys, F.explode(even_positions(F.col("n"), limit)).alias("position"))
     return at.join(n, [*keys, "position"], "left_semi")
 
@@ -49,11 +52,9 @@ def changes(samples: DataFrame, keys: list[str], gap_us: Column | None = None) -
     ``recovery`` after a gap or an unusable sample, ``state`` where a label takes part, else ``numeric``
     with the step as a share of the signal's range, 1 at most.
     """
-    w = series_window(keys)
-    ok = usable()
-    s = samples.withColumn("ok", ok).withColumn("before", F.lag(F.struct("t_us", "value", "value_label", "ok")).over(w))
-    whole = Window.partitionBy(*keys)
-    s = s.withColumn("lo", F.min(F.when(F.col("ok"), F.col("value"))).over(whole)).withColumn("hi", F.max(F.when(F.col("ok"), F.col("value"))).over(whole))
+    s = Ranged(samples.withColumn("ok", usable()), keys, ORDER).lag(before=F.struct("t_us", "value", "value_label", "ok")).done()
+    v = F.when(F.col("ok"), F.col("value"))
+    s = totals(s, keys, lo=F.min(v), hi=F.max(v))
     b = F.col("before")
     gap = (F.col("t_us") - b["t_us"] > gap_us) if gap_us is not None else F.lit(False)
     same = (F.col("value") == b["value"]) & F.col("value_label").eqNullSafe(b["value_label"])
@@ -67,11 +68,10 @@ def changes(samples: DataFrame, keys: list[str], gap_us: Column | None = None) -
 
 def slice_with_context(samples: DataFrame, keys: list[str], start_us: int, end_us: int) -> DataFrame:
     """Samples of a time range and one on each side of it."""
-    w = series_window(keys)
     inside = F.col("t_us").between(start_us, end_us)
-    s = samples.withColumn("inside", inside)
-    near = F.coalesce(F.lead("t_us").over(w) >= start_us, F.lit(False)) & (F.col("t_us") < start_us) | F.coalesce(F.lag("t_us").over(w) <= end_us, F.lit(False)) & (F.col("t_us") > end_us)
-    return s.withColumn("near", near).filter("inside or near").drop("near")
+    s = Ranged(samples.withColumn("inside", inside), keys, ORDER).lag(__before="t_us").lead(__after="t_us").done()
+    near = F.coalesce(F.col("__after") >= start_us, F.lit(False)) & (F.col("t_us") < start_us) | F.coalesce(F.col("__before") <= end_us, F.lit(False)) & (F.col("t_us") > end_us)
+    return s.filter(F.col("inside") | near).drop("__before", "__after")
 
 
 def clip_with_carried(samples: DataFrame, keys: list[str], start_us: int, end_us: int) -> DataFrame:
@@ -96,9 +96,8 @@ def cadence(samples: DataFrame, keys: list[str], pairs: int = 2048) -> DataFrame
 
     Up to ``pairs`` evenly picked neighbours count; without a positive step there is no threshold (null).
     """
-    w = series_window(keys)
-    s = samples.withColumn("ok", usable()).withColumn("position", F.row_number().over(w) - 1)
-    s = s.withColumn("step", F.col("t_us") - F.lag("t_us").over(w)).withColumn("both", F.col("ok") & F.lag("ok").over(w))
+    s = Ranged(samples.withColumn("ok", usable()), keys, ORDER).position("position").lag(__t="t_us", __ok="ok").done()
+    s = s.withColumn("step", F.col("t_us") - F.col("__t")).withColumn("both", F.col("ok") & F.col("__ok"))
     n = s.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     c = F.least(F.lit(pairs), F.col("n") - 1)
     picks = n.filter("n > 1").select(*keys, F.explode(F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda p: 1 + F.floor(p * (F.col("n") - 1) / c))).alias("position"))
@@ -111,22 +110,21 @@ def cadence(samples: DataFrame, keys: list[str], pairs: int = 2048) -> DataFrame
 
 def with_breaks(samples: DataFrame, keys: list[str], thresholds: DataFrame) -> DataFrame:
     """``breaks_before``: whether the line is broken between the sample before and this one."""
-    w = series_window(keys)
-    s = samples.join(thresholds, keys, "left").withColumn("ok", usable())
-    close = F.coalesce(F.col("t_us") - F.lag("t_us").over(w) <= F.coalesce("threshold_us", F.lit(2**62)), F.lit(True))
-    s = s.withColumns({"ok_before": F.lag("ok").over(w), "t_before": F.lag("t_us").over(w), "close": close})
+    s = samples.join(small(thresholds), keys, "left").withColumn("ok", usable())
+    s = Ranged(s, keys, ORDER).lag(ok_before="ok", t_before="t_us").done()
+    close = F.coalesce(F.col("t_us") - F.col("t_before") <= F.coalesce("threshold_us", F.lit(2**62)), F.lit(True))
+    s = s.withColumn("close", close)
     return s.withColumn("breaks_before", F.when(F.col("ok_before").isNull(), False).otherwise(~(F.col("ok") & F.col("ok_before") & F.col("close"))))
 
 
 def break_samples(samples: DataFrame, keys: list[str], thresholds: DataFrame) -> DataFrame:
     """Both samples at each end of a break; the inside of an invalid stretch is left out."""
-    w = series_window(keys)
     s = with_breaks(samples, keys, thresholds)
     mark = F.col("breaks_before") & (F.col("ok") | F.coalesce("ok_before", F.lit(False)))
-    s = s.withColumn("mark", mark)
-    first = F.lag("ok").over(w).isNull() & ~F.col("ok")
-    last = F.lead("ok").over(w).isNull() & ~F.col("ok")
-    s = s.withColumn("keep", F.col("mark") | F.coalesce(F.lead("mark").over(w), F.lit(False)) | first | last)
+    s = Ranged(s.withColumn("mark", mark), keys, ORDER).lead(ok_after="ok", mark_after="mark").done()
+    first = F.col("ok_before").isNull() & ~F.col("ok")
+    last = F.col("ok_after").isNull() & ~F.col("ok")
+    s = s.withColumn("keep", F.col("mark") | F.coalesce("mark_after", F.lit(False)) | first | last)
     return s.filter("keep").select(*samples.columns)
 
 
@@ -143,11 +141,10 @@ def gaps(samples: DataFrame, keys: list[str], thresholds: DataFrame, resolution_
 def extremes(samples: DataFrame, keys: list[str], runs: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
     """Of each of ``runs(keys, runs)`` equal runs: first, last, lowest, highest, and first and last break sample.
 
-    Ties keep the earlier sample. One window numbers the samples, one aggregation finds the positions.
+    Ties keep the earlier sample. Samples are numbered in ranges of time, one aggregation finds the positions.
     """
-    w = series_window(keys)
-    s = samples.withColumn("p", (F.row_number().over(w) - 1).cast("long")).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    s = s.join(runs, keys).withColumn("run", F.floor(((F.col("p") + 1) * F.col("runs") - 1) / F.col("n")))
+    s = totals(Ranged(samples, keys, ORDER).position("p").done(), keys, n=F.count(F.lit(1)))
+    s = s.join(small(runs), keys).withColumn("run", F.floor(((F.col("p") + 1) * F.col("runs") - 1) / F.col("n")))
     broken = F.lit(False)
     if breaks is not None:
         s = s.join(breaks.select(*keys, "ordinal", F.lit(True).alias("broken")), [*keys, "ordinal"], "left")
@@ -170,28 +167,51 @@ def thin(samples: DataFrame, keys: list[str], limit: int, breaks: DataFrame | No
 
     The counts that steer it are one row per series; short series are kept whole.
     """
-    n = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).cache()
-    small = samples.join(n.filter(F.col("n") <= limit), keys, "left_semi")
+    n = written(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    short = samples.join(small(n.filter(F.col("n") <= limit)), keys, "left_semi")
     runs = n.filter(F.col("n") > limit).select(*keys, "n", F.lit(limit // 6).cast("long").alias("runs"))
-    large = samples.join(runs, keys, "left_semi")
+    large = samples.join(small(runs), keys, "left_semi")
     for _ in range(3):
         got = extremes(large, keys, runs.select(*keys, "runs"), breaks).groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))
         tried = runs.join(got, keys).withColumn("next", F.least("n", F.floor(F.col("runs") * limit / F.col("got"))))
-        tried = tried.withColumn("try", (F.col("got") < 0.9 * limit) & (F.col("next") > F.col("runs"))).cache()
+        tried = written(tried.withColumn("try", (F.col("got") < 0.9 * limit) & (F.col("next") > F.col("runs"))))
         if not tried.filter("try").limit(1).count():
             break
         after = extremes(large, keys, tried.filter("try").select(*keys, F.col("next").alias("runs")), breaks).groupBy(*keys).agg(F.count(F.lit(1)).alias("then"))
         runs = tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs"))
-    return small.unionByName(extremes(large, keys, runs.select(*keys, "runs"), breaks))
+    return short.unionByName(extremes(large, keys, runs.select(*keys, "runs"), breaks))
 
 
 def pyramid(samples: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     """Summaries of blocks of samples: extremes, largest step and whether all are usable."""
-    w = series_window(keys)
-    s = samples.withColumn("block", F.floor((F.row_number().over(w) - 1) / block)).withColumn("ok", usable())
+    s = Ranged(samples.withColumn("ok", usable()), keys, ORDER).position("__p").done()
+    s = s.withColumn("block", F.floor(F.col("__p") / block))
     step = F.col("t_us") - F.lag("t_us").over(Window.partitionBy(*keys, "block").orderBy(*ORDER))
     v = F.when(F.col("ok"), F.col("value"))
     return s.withColumn("step", step).groupBy(*keys, "block").agg(
         F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.min(v).alias("lo"), F.max(v).alias("hi"),
         F.max("step").alias("max_step_us"), F.min("ok").alias("all_usable"),
     )
+
+
+def time_extent(samples: DataFrame, ids: list[str], shift_us: str | None = None) -> DataFrame:
+    """``first_us, last_us`` of the signals asked for, by shifted time if a column of shifts is named; carried samples do not count."""
+    s = samples.filter(F.col("signal_id").isin(ids))
+    if "carried" in samples.columns:
+        s = s.filter(~F.col("carried"))
+    t = F.col("t_us") - F.col(shift_us) if shift_us else F.col("t_us")
+    return s.agg(F.min(t).alias("first_us"), F.max(t).alias("last_us"))
+
+
+def of_frames(samples: DataFrame, frames: DataFrame) -> DataFrame:
+    """All samples of the listed frames, with ``repeat``: the place of a sample among those that its signal has in the frame."""
+    listed = frames.select("source_id", "ordinal").distinct()
+    n = F.row_number().over(Window.partitionBy("source_id", "ordinal", "signal_id").orderBy("seq"))
+    return samples.join(small(listed), ["source_id", "ordinal"], "left_semi").withColumn("repeat", n)
+
+
+def variants(samples: DataFrame, keys: list[str], name: str = "name", unit: str = "unit") -> DataFrame:
+    """Signals whose samples carry their own names or units: ``variants``, the first name and unit, and whether either changes."""
+    pair = F.struct(F.col(name).alias("name"), F.col(unit).alias("unit"))
+    g = samples.groupBy(*keys).agg(F.count_distinct(pair).alias("variants"), F.min_by(pair, F.struct(*ORDER)).alias("__first"))
+    return g.select(*keys, "variants", F.col("__first.name").alias("name"), F.col("__first.unit").alias("unit"), (F.col("variants") > 1).alias("varies"))

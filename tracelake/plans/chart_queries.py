@@ -60,9 +60,25 @@ def normalised(spark, sf):
     return O.normalise(samples(spark, sf), KEY).select("signal_id", "ordinal", F.round("share", 9).alias("share"))
 
 
-@query("C2", f"SELECT signal_id, least(0.0::DOUBLE, coalesce(min(value) FILTER (usable AND t_us BETWEEN {FROM} AND {TO}), min(value) FILTER (usable))) AS lo, greatest(0.0::DOUBLE, coalesce(max(value) FILTER (usable AND t_us BETWEEN {FROM} AND {TO}), max(value) FILTER (usable))) AS hi FROM sa GROUP BY signal_id")
+_SEEN = f"t_us BETWEEN {FROM} AND {TO}"
+
+
+@query("C2", f"""SELECT signal_id, 'visible' AS mode, least(0.0::DOUBLE, coalesce(min(value) FILTER (usable AND {_SEEN}), min(value) FILTER (usable))) AS lo, greatest(0.0::DOUBLE, coalesce(max(value) FILTER (usable AND {_SEEN}), max(value) FILTER (usable))) AS hi FROM sa GROUP BY signal_id
+ UNION ALL SELECT signal_id, 'global', min(value * 3.6::DOUBLE + 1) FILTER (usable), max(value * 3.6::DOUBLE + 1) FILTER (usable) FROM sa GROUP BY signal_id UNION ALL SELECT DISTINCT signal_id, 'manual', -5.0::DOUBLE, 20.0::DOUBLE FROM sa
+ UNION ALL SELECT signal_id, 'shifted', coalesce(min(value) FILTER (usable AND t_us - sh BETWEEN 0 AND 86400000000), min(value) FILTER (usable)), coalesce(max(value) FILTER (usable AND t_us - sh BETWEEN 0 AND 86400000000), max(value) FILTER (usable)) FROM (SELECT *, min(t_us) OVER (PARTITION BY source_id) AS sh FROM sa) GROUP BY signal_id""")
 def ranges(spark, sf):
-    return O.value_range(samples(spark, sf), KEY, FROM, TO, True)
+    """Visible with zero, global in another unit, manual, and by each log's own time."""
+    s = samples(spark, sf)
+    shifted = S.totals(s, ["source_id"], sh=F.min("t_us"))
+    parts = {
+        "visible": O.value_range(s, KEY, FROM, TO, True), "global": O.value_range(s, KEY, FROM, TO, mode="global", scale=3.6, shift=1.0), "manual": O.value_range(s, KEY, FROM, TO, mode="manual", manual=(20.0, -5.0)),
+        "shifted": O.value_range(shifted, KEY, 0, 86400000000, shift_us="sh"),
+    }
+    out = None
+    for mode, part in parts.items():
+        part = part.select("signal_id", F.lit(mode).alias("mode"), "lo", "hi")
+        out = part if out is None else out.union(part)
+    return out
 
 
 _LINE = """, g AS (SELECT signal_id, bt AS a, t_us AS b FROM (SELECT *, lag(t_us) OVER (PARTITION BY signal_id ORDER BY t_us) AS bt FROM sa) WHERE t_us - bt > 5400000000),
@@ -105,11 +121,12 @@ def runs(spark, sf):
     return O.drawable_runs(samples(spark, sf), KEY, F.lit(5400000000), 1000).select("signal_id", "ordinal", "t_us", "run")
 
 
-@query("C6", _RUN + f""", v AS (SELECT signal_id, min(value) AS lo, max(value) AS hi FROM q WHERE usable AND t_us BETWEEN {FROM} AND {TO} GROUP BY signal_id) SELECT signal_id, lo, hi, NOT (hi - lo > greatest(abs(lo), abs(hi)) * 1e-12) AS flat FROM v""")
+@query("C6", _RUN + f""", n AS (SELECT *, lead(t_us) OVER w AS nt, lead(value) OVER w AS nv, lead(run) OVER w AS nr FROM (SELECT * FROM q WHERE usable) WINDOW w AS (PARTITION BY signal_id ORDER BY t_us, ordinal)),
+ e AS (SELECT signal_id, value AS v FROM n WHERE t_us BETWEEN {FROM} AND {TO} UNION ALL SELECT signal_id, value + (nv - value) * ((x - t_us)::DOUBLE / (nt - t_us)) FROM n, (VALUES ({FROM}), ({TO})) t(x) WHERE nr = run AND t_us < x AND nt > x),
+ v AS (SELECT signal_id, min(v) AS lo, max(v) AS hi FROM e GROUP BY signal_id) SELECT signal_id, round(lo, 9) AS lo, round(hi, 9) AS hi, NOT (hi - lo > greatest(abs(lo), abs(hi)) * 1e-12) AS flat FROM v""")
 def lanes(spark, sf):
-    r = O.drawable_runs(samples(spark, sf), KEY, F.lit(5400000000)).filter(F.col("t_us").between(FROM, TO))
-    g = r.groupBy("signal_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    return g.withColumn("flat", ~(F.col("hi") - F.col("lo") > F.greatest(F.abs("lo"), F.abs("hi")) * 1e-12))
+    g = O.lane_extremes(samples(spark, sf), KEY, F.lit(5400000000), FROM, TO)
+    return g.select("signal_id", F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"), "flat")
 
 
 @query("C7", ", pr AS (SELECT DISTINCT (t_us // 7200000000) * 7200000000 AS probe FROM fr) SELECT probe, (SELECT arg_min(t_us, {'d': abs(t_us - probe), 't': t_us}) FROM sa WHERE usable AND signal_id IN ('click', 'error')) AS nearest_us FROM pr")
@@ -139,9 +156,16 @@ def points(spark, sf):
     return _points(spark, sf)
 
 
+@query("J1_thinned", _TRJ + """, p AS (SELECT *, row_number() OVER (ORDER BY t_us, k) - 1 AS p, count(*) OVER () AS n FROM pt), r AS (SELECT *, ((p + 1) * 7 - 1) // n AS run FROM p),
+ e AS (SELECT unnest([min(p), max(p), arg_min(p, {'v': x, 'p': p}), arg_min(p, {'v': -x, 'p': p}), arg_min(p, {'v': y, 'p': p}), arg_min(p, {'v': -y, 'p': p}), arg_min(p, {'v': z, 'p': p}), arg_min(p, {'v': -z, 'p': p})]) AS p FROM r GROUP BY run)
+ SELECT t_us, k, x, y, z FROM r WHERE p IN (SELECT p FROM e)""")
+def thinned_points(spark, sf):
+    return O.thin_points(_points(spark, sf), 60)
+
+
 @query("J2", _TRJ + " SELECT t_us, k FROM pt WHERE t_us BETWEEN 1705500000000000 - 3600000000 AND 1705500000000000")
 def trail(spark, sf):
-    return _points(spark, sf).filter(F.col("t_us").between(TO - 3600000000, TO)).select("t_us", "k")
+    return O.recent(_points(spark, sf), TO, 3600000000).select("t_us", "k")
 
 
 _ONE = ", p1 AS (SELECT t_us, 1 AS k, value AS x, user_id::DOUBLE AS y FROM fr)"
@@ -171,24 +195,17 @@ def measured(spark, sf):
 
 @query("J5", _TRJ + " SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1, (min(x) + max(x)) / 2 AS cx, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS span FROM pt")
 def extent(spark, sf):
-    p = _points(spark, sf)
-    span = F.greatest(*(F.max(c) - F.min(c) for c in "xyz"))
-    return p.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), ((F.min("x") + F.max("x")) / 2).alias("cx"), span.alias("span"))
+    return O.extent(_points(spark, sf)).select("x0", "x1", "y0", "y1", "cx", "span")
 
 
 @query("P1", "SELECT source_id, channel, min(ordinal) AS ordinal FROM fr GROUP BY ALL")
 def unique_targets(spark, sf):
-    w = Window.partitionBy("source_id", "channel").orderBy("ordinal")
-    return events(spark, sf).withColumn("n", F.row_number().over(w)).filter("n = 1").select("source_id", "channel", "ordinal")
+    return O.unique_targets(events(spark, sf), ["source_id", "channel"]).select("source_id", "channel", "ordinal")
 
 
 @query("P2", ", st AS (SELECT source_id, min(t_us) AS start FROM fr GROUP BY 1) SELECT ordinal, t_us - (start + 2500000) AS at_us FROM fr JOIN st USING (source_id)")
 def overlaid(spark, sf):
-    f = frames(spark, sf)
-    start = f.groupBy("source_id").agg(F.min("t_us").alias("start"))
-    from ..operators.decode import small
-
-    return f.join(small(start), "source_id").select("ordinal", (F.col("t_us") - (F.col("start") + 2500000)).alias("at_us"))
+    return O.overlaid(frames(spark, sf), ["source_id"], 2500000).select("ordinal", "at_us")
 
 
 _TIMES = ", ends AS (SELECT source_id, min(t_us) AS lo, max(t_us) AS hi FROM fr GROUP BY 1)"
@@ -215,20 +232,25 @@ def stepped(spark, sf):
 @query("P5", """, o AS (SELECT user_id AS signal, list_sort(list(DISTINCT source_id || '/' || channel)) AS owners FROM fr GROUP BY 1), a AS (SELECT count(DISTINCT (source_id, channel)) AS n FROM fr)
  SELECT signal, array_to_string(owners, ',') AS owners, len(owners) = n AS common, n - len(owners) < len(owners) AS name_missing FROM o, a""")
 def owners(spark, sf):
-    e = events(spark, sf).withColumn("target", F.concat("source_id", F.lit("/"), "channel"))
-    n = e.select("target").distinct().agg(F.count(F.lit(1)).alias("n"))
-    o = e.groupBy(F.col("user_id").alias("signal")).agg(F.array_sort(F.collect_set("target")).alias("owners")).crossJoin(F.broadcast(n))
-    return o.select("signal", F.array_join("owners", ",").alias("owners"), (F.size("owners") == F.col("n")).alias("common"), (F.col("n") - F.size("owners") < F.size("owners")).alias("name_missing"))
+    e = events(spark, sf).select(F.col("user_id").alias("signal"), F.concat("source_id", F.lit("/"), "channel").alias("target"))
+    return O.signal_owners(e, "signal", "target").withColumn("owners", F.array_join("owners", ","))
 
 
-@query("P6", """, p AS (SELECT source_id, signal_id, ordinal, value, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY source_id, signal_id) AS n FROM sa WHERE signal_id IN ('click', 'view') WINDOW w AS (PARTITION BY source_id, signal_id ORDER BY t_us, ordinal)),
- r AS (SELECT *, ((p + 1) * 15 - 1) // n AS run FROM p),
- x AS (SELECT source_id, signal_id, unnest([min(p), max(p), arg_min(p, {'v': value, 'p': p}) FILTER (value IS NOT NULL), arg_min(p, {'v': -value, 'p': p}) FILTER (value IS NOT NULL)]) AS p FROM r GROUP BY source_id, signal_id, run)
- SELECT DISTINCT r.source_id, r.signal_id, r.ordinal FROM r JOIN x ON r.source_id = x.source_id AND r.signal_id = x.signal_id AND r.p = x.p""")
+@query("P6", "SELECT source_id, signal_id, ordinal FROM sa WHERE signal_id IN ('click', 'view') QUALIFY count(*) OVER (PARTITION BY source_id, signal_id) <= least(4000, 100000 // (SELECT 2 * count(DISTINCT source_id) FROM sa WHERE signal_id IN ('click', 'view')))")
 def per_target(spark, sf):
-    s = samples(spark, sf).filter(F.col("signal_id").isin("click", "view"))
-    keys = ["source_id", "signal_id"]
-    return S.extremes(s, keys, s.select(*keys).distinct().withColumn("runs", F.lit(15).cast("long"))).select(*keys, "ordinal")
+    """Series within the budget of all targets and signals are whole (the SQL has only those); beyond it they are thinned as in G12_budget."""
+    return O.compared_series(samples(spark, sf), ["click", "view"]).select("source_id", "signal_id", "ordinal")
+
+
+@query("P6_budget", "SELECT source_id, signal_id, true AS within FROM sa WHERE signal_id IN ('click', 'view') GROUP BY ALL")
+def per_target_budget(spark, sf):
+    """A tenth of the budget: every series keeps its extremes and stays inside."""
+    s = samples(spark, sf)
+    total = 400
+    g = O.compared_series(s, ["click", "view"], total=total).groupBy("source_id", "signal_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(S.usable(), F.col("value"))).alias("hi"))
+    whole = s.groupBy("source_id", "signal_id").agg(F.max(F.when(S.usable(), F.col("value"))).alias("top"))
+    n = s.select("source_id").distinct().count()
+    return g.join(whole, ["source_id", "signal_id"]).select("source_id", "signal_id", ((F.col("n") <= O.point_budget(n, 2, total)) & (F.col("hi") == F.col("top"))).alias("within"))
 
 
 _CLIPS = f", cl AS (SELECT * FROM (VALUES ('log0', 'a', {FROM}, {TO}), ('log1', 'a', {FROM}, {FROM} + 90000000000), ('log1', 'b', {FROM}, {TO} + 5), ('log9', 'c', 0, 1)) t(source_id, clip_id, start_us, end_us))"

@@ -28,10 +28,17 @@ def overlays(spark, sf):
     return O.overlay(d, ["can_id", "extended"])
 
 
-@query("L3", "SELECT user_id AS signal_id, count(DISTINCT can_id) AS frames FROM fr WHERE k < 10 GROUP BY user_id HAVING count(DISTINCT can_id) > 1")
+@query("L1_parents", "SELECT * FROM (VALUES ('root', ''), ('root/log1', 'root'), ('root/log1/ch2', 'root/log1'), ('root/log', 'root'), ('', NULL)) t(folder, parent) WHERE EXISTS (SELECT 1 FROM fr)")
+def parents(spark, sf):
+    """Levels that logs of the events lie in, and the level above each."""
+    found = events(spark, sf).select(F.explode(F.array(*map(F.lit, ("", "root", "root/log1", "root/log1/ch2", "root/log")))).alias("folder")).distinct()
+    return O.parent_level(found)
+
+
+@query("L3", "SELECT user_id * 100 + k AS signal_id, count(DISTINCT can_id) AS frames FROM fr GROUP BY 1 HAVING count(DISTINCT can_id) > 1")
 def shared_ids(spark, sf):
-    e = events(spark, sf).filter("k < 10").groupBy(F.col("user_id").alias("signal_id")).agg(F.count_distinct("can_id").alias("frames"))
-    return e.filter("frames > 1")
+    d = events(spark, sf).select((F.col("user_id") * 100 + F.col("k")).alias("signal_id"), "can_id", "extended")
+    return O.shared_ids(d, ["can_id", "extended"])
 
 
 @query("L6", "SELECT p_partkey AS def_id, CASE WHEN p_partkey % 7 = 0 THEN 'removed' WHEN p_partkey % 5 = 0 THEN 'changed' END AS kind FROM part WHERE p_partkey % 7 = 0 OR p_partkey % 5 = 0 UNION ALL SELECT -1, 'added'", base=False)
@@ -43,6 +50,26 @@ def changed(spark, sf):
     return O.changed_definitions(old, new)
 
 
+@query("L6_keys", "SELECT DISTINCT p_partkey // 2 AS can_id, false AS extended FROM part WHERE p_partkey % 5 = 0 UNION SELECT DISTINCT 100000 + p_partkey, true FROM part WHERE p_partkey % 5 = 0", base=False)
+def keys_to_decode(spark, sf):
+    """Every fifth definition moves to another id: the frames of the old id and of the new one are to be decoded again."""
+    old = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("def_id"), F.floor(F.col("p_partkey") / 2).cast("long").alias("can_id"), F.lit(False).alias("extended"))
+    moved = F.col("def_id") % 5 == 0
+    new = old.select("def_id", F.when(moved, F.col("def_id") + 100000).otherwise(F.col("can_id")).alias("can_id"), moved.alias("extended"))
+    return O.keys_to_decode(old, new, O.changed_definitions(old, new))
+
+
+@query("L6_rebuild", "SELECT 'definition' AS kind, false AS rebuild UNION ALL SELECT 'plugin', count(*) > 0 FROM part UNION ALL SELECT 'csv', count(*) > 0 FROM part UNION ALL SELECT 'routing', count(*) > 0 FROM part", base=False)
+def full_rebuild(spark, sf):
+    """A change of any setting of a kind, for each kind."""
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    out = []
+    for kind in ("definition", "plugin", "csv", "routing"):
+        old = p.select(F.lit(kind).alias("kind"), F.col("p_partkey").alias("id"), "p_size")
+        out.append((kind, O.needs_full_rebuild(old, old.withColumn("p_size", F.col("p_size") + (F.col("id") % 10 == 0).cast("int")))))
+    return spark.createDataFrame(out, "kind string, rebuild boolean")
+
+
 @query("L7", "SELECT ordinal, event_type || '.value' AS signal_id, CASE WHEN event_type = 'view' THEN raw::DOUBLE / 10 ELSE raw::DOUBLE / 100 END AS value FROM fr")
 def redecoded(spark, sf):
     """Decode once, change one definition, decode its frames alone and put them in."""
@@ -150,15 +177,33 @@ def quoted(spark, sf):
     return p.select(F.col("p_partkey").alias("part"), cell.alias("cell"))
 
 
-@query("N5", "SELECT p_partkey AS project, 'c' || p_size AS clip, p_size::DOUBLE AS start_s, coalesce(nullif(p_partkey % 5, 0), 1)::INTEGER AS version FROM part WHERE p_size > 10", base=False)
+_PROJECTS = "WITH p AS (SELECT *, p_partkey % 6 AS v FROM part) "
+
+
+def _projects(spark, sf):
+    p = spark.read.parquet(f"{sf}/part.parquet")
+    text = F.format_string(
+        '{"version": %d, "frames": [{"id": "f%d", "canId": %d}], "clips": [{"id": "c%d", "name": "clip", "start": %d, "end": %d}, {"id": "bad"}], "groups": [{"id": "g", "members": []}, {"id": "h", "members": ["f"]}]}',
+        F.col("p_partkey") % 6, "p_partkey", F.col("p_partkey") * 10, "p_size", "p_size", F.when(F.col("p_size") > 10, F.col("p_size") + 1).otherwise(F.col("p_size")),
+    )
+    return O.parse_projects(p.select(F.col("p_partkey").alias("project"), F.when(F.col("p_partkey") % 50 == 49, "no json").otherwise(text).alias("text")))
+
+
+@query("N5", _PROJECTS + "SELECT p_partkey AS project, 'c' || p_size AS clip, 'clip' AS name, '' AS source_path, p_size::DOUBLE AS start_s FROM p WHERE v BETWEEN 1 AND 4 AND p_size > 10 AND p_partkey % 50 <> 49", base=False)
 def projects(spark, sf):
     """Project texts become definition tables; clips without a valid range are left out."""
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    body = F.format_string('{"version": %d, "clips": [{"id": "c%d", "start": %d, "end": %d}, {"id": "bad"}]}', F.coalesce(F.nullif(F.col("p_partkey") % 5, F.lit(0)), F.lit(1)), "p_size", "p_size", F.when(F.col("p_size") > 10, F.col("p_size") + 1).otherwise(F.col("p_size")))
-    schema = "version int, clips array<struct<id:string, start:double, `end`:double>>"
-    j = p.select(F.col("p_partkey").alias("project"), F.from_json(body, schema).alias("j")).filter("j.version between 1 and 4")
-    c = j.select("project", "j.version", F.explode("j.clips").alias("c")).select("project", F.col("c.id").alias("clip"), F.col("c.start").alias("start_s"), F.col("c.end").alias("end_s"), "version")
-    return O.valid_clips(c)[0].drop("end_s")
+    return _projects(spark, sf)[2].drop("end_s")
+
+
+@query("N5_frames", _PROJECTS + "SELECT p_partkey AS project, 'f' || p_partkey AS def_id, (p_partkey * 10)::INTEGER AS can_id, p_partkey * 10 > 2047 AS extended, 'f' || p_partkey AS name, 8 AS frame_bytes FROM p WHERE v BETWEEN 1 AND 4 AND p_partkey % 50 <> 49", base=False)
+def project_frames(spark, sf):
+    """Missing names, flags and lengths get their defaults."""
+    return _projects(spark, sf)[1]
+
+
+@query("N5_report", _PROJECTS + "SELECT p_partkey AS project, 'PROJECT_VERSION' AS code, NULL AS id FROM p WHERE v NOT BETWEEN 1 AND 4 OR p_partkey % 50 = 49 UNION ALL SELECT p_partkey, 'CLIP_INVALID', 'bad' FROM p WHERE v BETWEEN 1 AND 4 AND p_partkey % 50 <> 49 UNION ALL SELECT p_partkey, 'CLIP_INVALID', 'c' || p_size FROM p WHERE v BETWEEN 1 AND 4 AND p_partkey % 50 <> 49 AND p_size <= 10 UNION ALL SELECT p_partkey, 'GROUP_INVALID', 'g' FROM p WHERE v BETWEEN 1 AND 4 AND p_partkey % 50 <> 49", base=False)
+def project_report(spark, sf):
+    return _projects(spark, sf)[3]
 
 
 _REF = ", rf AS (SELECT *, CASE WHEN source_id = 'log0' THEN 0 ELSE 1704067200000000 END AS off, CASE WHEN mux = 1 THEN 540::BIGINT END AS utc FROM fr)"

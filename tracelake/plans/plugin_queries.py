@@ -18,7 +18,7 @@ def decode_value(data, row):
     if mux == 2 and k >= 50:
         raise ValueError("cannot decode")
     raw = int.from_bytes(data[:4], "little")
-    yield {"signal": "value", "value": float("nan") if k == 0 else raw / 100}
+    yield {"signal": "value", "name": "Value", "unit": "m", "group": f"mux {mux}", "quality": "invalid" if k % 17 == 0 else "valid", "value": float("nan") if k == 0 else raw / 100}
     if k == 1:
         yield {"event": "one", "label": "k is 1"}
 
@@ -39,10 +39,10 @@ _ON = "event_type IN ('click', 'view', 'purchase')"
 _B = "CASE event_type WHEN 'click' THEN 'b0' WHEN 'view' THEN 'b1' ELSE 'b4' END"
 
 
-@query("X1", f"SELECT ordinal, 'plugin:p:' || {_B} || ':value' AS signal_id, raw::DOUBLE / 100 AS value FROM fr WHERE {_ON} AND k <> 0 AND NOT (mux = 2 AND k >= 50)")
+@query("X1", f"SELECT ordinal, 'plugin:p:' || {_B} || ':value' AS signal_id, raw::DOUBLE / 100 AS value, 'Value' AS name, 'm' AS unit, 'mux ' || mux AS grp, CASE WHEN k % 17 = 0 THEN 'invalid' ELSE 'valid' END AS quality FROM fr WHERE {_ON} AND k <> 0 AND NOT (mux = 2 AND k >= 50)")
 def stateless(spark, sf):
     out = O.run_stateless(O.route(frames(spark, sf), _bindings(spark)), decode_value)
-    return out.filter("kind = 'sample'").select("ordinal", "signal_id", "value")
+    return out.filter("kind = 'sample'").select("ordinal", "signal_id", "value", "name", "unit", F.col("group").alias("grp"), "quality")
 
 
 @query("X2", f"SELECT ordinal, count(*) OVER w::DOUBLE AS n, sum(user_id) OVER w::DOUBLE AS users FROM fr WHERE {_ON} WINDOW w AS (PARTITION BY source_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)".replace("count(*) OVER w::DOUBLE", "(count(*) OVER w)::DOUBLE").replace("sum(user_id) OVER w::DOUBLE", "(sum(user_id) OVER w)::DOUBLE"))

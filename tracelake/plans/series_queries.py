@@ -144,9 +144,13 @@ def global_range(spark, sf):
     return samples(spark, sf).filter(O.usable()).groupBy("signal_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
 
 
-@query("G16", "SELECT min(t_us) AS first_us, max(t_us) AS last_us FROM sa WHERE signal_id IN ('click', 'view')")
+@query("G16", "SELECT min(t_us) AS first_us, max(t_us) AS last_us, 'own' AS time FROM sa WHERE signal_id IN ('click', 'view') UNION ALL SELECT min(t_us - sh), max(t_us - sh), 'shifted' FROM (SELECT *, min(t_us) OVER (PARTITION BY source_id) AS sh FROM sa) WHERE signal_id IN ('click', 'view') AND ordinal % 100 <> 0")
 def full_range(spark, sf):
-    return samples(spark, sf).filter(F.col("signal_id").isin("click", "view")).agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    """By own times, and by each log's own start with carried samples (here every hundredth) left out."""
+    s = samples(spark, sf)
+    shifted = O.totals(s, ["source_id"], sh=F.min("t_us")).withColumn("carried", F.col("ordinal") % 100 == 0)
+    ids = ["click", "view"]
+    return O.time_extent(s, ids).withColumn("time", F.lit("own")).union(O.time_extent(shifted, ids, "sh").withColumn("time", F.lit("shifted")))
 
 
 _NEAR = """, pr AS (SELECT DISTINCT signal_id, (t_us // 7200000000) * 7200000000 AS probe FROM sa),
@@ -197,15 +201,18 @@ def replaced(spark, sf):
     return replace_definitions(s, fresh, changed, ["signal_id"]).select("signal_id", "ordinal", "value")
 
 
-@query("G22", "SELECT ordinal, signal_id, value FROM sa WHERE ordinal BETWEEN 10 AND 20")
+@query("G22", ", l AS (SELECT source_id, ordinal FROM fr WHERE k % 7 = 0), x AS (SELECT source_id, ordinal, signal_id, value, 0 AS seq FROM sa UNION ALL SELECT source_id, ordinal, signal_id, value, 1 FROM sa WHERE ordinal % 2 = 0) SELECT ordinal, signal_id, value, row_number() OVER (PARTITION BY source_id, ordinal, signal_id ORDER BY seq)::INTEGER AS repeat FROM x JOIN l USING (source_id, ordinal)")
 def of_frames(spark, sf):
-    return marked(spark, sf).filter("ordinal between 10 and 20").select("ordinal", "signal_id", "value")
+    """Samples of listed frames; in every second frame a signal has two, as plugins may give."""
+    s = marked(spark, sf)
+    s = s.union(s.filter("ordinal % 2 = 0").withColumn("seq", F.lit(1)).select(*s.columns))
+    return O.of_frames(s, events(spark, sf).filter("k % 7 = 0")).select("ordinal", "signal_id", "value", "repeat")
 
 
-@query("G23", "SELECT signal_id, count(DISTINCT channel) AS variants, min('ch' || channel) AS name FROM sa JOIN fr USING (ordinal) GROUP BY signal_id")
+@query("G23", "SELECT event_type AS signal_id, count(DISTINCT (channel, k % 3)) AS variants, 'ch' || arg_min(channel, t_us) AS name, 'u' || arg_min(k % 3, t_us) AS unit, count(DISTINCT (channel, k % 3)) > 1 AS varies FROM fr GROUP BY 1")
 def variants(spark, sf):
-    v = events(spark, sf).select(F.col("event_type").alias("signal_id"), F.concat(F.lit("ch"), "channel").alias("name_variant"))
-    return v.groupBy("signal_id").agg(F.count_distinct("name_variant").alias("variants"), F.min("name_variant").alias("name"))
+    v = events(spark, sf).select(F.col("event_type").alias("signal_id"), "t_us", "ordinal", F.concat(F.lit("ch"), "channel").alias("name"), F.concat(F.lit("u"), F.col("k") % 3).alias("unit"))
+    return O.variants(v, KEY)
 
 
 @query("G24", """, p AS (SELECT *, (row_number() OVER (PARTITION BY signal_id ORDER BY t_us, ordinal) - 1) // 64 AS block FROM sa),
