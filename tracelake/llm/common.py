@@ -20,10 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session leaves it unset (tests, local runs) a temporary folder is used.
+    Only where a local session leaves it unset (tests) a temporary folder is used; on a cluster other
+    executors could not read such a folder, so there an unset folder is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -32,12 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back.
 
-    Cuts the lineage with files that outlive any executor; readers prune columns.
+    Cuts the lineage with files that outlive any executor; readers prune columns. ``discard`` removes
+    the files of tables that no later step reads.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables made by ``materialise``; nothing may read them afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -70,11 +84,22 @@ def fingerprint(df: DataFrame) -> tuple:
     return tuple(row)
 
 
+#: Rows of a node are dealt over so many keys where edges meet their node's minimum, so that a star is no hot key.
+STAR_SALT = 16
+
+
+def _with_minimum(edges: DataFrame, minima: DataFrame) -> DataFrame:
+    """``edges(u, v)`` with the ``m`` of their node ``u``; the minima, a row a node, are repeated for each salt."""
+    salted = minima.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(STAR_SALT - 1))))
+    own = F.pmod(F.xxhash64("v"), F.lit(STAR_SALT)).cast("int")
+    return edges.withColumn("__salt", own).join(salted, ["u", "__salt"]).drop("__salt")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """Component of each node of ``edges(a, b)``: ``(node, root)``, root the smallest node.
 
-    Alternates large-star and small-star steps (each is a grouped minimum and a join on the node)
-    until the edge set stands still; every round is written to the shared folder. Loops and
+    Alternates large-star and small-star steps (each is a grouped minimum and a salted join on the node)
+    until the edge set stands still; every round is written to the shared folder and the one before deleted. Loops and
     repeated edges are harmless; an empty edge table gives an empty result.
     """
     links = materialise(
@@ -86,10 +111,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
             break
         both = links.union(links.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = _with_minimum(both, least).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = materialise(small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        small = _with_minimum(large, low).filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, links = links, materialise(small.union(low.select("u", F.col("m").alias("v"))).filter("u > v").distinct())
+        discard(old)
         now = fingerprint(links)
         if now == seen:
             break

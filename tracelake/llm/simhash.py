@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, connected_components, materialise
+from .common import broadcast_if_small, connected_components, discard, materialise
 
 #: First bit and number of bits of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
@@ -51,8 +51,12 @@ def hash_shingles(text: bytes, shingle: int = SHINGLE_WORDS) -> np.ndarray:
 
 
 def simhash(text: bytes | None, shingle: int = SHINGLE_WORDS) -> int:
-    """A bit is 1 if it is set in over half the shingle hashes; without words all bits are 0."""
-    h = hash_shingles(text or b"", shingle)
+    """Fingerprint of a text; without words all bits are 0."""
+    return fingerprint_of(hash_shingles(text or b"", shingle))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """A bit is 1 if it is set in over half the hashes."""
     counts = np.zeros(64, np.int64)
     for part in range(0, len(h), 4096):
         bits = np.unpackbits(h[part : part + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
@@ -198,11 +202,11 @@ def linked(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> D
     """Links ``(a, b)`` that connect all fingerprints of ``distinct(fp)`` within ``max_bits`` of each other.
 
     An anchor with more than ``tile`` fingerprints is cut by a hash into tiles; its homes and visitors
-    are compared tile by tile, so that no task holds more than about two tiles.
+    are compared tile by tile, so that no task holds more than about two tiles. The links are written out.
     """
     if max_bits > 3 * (BLOCK_THRESHOLD + 1) - 2:
         raise ValueError(f"three blocks find at most {3 * (BLOCK_THRESHOLD + 1) - 2} differing bits")
-    rows = replicate(distinct)
+    rows = materialise(replicate(distinct))
     hot = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > tile)
     hot = materialise(hot.select("anchor", F.ceil(F.col("n") / tile).cast("int").alias("tiles")))
     placed = rows.join(broadcast_if_small(hot, MAX_BROADCAST_ANCHORS), "anchor", "left")
@@ -213,7 +217,9 @@ def linked(distinct: DataFrame, max_bits: int = MAX_BITS, tile: int = TILE) -> D
     homes = placed.filter("tiles is not null and home").select("anchor", own.alias("home_tile"), every.alias("tile"), "fp", F.lit(True).alias("home"), F.lit(False).alias("visits"))
     keys = ["anchor", "home_tile", "tile"]
     dealt = cool.union(visitors).union(homes).repartition(*keys).sortWithinPartitions(*keys)
-    return dealt.mapInArrow(_compare(max_bits), "a long, b long")
+    out = materialise(dealt.mapInArrow(_compare(max_bits), "a long, b long"))
+    discard(rows, hot)
+    return out
 
 
 def near_duplicates(
@@ -234,11 +240,12 @@ def near_duplicates(
     """
     prints = materialise(fingerprints(docs, id_col, text_col, shingle))
     distinct = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(materialise(linked(distinct, max_bits, tile)))
+    roots = connected_components(linked(distinct, max_bits, tile))
     roots = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = roots.groupBy("root").agg(F.min("least").alias("least_of_all"))
     found = materialise(roots.join(least, "root").select("fp", "least_of_all"))
     of = materialise(distinct.join(found, "fp", "left").select("fp", F.coalesce("least_of_all", "least").alias("component_id")))
+    discard(distinct, found)
     hex_fp = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
     return prints.join(of, "fp").select("doc_id", hex_fp, "component_id")
 
