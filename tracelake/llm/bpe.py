@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding with a pair occurrence index.
 
 Spark splits texts into words with a regular expression in the JVM; an Arrow batch holds the words of
-many documents. Its distinct words are laid out in one array of symbols. An index maps each pair rank
+many documents. The distinct words of each part of it, some megabytes, are laid out in one array of symbols. An index maps each pair rank
 to all positions where the pair occurs; the active ranks are taken in ascending order from a heap, all
 occurrences of a rank merge at once, and the lists of the pairs next to them are updated.
 """
@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 _S = r"\x09-\x0D\x20\x85\xA0" + "{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: The split before merges that belongs to the vocabulary (fixed value).
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Words of this many bytes of text are laid out at once.
-BATCH_BYTES = 16 << 20
+#: Words of this many bytes of text are laid out at once, across documents.
+PART_BYTES = 2 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -49,20 +49,19 @@ class Vocabulary:
                 self.bytes[i] = bytes(alphabet[c] for c in token)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.table = pa.array(self.bytes, pa.large_binary())
-        self.of_byte = np.zeros(256, np.int64)
+        self.of_byte = np.zeros(256, np.int32)
         for c, b in alphabet.items():
             self.of_byte[b] = vocab[c]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         key = np.array([vocab[a] * self.n + vocab[b] for a, b in pairs], np.int64)
-        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
-        self.left, self.right = key // self.n, key % self.n
+        self.merged = np.array([vocab[a + b] for a, b in pairs], np.int32)
+        self.left, self.right = (key // self.n).astype(np.int32), (key % self.n).astype(np.int32)
         order = np.argsort(key)
-        self.keys, self.rank_of = key[order], order
+        self.keys, self.rank_of = key[order], order.astype(np.int32)
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Merge rank of each pair, -1 for none."""
-        key = a * self.n + b
+        key = a.astype(np.int64) * self.n + b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (b >= 0) & (a >= 0), self.rank_of[at], -1)
 
@@ -102,19 +101,19 @@ class PairIndex:
 def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words in a row, and where each word's ids begin (one more entry at the end)."""
     if not words:
-        return np.empty(0, np.int64), np.zeros(1, np.int64)
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
     data = np.frombuffer(b"".join(words), np.uint8)
     lengths = np.fromiter(map(len, words), np.int64, len(words))
     symbols = vocab.of_byte[data]
     n = len(symbols)
     first = np.zeros(n + 1, bool)
     first[np.r_[0, np.cumsum(lengths)]] = True
-    following = np.arange(1, n + 1)
+    following = np.arange(1, n + 1, dtype=np.int32)
     following[first[1:]] = -1
-    before = np.arange(-1, n - 1)
+    before = np.arange(-1, n - 1, dtype=np.int32)
     before[first[:-1]] = -1
     index = PairIndex()
-    at = np.flatnonzero(following >= 0)
+    at = np.flatnonzero(following >= 0).astype(np.int32)
     index.add(vocab.ranks(symbols[at], symbols[at + 1]), at)
     while index.heap:
         rank, at = index.pop()
@@ -146,7 +145,7 @@ def encode_words(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.
     return symbols[alive], upto[np.r_[0, np.cumsum(lengths)]]
 
 
-def decode(ids: np.ndarray, vocab: Vocabulary) -> bytes:
+def decode(ids: Iterable[int], vocab: Vocabulary) -> bytes:
     """Bytes of a row of ids."""
     return b"".join([vocab.bytes[i] for i in ids])
 
@@ -165,17 +164,6 @@ def words_of(text: Column, special: tuple[str, ...] = ("<|endoftext|>",)) -> Col
     return words
 
 
-def _parts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Cuts a batch so that words of about ``most`` bytes are laid out at once; a longer document is one part."""
-    flat = np.asarray(pc.binary_length(texts.values), np.int64)
-    size = np.r_[0, np.cumsum(flat)][np.asarray(texts.offsets) - texts.offsets[0].as_py()]
-    at = 0
-    while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
-        yield at, min(to, len(texts))
-        at = to
-
-
 def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokens of every row: ``doc_id, n_tokens, ids_sha256, decoded_sha256`` and, if asked for, ``ids``.
 
@@ -190,49 +178,88 @@ def tokenize(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in batches:
-            column = batch.column(1)
-            for at, to in _parts(column, BATCH_BYTES):
-                yield encode_batch(batch.column(0).slice(at, to - at), column.slice(at, to - at), vocab, with_ids)
+            for at in range(0, batch.num_rows, 1000):
+                yield encode_batch(batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000), vocab, with_ids)
+        pa.default_memory_pool().release_unused()
 
     kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return rows.mapInArrow(run, schema + ", ids array<int>" * with_ids)
 
 
-def _joined(values: pa.Array, offsets: np.ndarray, separator: str) -> pa.Array:
-    """Strings of each run of ``values`` between two offsets, joined."""
-    lists = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), values)
-    return pc.binary_join(lists, pa.scalar(separator, values.type) if separator else pa.scalar(b"", values.type))
+def _parts(words: pa.Array, most: int) -> Iterator[pa.Array]:
+    """Cuts a column of words into parts of about ``most`` bytes; a longer word is a part of its own."""
+    size = np.r_[0, np.cumsum(np.asarray(pc.binary_length(words), np.int64))]
+    at = 0
+    while at < len(words):
+        to = max(at + 1, int(np.searchsorted(size, size[at] + most, "right")) - 1)
+        yield words.slice(at, to - at)
+        at = to
 
 
-def encode_batch(doc_ids: pa.Array, texts: pa.Array, vocab: Vocabulary, with_ids: bool) -> pa.RecordBatch:
-    """Encodes the distinct words of a batch once, then puts each document together from its words."""
-    offsets = np.asarray(texts.offsets, np.int64)
-    offsets = offsets - offsets[0]
-    coded = texts.flatten().dictionary_encode()
-    words = coded.dictionary.cast(pa.binary())
+class Document:
+    """Digests of one document's ids and decoded bytes, fed word after word."""
+
+    def __init__(self):
+        self.n, self.ids, self.decoded, self.all = 0, hashlib.sha256(), hashlib.sha256(), []
+
+    def add(self, n: int, text: bytes, raw: bytes) -> None:
+        if n:
+            self.ids.update(b"," + text if self.n else text)
+            self.decoded.update(raw)
+            self.n += n
+
+
+def encode_part(words: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, list[bytes], list[bytes], np.ndarray]:
+    """(ids of the distinct words in a row, their starts, id texts, decoded bytes, code of each word)."""
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
     special = {token.encode(): i for token, i in vocab.special.items()}
-    whole = pc.is_in(words, pa.array(list(special), pa.binary())).to_numpy(zero_copy_only=False)
-    ids, cuts = encode_words(words.filter(pa.array(~whole)).to_pylist(), vocab)
-    length = np.ones(len(words), np.int64)
+    whole = np.array([w in special for w in distinct], bool)
+    ids, cuts = encode_words([w for w in distinct if w not in special], vocab)
+    length = np.ones(len(distinct), np.int64)
     length[~whole] = np.diff(cuts)
     starts = np.r_[0, np.cumsum(length)]
-    all_ids = np.empty(starts[-1], np.int64)
+    all_ids = np.empty(starts[-1], np.int32)
     own = np.repeat(whole, length)
     all_ids[~own] = ids
-    all_ids[own] = [special[w] for w in words.filter(pa.array(whole)).to_pylist()]
-    codes = coded.indices
-    text_of = _joined(pa.array(all_ids).cast(pa.large_string()), starts, ",").take(codes)
-    bytes_of = _joined(vocab.table.take(pa.array(all_ids)), starts, "").take(codes)
-    ids_sha = [hashlib.sha256(x.as_buffer()).hexdigest() for x in _joined(text_of, offsets, ",")]
-    decoded = (x.as_py().decode("utf-8", "replace") for x in _joined(bytes_of, offsets, ""))
-    decoded_sha = [hashlib.sha256(x.encode()).hexdigest() for x in decoded]
-    at = np.r_[0, np.cumsum(length[codes.to_numpy()])]
-    columns = [doc_ids, pa.array(np.diff(at[offsets])), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string())]
+    all_ids[own] = [special[w] for w in distinct if w in special]
+    lists = list(zip(starts[:-1].tolist(), starts[1:].tolist()))
+    names = all_ids.tolist()
+    texts = [",".join(map(str, names[a:b])).encode() for a, b in lists]
+    # A word is valid UTF-8, so decoding word by word replaces what decoding the whole text would.
+    raw = [decode(names[a:b], vocab).decode("utf-8", "replace").encode() for a, b in lists]
+    return all_ids, starts, texts, raw, coded.indices.to_numpy()
+
+
+def encode_batch(doc_ids: pa.Array, texts: pa.Array, vocab: Vocabulary, with_ids: bool) -> pa.RecordBatch:
+    """Encodes the distinct words of each part of a batch once and puts the documents together from them.
+
+    Parts pay no heed to documents: a long text goes through many, and its digests grow with each.
+    """
+    offsets = np.asarray(texts.offsets, np.int64)
+    ends = (offsets - offsets[0])[1:]
+    docs = [Document() for _ in range(len(texts))]
+    done, at = 0, 0
+    for part in _parts(texts.flatten(), PART_BYTES):
+        all_ids, starts, id_texts, raw, codes = encode_part(part, vocab)
+        begin = 0
+        while begin < len(codes):
+            while ends[at] <= done:
+                at += 1
+            end = min(len(codes), begin + int(ends[at]) - done)
+            own = codes[begin:end]
+            n = int((starts[own + 1] - starts[own]).sum())
+            words = own.tolist()
+            docs[at].add(n, b",".join([id_texts[c] for c in words]), b"".join([raw[c] for c in words]))
+            if with_ids:
+                docs[at].all.extend(all_ids[starts[c] : starts[c + 1]] for c in words)
+            done += end - begin
+            begin = end
+    columns = [doc_ids, pa.array([d.n for d in docs], pa.int64()), *(pa.array([h.hexdigest() for h in hashes], pa.string()) for hashes in ([d.ids for d in docs], [d.decoded for d in docs]))]
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     if with_ids:
-        of_word = pa.LargeListArray.from_arrays(pa.array(starts), pa.array(all_ids, pa.int32())).take(codes)
-        columns.append(pa.LargeListArray.from_arrays(pa.array(at[offsets]), of_word.flatten()).cast(pa.list_(pa.int32())))
+        columns.append(pa.array([np.concatenate(d.all) if d.all else [] for d in docs], pa.list_(pa.int32())))
         names.append("ids")
     return pa.RecordBatch.from_arrays(columns, names)
 
