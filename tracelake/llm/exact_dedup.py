@@ -63,6 +63,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     hashed = docs.withColumn("__norm_of_row", normalised(F.col(text_col)))
     rows = hashed.select(F.col(id_col).alias("doc_id"), F.col("__norm_of_row").alias("__norm"))
     keep = _texts(rows.withColumn("__hash", content_hash(F.col("__norm"))))
-    keep = keep.select("keep_id", F.sha2("__norm", 256).alias("__keep_sha"))
-    same = F.col(id_col).eqNullSafe(F.col("keep_id")) & (F.sha2("__norm_of_row", 256) == F.col("__keep_sha"))
+    keep = keep.select(F.col("keep_id").alias("__keep_id"), F.sha2("__norm", 256).alias("__keep_sha"))
+    same = F.col(id_col).eqNullSafe(F.col("__keep_id")) & (F.sha2("__norm_of_row", 256) == F.col("__keep_sha"))
     return hashed.join(keep, same, "left_semi").drop("__norm_of_row")

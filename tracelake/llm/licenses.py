@@ -14,36 +14,56 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common short notices of each family (fixed values).
+#: Short notices, headers and the telling paragraphs of full texts, by family and version (fixed values).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     ),
+    "ISC": ("Released under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "Licensed under GPL-2.0.",
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under GPL-3.0.",
     ),
-    "LGPL": (
-        "This library is licensed under the GNU Lesser General Public License.",
-        "You can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation.",
+    "LGPL-2.1": (
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "Licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
-    "AGPL-3.0": ("Licensed under the GNU Affero General Public License, version 3.",),
     "BSD": (
         "Released under the BSD License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0": ("Dedicated to the public domain under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     "Proprietary": ("All rights reserved.", "No part of this publication may be reproduced without prior written permission."),
 }
 UNKNOWN = "unknown"
@@ -51,8 +71,12 @@ WORDS = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Paragraphs of the background sample, and the share of them that may hold a word of the vocabulary.
 BACKGROUND_ROWS = 4_000
 MAX_BACKGROUND_SHARE = 0.005
-#: Share of a paragraph's word pairs, or of the template's, that must agree.
-MIN_SIMILARITY = 0.5
+#: Share of a paragraph's word pairs, or of the template's, that must agree; and how many pairs, if the smaller side has them.
+MIN_SIMILARITY, MIN_PAIRS = 0.5, 2
+#: Lines of this many characters that do not end a sentence are taken as wrapped: the next line goes on with them.
+WRAPPED = (50, 100)
+#: Words of each sampled paragraph, at most, that serve as filler around notices.
+FILLER_WORDS = 12
 
 
 def grams(text: str) -> list[str]:
@@ -74,13 +98,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def holds_template(text: str, templates: list[set[str]], min_similarity: float = MIN_SIMILARITY) -> bool:
-    """Whether a line has two word pairs or more, and that share of the smaller side's, in common with a template."""
-    pairs = {g for g in grams(text) if " " in g}
-    return any(len(pairs & t) >= max(2, min_similarity * min(len(pairs), len(t))) for t in templates)
+def holds_template(found: set[str], templates: list[set[str]], min_similarity: float = MIN_SIMILARITY) -> bool:
+    """Whether a paragraph's n-grams have two word pairs or more, and that share of a template's, in common with it."""
+    return any(len(found & t) >= max(MIN_PAIRS, min_similarity * len(t)) for t in templates)
+
+
+@dataclass(frozen=True)
+class Paragraph:
+    """What fitting needs of a sampled paragraph: its n-grams that templates have too, and some of its words."""
+
+    grams: frozenset[str]
+    filler: tuple[str, ...]
 
 
-def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 400) -> LicenseModel:
+def fit(background: list[Paragraph], seed: int = 7, copies: int = 60, epochs: int = 400) -> LicenseModel:
     """Multinomial logistic regression on word 1- and 2-grams, with an unknown class from ``background``.
 
     Each template is repeated with words dropped or added. Words that many background paragraphs use are
@@ -93,17 +124,17 @@ def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 40
     rnd = random.Random(seed)
     families = [UNKNOWN, *TEMPLATES]
     template_pairs = [{g for g in grams(t) if " " in g} for texts in TEMPLATES.values() for t in texts]
-    background = [t for t in background if not holds_template(t, template_pairs)]
+    background = [p for p in background if not holds_template(p.grams, template_pairs)]
     seen: dict[str, int] = {}
-    for text in background:
-        for g in set(grams(text)):
+    for p in background:
+        for g in p.grams:
             seen[g] = seen.get(g, 0) + 1
     known = {g for texts in TEMPLATES.values() for t in texts for g in grams(t)}
     limit = max(5.0, MAX_BACKGROUND_SHARE * len(background))
     rare = {g for g in known if seen.get(g, 0) <= limit or "licen" in g}
     names = sorted(rare.union(*(t for t in template_pairs if not t & rare)))
     index = {g: i for i, g in enumerate(names)}
-    filler = [w for text in background[:200] for w in text.lower().split()] or ["of"]
+    filler = [w for p in background[:200] for w in p.filler] or ["of"]
     rows, y = [], []
     for k, texts in enumerate(TEMPLATES.values(), 1):
         for text in texts:
@@ -112,18 +143,18 @@ def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 40
                 kept = [w for w in words if c == 0 or rnd.random() > 0.15]
                 extra = rnd.choices(filler, k=rnd.randrange(0, 12) if c else 0)
                 cut = rnd.randrange(0, len(extra) + 1)
-                rows.append(" ".join(extra[:cut] + kept + extra[cut:]))
+                rows.append(set(grams(" ".join(extra[:cut] + kept + extra[cut:]))))
                 y.append(k)
     license_pairs = {g for g in known if " " in g}
-    plain = [t for t in background if len(license_pairs & set(grams(t))) < 2]
+    plain = [set(p.grams) for p in background if len(license_pairs & p.grams) < 2]
     lone_words = [g for g in names if " " not in g]
-    single = [" ".join(rnd.choices(filler, k=8) + [rnd.choice(lone_words)]) for _ in range(600)]
+    single = [{*rnd.choices(filler, k=8), rnd.choice(lone_words)} for _ in range(600)]
     rows += plain + single
     y += [0] * (len(plain) + len(single))
     x = np.zeros((len(rows), len(names) + 1), np.float32)
     x[:, -1] = 1
-    for i, text in enumerate(rows):
-        x[i, [index[g] for g in set(grams(text)) if g in index]] = 1
+    for i, found in enumerate(rows):
+        x[i, [index[g] for g in found if g in index]] = 1
     y = np.array(y)
     order = np.random.default_rng(seed).permutation(len(rows))
     fitted, held = order[::2], order[1::2]
@@ -144,20 +175,33 @@ def fit(background: list[str], seed: int = 7, copies: int = 60, epochs: int = 40
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, paragraph, text`` of each line; the first has number 0."""
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r\n|[\r\n]")
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("paragraph", "text"))
+    """``doc_id, paragraph, text`` of each paragraph; the first has number 0.
 
+    A paragraph is a line with those that wrapped lines go on in, so a notice that is set to some 80 columns is one.
+    """
+    least, most = WRAPPED
+    plain = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"\r\n?", "\n")
+    joined = F.regexp_replace(plain, rf"(?m)^([^\n]{{{least - 1},{most - 1}}}[^\n.:;!?\s])[ \t]*\n(?=[^\n])", "$1 ")
+    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(joined, "\n")).alias("paragraph", "text"))
+
+
+def _known_grams() -> list[str]:
+    return sorted({g for texts in TEMPLATES.values() for t in texts for g in grams(t)})
 
-def background_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BACKGROUND_ROWS) -> list[str]:
+
+def background_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = BACKGROUND_ROWS) -> list[Paragraph]:
     """A bounded sample of paragraphs for the unknown class: in each of ``rows`` hash buckets the smallest hash.
 
-    Buckets are combined before the shuffle, so at most ``rows`` paragraphs reach the driver.
+    Hashes of whole paragraphs are compared first, combined before the shuffle; then the chosen paragraphs, whole ones, give
+    their n-grams, of which those that templates have reach the driver.
     """
-    lines = paragraphs(docs, id_col, text_col).select(F.substring("text", 1, 400).alias("text")).filter("text != ''")
-    h = F.xxhash64("text")
-    best = lines.groupBy(F.pmod(h, F.lit(rows)).alias("bucket")).agg(F.min(F.struct(h.alias("h"), "text")).alias("best"))
-    return sorted(r["best"]["text"] for r in best.collect())
+    lines = paragraphs(docs, id_col, text_col).select("text", F.xxhash64("text").alias("h")).filter("text != ''")
+    best = lines.groupBy(F.pmod("h", F.lit(rows)).alias("bucket")).agg(F.min("h").alias("h")).select("h")
+    chosen = lines.join(F.broadcast(best), "h", "left_semi").groupBy("h").agg(F.min("text").alias("text"))
+    words = F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(0))
+    known = F.array(*map(F.lit, _known_grams()))
+    found = chosen.withColumn("words", words).select("h", F.array_intersect(F.concat("words", _pairs(F.col("words"))), known).alias("grams"), F.slice("words", 1, FILLER_WORDS).alias("filler"))
+    return [Paragraph(frozenset(r["grams"]), tuple(r["filler"])) for r in sorted(found.collect(), key=lambda r: r["h"])]
 
 
 def _pairs(words: Column) -> Column:
@@ -170,7 +214,8 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     A paragraph without any word of the vocabulary has the unknown class's score and is left out before
     its n-grams are spread; the model (some hundred n-grams) is broadcast. ``similarity`` is the share of
     word pairs that the paragraph and the nearest template of its family have in common, of the smaller
-    of both; from ``min_similarity`` on the prediction is confirmed. Null and empty texts have no
+    of both; from ``min_similarity`` on, and with two pairs in common or all that the smaller side has, the prediction is
+    confirmed. Null and empty texts have no
     paragraphs with words and give no rows, repeated rows give theirs again, an empty table gives none.
     """
     spark = docs.sparkSession
@@ -196,8 +241,12 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     found = summed.withColumn("family", family).filter((F.col("at") > 1) & (F.col("probability") >= model.min_probability))
     templates = [(f, sorted({g for g in grams(t) if " " in g})) for f, texts in TEMPLATES.items() for t in texts]
     near = F.broadcast(spark.createDataFrame(templates, "family string, template array<string>").groupBy("family").agg(F.collect_list("template").alias("templates")))
-    share = F.array_max(F.transform("templates", lambda t: F.coalesce(
-        F.try_divide(F.size(F.array_intersect("pairs", t)).cast("double"), F.least(F.size("pairs"), F.size(t)).cast("double")), F.lit(0.0)
-    )))
+    def similarity(t: Column) -> Column:
+        common = F.size(F.array_intersect("pairs", t))
+        share = F.try_divide(common.cast("double"), F.least(F.size("pairs"), F.size(t)).cast("double"))
+        # One shared pair says nothing about a paragraph, unless a template has no other.
+        return F.when(common >= F.least(F.lit(MIN_PAIRS), F.size(t)), share).otherwise(0.0)
+
+    share = F.array_max(F.transform("templates", lambda t: F.coalesce(similarity(t), F.lit(0.0))))
     found = found.join(near, "family").withColumn("similarity", share)
     return found.select("doc_id", "paragraph", "family", "probability", "similarity", (F.col("similarity") >= min_similarity).alias("confirmed"))

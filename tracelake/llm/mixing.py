@@ -80,7 +80,7 @@ def mix(
 
     Random numbers depend on the id and the seed, so reruns agree. Null text has no words; such
     documents get the certain copies and count for nothing. A null source is a source. Rows that
-    repeat an id are drawn one after the other in the order. An empty table gives an empty result.
+    repeat an id, null ids too, are drawn one after the other in the order; the added one is a single row. An empty table gives an empty result.
     Other columns are not read.
 
     A running sum over a hot source would be one task; instead each source's order is cut into slices
@@ -88,7 +88,7 @@ def mix(
     only that slice is sorted.
     """
     sizes = materialise(docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("__row"),
     ))
     ratio = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
     sources = materialise(
@@ -116,7 +116,7 @@ def mix(
     )
     ends = broadcast_if_small(materialise(ends), MAX_BROADCAST_SOURCES)
     placed = ranked.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
-    order = Window.partitionBy("source").orderBy("__odds", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("source").orderBy("__odds", "doc_id", "size", "__row").rowsBetween(Window.unboundedPreceding, 0)
     in_end = F.col("__slice") == F.col("__end")
     inside = placed.filter(in_end).withColumn(
         "drawn", F.col("__before") + F.sum("size").over(order) <= F.col("rest")
@@ -135,15 +135,12 @@ def mix(
         .withColumn("__off", F.abs(F.col("size") - F.col("__gap")))
         .filter("__off < __gap")
         .groupBy("source")
-        .agg(F.min(F.struct("__off", "__odds", "doc_id", "size")).alias("__best"))
-        .select(F.col("source").alias("__s"), F.col("__best.doc_id").alias("__id"), F.col("__best.size").alias("__size"))
+        .agg(F.min(F.struct("__off", "__odds", "doc_id", "size", "__row")).alias("__best"))
+        .select(F.col("__best.__row").alias("__best_row"))
     )
     best = broadcast_if_small(materialise(best), MAX_BROADCAST_SOURCES)
-    added = (
-        F.col("source").eqNullSafe(F.col("__s")) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("size") == F.col("__size")) & ~F.col("drawn")
-    )
-    out = drawn.join(best, added, "left")
-    copies = F.col("whole") + (F.col("drawn") | F.col("__size").isNotNull()).cast("long")
+    out = drawn.join(best, F.col("__row") == F.col("__best_row"), "left")
+    copies = F.col("whole") + (F.col("drawn") | F.col("__best_row").isNotNull()).cast("long")
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 

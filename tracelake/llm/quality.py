@@ -102,9 +102,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     has no rows its Gaussian is that of the pooled covariance around zero.
     """
     chosen = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-    chosen = chosen.select(F.col(id_col).alias("__label_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = chosen.select(F.col(id_col).alias("__label_id"), F.col(label_col).cast("int").alias("__label"))
     chosen = bounded_sample(chosen, "__label_id", fit_rows)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__label_id")).select("label", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__id") == F.col("__label_id")).select("__label", "text")
     d = len(FEATURES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -90,7 +90,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP3 = rf"""
 WITH sizes AS (
-  SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
+  SELECT doc_id, source, len({_WORDS})::BIGINT AS size, row_number() OVER () AS rid,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
 per0 AS (
@@ -115,23 +115,22 @@ per AS (
          CASE WHEN source_size > 0 THEN target / source_size::DOUBLE - floor(target / source_size::DOUBLE) ELSE 0 END AS phi
   FROM per5),
 ranked AS (
-  SELECT s.doc_id, s.source, s.size, p.source_size, p.target, p.whole, p.phi, p.target - p.whole * p.source_size AS rest,
+  SELECT s.doc_id, s.source, s.size, s.rid, p.source_size, p.target, p.whole, p.phi, p.target - p.whole * p.source_size AS rest,
          CASE WHEN p.phi > 0 THEN (u / (1 - u)) / (p.phi / (1 - p.phi)) END AS odds
   FROM sizes s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
 drawn AS (
-  SELECT *, phi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size ROWS UNBOUNDED PRECEDING) <= rest AS taken_first
+  SELECT *, phi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= rest AS taken_first
   FROM ranked),
 gaps AS (
   SELECT source, any_value(rest) - sum(CASE WHEN taken_first THEN size ELSE 0 END) AS gap FROM drawn GROUP BY source),
 best AS (
-  SELECT d.source, arg_min({{'id': d.doc_id, 'size': d.size}}, {{'off': abs(d.size - g.gap), 'odds': d.odds, 'id': d.doc_id, 'size': d.size}}) AS pick
+  SELECT d.source, arg_min(d.rid, {{'off': abs(d.size - g.gap), 'odds': d.odds, 'id': d.doc_id, 'size': d.size, 'rid': d.rid}}) AS pick
   FROM drawn d JOIN gaps g ON d.source IS NOT DISTINCT FROM g.source
   WHERE g.gap > 0 AND d.phi > 0 AND NOT d.taken_first AND d.size > 0 AND abs(d.size - g.gap) < g.gap GROUP BY d.source)
 SELECT d.doc_id, d.size, d.source_size, d.target,
-       (d.whole + CASE WHEN d.taken_first OR b.source IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS copies,
-       ((d.whole + CASE WHEN d.taken_first OR b.source IS NOT NULL THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
-FROM drawn d LEFT JOIN best b
-  ON d.source IS NOT DISTINCT FROM b.source AND d.doc_id = b.pick.id AND d.size = b.pick.size AND NOT d.taken_first
+       (d.whole + CASE WHEN d.taken_first OR b.pick IS NOT NULL THEN 1 ELSE 0 END)::BIGINT AS copies,
+       ((d.whole + CASE WHEN d.taken_first OR b.pick IS NOT NULL THEN 1 ELSE 0 END) * d.size)::BIGINT AS taken
+FROM drawn d LEFT JOIN best b ON d.rid = b.pick
 """
 
 _OP5 = r"""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
+from .common import bounded_sample, discard, materialise
 
 #: Documents that the model is fitted on, at most: confirmed toxic ones, and ones taken as unlabelled.
 FIT_POSITIVE, FIT_UNLABELLED = 4_000, 8_000
@@ -79,7 +79,8 @@ def fit(
 ) -> LinearModel:
     """Model from rows of ``labels`` with label 1 and from unlabelled texts of ``docs``.
 
-    Bounded samples of ids are broadcast, so no text is shuffled. Features are the
+    Bounded samples of ids are broadcast; of rows that repeat an id the smallest text counts, so at most as many rows
+    as ids are used. Features are the
     ``max_features`` words and beginnings whose document frequencies differ most between both samples.
     The class prior of the unlabelled text is its frequency of the foremost features over that in
     confirmed examples; clean text hardly has them, so the ratio is the share of toxic documents.
@@ -90,7 +91,9 @@ def fit(
     rest = docs.select(F.col(id_col).alias("__id"), F.lit(0).alias("toxic")).filter("__id is not null")
     rest = bounded_sample(rest, "__id", fit_unlabelled)
     chosen = sure.union(rest)
-    rows = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("__id")).select("toxic", F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("__doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")).groupBy("__id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialise(rows.select("toxic", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +125,7 @@ def fit(
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["toxic", "at"])
 
     found = rows.mapInArrow(index, "toxic int, at array<int>").toArrow()
+    discard(rows)
     toxic = found.column("toxic").to_numpy()
     x = np.zeros((len(toxic), len(vocabulary)), np.float32)
     for i, at in enumerate(found.column("at").to_pylist()):
