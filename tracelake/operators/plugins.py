@@ -24,7 +24,7 @@ def route(frames: DataFrame, bindings: DataFrame) -> DataFrame:
     return frames.join(small(on), ["can_id", "extended"]).select(*FIELDS)
 
 
-def _outputs(row, decode: Callable) -> Iterator[tuple]:
+def frame_outputs(row, decode: Callable) -> Iterator[tuple]:
     """Rows for one frame: each item has ``signal`` and ``value``, and may have ``name, unit, group, label, quality``; or it is an ``event``.
 
     Whatever a plugin raises or returns amiss becomes a finding of that frame alone.
@@ -45,7 +45,7 @@ def _outputs(row, decode: Callable) -> Iterator[tuple]:
         yield (*head, "diagnostic", *[None] * 7, "PLUGIN_ERROR", str(error))
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
+def output_rows(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=[c.split(" ")[0].strip("`") for c in OUTPUT.split(", ")])
 
 
@@ -54,7 +54,7 @@ def run_stateless(routed: DataFrame, decode: Callable) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield _frame([x for row in batch.itertuples(index=False) for x in _outputs(row, decode)])
+            yield output_rows([x for row in batch.itertuples(index=False) for x in frame_outputs(row, decode)])
 
     return routed.mapInPandas(run, OUTPUT)
 
@@ -73,8 +73,8 @@ def run_stateful(routed: DataFrame, make_session: Callable) -> DataFrame:
             for row in batch.itertuples(index=False):
                 if (row.source_id, row.plugin_id) != key:
                     key, session = (row.source_id, row.plugin_id), make_session()
-                out.extend(_outputs(row, session))
-            yield _frame(out)
+                out.extend(frame_outputs(row, session))
+            yield output_rows(out)
 
     keys = ["source_id", "plugin_id"]
     return routed.repartition(*keys).sortWithinPartitions(*keys, "ordinal", "binding_id").mapInPandas(run, OUTPUT)

@@ -23,16 +23,16 @@ def decode_value(data, row):
         yield {"event": "one", "label": "k is 1"}
 
 
-def counting_session():
+class CountingSession:
     """Sample session: counts the frames of its source and sums their users."""
-    state = {"n": 0, "users": 0}
 
-    def decode(data, row):
-        state["n"] += 1
-        state["users"] += int.from_bytes(data[4:6], "big")
-        return [{"signal": "n", "value": state["n"]}, {"signal": "users", "value": state["users"]}]
+    def __init__(self):
+        self.n, self.users = 0, 0
 
-    return decode
+    def __call__(self, data, row):
+        self.n += 1
+        self.users += int.from_bytes(data[4:6], "big")
+        return [{"signal": "n", "value": self.n}, {"signal": "users", "value": self.users}]
 
 
 _ON = "event_type IN ('click', 'view', 'purchase')"
@@ -47,7 +47,7 @@ def stateless(spark, sf):
 
 @query("X2", f"SELECT ordinal, count(*) OVER w::DOUBLE AS n, sum(user_id) OVER w::DOUBLE AS users FROM fr WHERE {_ON} WINDOW w AS (PARTITION BY source_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)".replace("count(*) OVER w::DOUBLE", "(count(*) OVER w)::DOUBLE").replace("sum(user_id) OVER w::DOUBLE", "(sum(user_id) OVER w)::DOUBLE"))
 def stateful(spark, sf):
-    out = O.run_stateful(O.route(frames(spark, sf), _bindings(spark)), counting_session).filter("kind = 'sample'")
+    out = O.run_stateful(O.route(frames(spark, sf), _bindings(spark)), CountingSession).filter("kind = 'sample'")
     return out.groupBy("ordinal").pivot("name", ["n", "users"]).agg(F.first("value"))
 
 

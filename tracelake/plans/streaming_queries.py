@@ -8,32 +8,54 @@ from ..storage import shared_folder as shared
 
 
 def _frames(spark, sf):
-    return J.as_frames(J.events_stream(spark, sf))
+    return J.as_frames(J.arriving(spark, sf, shared(spark)))
 
 
 def _stateful(spark):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-@query("W1", "SELECT ordinal, raw::DOUBLE / 100 AS value FROM fr WHERE event_type IN ('click', 'view')")
-def progressive(spark, sf):
-    from ..operators import decode as D
-    from .tables import CAN_IDS, _hex, layouts
+def _bus_frames(spark, sf):
+    """Arriving frames with their payloads, as ``tables.frames`` has them."""
+    from .tables import CAN_IDS, _hex
 
     f = _frames(spark, sf)
     can_id = F.coalesce(*(F.when(F.col("event_type") == k, F.lit(v)) for k, v in CAN_IDS.items()))
     raw = _hex(F.floor(F.col("value") * 100 + 0.5), 4)
     little = F.concat(*(F.substring(raw, i, 2) for i in (7, 5, 3, 1)))
-    f = f.select("source_id", "ordinal", "t_us", (F.col("t_us") / 1e6).alias("ts"), can_id.alias("can_id"), (F.col("event_type") == "purchase").alias("extended"), F.lit(1).alias("channel"), F.lit("Rx").alias("direction"), F.unhex(little).alias("data"))
-    l = layouts(spark).filter("name = 'Value' and def_id in ('def_click', 'def_view')")
-    return J.drain(D.decode(f, l).select("ordinal", "value"), shared(spark))
+    data = F.unhex(F.concat(little, _hex(F.col("user_id"), 2), _hex(F.col("k"), 1), _hex(F.col("ordinal") % 3, 1)))
+    return f.select("source_id", "ordinal", "t_us", (F.col("t_us") / 1e6).alias("ts"), can_id.alias("can_id"), (F.col("event_type") == "purchase").alias("extended"), F.lit(1).alias("channel"), F.lit("Rx").alias("direction"), data.alias("data"))
+
+
+@query("W1", """, x AS (SELECT ordinal, event_type || '.value' AS signal_id, raw::DOUBLE / 100 AS value FROM fr UNION ALL SELECT ordinal, event_type || '.user', user_id::DOUBLE FROM fr UNION ALL SELECT ordinal, event_type || '.k', k::DOUBLE FROM fr
+ UNION ALL SELECT ordinal, event_type || '.mux', mux::DOUBLE FROM fr UNION ALL SELECT ordinal, event_type || '.when_one', floor((k % 16) / 2)::DOUBLE FROM fr WHERE mux = 1) SELECT * FROM x""")
+def progressive(spark, sf):
+    """Every signal of every layout, decoded as its frames arrive."""
+    from ..operators import decode as D
+    from .tables import layouts
+
+    return J.drain(D.decode(_bus_frames(spark, sf), layouts(spark)).select("ordinal", "signal_id", "value"), shared(spark))
 
 
-@query("W2", "SELECT source_id, ordinal, t_us, false AS late FROM fr WHERE t_us <= (SELECT (max(t_us) // 1000 - 60000) * 1000 FROM fr)")
+@query("W2", "SELECT source_id, ordinal, t_us, false AS late FROM fr")
 def reordered(spark, sf):
-    """Frames up to the last watermark, in order; the rest waits for later ones."""
+    """All frames: those the watermark has passed, and at the end those that still waited."""
+    from .tables import events
+
+    _stateful(spark)
+    released = J.drain(J.release_in_order(_frames(spark, sf), "1 minute"), shared(spark))
+    return released.union(J.still_waiting(events(spark, sf), released))
+
+
+@query("W2_bounded", "SELECT source_id, count(*) AS n FROM fr GROUP BY 1")
+def bounded(spark, sf):
+    """With room for 20 frames a source none is lost or released twice."""
+    from .tables import events
+
     _stateful(spark)
-    return J.drain(J.release_in_order(_frames(spark, sf), "1 minute"), shared(spark))
+    released = J.drain(J.release_in_order(_frames(spark, sf), "1 hour", 20), shared(spark))
+    both = released.union(J.still_waiting(events(spark, sf), released))
+    return both.groupBy("source_id").agg(F.count_distinct("ordinal").alias("n"))
 
 
 @query("W3", "SELECT ordinal FROM fr WHERE event_type = 'error' AND value > 50")
@@ -50,8 +72,15 @@ def low_pass(spark, sf):
 
 @query("W5", "SELECT source_id, ordinal, count(*) OVER w AS n, (sum(user_id) OVER w)::BIGINT AS users FROM fr WINDOW w AS (PARTITION BY source_id ORDER BY ordinal ROWS UNBOUNDED PRECEDING)")
 def sessions(spark, sf):
+    """The plugin session of X2 over arriving frames, its state carried from batch to batch."""
+    from ..operators import plugins as P
+    from .plugin_queries import CountingSession
+    from .tables import CAN_IDS
+
     _stateful(spark)
-    return J.drain(J.session_stream(_frames(spark, sf).select("source_id", "ordinal", "user_id"), ["source_id"]), shared(spark))
+    bound = spark.createDataFrame([("p", "b", c, k == "purchase", True, True) for k, c in CAN_IDS.items()], "plugin_id string, binding_id string, can_id int, extended boolean, plugin_enabled boolean, binding_enabled boolean")
+    out = J.drain(J.session_stream(P.route(_bus_frames(spark, sf), bound), CountingSession), shared(spark)).filter("kind = 'sample'")
+    return out.groupBy("source_id", "ordinal").pivot("name", ["n", "users"]).agg(F.first("value")).select("source_id", "ordinal", F.col("n").cast("long").alias("n"), F.col("users").cast("long").alias("users"))
 
 
 @query("W6", ", g AS (SELECT user_id, t_us // 1000 AS ms, lead(t_us // 1000) OVER (PARTITION BY user_id ORDER BY t_us) AS nxt FROM fr), mx AS (SELECT max(t_us) // 1000 AS w FROM fr) SELECT user_id, ms AS last_ms, ms + 10800000 AS silent_ms FROM g WHERE nxt - ms > 10800000")

@@ -3,21 +3,32 @@
 from __future__ import annotations
 
 import math
+import pickle
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.plugins import OUTPUT, frame_outputs, output_rows
 
-def events_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The event table as a stream of its files."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    # The file source takes a folder or a pattern; a single file is matched by its own name.
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{sf_dir}/events.parque[t]")
+
+#: Frames of a source that may wait for their turn; beyond that the earliest are released ahead of the watermark.
+MOST_WAITING = 65_536
+
+
+def arriving(spark: SparkSession, sf_dir: str, path: str, files: int = 5) -> DataFrame:
+    """The event table as a stream that gets one file after the other, in order of its ids: a micro-batch for each."""
+    table = spark.read.parquet(f"{sf_dir}/events.parquet")
+    bounds = table.agg(F.min("event_id"), F.max("event_id") + 1).first()
+    low, high = (bounds[0] or 0, bounds[1] or 1)
+    part = F.floor((F.col("event_id") - low) * files / (high - low))
+    for i in range(files):
+        # One folder in which files appear later and later, as a logger would write them.
+        table.filter(part == i).sortWithinPartitions("event_id").write.mode("append").parquet(path)
+    return spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def as_frames(stream: DataFrame) -> DataFrame:
@@ -41,8 +52,12 @@ def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(spark.read.parquet(out).schema).parquet(out)
 
 
-def release_in_order(frames: DataFrame, delay: str) -> DataFrame:
-    """Frames put back into time order: each is released once the watermark has passed it."""
+def release_in_order(frames: DataFrame, delay: str, most: int = MOST_WAITING) -> DataFrame:
+    """Frames put back into time order: each is released once the watermark has passed it.
+
+    At most ``most`` frames of a source wait; of more, the earliest are released at once. What waits when the stream ends
+    is released by ``still_waiting``.
+    """
 
     class Reorder(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
@@ -58,10 +73,18 @@ def release_in_order(frames: DataFrame, delay: str) -> DataFrame:
                         late.append((key[0], row.ordinal, row.t_us, True))
                     else:
                         fresh.append((int(row.t_us), int(row.ordinal)))
+            out = late
             if fresh:
-                self.waiting.appendList(fresh)
+                held = [(int(t), int(o)) for t, o in self.waiting.get()] if self.waiting.exists() else []
+                if len(held) + len(fresh) > most:
+                    both = sorted(held + fresh)
+                    over = len(both) - most
+                    out = late + [(key[0], o, t, False) for t, o in both[:over]]
+                    self.waiting.put(both[over:])
+                else:
+                    self.waiting.appendList(fresh)
                 self.handle.registerTimer(min(fresh)[0] // 1000 + 1)
-            yield pd.DataFrame(late, columns=["source_id", "ordinal", "t_us", "late"])
+            yield pd.DataFrame(out, columns=["source_id", "ordinal", "t_us", "late"])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             # One timer stands for all that waits; whatever the watermark has passed is released at once.
@@ -83,6 +106,12 @@ def release_in_order(frames: DataFrame, delay: str) -> DataFrame:
     return stream.groupBy("source_id").transformWithStateInPandas(Reorder(), "source_id string, ordinal bigint, t_us bigint, late boolean", "append", "EventTime")
 
 
+def still_waiting(frames: DataFrame, released: DataFrame) -> DataFrame:
+    """The last release, when no more frames will come: those of ``frames``, all that arrived, that were not released."""
+    rest = frames.join(released.select("source_id", "ordinal"), ["source_id", "ordinal"], "left_anti")
+    return rest.select("source_id", "ordinal", "t_us", F.lit(False).alias("late"))
+
+
 def low_pass_stream(frames: DataFrame, keys: list[str], tau: float) -> DataFrame:
     """The low-pass filter over a stream: the last output and time of each key live on from batch to batch."""
     key_schema = ", ".join(f"{k} {dict(frames.dtypes)[k]}" for k in keys)
@@ -112,27 +141,27 @@ def low_pass_stream(frames: DataFrame, keys: list[str], tau: float) -> DataFrame
     return frames.groupBy(*keys).transformWithStateInPandas(LowPass(), f"{key_schema}, ordinal bigint, y double", "append", "None")
 
 
-def session_stream(frames: DataFrame, keys: list[str]) -> DataFrame:
-    """A plugin session over a stream: counts frames and sums users for each key, frame by frame."""
-    key_schema = ", ".join(f"{k} {dict(frames.dtypes)[k]}" for k in keys)
+def session_stream(routed: DataFrame, make_session: Callable) -> DataFrame:
+    """Plugin sessions over a stream of routed frames: outputs as of ``operators.plugins.run_stateful``.
 
+    A session belongs to a source and a plugin. It lives on from batch to batch as its pickled self, so a session is an
+    object that can be pickled and is called with ``(data, row)``; frames of a batch come to it in order of arrival.
+    """
     class Session(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.state = handle.getValueState("state", "n bigint, users bigint")
+            self.kept = handle.getValueState("session", "pickled binary")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            n, users = self.state.get() if self.state.exists() else (0, 0)
-            out = []
-            for row in pd.concat(list(rows)).sort_values("ordinal").itertuples(index=False):
-                n, users = int(n) + 1, int(users) + int(row.user_id)
-                out.append((*key, row.ordinal, n, users))
-            self.state.update((n, users))
-            yield pd.DataFrame(out, columns=[*keys, "ordinal", "n", "users"])
+            session = pickle.loads(bytes(self.kept.get()[0])) if self.kept.exists() else make_session()
+            batch = pd.concat(list(rows)).sort_values(["ordinal", "binding_id"])
+            out = [x for row in batch.itertuples(index=False) for x in frame_outputs(row, session)]
+            self.kept.update((pickle.dumps(session),))
+            yield output_rows(out)
 
         def close(self) -> None:
             pass
 
-    return frames.groupBy(*keys).transformWithStateInPandas(Session(), f"{key_schema}, ordinal bigint, n bigint, users bigint", "append", "None")
+    return routed.groupBy("source_id", "plugin_id").transformWithStateInPandas(Session(), OUTPUT, "append", "None")
 
 
 def silent_keys(frames: DataFrame, keys: list[str], period_ms: int, delay: str) -> DataFrame:
