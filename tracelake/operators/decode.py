@@ -29,6 +29,18 @@ def small(df: DataFrame, max_rows: int = MAX_BROADCAST_LAYOUTS, max_bytes: int =
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+#: Dimensions up to this many rows are worked out once on the driver and enter later plans as rows, not as their own plan.
+MAX_LOCAL_ROWS = 20_000
+
+
+def localised(dim: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame, list | None]:
+    """(a small dimension as a local table, its rows); a larger one as it is, with no rows."""
+    rows = dim.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        return dim, None
+    return dim.sparkSession.createDataFrame(rows, dim.schema), rows
+
+
 def effective_layouts(layouts: DataFrame) -> DataFrame:
     """Where definitions share a CAN key the last by ``def_id`` wins; scale and offset texts become fractions."""
     last = layouts.withColumn("__last", F.max("def_id").over(Window.partitionBy("can_id", "extended")))
@@ -51,7 +63,7 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     selectors = dims.filter("mux_role = 'selector'").select(
         "can_id", "extended", F.struct("byte_offset", "bit_offset", "length_bits", "byte_order").alias("selector")
     )
-    dims = dims.join(selectors, ["can_id", "extended"], "left")
+    dims, known = localised(dims.join(selectors, ["can_id", "extended"], "left"))
     # The payload is cut into words once a frame; its fields are then shifts.
     worded = with_computed(frames, {"__big": bits.words(F.col("data"))})
     worded = with_computed(worded, {"__little": F.transform("__big", bits.swap_bytes)})
@@ -68,7 +80,7 @@ def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     shift = F.col("o_num").cast("double") / F.col("o_den").cast("double")
     value = scale.physical(F.col("raw"), F.col("num"), F.col("den"), F.col("o_num"), F.col("o_den"), F.col("shift_bits"))
     # The long expression for IEEE numbers is left out where no layout needs it; the generated code stays small.
-    if dims.filter("signedness = 'float'").limit(1).count():
+    if known is None or any(r["signedness"] == "float" for r in known):
         value = F.when(is_float, real * ratio + shift).otherwise(value)
     active = (F.col("mux_role") != "conditional") | F.coalesce(F.exists("mux_ranges", lambda r: F.col("selected").between(r["lo"], r["hi"])), F.lit(False))
     unsafe = ~is_float & ((F.abs(F.col("raw")) > SAFE_INTEGER) | ((F.col("length_bits") == 64) & (F.col("signedness") == "unsigned") & (F.col("raw") < 0)))

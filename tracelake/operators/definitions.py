@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fields import DIGITS, HEX, made_of
+from ..functions.scale import scale_parts
+from ..schemas import FD_LENGTHS
 from .decode import occupied_bits, small
 
 
@@ -105,23 +108,106 @@ def parse_projects(texts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, D
     return projects, frames, kept, report
 
 
+#: Payload lengths that a frame can have (fixed values of the bus standard).
+PAYLOADS = tuple(sorted(set(FD_LENGTHS)))
+
+
 def validate(layouts: DataFrame, frame_bytes: int = 8) -> DataFrame:
-    """``def_id, signal_id, problem`` for each broken rule of a layout table."""
-    from ..functions.scale import scale_parts
+    """``def_id, signal_id, problem`` for each broken rule of a layout table.
 
+    ``layouts`` may also have ``frame_bytes, minimum, maximum``. Two signals may share bits only if both are conditional and no value of
+    the selector activates both.
+    """
+    has = set(layouts.columns)
+    length = F.col("frame_bytes") if "frame_bytes" in has else F.lit(frame_bytes)
+    low, high = (F.col(c) if c in has else F.lit(None).cast("double") for c in ("minimum", "maximum"))
     end = F.col("byte_offset") + F.ceil((F.col("bit_offset") + F.col("length_bits")) / 8)
+    infinite = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    offset = F.col("offset").try_cast("double")
+    conditional = F.col("mux_role") == "conditional"
+    spans = F.coalesce("mux_ranges", F.array().cast("array<struct<lo:bigint,hi:bigint>>"))
+    selector = F.when((F.col("mux_role") == "selector") & (F.col("length_bits") <= 32), F.pow(F.lit(2.0), F.col("length_bits")) - 1)
+    per = layouts.groupBy("def_id").agg(F.count_if(F.col("mux_role") == "selector").alias("__selectors"), F.count_if(F.col("mux_role") != "none").alias("__muxed"), F.max(selector).alias("__top"))
+    rows = layouts.join(small(per), "def_id")
+    top = F.when(F.col("__selectors") == 1, F.col("__top"))
     rules = F.array_compact(F.array(
         F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "NAME_EMPTY"),
+        F.when(F.trim(F.coalesce("signal_id", F.lit(""))) == "", "ID_EMPTY"),
         F.when(~F.col("length_bits").between(1, 64), "LENGTH"),
         F.when(~F.col("bit_offset").between(0, 7) | (F.col("byte_offset") < 0), "OFFSET"),
-        F.when(end > frame_bytes, "OUTSIDE_FRAME"),
+        F.when(end > length, "OUTSIDE_FRAME"),
         F.when((F.col("signedness") == "float") & ~F.col("length_bits").isin(32, 64), "FLOAT_LENGTH"),
         F.when(scale_parts(F.col("scale"))[0].isNull(), "SCALE"),
+        F.when(offset.isNull() | infinite(offset), "OFFSET_VALUE"),
+        F.when(infinite(low) | infinite(high), "RANGE_VALUE"),
+        F.when(low > high, "RANGE"),
+        F.when((F.col("mux_role") == "selector") & ((F.col("signedness") != "unsigned") | (F.col("length_bits") > 32)), "SELECTOR_FORMAT"),
+        F.when(conditional & (F.size(spans) == 0), "MUX_RANGES_EMPTY"),
+        F.when(conditional & F.exists(spans, lambda r: (r["lo"] < 0) | (r["hi"] < r["lo"]) | F.coalesce(r["hi"] > top, F.lit(False))), "MUX_RANGE"),
+        F.when((F.col("__muxed") > 0) & (F.col("__selectors") != 1), "SELECTOR_COUNT"),
     ))
-    own = layouts.select("def_id", "signal_id", F.explode(rules).alias("problem"))
+    own = rows.select("def_id", "signal_id", F.explode(rules).alias("problem"))
     names = layouts.groupBy("def_id", F.lower("name").alias("n")).agg(F.count(F.lit(1)).alias("c"), F.collect_list("signal_id").alias("ids")).filter("c > 1")
     twice = names.select("def_id", F.explode("ids").alias("signal_id"), F.lit("NAME_TWICE").alias("problem"))
-    bits = occupied_bits(layouts.filter("mux_role <> 'conditional'"))
-    shared = bits.groupBy("def_id", "byte", "bit").agg(F.collect_set("signal_id").alias("ids")).filter("size(ids) > 1")
-    overlap = shared.select("def_id", F.explode("ids").alias("signal_id"), F.lit("OVERLAP").alias("problem")).distinct()
-    return own.unionByName(twice).unionByName(overlap)
+    same = layouts.groupBy("def_id", "signal_id").count().filter("count > 1").select("def_id", "signal_id", F.lit("ID_TWICE").alias("problem"))
+    key = ["def_id", "signal_id"]
+    bits = occupied_bits(layouts).join(layouts.select(*key, "mux_role", spans.alias("spans")), key).select("def_id", "byte", "bit", F.struct("signal_id", "mux_role", "spans").alias("s"))
+    shared = bits.groupBy("def_id", "byte", "bit").agg(F.collect_set("s").alias("ss")).filter("size(ss) > 1")
+    pairs = shared.select("def_id", F.explode("ss").alias("a"), "ss").select("def_id", "a", F.explode("ss").alias("b")).filter("a.signal_id <> b.signal_id").distinct()
+    meet = F.exists("a.spans", lambda x: F.exists("b.spans", lambda y: (x["lo"] <= y["hi"]) & (y["lo"] <= x["hi"])))
+    disjoint = (F.col("a.mux_role") == "conditional") & (F.col("b.mux_role") == "conditional") & ~meet
+    overlap = pairs.filter(~disjoint).select("def_id", F.col("a.signal_id").alias("signal_id"), F.lit("OVERLAP").alias("problem")).distinct()
+    return own.unionByName(twice).unionByName(same).unionByName(overlap)
+
+
+def validate_frames(frames: DataFrame) -> DataFrame:
+    """``def_id, problem`` of frame definitions ``def_id, name, can_id, extended, frame_bytes, expected_period_ms``."""
+    period = F.col("expected_period_ms")
+    rules = F.array_compact(F.array(
+        F.when(F.trim(F.coalesce("def_id", F.lit(""))) == "", "ID_EMPTY"), F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "NAME_EMPTY"),
+        F.when(~F.coalesce(F.col("can_id").between(0, F.when(F.col("extended"), 0x1FFFFFFF).otherwise(0x7FF)), F.lit(False)), "CAN_ID_RANGE"),
+        F.when(~F.coalesce(F.col("frame_bytes").isin(*PAYLOADS), F.lit(False)), "FRAME_LENGTH"), F.when((period <= 0) | F.isnan(period) | (period == float("inf")), "EXPECTED_PERIOD"),
+    ))
+    return frames.select("def_id", F.explode(rules).alias("problem"))
+
+
+def validate_labels(labels: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``def_id, signal_id, problem`` of value labels ``def_id, signal_id, raw_text, label``: keys are decimal or ``0x`` integers, within the field, once each."""
+    key = F.trim("raw_text")
+    unsigned = F.when(key.startswith("-"), F.substring(key, F.lit(2), F.length(key))).otherwise(key)
+    hexadecimal = F.lower(F.substring(unsigned, 1, 2)) == "0x"
+    figures = F.substring(unsigned, F.lit(3), F.length(unsigned))
+    size = F.when(hexadecimal, F.when(made_of(figures, HEX) & (F.length(figures) <= 16), F.conv(figures, 16, 10))).when(made_of(unsigned, DIGITS) & ((unsigned == "0") | ~unsigned.startswith("0")), unsigned).try_cast("decimal(38,0)")
+    raw = F.when(~key.startswith("-"), size).when(size != 0, -size)
+    l = labels.withColumn("__raw", raw).join(small(layouts.select("def_id", "signal_id", "length_bits", "signedness").distinct()), ["def_id", "signal_id"])
+    n = F.count("__raw").over(Window.partitionBy("def_id", "signal_id", "__raw"))
+    signed = F.col("signedness") == "signed"
+    top = F.pow(F.lit(2.0), F.col("length_bits") - signed.cast("int"))
+    outside = (F.col("__raw").cast("double") >= top) | (F.col("__raw").cast("double") < F.when(signed, -top).otherwise(0.0))
+    rules = F.array_compact(F.array(
+        F.when(F.col("__raw").isNull() | F.col("label").isNull(), "LABEL_RAW"), F.when(F.col("__n") > 1, "LABEL_TWICE"), F.when(outside, "LABEL_RANGE"), F.when(F.col("signedness") == "float", "FLOAT_LABELS"),
+    ))
+    return l.withColumn("__n", n).select("def_id", "signal_id", F.explode(rules).alias("problem")).distinct()
+
+
+def validate_derived(derived: DataFrame, layouts: DataFrame) -> DataFrame:
+    """``def_id, signal_id, problem`` of derived signals ``def_id, signal_id, place, name, kind, inputs, points, seconds``.
+
+    ``inputs`` are the names that an expression, lookup or filter refers to: signals of the frame or derived ones of an earlier ``place``. A
+    lookup needs two finite points or more with different inputs, a filter a positive time.
+    """
+    points = F.coalesce("points", F.array().cast("array<struct<input:double,output:double>>"))
+    finite = lambda p: ~F.isnan(p["input"]) & ~F.isnan(p["output"]) & (F.abs(p["input"]) < float("inf")) & (F.abs(p["output"]) < float("inf"))
+    lookup, seconds = F.col("kind") == "lookup", F.col("seconds")
+    good = F.filter(points, finite)
+    rules = F.array_compact(F.array(
+        F.when(F.trim(F.coalesce("signal_id", F.lit(""))) == "", "ID_EMPTY"), F.when(F.trim(F.coalesce("name", F.lit(""))) == "", "NAME_EMPTY"), F.when(F.size(F.coalesce("inputs", F.array().cast("array<string>"))) == 0, "INPUT_EMPTY"),
+        F.when(lookup & (F.size(points) < 2), "LOOKUP_POINTS"), F.when(lookup & (F.size(good) < F.size(points)), "LOOKUP_POINT"),
+        F.when(lookup & (F.size(F.array_distinct(F.transform(good, lambda p: p["input"]))) < F.size(good)), "LOOKUP_INPUT_TWICE"),
+        F.when((F.col("kind") == "filter") & ~F.coalesce((seconds > 0) & (seconds < float("inf")), F.lit(False)), "FILTER_TIME"),
+    ))
+    own = derived.select("def_id", "signal_id", F.explode(rules).alias("problem"))
+    known = layouts.select("def_id", F.trim("name").alias("input"), F.lit(-1).alias("__from")).union(derived.select("def_id", F.trim("name"), "place")).groupBy("def_id", "input").agg(F.min("__from").alias("__from"))
+    used = derived.select("def_id", "signal_id", "place", F.explode("inputs").alias("input")).join(known, ["def_id", "input"], "left")
+    forward = used.filter("__from is null or __from >= place").select("def_id", "signal_id", F.lit("FORWARD_REFERENCE").alias("problem")).distinct()
+    return own.unionByName(forward)

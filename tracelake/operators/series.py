@@ -138,48 +138,60 @@ def gaps(samples: DataFrame, keys: list[str], thresholds: DataFrame, resolution_
     return g.groupBy(*keys, "gap").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("gap")
 
 
-def extremes(samples: DataFrame, keys: list[str], runs: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
-    """Of each of ``runs(keys, runs)`` equal runs: first, last, lowest, highest, and first and last break sample.
-
-    Ties keep the earlier sample. Samples are numbered in ranges of time, one aggregation finds the positions.
-    """
+def _numbered(samples: DataFrame, keys: list[str], breaks: DataFrame | None) -> DataFrame:
+    """Samples with their place ``p`` in the series, its length ``n`` and whether they are break samples."""
     s = totals(Ranged(samples, keys, ORDER).position("p").done(), keys, n=F.count(F.lit(1)))
-    s = s.join(small(runs), keys).withColumn("run", F.floor(((F.col("p") + 1) * F.col("runs") - 1) / F.col("n")))
-    broken = F.lit(False)
-    if breaks is not None:
-        s = s.join(breaks.select(*keys, "ordinal", F.lit(True).alias("broken")), [*keys, "ordinal"], "left")
-        broken = F.coalesce("broken", F.lit(False))
+    if breaks is None:
+        return s.withColumn("broken", F.lit(False))
+    s = s.join(breaks.select(*keys, "ordinal", F.lit(True).alias("__b")), [*keys, "ordinal"], "left")
+    return s.withColumn("broken", F.coalesce("__b", F.lit(False))).drop("__b")
+
+
+def _kept_places(numbered: DataFrame, keys: list[str], runs: DataFrame) -> DataFrame:
+    """``keys, p`` of the samples that stay when each series is cut into ``runs(keys, runs)``."""
+    s = numbered.join(small(runs), keys).withColumn("run", F.floor(((F.col("p") + 1) * F.col("runs") - 1) / F.col("n")))
     finite = ~F.isnan("value") & F.col("value").isNotNull() & (F.abs("value") < float("inf"))
     v = F.when(finite, F.col("value"))
     kept = s.groupBy(*keys, "run").agg(
         F.min("p").alias("a"), F.max("p").alias("b"),
         F.min(F.when(finite, F.struct(v.alias("v"), F.col("p").alias("p")))).alias("lo"),
         F.min(F.when(finite, F.struct((-v).alias("v"), F.col("p").alias("p")))).alias("hi"),
-        F.min(F.when(broken, F.col("p"))).alias("c"), F.max(F.when(broken, F.col("p"))).alias("d"),
+        F.min(F.when(F.col("broken"), F.col("p"))).alias("c"), F.max(F.when(F.col("broken"), F.col("p"))).alias("d"),
     )
     places = F.array_compact(F.array("a", "b", "lo.p", "hi.p", "c", "d"))
-    kept = kept.select(*keys, F.explode(F.array_distinct(places)).alias("p"))
-    return s.join(kept, [*keys, "p"], "left_semi").select(*samples.columns)
+    return kept.select(*keys, F.explode(F.array_distinct(places)).alias("p"))
+
+
+def extremes(samples: DataFrame, keys: list[str], runs: DataFrame, breaks: DataFrame | None = None) -> DataFrame:
+    """Of each of ``runs(keys, runs)`` equal runs: first, last, lowest, highest, and first and last break sample.
+
+    Ties keep the earlier sample. Samples are numbered in ranges of time, one aggregation finds the positions.
+    """
+    s = _numbered(samples, keys, breaks)
+    return s.join(_kept_places(s, keys, runs), [*keys, "p"], "left_semi").select(*samples.columns)
 
 
 def thin(samples: DataFrame, keys: list[str], limit: int, breaks: DataFrame | None = None) -> DataFrame:
     """Thinning that keeps peaks: starts with the runs that surely fit, then up to three times more while it fits.
 
-    The counts that steer it are one row per series; short series are kept whole.
+    The samples are numbered once and written; the counts that steer it are one row per series. Short series are kept whole.
     """
-    n = written(samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
-    short = samples.join(small(n.filter(F.col("n") <= limit)), keys, "left_semi")
-    runs = n.filter(F.col("n") > limit).select(*keys, "n", F.lit(limit // 6).cast("long").alias("runs"))
-    large = samples.join(small(runs), keys, "left_semi")
+    s = written(_numbered(samples, keys, breaks))
+    runs = written(s.filter(F.col("n") > limit).groupBy(*keys).agg(F.first("n").alias("n")).withColumn("runs", F.lit(limit // 6).cast("long")))
+
+    def counted(runs: DataFrame, name: str) -> DataFrame:
+        return _kept_places(s, keys, runs.select(*keys, "runs")).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
     for _ in range(3):
-        got = extremes(large, keys, runs.select(*keys, "runs"), breaks).groupBy(*keys).agg(F.count(F.lit(1)).alias("got"))
-        tried = runs.join(got, keys).withColumn("next", F.least("n", F.floor(F.col("runs") * limit / F.col("got"))))
+        tried = runs.join(counted(runs, "got"), keys).withColumn("next", F.least("n", F.floor(F.col("runs") * limit / F.col("got"))))
         tried = written(tried.withColumn("try", (F.col("got") < 0.9 * limit) & (F.col("next") > F.col("runs"))))
         if not tried.filter("try").limit(1).count():
             break
-        after = extremes(large, keys, tried.filter("try").select(*keys, F.col("next").alias("runs")), breaks).groupBy(*keys).agg(F.count(F.lit(1)).alias("then"))
-        runs = tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs"))
-    return short.unionByName(extremes(large, keys, runs.select(*keys, "runs"), breaks))
+        after = counted(tried.filter("try").select(*keys, F.col("next").alias("runs")), "then")
+        runs = written(tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs")))
+    short = s.filter(F.col("n") <= limit)
+    large = s.join(_kept_places(s, keys, runs.select(*keys, "runs")), [*keys, "p"], "left_semi")
+    return short.unionByName(large).select(*samples.columns)
 
 
 def pyramid(samples: DataFrame, keys: list[str], block: int = 64) -> DataFrame:

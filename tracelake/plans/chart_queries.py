@@ -31,9 +31,9 @@ def converted(spark, sf):
     return U.convert(rows, "value", "unit", "target").select("ordinal", F.round("converted", 9).alias("converted"))
 
 
-@query("U2_canonical", _UNITS + " SELECT ordinal, round(CASE WHEN family IS NULL THEN value ELSE value * scale + shift END, 9) AS converted, coalesce(canonical, unit) AS shown_unit FROM un LEFT JOIN ru USING (unit)")
+@query("U2_canonical", _UNITS + " SELECT ordinal, round(CASE WHEN family IS NULL THEN value ELSE value * scale + shift END, 6) AS converted, coalesce(canonical, unit) AS shown_unit FROM un LEFT JOIN ru USING (unit)")
 def canonical(spark, sf):
-    return U.convert(_with_units(spark, sf), "value", "unit").select("ordinal", F.round("converted", 9).alias("converted"), "shown_unit")
+    return U.convert(_with_units(spark, sf), "value", "unit").select("ordinal", F.round("converted", 6).alias("converted"), "shown_unit")
 
 
 @query("U3", ", g AS (SELECT user_id AS key, count(DISTINCT CASE k % 2 WHEN 0 THEN 'km' ELSE 'mm' END) AS n, arg_min(CASE k % 2 WHEN 0 THEN 'km' ELSE 'mm' END, ordinal) AS u FROM fr GROUP BY 1) SELECT key, CASE WHEN n = 1 THEN u ELSE 'm' END AS unit FROM g")

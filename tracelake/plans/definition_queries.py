@@ -99,6 +99,60 @@ def validated(spark, sf):
     return O.validate(a.union(b))
 
 
+_V = "WITH x AS (SELECT p_partkey AS n, p_partkey::VARCHAR AS def_id FROM part) "
+
+
+def _defined(spark, sf):
+    """A selector and two conditional signals on the same bits for every part; every third shares a value, every fifth breaks other rules."""
+    n = F.col("n")
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").alias("n"), F.col("p_partkey").cast("string").alias("def_id"))
+    span = lambda lo, hi: F.array(F.struct(F.lit(lo).cast("long").alias("lo"), hi.cast("long").alias("hi")))
+    none = F.lit(None).cast("array<struct<lo:bigint,hi:bigint>>")
+
+    def signal(i, role, ranges, at, length, sign, offset, low):
+        return p.select("n", "def_id", F.lit(1).alias("can_id"), F.lit(False).alias("extended"), F.lit(i).alias("signal_id"), F.lit(i.upper()).alias("name"), F.lit("").alias("unit"), F.lit(at).alias("byte_offset"), F.lit(0).alias("bit_offset"), F.lit(length).alias("length_bits"), sign.alias("signedness"), F.lit("little").alias("byte_order"), F.lit("1").alias("scale"), offset.alias("offset"), F.lit(role).alias("mux_role"), ranges.alias("mux_ranges"), F.lit(8).alias("frame_bytes"), low.alias("minimum"), F.lit(9.0).alias("maximum"))
+
+    fifth, one = n % 5 == 0, F.lit("unsigned")
+    return (
+        signal("m", "selector", none, 0, 8, F.when(fifth, "signed").otherwise("unsigned"), F.lit("0"), F.lit(0.0))
+        .union(signal("a", "conditional", span(1, F.lit(2)), 1, 8, one, F.when(fifth, "x").otherwise("0"), F.lit(0.0)))
+        .union(signal("b", "conditional", span(2, F.when(fifth, 300).otherwise(4)), 1, 8, one, F.lit("0"), F.when(fifth, 10.0).otherwise(0.0)).withColumn("mux_ranges", F.when(n % 3 == 0, F.col("mux_ranges")).otherwise(span(3, F.when(fifth, 300).otherwise(4)))))
+    )
+
+
+@query("L8_mux", _V + "SELECT def_id, s AS signal_id, 'OVERLAP' AS problem FROM x, (VALUES ('a'), ('b')) v(s) WHERE n % 3 = 0 UNION ALL SELECT def_id, s, r FROM x, (VALUES ('m', 'SELECTOR_FORMAT'), ('a', 'OFFSET_VALUE'), ('b', 'MUX_RANGE'), ('b', 'RANGE')) v(s, r) WHERE n % 5 = 0", base=False)
+def validated_mux(spark, sf):
+    """Conditional signals may share bits unless a selector value activates both."""
+    return O.validate(_defined(spark, sf).drop("n"))
+
+
+@query("L8_frames", _V + "SELECT def_id, 'CAN_ID_RANGE' AS problem FROM x WHERE n > 2047 UNION ALL SELECT def_id, 'FRAME_LENGTH' FROM x WHERE n % 65 NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 12, 16, 20, 24, 32, 48, 64) UNION ALL SELECT def_id, 'EXPECTED_PERIOD' FROM x WHERE n % 4 = 0 UNION ALL SELECT def_id, 'NAME_EMPTY' FROM x WHERE n % 9 = 0", base=False)
+def validated_frames(spark, sf):
+    n = F.col("n")
+    f = _defined(spark, sf).filter("signal_id = 'm'").select("def_id", F.when(n % 9 == 0, " ").otherwise("f").alias("name"), n.alias("can_id"), "extended", (n % 65).alias("frame_bytes"), F.when(n % 4 == 0, 0.0).alias("expected_period_ms"))
+    return O.validate_frames(f)
+
+
+@query("L8_labels", _V + "SELECT def_id, 'a' AS signal_id, 'LABEL_RANGE' AS problem FROM x WHERE n % 1000 > 255 UNION ALL SELECT def_id, 'a', 'LABEL_TWICE' FROM x WHERE n % 1000 = 16 UNION ALL SELECT def_id, 'a', 'LABEL_RAW' FROM x WHERE n % 7 = 0", base=False)
+def validated_labels(spark, sf):
+    d = _defined(spark, sf)
+    l = d.filter("signal_id = 'a'").select("def_id", "signal_id", F.explode(F.array(F.lit("0x10"), (F.col("n") % 1000).cast("string"), F.when(F.col("n") % 7 == 0, "1.5"))).alias("raw_text"), F.lit("x").alias("label"))
+    return O.validate_labels(l.filter("raw_text is not null"), d)
+
+
+@query("L8_derived", _V + "SELECT def_id, 'd' AS signal_id, r AS problem FROM x, (VALUES (0, 'FORWARD_REFERENCE'), (1, 'LOOKUP_POINTS'), (2, 'LOOKUP_INPUT_TWICE'), (3, 'FILTER_TIME'), (4, 'INPUT_EMPTY')) v(k, r) WHERE n % 6 = k", base=False)
+def validated_derived(spark, sf):
+    d = _defined(spark, sf)
+    k = F.col("n") % 6
+    points = F.when(k == 1, F.expr("array(named_struct('input', 0D, 'output', 1D))")).when(k == 2, F.expr("array(named_struct('input', 0D, 'output', 1D), named_struct('input', 0D, 'output', 2D))")).otherwise(F.expr("array(named_struct('input', 0D, 'output', 1D), named_struct('input', 1D, 'output', 2D))"))
+    kind = F.when(k == 3, "filter").when(k.isin(1, 2, 5), "lookup").otherwise("expression")
+    inputs = F.when(k == 0, F.array(F.lit("LATER"))).when(k == 4, F.array().cast("array<string>")).otherwise(F.array(F.lit("A")))
+    first = d.filter("signal_id = 'm'")
+    derived = first.select("def_id", F.lit("d").alias("signal_id"), F.lit(0).alias("place"), F.lit("D").alias("name"), kind.alias("kind"), inputs.alias("inputs"), points.alias("points"), F.lit(0.0).alias("seconds"))
+    later = first.select("def_id", F.lit("l").alias("signal_id"), F.lit(1).alias("place"), F.lit("LATER").alias("name"), F.lit("expression").alias("kind"), F.array(F.lit("D"), F.lit("B")).alias("inputs"), points.alias("points"), F.lit(0.0).alias("seconds"))
+    return O.validate_derived(derived.union(later), d)
+
+
 def _findings(spark, sf):
     e = events(spark, sf)
     return e.select(F.when(F.col("mux") == 0, "parser").otherwise("definition").alias("source"), F.col("event_type").alias("code"), F.lit("").alias("owner"), F.concat(F.lit("d"), F.col("user_id") % 10).alias("def_id"), F.col("source_id").alias("signal_id"), F.concat(F.lit("m"), "k").alias("message"), F.col("ts").alias("position"), F.col("ordinal").alias("seq"))
