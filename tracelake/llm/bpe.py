@@ -25,7 +25,7 @@ _S = r"\x09-\x0D\x20\x85\xA0" + "{}{}-{}{}{}{}{}{}".format(*map(chr, (0x1680, 0x
 #: The split before merges that belongs to the vocabulary (fixed value).
 SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_S}\p{{L}}\p{{N}}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Words of this many bytes of text are laid out at once, across documents.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
