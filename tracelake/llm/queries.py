@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, langid, licenses, mixing, packing, quality, rules, simhash, suffix_dedup, toxicity
+from . import alignment, bpe, exact_dedup, langid, licenses, mixing, packing, quality, rules, simhash, suffix_dedup, toxicity
 from .common import id_remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The same vocabulary as ranks, and its special token, whose string in a text becomes its id.
 RANKS = "byte_bpe_50k.tiktoken"
+PIECES = "piece_bpe_32k.model"
 SPECIAL = {"<|endoftext|>": 50256}
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -78,6 +79,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), tokenizer_path(PIECES))
+
+
 def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), SPECIAL)
 
@@ -89,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_toxicity, op2_quality, op3_pareto_mix, op4_simhash, op5_exact_dedup, op6_licenses, op7_bpe, op8_language, op9_quality_rules, op10_suffix_dedup, op13_packing)
+    ops = (op1_toxicity, op2_quality, op3_pareto_mix, op4_simhash, op5_exact_dedup, op6_licenses, op7_bpe, op8_language, op9_quality_rules, op10_suffix_dedup, op12_alignment, op13_packing)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
