@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, bpe, exact_dedup, langid, licenses, mixing, packing, quality, rules, simhash, suffix_dedup, toxicity
+from . import alignment, bpe, exact_dedup, langid, licenses, mixing, negatives, packing, quality, rules, simhash, suffix_dedup, toxicity
 from .common import id_remainder, table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -79,6 +79,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(RANKS), tokenizer_path(PIECES))
 
@@ -94,7 +98,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    ops = (op1_toxicity, op2_quality, op3_pareto_mix, op4_simhash, op5_exact_dedup, op6_licenses, op7_bpe, op8_language, op9_quality_rules, op10_suffix_dedup, op12_alignment, op13_packing)
+    ops = (op1_toxicity, op2_quality, op3_pareto_mix, op4_simhash, op5_exact_dedup, op6_licenses, op7_bpe, op8_language, op9_quality_rules, op10_suffix_dedup, op11_hard_negatives, op12_alignment, op13_packing)
     return {f.__name__: f for f in ops} | {"pipeline": pipeline}
 
 
@@ -176,7 +180,23 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
+_OP11 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER near)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW near AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER near <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express; the others are tested against brute force or held-out labels."""
-    return {"op3_pareto_mix": _OP3, "op5_exact_dedup": _OP5, "op9_quality_rules": _OP9}
+    return {"op3_pareto_mix": _OP3, "op5_exact_dedup": _OP5, "op9_quality_rules": _OP9, "op11_hard_negatives": _OP11}
