@@ -37,25 +37,43 @@ def progressive(spark, sf):
     return J.drain(D.decode(_bus_frames(spark, sf), layouts(spark)).select("ordinal", "signal_id", "value"), shared(spark))
 
 
-@query("W2", "SELECT source_id, ordinal, t_us, false AS late FROM fr")
-def reordered(spark, sf):
-    """All frames: those the watermark has passed, and at the end those that still waited."""
-    from .tables import events
+#: How far behind its time each kind of frame arrives: lanes that are written a little apart. Every 50th frame comes an hour late.
+_LAGS = {"click": 0, "view": 180_000_000, "signup": 60_000_000, "error": 600_000_000, "purchase": 20_000_000}
+_HOUR = 3_600_000_000
+_ARRIVAL = "(t_us + CASE event_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _LAGS.items()) + f" END + CASE WHEN ordinal % 50 = 7 THEN {_HOUR} ELSE 0 END) * 64 + ordinal % 64"
+
+
+def _shuffled(spark, sf, files=5):
+    """Frames as a stream in order of arrival, with an end mark for each source behind them."""
+    table = spark.read.parquet(f"{sf}/events.parquet").withColumn("end", F.lit(False))
+    placed = table.selectExpr("*", "unix_micros(CAST(ts AS TIMESTAMP)) AS t_us", "event_id AS ordinal").withColumn("arrival", F.expr(_ARRIVAL)).drop("t_us", "ordinal")
+    columns = {"event_id": F.lit(None).cast("long"), "end": F.lit(True), "arrival": F.lit(2**62)}
+    ends = placed.groupBy((F.col("user_id") % 4).alias("user_id")).agg(F.max("ts").alias("ts"), *[F.first(c).alias(c) for c in ("event_type", "value", "props")]).withColumns(columns)
+    return J.as_frames(J.delivered(placed, "arrival", shared(spark), files, [ends])).withColumn("lane", F.col("event_type"))
+
 
+_LANES = "".join(f", last_value(CASE WHEN event_type = '{k}' THEN t_us END IGNORE NULLS) OVER w AS l{i}" for i, k in enumerate(_LAGS))
+_MARK = "CASE WHEN " + " AND ".join(f"l{i} IS NOT NULL" for i in range(len(_LAGS))) + " THEN least(" + ", ".join(f"l{i}" for i in range(len(_LAGS))) + ") END AS mark"
+
+
+@query("W2", f""", a AS (SELECT source_id, ordinal, t_us, event_type, {_ARRIVAL} AS arrival FROM fr),
+ s AS (SELECT *, row_number() OVER w AS i{_LANES} FROM a WINDOW w AS (PARTITION BY source_id ORDER BY arrival ROWS UNBOUNDED PRECEDING)),
+ m AS (SELECT *, {_MARK} FROM s),
+ r AS (SELECT f.source_id, f.ordinal, f.t_us, f.arrival, coalesce(min(g.i), 1000000000000) AS step FROM m f LEFT JOIN m g ON f.source_id = g.source_id AND g.i >= f.i AND g.mark >= f.t_us GROUP BY ALL),
+ o AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY step, t_us, arrival) - 1 AS position FROM r)
+ SELECT source_id, ordinal, t_us, position, coalesce(t_us < max(t_us) OVER (PARTITION BY source_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM o""")
+def reordered(spark, sf):
+    """Lanes that arrive apart, some frames an hour late: the order of release and who was late."""
     _stateful(spark)
-    released = J.drain(J.release_in_order(_frames(spark, sf), "1 minute"), shared(spark))
-    return released.union(J.still_waiting(events(spark, sf), released))
+    return J.drain(J.release_in_order(_shuffled(spark, sf), list(_LAGS)), shared(spark))
 
 
-@query("W2_bounded", "SELECT source_id, count(*) AS n FROM fr GROUP BY 1")
+@query("W2_bounded", "SELECT source_id, count(*) AS n, count(*) AS released, count(*) - 1 AS last_position FROM fr GROUP BY 1")
 def bounded(spark, sf):
-    """With room for 20 frames a source none is lost or released twice."""
-    from .tables import events
-
+    """With room for 20 frames a source none is lost or released twice; tests hold the order against a plain heap."""
     _stateful(spark)
-    released = J.drain(J.release_in_order(_frames(spark, sf), "1 hour", 20), shared(spark))
-    both = released.union(J.still_waiting(events(spark, sf), released))
-    return both.groupBy("source_id").agg(F.count_distinct("ordinal").alias("n"))
+    released = J.drain(J.release_in_order(_shuffled(spark, sf), list(_LAGS), 20), shared(spark))
+    return released.groupBy("source_id").agg(F.count_distinct("ordinal").alias("n"), F.count(F.lit(1)).alias("released"), F.max("position").alias("last_position"))
 
 
 @query("W3", "SELECT ordinal FROM fr WHERE event_type = 'error' AND value > 50")
@@ -83,13 +101,36 @@ def sessions(spark, sf):
     return out.groupBy("source_id", "ordinal").pivot("name", ["n", "users"]).agg(F.first("value")).select("source_id", "ordinal", F.col("n").cast("long").alias("n"), F.col("users").cast("long").alias("users"))
 
 
-@query("W6", ", g AS (SELECT user_id, t_us // 1000 AS ms, lead(t_us // 1000) OVER (PARTITION BY user_id ORDER BY t_us) AS nxt FROM fr), mx AS (SELECT max(t_us) // 1000 AS w FROM fr) SELECT user_id, ms AS last_ms, ms + 10800000 AS silent_ms FROM g WHERE nxt - ms > 10800000")
+@query("W6", """, g AS (SELECT user_id, t_us // 1000 AS ms, lead(t_us // 1000) OVER (PARTITION BY user_id ORDER BY t_us) AS nxt, 1800000 * (1 + user_id % 3) AS p, max(t_us) OVER () // 1000 AS finish FROM fr)
+ SELECT user_id, ms AS last_ms, ms + 3 * p AS silent_ms FROM g WHERE coalesce(nxt, finish) - ms > 3 * p""")
 def silent(spark, sf):
-    """Silences that a later frame of the same key ended; those still open depend on the last watermark."""
+    """Each user has a period of its own; at the end silences that are still open are told too."""
     _stateful(spark)
-    out = J.drain(J.silent_keys(_frames(spark, sf).select("user_id", "t_us", "at"), ["user_id"], 3600000, "1 minute"), shared(spark))
-    f = spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp"))).alias("end_ms"))
-    return out.join(f, "user_id").filter("last_ms < end_ms").select("user_id", "last_ms", "silent_ms")
+    table = spark.read.parquet(f"{sf}/events.parquet").withColumn("end", F.lit(False))
+    last = table.agg(F.max("ts").alias("ts"))
+    ends = table.groupBy("user_id").agg(*[F.first(c).alias(c) for c in ("event_id", "event_type", "value", "props")]).withColumn("end", F.lit(True)).crossJoin(F.broadcast(last))
+    periods = table.select("user_id").distinct().select("user_id", (1800000 * (1 + F.col("user_id") % 3)).alias("period_ms"))
+    f = J.as_frames(J.delivered(table, "event_id", shared(spark), ends=[ends])).select("user_id", "t_us", "at", "end").join(periods, "user_id")
+    return J.drain(J.silent_keys(f, ["user_id"], "1 minute"), shared(spark))
+
+
+_TIMEOUT_S = 7200
+
+
+@query("X9_stream", f""", q AS (SELECT user_id, ordinal, t_us FROM fr WHERE event_type = 'click'), r AS (SELECT user_id, ordinal, t_us FROM fr WHERE event_type = 'view')
+ SELECT r.user_id, r.ordinal AS response, q.ordinal AS request, (r.t_us - q.t_us) / 1000::DOUBLE AS response_ms FROM r ASOF JOIN q ON r.user_id = q.user_id AND r.t_us >= q.t_us WHERE r.t_us - q.t_us <= {_TIMEOUT_S}000000
+ UNION ALL SELECT user_id, NULL, ordinal, NULL FROM q WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.user_id = q.user_id AND r.t_us BETWEEN q.t_us AND q.t_us + {_TIMEOUT_S}000000)""")
+def paired(spark, sf):
+    """Requests and responses as two streams of five files each; requests that time out are listed."""
+    table = spark.read.parquet(f"{sf}/events.parquet")
+    sides = []
+    for kind in ("click", "view"):
+        own = table.filter(F.col("event_type") == kind)
+        # Two marks of nobody's, later and later, move the watermark past all that may still pair.
+        ends = [own.agg(F.max(F.col("ts") + F.expr(f"INTERVAL {d} DAYS")).alias("ts"), *[F.first(c).alias(c) for c in ("event_type", "value", "props")]).withColumns({"event_id": F.lit(-d).cast("long"), "user_id": F.lit(-1).cast("long")}) for d in (400, 401)]
+        sides.append(J.as_frames(J.delivered(own, "event_id", shared(spark), ends=ends)))
+    out = J.drain(J.pair_streams(*sides, ["user_id"], _TIMEOUT_S, "1 minute"), shared(spark))
+    return J.latest_requests(out.filter("user_id >= 0"), ["user_id"]).select("user_id", "response", "request", "response_ms")
 
 
 @query("W7", "SELECT source_id, event_type, max(ordinal) AS ordinal, count(*) AS count FROM fr GROUP BY ALL")
