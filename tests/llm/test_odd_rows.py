@@ -86,3 +86,21 @@ def test_folder_of_tables(spark):
     common.discard(written)
     with pytest.raises(Exception):
         spark.read.parquet(written._written_to)
+
+
+def test_many_repeated_rows_are_searched_once(spark):
+    """Two thousand rows of one id and text, and one text that overlaps it: contexts are those of two texts."""
+    rnd = random.Random(29)
+    text, other = prose(rnd, 120), prose(rnd, 40)
+    overlap = other + text[100:900] + prose(rnd, 40)
+    rows = [(None, text)] * 2000 + [(7, text)] * 50 + [(8, overlap), (8, other), (None, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    binary = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
+    assert suffix_dedup.collapsed(binary).count() == 5
+    got = {}
+    for r in suffix_dedup.remove_repeats(docs, length=60).collect():
+        got.setdefault((r["doc_id"], r["n_bytes"]), []).append(tuple(r)[2:4])
+    assert sum(map(len, got.values())) == len(rows) and all(len(set(v)) == 1 for v in got.values())
+    want = plain_repeats([t.encode() for t in (text, text, text, overlap, other, other)], 60)
+    for key, w in zip([(None, len(text.encode())), (7, len(text.encode())), None, (8, len(overlap.encode())), (8, len(other.encode())), (None, len(other.encode()))], want):
+        assert key is None or got[key][0] == tuple(w)[1:3]

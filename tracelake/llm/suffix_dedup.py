@@ -319,6 +319,21 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, max_contexts: int = M
     return plain.union(contested)
 
 
+def collapsed(rows: DataFrame) -> DataFrame:
+    """``doc_id, text, copies``: rows that share id and text as one row with their number.
+
+    Only rows whose id is repeated are compared, byte by byte, and combined before they are shuffled; where no id is, the rows go on
+    as they are.
+    """
+    again = materialise(rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").select(F.col("doc_id").alias("__id")))
+    if not again.limit(1).count():
+        discard(again)
+        return rows.withColumn("copies", F.lit(1).cast("long"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    many = rows.join(again, same, "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
+    return materialise(rows.join(again, same, "left_anti").withColumn("copies", F.lit(1).cast("long")).union(many))
+
+
 def _cut(text: bytes, ranges: list[dict], length: int) -> tuple[bytes, int]:
     """What is left of a text, and the number of maximal removed runs."""
     if not ranges:
@@ -335,13 +350,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Every byte under a string of ``length`` bytes that also starts anywhere else, in the same document
     or another, is removed; strings are judged on the input. Null counts as empty. Texts shorter than
-    ``length`` lose nothing. Repeated rows are places of their own, so both lose all their strings.
+    ``length`` lose nothing. Repeated rows are places of their own, so all lose all their strings; they are
+    searched as one row, however many they are.
     Rows with one id but different texts are told apart by a checksum. An empty table gives an empty
     result; other columns are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
-    ranges = repeated_ranges(rows, length, max_contexts)
-    ranges = ranges.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    once = collapsed(rows)
+    ranges = repeated_ranges(once.select("doc_id", "text"), length, max_contexts)
+    # All strings of a text that has copies under its own id are repeated.
+    whole = once.filter((F.col("copies") > 1) & (F.length("text") >= length)).select("doc_id", F.crc32("text").alias("mark"), F.lit(0).alias("lo"), (F.length("text") - length + 1).alias("hi"))
+    ranges = ranges.union(whole).groupBy("doc_id", "mark").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
     marked = rows.withColumn("mark", F.crc32("text"))
     same_row = marked["doc_id"].eqNullSafe(ranges["doc_id"]) & (marked["mark"] == ranges["mark"])
     located = marked.join(ranges, same_row, "left").select(marked["doc_id"], "text", "ranges")
