@@ -206,6 +206,39 @@ def best_of(scores: np.ndarray, keep: np.ndarray, k: int) -> np.ndarray:
     return at[np.argsort(-scores[at], kind="stable")][:k]
 
 
+class Best:
+    """The first rows of each (anchor, place) among those of all blocks that a task compares, so that few leave it."""
+
+    def __init__(self, most: int = 50_000):
+        self.most, self.rows, self.kept = most, [], 0
+
+    def add(self, rows: list[tuple]) -> None:
+        self.rows += rows
+        if len(self.rows) > self.kept + self.most:
+            self.prune()
+
+    def prune(self) -> None:
+        # Null ids come last among equal scores; the place tells positives from negatives.
+        self.rows.sort(key=lambda r: (r[0], r[1], -r[3], r[2] is None, r[2] or 0))
+        out, now, n = [], None, 0
+        for r in self.rows:
+            if r[:2] != now:
+                now, n = r[:2], 0
+            if n < (NEGATIVES if r[1] else POSITIVES):
+                out.append(r)
+                n += 1
+        self.rows, self.kept = out, len(out)
+
+    def full(self) -> bool:
+        return self.kept > 8 * self.most
+
+    def take(self) -> pa.RecordBatch:
+        self.prune()
+        rows, self.rows, self.kept = self.rows, [], 0
+        columns = zip(*rows) if rows else [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["aid", "place", "vec_id", "score", "copies"])
+
+
 def compare(requests: DataFrame, rows: DataFrame, width: int, tile_anchors: int, n_anchors: int) -> DataFrame:
     """``aid, place, vec_id, score, copies``: of each block, what an anchor may want of it.
 
@@ -224,6 +257,7 @@ def compare(requests: DataFrame, rows: DataFrame, width: int, tile_anchors: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[pa.RecordBatch] = []
         now, held = None, None
+        best = Best()
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(c), np.int64) for c in range(3)], 1)
             cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
@@ -240,9 +274,12 @@ def compare(requests: DataFrame, rows: DataFrame, width: int, tile_anchors: int,
                     table = pa.Table.from_batches(block, batch.schema).combine_chunks() if block else None
                     held = table and (matrix(table["q"].combine_chunks(), width), *(table[c].to_numpy() for c in ("id", "label", "copies")), table["vec_id"].to_pylist())
                 if held:
-                    yield from answer(part, *held)
+                    best.add(answer(part, *held))
+                    if best.full():
+                        yield best.take()
+        yield best.take()
 
-    def answer(part, q, ids, labels, copies, names) -> Iterator[pa.RecordBatch]:
+    def answer(part, q, ids, labels, copies, names) -> list[tuple]:
         out = []
         for at in range(0, part.num_rows, 512):
             some = part.slice(at, 512)
@@ -255,8 +292,7 @@ def compare(requests: DataFrame, rows: DataFrame, width: int, tile_anchors: int,
                 other = labels != label
                 for w in windows:
                     out += [(aid, w["place"], names[k], int(row[k]), int(copies[k])) for k in best_of(row, other & (row >= w["low"]) & (row <= w["high"]), NEGATIVES)]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["aid", "place", "vec_id", "score", "copies"])
+        return out
 
     return dealt.mapInArrow(run, "aid long, place int, vec_id long, score long, copies long")
 
