@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake import plans
 from tracelake.operators import ranges
 
-NAMES = "C3 C4 C5 C6 C7 J1_thinned J3 J4 P4 E5 E9 E10 F10 F11 G5 G6 G9 G10 G11 G12 G13 G14 G17 G18 G24".split()
+NAMES = "C3 C4 C5 C6 C7 J1_thinned J3 J4 P4 E4 E5 E6 E7 E9 E10 F10 F11 G5 G6 G9 G10 G11 G12 G13 G14 G17 G18 G20 G24 Q2 R4 T1 T1_bulk T2 T3 T4 T7".split()
 
 
 @pytest.fixture
@@ -26,3 +26,25 @@ def test_one_series_is_dealt_evenly(spark, cut):
     rows = spark.range(3000).select(F.lit("s").alias("signal_id"), F.col("id").alias("t_us"), F.col("id").alias("ordinal"))
     counts = [r["count"] for r in ranges.with_ranges(rows, ["signal_id"], "t_us")[0].groupBy("__r").count().collect()]
     assert len(counts) >= 40 and max(counts) <= 3 * sorted(counts)[len(counts) // 2]
+
+
+def test_low_pass_cut_equals_whole(spark, sf_dir, monkeypatch):
+    """The low-pass filter inside an epoch: cut into ranges, blocks too, it gives what the recurrence gives."""
+    import math
+
+    from tracelake.operators import derived
+
+    rows = spark.range(1500).select(F.lit(1).alias("key"), F.col("id").alias("ordinal"), (F.col("id") * 1_000_000 + F.col("id") % 7 * 100_000).alias("t_us"), (F.col("id") * 37 % 101).cast("double").alias("value"))
+    rows = rows.withColumn("ts", F.col("t_us") / 1e6)
+    monkeypatch.setattr(ranges, "RANGE_BYTES", -1)
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 60)
+    monkeypatch.setattr(ranges, "MOST_RANGES", 50)
+    for tau in (0.7, 9.0, 400.0):
+        got = [(r["y"], r["previous"], r["delta_s"]) for r in derived.low_pass(rows.withColumn("epoch", F.lit(0)), ["key"], tau).orderBy("ordinal").collect()]
+        y, last = None, None
+        for i, (g, before, step) in enumerate(got):
+            t, x = i + i % 7 / 10, float(i * 37 % 101)
+            was = y
+            y = x if y is None else y + (1 - math.exp(-(t - last) / tau)) * (x - y)
+            assert abs(g - y) < 1e-9 * max(1, abs(y)) and (was is None) == (before is None) and (was is None or abs(step - (t - last)) < 1e-6)
+            last = t

@@ -22,6 +22,13 @@ def _tokens(text: str) -> list[tuple[str, str]]:
     return out
 
 
+def names_of(text: str) -> set[str]:
+    """Names of the inputs that an expression reads; ValueError if it cannot be read."""
+    names = {word for kind, word in _tokens(text) if kind == "name"}
+    compile_expression(text, {n: F.lit(None).cast("double") for n in names})
+    return names
+
+
 def compile_expression(text: str, inputs: dict[str, Column]) -> Column:
     """Column of an expression; null where it divides by zero, lacks an input or is not finite.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .asof import neighbours
 from .decode import small
-from .ranges import Ranged
+from .ranges import Ranged, totals, with_halo
 
 
 def lookup(rows: DataFrame, points: DataFrame, table_col: str, x: str, outside: str = "clamp") -> DataFrame:
@@ -37,9 +37,21 @@ def epochs(rows: DataFrame, keys: list[str], time: str = "ts", order: str = "ord
 
 
 def moving_average(rows: DataFrame, keys: list[str], seconds: float, value: str = "value", time_us: str = "t_us") -> DataFrame:
-    """Mean, count and sum of the values at most ``seconds`` old, by a range frame."""
-    w = Window.partitionBy(*keys, "epoch").orderBy(time_us).rangeBetween(-round(seconds * 1e6), 0)
-    return rows.withColumns({"y": F.avg(value).over(w), "count": F.count(value).over(w), "sum": F.sum(value).over(w)})
+    """Mean, count and sum of the values at most ``seconds`` old, by a range frame.
+
+    An epoch with very many rows is cut into ranges of time; each gets the last ``seconds`` before it as well.
+    """
+    reach = round(seconds * 1e6)
+    r = with_halo(rows, [*keys, "epoch"], time_us, reach)
+    w = Window.partitionBy(*keys, "epoch", "__r").orderBy(time_us).rangeBetween(-reach, 0)
+    r = r.withColumns({"y": F.avg(value).over(w), "count": F.count(value).over(w), "sum": F.sum(value).over(w)})
+    return r.filter("__own").drop("__r", "__own")
+
+
+def with_evidence(filtered: DataFrame, keys: list[str], time_us: str = "t_us") -> DataFrame:
+    """What a filter started from: ``previous`` output and ``delta_us`` since; null for the first of an epoch."""
+    r = Ranged(filtered, [*keys, "epoch"], (time_us, "ordinal")).lag(previous="y", __before=time_us).done()
+    return r.withColumn("delta_us", F.col(time_us) - F.col("__before")).drop("__before")
 
 
 def low_pass(rows: DataFrame, keys: list[str], tau: float, value: str = "value", time: str = "ts") -> DataFrame:
@@ -47,26 +59,29 @@ def low_pass(rows: DataFrame, keys: list[str], tau: float, value: str = "value",
 
     y(k) = a y(k-1) + (1 - a) x(k) with a = exp(-step / tau) is solved inside blocks of 20 tau by a
     weighted running sum; the value a block starts with is carried over from three blocks before, beyond
-    which weights vanish below double precision.
+    which weights vanish below double precision. Steps, sums and carries run over ranges of time where an epoch, a
+    block or the table of blocks has very many rows: a range composes to one sum, and a small table carries sums over.
     """
-    w = Window.partitionBy(*keys, "epoch").orderBy(time, "ordinal")
-    r = rows.withColumn("__step", F.col(time) - F.lag(time).over(w)).withColumn("__t0", F.first(time).over(w))
+    scope = [*keys, "epoch"]
+    r = Ranged(rows, scope, (time, "ordinal")).lag(__before=time).done()
+    r = totals(r.withColumn("__step", F.col(time) - F.col("__before")), scope, __t0=F.min(time))
     r = r.withColumn("__block", F.floor((F.col(time) - F.col("__t0")) / (20 * tau)))
     b = F.when(F.col("__step").isNull(), F.col(value)).otherwise((1 - F.exp(-F.col("__step") / tau)) * F.col(value))
     r = r.withColumn("__tb", F.col("__t0") + F.col("__block") * 20 * tau)
     r = r.withColumn("__u", b * F.exp((F.col(time) - F.col("__tb")) / tau))
-    in_block = Window.partitionBy(*keys, "epoch", "__block").orderBy(time, "ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    r = r.withColumn("__s", F.sum("__u").over(in_block))
-    ends = r.groupBy(*keys, "epoch", "__block").agg(F.sum("__u").alias("__sum"), F.first("__tb").alias("__tb_end"))
-    wb = Window.partitionBy(*keys, "epoch").orderBy("__block")
-    carry = F.lit(0.0)
+    r = Ranged(r, [*scope, "__block"], (time, "ordinal")).running_sum(__s=F.col("__u")).done()
+    ends = r.groupBy(*scope, "__block").agg(F.sum("__u").alias("__sum"), F.first("__tb").alias("__tb_end"))
+    ends = Ranged(ends, scope, ("__block",))
+    carry, last = F.lit(0.0), ("__sum", "__tb_end")
     for i in (1, 2, 3):
-        carry = carry + F.coalesce(F.lag("__sum", i).over(wb) * F.exp((F.lag("__tb_end", i).over(wb) - F.col("__tb_end")) / tau), F.lit(0.0))
-    ends = ends.withColumn("__carry", carry).select(*keys, "epoch", "__block", "__carry")
-    r = r.join(ends, [*keys, "epoch", "__block"])
+        ends.lag(**{f"__sum{i}": last[0], f"__tb{i}": last[1]})
+        last = f"__sum{i}", f"__tb{i}"
+        carry = carry + F.coalesce(F.col(last[0]) * F.exp((F.col(last[1]) - F.col("__tb_end")) / tau), F.lit(0.0))
+    carried = ends.done().select(*scope, "__block", carry.alias("__carry"))
+    r = r.join(carried, [*scope, "__block"])
     y = F.exp(-(F.col(time) - F.col("__tb")) / tau) * (F.col("__carry") + F.col("__s"))
-    out = r.withColumn("y", y).withColumn("previous", F.lag("y").over(w)).withColumnRenamed("__step", "delta_s")
-    return out.drop("__t0", "__block", "__tb", "__u", "__s", "__carry")
+    r = Ranged(r.withColumn("y", y), scope, (time, "ordinal")).lag(previous="y").done()
+    return r.withColumnRenamed("__step", "delta_s").drop("__before", "__t0", "__block", "__tb", "__u", "__s", "__carry")
 
 
 def sample_at(probes: DataFrame, series: DataFrame, keys: list[str], linear: bool = True) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .decode import small
+from .ranges import Ranged
 
 GROUP = ["source", "code", "owner", "def_id", "signal_id", "message"]
 MAX_GROUPS = 5_000
@@ -15,11 +16,11 @@ def tally(findings: DataFrame, max_groups: int = MAX_GROUPS) -> DataFrame:
     """Groups of equal findings with count, first and last position, in order of first position.
 
     Groups beyond ``max_groups``, by first appearance (``seq``), are merged per code, owner and
-    definition. The ranking runs over the groups, not over the findings.
+    definition. The ranking runs over the groups, not over the findings, in ranges of ``seq`` where they are very many.
     """
     g = findings.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("count"), F.min("position").alias("first"), F.max("position").alias("last"), F.min("seq").alias("seq"))
-    g = g.withColumn("__r", F.row_number().over(Window.orderBy("seq")))
-    over = F.col("__r") > max_groups
+    g = Ranged(g, [], ("seq", *GROUP)).position("__place").done()
+    over = F.col("__place") >= max_groups
     g = g.withColumn("signal_id", F.when(over, "*").otherwise(F.col("signal_id"))).withColumn("message", F.when(over, "(grouped)").otherwise(F.col("message")))
     return g.groupBy(*GROUP).agg(F.sum("count").alias("count"), F.min("first").alias("first"), F.max("last").alias("last"))
 
@@ -31,6 +32,18 @@ def replace_findings(groups: DataFrame, changed: DataFrame, fresh: DataFrame) ->
     return kept.unionByName(fresh)
 
 
+def sorted_table(rows: DataFrame, tables: list[str], column: Column, row: str = "ordinal", descending: bool = False) -> DataFrame:
+    """``place`` of each row when a table is sorted by any column: missing last in both directions, ties in order of rows.
+
+    A table with very many rows is sorted in ranges of the column.
+    """
+    key = F.when(~F.isnan(column.cast("double")), column.cast("double"))
+    key = -key if descending else key
+    r = Ranged(rows.withColumns({"__missing": key.isNull().cast("int"), "__key": key}).withColumn("__sort", F.coalesce("__key", F.lit(float("inf")))), tables, ("__sort", "__missing", row))
+    out = r.position("__place").done()
+    return out.withColumn("place", (F.col("__place") + 1).cast("int")).drop("__missing", "__key", "__sort", "__place")
+
+
 def label_dictionary(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(first label of each signal and value, rows whose own label differs from it, also by having none)."""
     first = cells.filter("label is not null").groupBy("signal_id", "value").agg(F.min_by("label", "row").alias("label"))

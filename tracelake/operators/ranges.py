@@ -16,8 +16,8 @@ from .decode import small
 
 #: Rows of a series in a range, about; series with no more are one range.
 RANGE_ROWS = 1_000_000
-#: Tables that Spark estimates at no more bytes are not cut.
-RANGE_BYTES = 256 << 20
+#: Tables that Spark estimates at no more bytes are not cut; of larger ones the rows of each series are counted.
+RANGE_BYTES = 16 << 20
 #: Ranges of one series, at most: the quantiles of its times that bound them.
 MOST_RANGES = 1_000
 
@@ -28,8 +28,16 @@ def with_ranges(df: DataFrame, keys: Sequence[str], time: str) -> tuple[DataFram
     Equal times share a range. The bounds are quantiles of the times of series with more than ``RANGE_ROWS`` rows,
     a small table; all other series are range 0.
     """
-    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= RANGE_BYTES:
+    bounds = range_bounds(df, keys, time)
+    if bounds is None:
         return df.withColumn("__r", F.lit(0)), False
+    return df.join(small(bounds), list(keys), "left").withColumn("__r", range_of(F.col(time))).drop("__q"), True
+
+
+def range_bounds(df: DataFrame, keys: Sequence[str], time: str) -> DataFrame | None:
+    """``keys, __q``: the times that bound the ranges of each series that is cut; None where none is."""
+    if df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= RANGE_BYTES:
+        return None
     share = F.array(*(F.lit(i / MOST_RANGES) for i in range(1, MOST_RANGES)))
     per = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.percentile_approx(time, share, 10 * MOST_RANGES).alias("__q")).filter(F.col("__n") > RANGE_ROWS)
     wanted = F.ceil(F.col("__n") / RANGE_ROWS)
@@ -37,8 +45,25 @@ def with_ranges(df: DataFrame, keys: Sequence[str], time: str) -> tuple[DataFram
     from ..storage import written
 
     bounds = written(per.select(*keys, F.array_distinct(F.filter("__q", lambda q, i: (i + 1) % every == 0)).alias("__q")))
-    at = F.size(F.filter("__q", lambda q: q < F.col(time)))
-    return df.join(small(bounds), list(keys), "left").withColumn("__r", F.when(F.col("__q").isNull(), 0).otherwise(at)).drop("__q"), True
+    return bounds if bounds.limit(1).count() else None
+
+
+def range_of(time: Column) -> Column:
+    """Number of the range that a time falls in, by the bounds ``__q`` (null: one range)."""
+    return F.when(F.col("__q").isNull(), 0).otherwise(F.size(F.filter("__q", lambda q: q < time)))
+
+
+def with_halo(df: DataFrame, keys: Sequence[str], time: str, reach: int) -> DataFrame:
+    """``df`` with ``__r`` and ``__own``: each row in its own range, and again (``__own`` false) in each later range whose rows look back to it.
+
+    A range's rows see ``reach`` units of time back, so a window frame over (keys, range) holds all it needs.
+    """
+    bounds = range_bounds(df, keys, time)
+    if bounds is None:
+        return df.withColumns({"__r": F.lit(0), "__own": F.lit(True)})
+    placed = df.join(small(bounds), list(keys), "left").withColumn("__at", range_of(F.col(time)))
+    placed = placed.withColumn("__r", F.explode(F.sequence("__at", range_of(F.col(time) + reach))))
+    return placed.withColumn("__own", F.col("__r") == F.col("__at")).drop("__q", "__at")
 
 
 class Ranged:
@@ -95,6 +120,27 @@ class Ranged:
                 self.df = self.df.withColumn(name, F.col(name) + F.col("__carry")).drop("__carry")
         return self
 
+    def running(self, **values: tuple) -> Ranged:
+        """Running aggregates up to and with each row: ``running(name=(F.max, value))``; of sums, least and greatest values."""
+        here = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        plain = {n: F.col(v) if isinstance(v, str) else v for n, (_, v) in values.items()}
+        over = {n: f(plain[n]).over(here) for n, (f, _) in values.items()}
+        if not self.cut:
+            self.df = self.df.withColumns(over)
+            return self
+        steps = self._steps()[0].rowsBetween(Window.unboundedPreceding, -1)
+        per = self.df.groupBy(*self.keys, "__r").agg(*(f(plain[n]).alias(f"__e_{n}") for n, (f, _) in values.items()))
+        per = per.select(*self.keys, "__r", *(f(f"__e_{n}").over(steps).alias(f"__c_{n}") for n, (f, _) in values.items()))
+        self.df = self.df.withColumns(over).join(small(per), [*self.keys, "__r"])
+        # Arrays of both also order structs, and pass over nulls.
+        joined = {
+            F.sum: lambda a, b: F.when(a.isNull(), b).when(b.isNull(), a).otherwise(a + b),
+            F.max: lambda a, b: F.array_max(F.array(a, b)), F.min: lambda a, b: F.array_min(F.array(a, b)),
+        }
+        self.df = self.df.withColumns({n: joined[f](F.col(n), F.col(f"__c_{n}")) for n, (f, _) in values.items()})
+        self.df = self.df.drop(*(f"__c_{n}" for n in values))
+        return self
+
     def position(self, name: str) -> Ranged:
         """Place of each row in its series, from 0."""
         self.df = self.df.withColumn(name, (F.row_number().over(self.window) - 1).cast("long"))

@@ -131,13 +131,46 @@ def break_samples(samples: DataFrame, keys: list[str], thresholds: DataFrame) ->
 def gaps(samples: DataFrame, keys: list[str], thresholds: DataFrame, resolution_us: int) -> DataFrame:
     """Intervals between the samples at each break; those at most ``resolution_us`` apart are merged."""
     g = with_breaks(samples, keys, thresholds).filter("breaks_before").select(*keys, F.col("t_before").alias("start_us"), F.col("t_us").alias("end_us"), "ordinal")
-    w = Window.partitionBy(*keys).orderBy("start_us", "end_us", "ordinal")
-    upto = F.max("end_us").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    g = g.withColumn("fresh", F.when(upto.isNull() | (F.col("start_us") - upto > resolution_us), 1).otherwise(0))
-    g = g.withColumn("gap", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = Ranged(g, keys, ("start_us", "end_us", "ordinal")).running(__upto=(F.max, "end_us")).lag(__before="__upto")
+    r.running_sum(gap=F.when(F.col("__before").isNull() | (F.col("start_us") - F.col("__before") > resolution_us), 1).otherwise(0))
+    g = r.done("__upto", "__before")
     return g.groupBy(*keys, "gap").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us")).drop("gap")
 
 
+def long_steps(samples: DataFrame, keys: list[str], threshold_us: int) -> DataFrame:
+    """Intervals of more than ``threshold_us`` between one sample and the next: ``start_us, end_us``."""
+    s = Ranged(samples, keys, ORDER).lag(start_us="t_us").done().filter(F.col("t_us") - F.col("start_us") > threshold_us)
+    return s.select(*keys, "start_us", F.col("t_us").alias("end_us"))
+
+
+def with_place(samples: DataFrame, keys: list[str], name: str = "place") -> DataFrame:
+    """``samples`` with the place of each in its series, from 1: by time, then order of arrival."""
+    s = Ranged(samples, keys, ORDER).position("__p").done()
+    return s.withColumn(name, F.col("__p") + 1).drop("__p")
+
+
+def value_ranges(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """``lo, hi`` of the usable samples of each signal."""
+    return samples.filter(usable()).groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+
+
+def on_shared_times(samples: DataFrame, thinned: DataFrame) -> DataFrame:
+    """Joined thinning: all samples at the times that any of the thinned series keeps."""
+    return samples.join(thinned.select("t_us").distinct(), "t_us", "left_semi")
+
+
+def overlapping(events: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """Events ``t_us, end_us`` (null: a moment) that overlap a range, edges included."""
+    return events.filter((F.coalesce("end_us", "t_us") >= start_us) & (F.col("t_us") <= end_us))
+
+
+def intersected(ranges: DataFrame, start_us: int | None, end_us: int | None) -> DataFrame:
+    """The part of each ``start_us, end_us`` inside a range; null bounds are open, empty parts are left out."""
+    start = F.col("start_us") if start_us is None else F.greatest("start_us", F.lit(start_us))
+    end = F.col("end_us") if end_us is None else F.least("end_us", F.lit(end_us))
+    return ranges.withColumns({"start_us": start, "end_us": end}).filter("start_us is null or end_us is null or start_us <= end_us")
+
+
 def _numbered(samples: DataFrame, keys: list[str], breaks: DataFrame | None) -> DataFrame:
     """Samples with their place ``p`` in the series, its length ``n`` and whether they are break samples."""
     s = totals(Ranged(samples, keys, ORDER).position("p").done(), keys, n=F.count(F.lit(1)))

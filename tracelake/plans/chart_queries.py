@@ -91,9 +91,7 @@ _LINE = """, g AS (SELECT signal_id, bt AS a, t_us AS b FROM (SELECT *, lag(t_us
 
 
 def _gaps(spark, sf):
-    s = samples(spark, sf)
-    w = S.series_window(KEY)
-    return s.withColumn("start_us", F.lag("t_us").over(w)).filter("t_us - start_us > 5400000000").select("signal_id", "start_us", F.col("t_us").alias("end_us"))
+    return S.long_steps(samples(spark, sf), KEY, 5400000000)
 
 
 @query("C3", _LINE + " SELECT signal_id, t_us, round(CASE WHEN t0 = t_us THEN v0 WHEN NOT skipped AND NOT cut THEN v0 + (v1 - v0) * ((t_us - t0)::DOUBLE / (t1 - t0)) END, 9) AS value FROM x")

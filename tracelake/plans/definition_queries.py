@@ -197,11 +197,8 @@ def added(spark, sf):
 
 @query("R4", "SELECT source_id, ordinal, row_number() OVER (PARTITION BY source_id ORDER BY CASE WHEN k % 10 <> 0 THEN value END DESC NULLS LAST, ordinal)::INTEGER AS place FROM fr")
 def sorted_rows(spark, sf):
-    from pyspark.sql import Window
-
     v = F.when(F.col("k") % 10 != 0, F.col("value"))
-    w = Window.partitionBy("source_id").orderBy(v.desc_nulls_last(), "ordinal")
-    return events(spark, sf).select("source_id", "ordinal", F.row_number().over(w).alias("place"))
+    return Q.sorted_table(events(spark, sf), ["source_id"], v, descending=True).select("source_id", "ordinal", "place")
 
 
 @query("N1", "SELECT ordinal, CASE WHEN k % 2 = 0 THEN can_id ELSE k END AS can_id, k % 3 = 0 OR CASE WHEN k % 2 = 0 THEN can_id ELSE k END > 2047 AS extended, printf('%X', CASE WHEN k % 2 = 0 THEN can_id ELSE k END) || CASE WHEN k % 3 = 0 AND CASE WHEN k % 2 = 0 THEN can_id ELSE k END <= 2047 THEN 'x' ELSE '' END AS text FROM fr")

@@ -1,9 +1,9 @@
 """Queries of derived signals and calculations."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expression import compile_expression
+from ..operators import calculations as K
 from ..operators import decode as D
 from ..operators import derived as O
 from ..operators import series as S
@@ -70,17 +70,53 @@ def scopes(spark, sf):
 
 @query("E7", _EPOCH + _AVG + " SELECT key, ordinal, n AS sample_count, round(s, 2) AS total, t_us - lag(t_us) OVER (PARTITION BY key, epoch ORDER BY t_us) AS delta_us FROM av")
 def evidence(spark, sf):
-    w = Window.partitionBy("key", "epoch").orderBy("t_us")
-    a = _averaged(spark, sf)
-    return a.select("key", "ordinal", F.col("count").alias("sample_count"), F.round("sum", 2).alias("total"), (F.col("t_us") - F.lag("t_us").over(w)).alias("delta_us"))
+    a = O.with_evidence(_averaged(spark, sf), ["key"])
+    return a.select("key", "ordinal", F.col("count").alias("sample_count"), F.round("sum", 2).alias("total"), "delta_us")
 
 
-@query("E8", "SELECT ordinal, value + user_id AS a, (value + user_id) * 2 AS b, (value + user_id) * 2 - k AS c FROM fr")
+_DERIVED = "def_id string, place int, name string, kind string, text string, input string, table_id string, outside string, filter string, seconds double"
+_POINTS = [("bend", 0.0, 0.0), ("bend", 100.0, 50.0), ("bend", 400.0, 500.0), ("short", 1.0, 1.0)]
+
+
+def _expression(frame, place, name, text):
+    return (frame, place, name, "expression", text, None, None, None, None, None)
+
+
+#: A chain of expression, lookup, filter and expression for each kind of frame, and definitions that cannot be used.
+_CHAIN = [
+    x
+    for kind in ("click", "view", "signup")
+    for x in (
+        _expression(kind, 1, "a", "[Value] + [User]"), (kind, 2, "b", "lookup", None, "a", "bend", "error" if kind == "view" else "clamp", None, None),
+        (kind, 3, "c", "filter", None, "b", None, None, "moving-average", 86400.0), _expression(kind, 4, "d", "[c] * 2 - [K] / [K]"),
+    )
+] + [_expression("view", 5, "bad", "1 +"), _expression("view", 6, "early", "[late]"), _expression("view", 7, "late", "[Value]"), ("view", 8, "odd", "lookup", None, "Value", "short", "clamp", None, None)]
+
+
+def _direct(spark, sf):
+    """Direct samples of frames: value, user and k by name."""
+    e = events(spark, sf).withColumn("def_id", F.col("event_type"))
+    named = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("value")) for n, c in (("Value", "value"), ("User", "user_id"), ("K", "k"))))
+    return e.select("source_id", "ordinal", "def_id", "t_us", "ts", "channel", "direction", F.explode(named).alias("n")).select("*", "n.name", "n.value").drop("n")
+
+
+@query("E8", """, x AS (SELECT *, value + user_id AS a FROM fr WHERE event_type IN ('click', 'view', 'signup')),
+ l AS (SELECT *, CASE WHEN a < 100 THEN a / 2 WHEN a <= 400 THEN 50 + (a - 100) / 300 * 450 WHEN event_type <> 'view' THEN 500 END AS b FROM x),
+ f AS (SELECT *, avg(b) OVER (PARTITION BY event_type, source_id, channel, direction ORDER BY t_us RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS c FROM l WHERE b IS NOT NULL),
+ u AS (SELECT ordinal, 'a' AS name, a AS value FROM x UNION ALL SELECT ordinal, 'b', b FROM l WHERE b IS NOT NULL UNION ALL SELECT ordinal, 'c', c FROM f UNION ALL SELECT ordinal, 'd', c * 2 - 1 FROM f WHERE k <> 0 UNION ALL SELECT ordinal, 'late', value FROM x WHERE event_type = 'view')
+ SELECT ordinal, name, round(value, 6) AS value FROM u""")
 def chained(spark, sf):
-    e = events(spark, sf)
-    for name, text in (("a", "[value] + [user_id]"), ("b", "[a] * 2"), ("c", "[b] - [k]")):
-        e = e.withColumn(name, compile_expression(text, {x: F.col(x) for x in ("value", "user_id", "k", "a", "b") if x in e.columns}))
-    return e.select("ordinal", "a", "b", "c")
+    """Derived signals of a definition table; each uses what stands before it in its frame."""
+    defs, points = spark.createDataFrame(_CHAIN, _DERIVED), spark.createDataFrame(_POINTS, "table_id string, input double, output double")
+    return K.derive(_direct(spark, sf), defs, points)[0].select("ordinal", "name", F.round("value", 6).alias("value"))
+
+
+@query("E8_report", "SELECT * FROM (VALUES ('view', 'bad', 'EXPRESSION_INVALID'), ('view', 'early', 'INPUT_MISSING'), ('view', 'odd', 'LOOKUP_INVALID')) t(def_id, name, code) WHERE EXISTS (SELECT 1 FROM fr WHERE event_type = 'view')")
+def unusable(spark, sf):
+    defs, points = spark.createDataFrame(_CHAIN, _DERIVED), spark.createDataFrame(_POINTS, "table_id string, input double, output double")
+    d = _direct(spark, sf)
+    present = d.select("def_id").distinct()
+    return K.derive(d, defs, points)[1].join(present, "def_id", "left_semi")
 
 
 def _series(spark, sf, name):
@@ -99,10 +135,36 @@ def _at(spark, sf):
     return O.sample_at(p, _series(spark, sf, "view"), ["one"])
 
 
-@query("E9", _AT + " SELECT ordinal, round(value - v, 9) AS difference FROM i WHERE v IS NOT NULL")
+_CALCULATIONS = [
+    ("difference", True, {"own": "click", "other": "view"}, "click", "linear", "expression", "[own] - [other]", None, None, None),
+    ("bent", True, {"x": "calculated:difference"}, "click", "exact", "lookup", None, "x", "bend", "clamp"),
+    ("sum", True, {"a": "calculated:difference", "b": "calculated:bent", "v": "view"}, "view", "linear", "expression", "[a] + [b] * 0 + [v]", None, None, None),
+    ("off", False, {"x": "click"}, "click", "exact", "expression", "[x]", None, None, None), ("round", True, {"x": "calculated:about"}, "click", "exact", "expression", "[x]", None, None, None),
+    ("about", True, {"x": "calculated:round"}, "click", "exact", "expression", "[x]", None, None, None), ("lost", True, {"x": "nobody"}, "click", "exact", "expression", "[x]", None, None, None),
+    ("unread", True, {"x": "click"}, "click", "exact", "expression", "[x] +", None, None, None), ("unnamed", True, {"x": "click"}, "click", "exact", "expression", "[y]", None, None, None), ("pointless", True, {"x": "click"}, "click", "exact", "lookup", None, "x", "none", "clamp"),
+]
+
+
+def _calculated(spark, sf):
+    s = samples(spark, sf).select(F.lit("all").alias("source_id"), "signal_id", "t_us", "ordinal", "value", S.usable().alias("ok"))
+    defs = spark.createDataFrame(_CALCULATIONS, "id string, enabled boolean, inputs map<string,string>, axis string, interpolation string, kind string, text string, input string, table_id string, outside string")
+    return K.calculate(s, defs, spark.createDataFrame(_POINTS, "table_id string, input double, output double"))
+
+
+@query("E9", _AT + """, df AS (SELECT ordinal, t_us, value - v AS value FROM i JOIN p USING (ordinal, value) WHERE v IS NOT NULL),
+ be AS (SELECT ordinal, t_us, CASE WHEN value <= 0 THEN 0.0::DOUBLE WHEN value < 100 THEN value / 2 WHEN value <= 400 THEN 50 + (value - 100) / 300 * 450 ELSE 500 END AS value FROM df),
+ vw AS (SELECT ordinal, t_us, value FROM sa WHERE signal_id = 'view' AND usable),
+ s0 AS (SELECT vw.*, d.t_us AS t0, d.value AS v0 FROM vw ASOF JOIN df d ON vw.t_us >= d.t_us), s1 AS (SELECT s0.*, d.t_us AS t1, d.value AS v1 FROM s0 ASOF JOIN df d ON s0.t_us <= d.t_us)
+ SELECT 'calculated:difference' AS signal_id, ordinal, round(value, 6) AS value FROM df UNION ALL SELECT 'calculated:bent', ordinal, round(value, 6) FROM be
+ UNION ALL SELECT 'calculated:sum', ordinal, round(CASE WHEN t0 = t_us THEN v0 ELSE v0 + (v1 - v0) * ((t_us - t0)::DOUBLE / (t1 - t0)) END + value, 6) FROM s1""")
 def across(spark, sf):
-    d = compile_expression("[own] - [other]", {"own": F.col("own"), "other": F.col("at")})
-    return _at(spark, sf).select(F.col("id").alias("ordinal"), F.round(d, 9).alias("difference")).filter("difference is not null")
+    """Calculations of a definition table, two of them over another's results."""
+    return _calculated(spark, sf)[0].select("signal_id", "ordinal", F.round("value", 6).alias("value"))
+
+
+@query("E9_report", "SELECT id, CASE id WHEN 'unread' THEN 'CALCULATION_EXPRESSION_INVALID' WHEN 'unnamed' THEN 'CALCULATION_VARIABLE_MISSING' WHEN 'pointless' THEN 'CALCULATION_LOOKUP_MISSING' WHEN 'lost' THEN 'CALCULATION_INPUT_MISSING' ELSE 'CALCULATION_CYCLE' END AS code FROM (VALUES ('round'), ('about'), ('lost'), ('unread'), ('unnamed'), ('pointless')) t(id) WHERE EXISTS (SELECT 1 FROM fr)")
+def left_out(spark, sf):
+    return _calculated(spark, sf)[1]
 
 
 @query("E10", _AT + " SELECT ordinal, round(v, 9) AS at FROM i")

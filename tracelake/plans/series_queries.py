@@ -136,12 +136,12 @@ def thin_budget(spark, sf):
 def thin_joined(spark, sf):
     s = samples(spark, sf)
     runs = s.select("signal_id").distinct().withColumn("runs", F.lit(20).cast("long"))
-    return s.join(O.extremes(s, KEY, runs).select("t_us").distinct(), "t_us", "left_semi").select("signal_id", "ordinal")
+    return O.on_shared_times(s, O.extremes(s, KEY, runs)).select("signal_id", "ordinal")
 
 
 @query("G15", "SELECT signal_id, min(value) AS lo, max(value) AS hi FROM sa WHERE usable GROUP BY signal_id")
 def global_range(spark, sf):
-    return samples(spark, sf).filter(O.usable()).groupBy("signal_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    return O.value_ranges(samples(spark, sf), KEY)
 
 
 @query("G16", "SELECT min(t_us) AS first_us, max(t_us) AS last_us, 'own' AS time FROM sa WHERE signal_id IN ('click', 'view') UNION ALL SELECT min(t_us - sh), max(t_us - sh), 'shifted' FROM (SELECT *, min(t_us) OVER (PARTITION BY source_id) AS sh FROM sa) WHERE signal_id IN ('click', 'view') AND ordinal % 100 <> 0")
@@ -185,10 +185,7 @@ def usable_samples(spark, sf):
 
 @query("G20", "SELECT key, ordinal, row_number() OVER (PARTITION BY key ORDER BY t_us, ordinal) AS place FROM od")
 def stable_order(spark, sf):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("key").orderBy("t_us", "ordinal")
-    return order_samples(spark, sf).select("key", "ordinal", F.row_number().over(w).cast("long").alias("place"))
+    return O.with_place(order_samples(spark, sf), ["key"]).select("key", "ordinal", "place")
 
 
 @query("G21", "SELECT signal_id, ordinal, CASE WHEN signal_id = 'view' THEN value * 2 ELSE value END AS value FROM sa WHERE signal_id <> 'error'")
@@ -225,10 +222,10 @@ def blocks(spark, sf):
 @query("G25", "SELECT ordinal, t_us, t_us + k::BIGINT * 1000000 AS end_us FROM fr WHERE event_type = 'error' AND t_us + k::BIGINT * 1000000 >= 1704500000000000 AND t_us <= 1705500000000000")
 def overlapping(spark, sf):
     e = events(spark, sf).filter("event_type = 'error'").withColumn("end_us", F.col("t_us") + F.col("k").cast("long") * 1000000)
-    return e.filter((F.col("end_us") >= FROM) & (F.col("t_us") <= TO)).select("ordinal", "t_us", "end_us")
+    return O.overlapping(e, FROM, TO).select("ordinal", "t_us", "end_us")
 
 
 @query("G27", "SELECT ordinal, greatest(t_us, 1704500000000000) AS start_us, least(t_us + k::BIGINT * 1000000000, 1705500000000000) AS end_us FROM fr WHERE greatest(t_us, 1704500000000000) <= least(t_us + k::BIGINT * 1000000000, 1705500000000000)")
 def intersected(spark, sf):
-    e = events(spark, sf).select("ordinal", F.greatest("t_us", F.lit(FROM)).alias("start_us"), F.least(F.col("t_us") + F.col("k").cast("long") * 1000000000, F.lit(TO)).alias("end_us"))
-    return e.filter("start_us <= end_us")
+    e = events(spark, sf).select("ordinal", F.col("t_us").alias("start_us"), (F.col("t_us") + F.col("k").cast("long") * 1000000000).alias("end_us"))
+    return O.intersected(e, FROM, TO)

@@ -32,6 +32,23 @@ def trace(spark, sf):
     return _trace(spark, sf).select(*O.KEY, "count", "ordinal", "age_ms", "interval_ms")
 
 
+_TIMES = f"tm AS (SELECT {START} + 2200000000 * p_partkey AS at_us FROM (SELECT p_partkey FROM part WHERE p_partkey < 1000))"
+
+
+@query("T1_bulk", f""", {_TIMES},
+ f AS (SELECT *, lag(t_us) OVER w AS bt, row(raw, user_id, k, mux) IS DISTINCT FROM lag(row(raw, user_id, k, mux)) OVER w AS ch FROM fr WINDOW w AS (PARTITION BY {_KEY} ORDER BY t_us, ordinal)),
+ ks AS (SELECT DISTINCT {_KEY} FROM fr)
+ SELECT at_us, {", ".join("ks." + c.strip() for c in _KEY.split(","))}, count(f.ordinal) FILTER (t_us >= {START}) AS count, arg_max(f.ordinal, t_us) FILTER (t_us >= {START}) AS ordinal, (at_us - max(t_us) FILTER (t_us >= {START})) / 1000.0::DOUBLE AS age_ms,
+   min(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS min_ms, max(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS max_ms,
+   CASE WHEN count(f.ordinal) FILTER (t_us >= {START}) > 0 THEN greatest(max(t_us) FILTER (ch), min(t_us) FILTER (t_us >= {START})) END AS changed_us
+ FROM tm CROSS JOIN ks LEFT JOIN f ON f.t_us <= tm.at_us AND {" AND ".join(f"f.{c.strip()} = ks.{c.strip()}" for c in _KEY.split(","))} GROUP BY ALL""")
+def trace_many(spark, sf):
+    """Up to a thousand times at once, taken from a table."""
+    p = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey < 1000")
+    times = p.select((F.lit(START) + F.lit(2200000000) * F.col("p_partkey")).alias("at_us"))
+    return O.trace_at_times(frames(spark, sf), times, START).select("at_us", *O.KEY, "count", "ordinal", "age_ms", "min_ms", "max_ms", "changed_us")
+
+
 @query("T2", _PER + f" SELECT {_KEY}, lo / 1000.0::DOUBLE AS min_ms, hi / 1000.0::DOUBLE AS max_ms FROM t")
 def intervals(spark, sf):
     return _trace(spark, sf).select(*O.KEY, "min_ms", "max_ms")
