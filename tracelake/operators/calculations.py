@@ -38,7 +38,7 @@ def looked_up(x: Column, points: Column, outside: Column) -> Column:
     inside = F.when(x == first["input"], first["output"]).otherwise(below["output"] + share * (above["output"] - below["output"]))
     held = F.when(x < first["input"], first["output"]).otherwise(last["output"])
     beyond = (x < first["input"]) | (x > last["input"])
-    return F.when(F.size(F.filter(points, lambda p: p["input"] < x)) >= 0, F.when(beyond, F.when(outside == "clamp", held)).otherwise(inside))
+    return F.when(x.isNotNull() & points.isNotNull(), F.when(beyond, F.when(outside == "clamp", held)).otherwise(inside))
 
 
 def points_of(points: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import DIGITS, HEX, made_of
 from ..functions.scale import scale_parts
 from ..schemas import FD_LENGTHS
+from ..storage import written
 from .decode import occupied_bits, small
 
 
@@ -58,6 +59,45 @@ def overlay(definitions: DataFrame, key: list[str]) -> DataFrame:
     return definitions.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
+def group_chains(groups: DataFrame) -> DataFrame:
+    """``place, member, depth`` of ``groups(group_id, parent_id)``: the groups from the top down to each place, the top at depth 1.
+
+    A parent that nobody defines ends a chain; so does a group that the chain already has (a cycle). One join a level, over the
+    table of groups.
+    """
+    edges = written(groups.select("group_id", "parent_id"))
+    found = written(edges.select(F.col("group_id").alias("place"), F.col("group_id").alias("member"), F.lit(0).alias("up"), F.array("group_id").alias("seen")))
+    chains, more = found, True
+    defined = edges.select(F.col("group_id").alias("known"))
+    while more:
+        above = found.join(small(edges), found["member"] == edges["group_id"]).filter("parent_id is not null and not array_contains(seen, parent_id)")
+        above = above.join(small(defined), F.col("parent_id") == F.col("known"), "left_semi")
+        found = written(above.select("place", F.col("parent_id").alias("member"), (F.col("up") + 1).alias("up"), F.concat("seen", F.array("parent_id")).alias("seen")))
+        more = found.limit(1).count() > 0
+        chains = chains.union(found)
+    top = chains.groupBy("place").agg(F.max("up").alias("__top"))
+    return written(chains.join(small(top), "place").select("place", "member", (F.col("__top") - F.col("up") + 1).alias("depth")))
+
+
+def resolve_levels(chains: DataFrame, definitions: DataFrame, key: list[str]) -> DataFrame:
+    """What each place sees of ``definitions(group_id, def_id, ...)``: of each key the definition of the deepest level of its chain.
+
+    Common definitions (null ``group_id``) lie above all levels. Frames are overlaid by CAN key, tables, calculations and bindings by id.
+    """
+    own = definitions.filter("group_id is not null").join(chains.select("place", F.col("member").alias("group_id"), "depth"), "group_id")
+    common = definitions.filter("group_id is null")
+    places = chains.select("place").distinct()
+    if common.limit(1).count():
+        # Each place holds all common definitions: a row each is the result, not a detour.
+        own = own.unionByName(common.withColumn("depth", F.lit(0)).join(small(places), F.lit(True)).select(*own.columns))
+    return overlay(own, key)
+
+
+def bindings_in_use(bindings: DataFrame, frames: DataFrame) -> DataFrame:
+    """Resolved bindings ``place, frame_id`` whose frame the place still has."""
+    return bindings.join(frames.select("place", F.col("def_id").alias("frame_id")).distinct(), ["place", "frame_id"], "left_semi")
+
+
 def changed_definitions(old: DataFrame, new: DataFrame, id_col: str = "def_id") -> DataFrame:
     """Ids added, removed or changed, by a full join that compares the rest of each row as JSON."""
     o, n = (d.select(id_col, F.to_json(F.struct(*sorted(c for c in d.columns if c != id_col))).alias(x)) for d, x in ((old, "o"), (new, "n")))

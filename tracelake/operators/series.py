@@ -239,6 +239,90 @@ def pyramid(samples: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
     )
 
 
+def levels(samples: DataFrame, keys: list[str], block: int = 64, fan: int = 16, most: int = 4) -> DataFrame:
+    """A pyramid of block summaries: ``level`` 0 of ``block`` samples, each further one of ``fan`` blocks of the one below.
+
+    Beside extremes of usable samples and the largest step inside, a block knows the sample before it (``before_us, before_ok``), whether
+    all its samples are usable, and the extent of the block above it (``up_first_us, up_last_us``; null at the top), by which a reader
+    tells which blocks of a level to take. Written, sorted by level, series and time, so that readers skip what lies outside.
+    """
+    s = Ranged(samples.withColumn("ok", usable()), keys, ORDER).position("__p").lag(before_us="t_us", before_ok="ok").done()
+    s = s.withColumn("block", F.floor(F.col("__p") / block))
+    v = F.when(F.col("ok"), F.col("value"))
+    first = F.col("__p") % block == 0
+    step = F.col("t_us") - F.col("before_us")
+    here = written(s.groupBy(*keys, "block").agg(
+        F.count(F.lit(1)).alias("n"), F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"), F.min(v).alias("lo"), F.max(v).alias("hi"),
+        F.max(F.when(~first, step)).alias("max_step_us"), F.min("ok").alias("all_usable"), F.max(F.when(first, F.col("before_us"))).alias("before_us"), F.max(F.when(first, F.col("before_ok"))).alias("before_ok"),
+    ))
+    out, level = [], 0
+    while True:
+        up = written(here.withColumn("above", F.floor(F.col("block") / fan)).groupBy(*keys, F.col("above").alias("block")).agg(
+            F.sum("n").alias("n"), F.min("first_us").alias("first_us"), F.max("last_us").alias("last_us"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
+            F.max(F.greatest("max_step_us", F.when(F.col("block") % fan != 0, F.col("first_us") - F.col("before_us")))).alias("max_step_us"), F.min("all_usable").alias("all_usable"),
+            F.min_by("before_us", "block").alias("before_us"), F.min_by("before_ok", "block").alias("before_ok"),
+        )) if level < most else None
+        extent = up.select(*keys, F.col("block").alias("above"), F.col("first_us").alias("up_first_us"), F.col("last_us").alias("up_last_us")) if up is not None else None
+        if extent is not None:
+            linked = here.withColumn("above", F.floor(F.col("block") / fan)).join(extent, [*keys, "above"]).drop("above")
+        else:
+            linked = here.withColumns({"up_first_us": F.lit(None).cast("long"), "up_last_us": F.lit(None).cast("long")})
+        out.append(linked.withColumn("level", F.lit(level)))
+        if up is None:
+            break
+        here, level = up, level + 1
+    both = out[0]
+    for o in out[1:]:
+        both = both.unionByName(o)
+    return written(both.repartitionByRange("level", *keys, "first_us").sortWithinPartitions("level", *keys, "first_us"))
+
+
+def _inside(pyramid: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """The blocks that cover a view from within: of each place the coarsest that fits."""
+    here = (F.col("first_us") >= start_us) & (F.col("last_us") <= end_us)
+    above = F.coalesce((F.col("up_first_us") >= start_us) & (F.col("up_last_us") <= end_us), F.lit(False))
+    return pyramid.filter(here & ~above)
+
+
+def view_extremes(samples: DataFrame, pyramid: DataFrame, keys: list[str], start_us: int, end_us: int) -> DataFrame:
+    """``n, lo, hi`` of each series in a view (edges included): whole blocks from the pyramid, samples only at its two edges.
+
+    ``n`` counts all samples, ``lo`` and ``hi`` are of usable ones. The bounds reach the scan of blocks as filters, and the scan of samples as
+    the two stretches that no block covers.
+    """
+    blocks = written(_inside(pyramid, start_us, end_us))
+    covered = blocks.groupBy(*keys).agg(F.min("first_us").alias("__a"), F.max("last_us").alias("__b"))
+    # One row: how far the edges reach in from the view's ends, over all series.
+    touched = pyramid.filter((F.col("level") == 0) & (F.col("last_us") >= start_us) & (F.col("first_us") <= end_us) & ((F.col("first_us") < start_us) | (F.col("last_us") > end_us)))
+    left, right = touched.agg(F.max(F.when(F.col("first_us") < start_us, F.col("last_us"))), F.min(F.when(F.col("last_us") > end_us, F.col("first_us")))).first()
+    edge = F.col("t_us").between(start_us, left if left is not None else start_us - 1) | F.col("t_us").between(right if right is not None else end_us + 1, end_us)
+    raw = samples.filter(F.col("t_us").between(start_us, end_us)).filter(edge).join(small(covered), keys, "left")
+    raw = raw.filter(F.col("__a").isNull() | (F.col("t_us") < F.col("__a")) | (F.col("t_us") > F.col("__b")))
+    v = F.when(usable(), F.col("value"))
+    parts = blocks.select(*keys, "n", "lo", "hi").union(raw.select(*keys, F.lit(1).cast("long"), v, v))
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def view_breaks(samples: DataFrame, pyramid: DataFrame, keys: list[str], thresholds: DataFrame, start_us: int, end_us: int) -> DataFrame:
+    """``start_us, end_us`` of each break of a line between two samples of a view, as ``with_breaks`` tells them.
+
+    Blocks of the lowest level that are usable as a whole and have no step beyond the threshold, nor one from the sample before them, have no break and
+    are passed over; only samples of the others are read.
+    """
+    limit = F.coalesce("threshold_us", F.lit(2**62))
+    blocks = pyramid.filter((F.col("level") == 0) & (F.col("last_us") >= start_us) & (F.col("first_us") <= end_us)).join(small(thresholds), keys, "left")
+    odd = ~F.col("all_usable") | ~F.coalesce("before_ok", F.lit(True)) | (F.coalesce("max_step_us", F.lit(0)) > limit) | (F.coalesce(F.col("first_us") - F.col("before_us"), F.lit(0)) > limit)
+    blocks = written(blocks.filter(odd).select(*keys, "block", F.col("first_us").alias("__a"), F.col("last_us").alias("__b"), "before_us", "before_ok", limit.alias("__limit")))
+    # Samples of equal time at the border of two blocks may meet both; a break is told once.
+    near = F.col("t_us").between(F.col("__a"), F.col("__b"))
+    s = samples.filter(F.col("t_us").between(start_us, end_us)).withColumn("ok", usable()).join(small(blocks), keys).filter(near)
+    before = F.lag(F.struct("t_us", "ok")).over(Window.partitionBy(*keys, "block").orderBy(*ORDER))
+    first = F.when(F.col("before_us") >= start_us, F.struct(F.col("before_us").alias("t_us"), F.col("before_ok").alias("ok")))
+    s = s.withColumn("__before", F.coalesce(before, first)).filter("__before is not null")
+    broken = ~(F.col("ok") & F.col("__before.ok") & (F.col("t_us") - F.col("__before.t_us") <= F.col("__limit")))
+    return s.filter(broken).select(*keys, F.col("__before.t_us").alias("start_us"), F.col("t_us").alias("end_us")).distinct()
+
+
 def time_extent(samples: DataFrame, ids: list[str], shift_us: str | None = None) -> DataFrame:
     """``first_us, last_us`` of the signals asked for, by shifted time if a column of shifts is named; carried samples do not count."""
     s = samples.filter(F.col("signal_id").isin(ids))

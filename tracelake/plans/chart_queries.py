@@ -49,10 +49,27 @@ def axes(spark, sf):
     return r.groupBy(axis.alias("axis")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("U6", "SELECT can_id, count(DISTINCT user_id) AS signals, min(user_id) AS first_signal FROM fr GROUP BY can_id")
+@query("U6", """, f AS (SELECT * FROM (VALUES ('f1', 291, false, 'Speed'), ('f2', 419385573, true, ''), ('f3', 784, false, 'Empty')) t(frame_id, can_id, extended, name)),
+ d AS (SELECT DISTINCT user_id, k % 4 AS g FROM fr),
+ s AS (SELECT 'frame' AS kind, 'frame:f' || user_id % 2 + 1 AS group_id, CASE user_id % 2 WHEN 0 THEN '123 Speed' ELSE '18FF50E5' END AS label, user_id AS seq, 'u' || user_id AS signal_id FROM (SELECT DISTINCT user_id FROM fr)
+  UNION ALL SELECT 'plugin', 'plugin:b' || user_id % 2 || ':' || CASE g WHEN 0 THEN '' ELSE 'group%20' || g END, CASE user_id % 2 WHEN 0 THEN 'Plugin p · 123' ELSE 'Plugin q' END || CASE g WHEN 0 THEN '' ELSE ' · group ' || g END, user_id * 4 + g, 'p' || user_id || '.' || g FROM d
+  UNION ALL SELECT 'measured', 'mdf:' || CASE WHEN user_id % 5 = 0 THEN '' ELSE 'ch%2F' || user_id % 5 END, CASE WHEN user_id % 5 = 0 THEN 'CSV' ELSE 'MF4 · ch/' || user_id % 5 END, user_id, 'm' || user_id FROM (SELECT DISTINCT user_id FROM fr))
+ SELECT kind, group_id, any_value(label) AS label, string_agg(signal_id, ',' ORDER BY seq) AS signals FROM s GROUP BY ALL""")
 def grouped(spark, sf):
-    g = events(spark, sf).groupBy("can_id").agg(F.array_sort(F.collect_set("user_id")).alias("members"))
-    return g.select("can_id", F.size("members").cast("long").alias("signals"), F.get("members", F.lit(0)).alias("first_signal"))
+    """Signals of frames, of plugin bindings and their groups, and of channel groups."""
+    from ..operators.catalogue import catalogue_groups
+
+    u = events(spark, sf).select("user_id", (F.col("k") % 4).alias("g"))
+    one = u.select("user_id").distinct()
+    none = F.lit(None).cast("string")
+    frame = one.select(F.lit("frame").alias("kind"), F.concat(F.lit("u"), "user_id").alias("signal_id"), F.col("user_id").alias("seq"), F.concat(F.lit("f"), F.col("user_id") % 2 + 1).alias("frame_id"), none.alias("binding_id"), none.alias("plugin_group"), none.alias("channel_group"), none.alias("format"))
+    plugin = u.distinct().select(F.lit("plugin"), F.concat(F.lit("p"), "user_id", F.lit("."), "g"), F.col("user_id") * 4 + F.col("g"), none, F.concat(F.lit("b"), F.col("user_id") % 2), F.when(F.col("g") > 0, F.concat(F.lit("group "), "g")), none, none)
+    channel = F.when(F.col("user_id") % 5 > 0, F.concat(F.lit("ch/"), F.col("user_id") % 5))
+    measured = one.select(F.lit("measured"), F.concat(F.lit("m"), "user_id"), "user_id", none, none, none, channel, F.when(channel.isNull(), "CSV"))
+    frames_ = spark.createDataFrame([("f1", 0x123, False, "Speed"), ("f2", 0x18FF50E5, True, ""), ("f3", 0x310, False, "Empty")], "frame_id string, can_id int, extended boolean, name string")
+    bindings = spark.createDataFrame([("b0", "p", "f1"), ("b1", "q", "gone"), ("b2", "r", "f2")], "binding_id string, plugin_id string, frame_id string")
+    g = catalogue_groups(frame.union(plugin).union(measured), frames_, bindings)
+    return g.select("kind", "group_id", "label", F.array_join("signal_ids", ",").alias("signals"))
 
 
 @query("C1", ", r AS (SELECT *, min(value) FILTER (usable) OVER (PARTITION BY signal_id) AS lo, max(value) FILTER (usable) OVER (PARTITION BY signal_id) AS hi FROM sa) SELECT signal_id, ordinal, round((value - lo) / (hi - lo) * 100, 9) AS share FROM r")

@@ -7,8 +7,10 @@ from ..functions import times as T
 from ..operators import decode as D
 from ..operators import definitions as O
 from ..operators import diagnostics as Q
+from ..operators import store as R
 from ..operators.frames import id_text, payload_text
 from ..sources.logs import parse_can_id
+from ..storage import shared_folder
 from .registry import query
 from .tables import CAN_IDS, events, frames, layouts, order_samples, samples
 
@@ -28,6 +30,44 @@ def overlays(spark, sf):
     return O.overlay(d, ["can_id", "extended"])
 
 
+_GROUPS = ", g AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 10 THEN 31 WHEN p_partkey > 0 THEN p_partkey // 3 END AS parent FROM part WHERE p_partkey < 150)"
+_CHAINS = _GROUPS.replace(", g", "WITH RECURSIVE g", 1) + """,
+ c AS (SELECT id AS place, id AS member, 0 AS up, [id] AS seen FROM g UNION ALL SELECT c.place, g.parent, c.up + 1, list_append(c.seen, g.parent) FROM c JOIN g ON g.id = c.member WHERE g.parent IS NOT NULL AND NOT list_contains(c.seen, g.parent) AND g.parent IN (SELECT id FROM g)),
+ k AS (SELECT place, member, max(up) OVER (PARTITION BY place) - up + 1 AS depth FROM c)"""
+
+
+def _groups(spark, sf):
+    """A tree of groups some five levels deep; two of them are each other's parents."""
+    p = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey < 150")
+    parent = F.when(F.col("p_partkey") == 10, F.lit(31)).when(F.col("p_partkey") > 0, F.floor(F.col("p_partkey") / 3))
+    return p.select(F.col("p_partkey").alias("group_id"), parent.cast("long").alias("parent_id"))
+
+
+@query("L2_chain", _CHAINS + """, f AS (SELECT place, depth, member % 11 AS can_id, 'g' || member AS def_id FROM k UNION ALL SELECT id, 0, x, 'common' || x FROM g, range(13) t(x)),
+ t AS (SELECT place, depth, 't' || member % 3 AS id, 'g' || member AS def_id FROM k)
+ SELECT place, 'frame' AS kind, can_id::VARCHAR AS key, arg_max(def_id, depth) AS def_id FROM f GROUP BY ALL UNION ALL SELECT place, 'table', id, arg_max(def_id, depth) FROM t GROUP BY ALL""", base=False)
+def chained_levels(spark, sf):
+    """Every group resolved from the common definitions down: frames by CAN key, tables by id."""
+    g = _groups(spark, sf)
+    frame = g.select("group_id", (F.col("group_id") % 11).cast("int").alias("can_id"), F.lit(False).alias("extended"), F.concat(F.lit("g"), "group_id").alias("def_id"))
+    common = spark.range(13).select(F.lit(None).cast("long").alias("group_id"), F.col("id").cast("int").alias("can_id"), F.lit(False).alias("extended"), F.concat(F.lit("common"), "id").alias("def_id"))
+    table = g.select("group_id", F.concat(F.lit("t"), F.col("group_id") % 3).alias("id"), F.concat(F.lit("g"), "group_id").alias("def_id"))
+    chains = O.group_chains(g)
+    frames_ = O.resolve_levels(chains, frame.unionByName(common), ["can_id", "extended"]).select("place", F.lit("frame").alias("kind"), F.col("can_id").cast("string").alias("key"), "def_id")
+    return frames_.union(O.resolve_levels(chains, table, ["id"]).select("place", F.lit("table"), "id", "def_id"))
+
+
+@query("L2_bindings", _CHAINS + """, f AS (SELECT place, arg_max(def_id, depth) AS def_id FROM (SELECT place, depth, member % 11 AS can_id, 'g' || member AS def_id FROM k) GROUP BY place, can_id)
+ SELECT k.place, 'b' || member AS binding_id FROM k JOIN f ON f.place = k.place AND f.def_id = 'g' || member""", base=False)
+def bound_levels(spark, sf):
+    """Each group binds a plugin to its own frame; where that frame is hidden further down the binding falls away."""
+    g = _groups(spark, sf)
+    frame = g.select("group_id", (F.col("group_id") % 11).cast("int").alias("can_id"), F.lit(False).alias("extended"), F.concat(F.lit("g"), "group_id").alias("def_id"))
+    binding = g.select("group_id", F.concat(F.lit("b"), "group_id").alias("binding_id"), F.concat(F.lit("g"), "group_id").alias("frame_id"), F.concat(F.lit("g"), "group_id").alias("def_id"))
+    chains = O.group_chains(g)
+    return O.bindings_in_use(O.resolve_levels(chains, binding, ["binding_id"]), O.resolve_levels(chains, frame, ["can_id", "extended"])).select("place", "binding_id")
+
+
 @query("L1_parents", "SELECT * FROM (VALUES ('root', ''), ('root/log1', 'root'), ('root/log1/ch2', 'root/log1'), ('root/log', 'root'), ('', NULL)) t(folder, parent) WHERE EXISTS (SELECT 1 FROM fr)")
 def parents(spark, sf):
     """Levels that logs of the events lie in, and the level above each."""
@@ -70,15 +110,35 @@ def full_rebuild(spark, sf):
     return spark.createDataFrame(out, "kind string, rebuild boolean")
 
 
-@query("L7", "SELECT ordinal, event_type || '.value' AS signal_id, CASE WHEN event_type = 'view' THEN raw::DOUBLE / 10 ELSE raw::DOUBLE / 100 END AS value FROM fr")
+def _restored(spark, sf):
+    """A store of all signals; then one definition has another scale, one has moved to another id, one is gone and one is new."""
+    f, old = frames(spark, sf), layouts(spark)
+    new = old.filter("def_id <> 'def_error'").withColumn("scale", F.when(F.expr("def_id = 'def_view' AND name = 'Value'"), "0.1").otherwise(F.col("scale")))
+    new = new.withColumn("can_id", F.when(F.col("def_id") == "def_signup", F.lit(CAN_IDS["error"])).otherwise(F.col("can_id")))
+    extra = new.filter("def_id = 'def_click' AND name = 'User'").withColumns({"def_id": F.lit("def_extra"), "signal_id": F.lit("extra.user"), "can_id": F.lit(CAN_IDS["signup"])})
+    new = new.union(extra.select(*new.columns))
+    store = R.SampleStore(spark, shared_folder(spark)).create(D.decode(f, old))
+    return store, f, old, new
+
+
+_SIGNALS = """, d AS (SELECT *, CASE event_type WHEN 'error' THEN 'signup' WHEN 'signup' THEN 'extra' ELSE event_type END AS df FROM fr),
+ v AS (SELECT ordinal, df || '.value' AS signal_id, raw::DOUBLE / CASE WHEN df = 'view' THEN 10 ELSE 100 END AS value FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.user', user_id::DOUBLE FROM d
+ UNION ALL SELECT ordinal, df || '.k', k::DOUBLE FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.mux', mux::DOUBLE FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.when_one', floor((k % 16) / 2)::DOUBLE FROM d WHERE mux = 1 AND df <> 'extra')"""
+
+
+@query("L7", _SIGNALS + " SELECT * FROM v")
 def redecoded(spark, sf):
-    """Decode once, change one definition, decode its frames alone and put them in."""
-    f, old = frames(spark, sf), layouts(spark).filter("name = 'Value'")
-    new = old.withColumn("scale", F.when(F.col("def_id") == "def_view", "0.1").otherwise(F.col("scale")))
-    changed_ids = O.changed_definitions(old.drop("mux_ranges"), new.drop("mux_ranges"))
-    touched = new.join(F.broadcast(changed_ids.select("def_id")), "def_id", "left_semi")
-    fresh = D.decode(f.join(D.small(touched.select("can_id", "extended")), ["can_id", "extended"], "left_semi"), touched)
-    return O.replace_definitions(D.decode(f, old), fresh, changed_ids, ["def_id"]).select("ordinal", "signal_id", "value")
+    """Stored samples of all signals after a change of definitions, of which only the changed ones' frames were decoded anew."""
+    store, f, old, new = _restored(spark, sf)
+    R.redecode(store, f, old, new)
+    return store.read().select("ordinal", "signal_id", "value")
+
+
+@query("L7_touched", "SELECT * FROM (VALUES ('def_view'), ('def_error'), ('def_signup'), ('def_extra')) t(def_id) WHERE EXISTS (SELECT 1 FROM fr)")
+def touched(spark, sf):
+    """What was made anew: not the definitions whose ids nobody changed."""
+    store, f, old, new = _restored(spark, sf)
+    return R.redecode(store, f, old, new)
 
 
 @query("L8", """, x AS (SELECT p_partkey AS part, p_size FROM part)

@@ -219,6 +219,22 @@ def blocks(spark, sf):
     return O.pyramid(samples(spark, sf), KEY)
 
 
+@query("G24_view", f"SELECT signal_id, count(*) AS n, min(CASE WHEN usable THEN value END) AS lo, max(CASE WHEN usable THEN value END) AS hi FROM sa WHERE t_us BETWEEN {FROM} AND {TO} GROUP BY 1")
+def view(spark, sf):
+    """A view read through blocks of blocks, with samples only at its edges."""
+    s = samples(spark, sf)
+    return O.view_extremes(s, O.levels(s, KEY, 8, 4), KEY, FROM, TO)
+
+
+@query("G24_breaks", f""", b AS (SELECT *, lag(t_us) OVER w AS bt, lag(usable) OVER w AS bok FROM sa WINDOW w AS (PARTITION BY signal_id ORDER BY t_us, ordinal))
+ SELECT signal_id, bt AS start_us, t_us AS end_us FROM b WHERE bt >= {FROM} AND t_us <= {TO} AND NOT (usable AND bok AND t_us - bt <= 5400000000)""")
+def view_breaks(spark, sf):
+    """Breaks of a view, found from summaries and the samples of blocks that have any."""
+    s = samples(spark, sf)
+    limits = s.select("signal_id").distinct().withColumn("threshold_us", F.lit(5400000000))
+    return O.view_breaks(s, O.levels(s, KEY, 8, 4), KEY, limits, FROM, TO)
+
+
 @query("G25", "SELECT ordinal, t_us, t_us + k::BIGINT * 1000000 AS end_us FROM fr WHERE event_type = 'error' AND t_us + k::BIGINT * 1000000 >= 1704500000000000 AND t_us <= 1705500000000000")
 def overlapping(spark, sf):
     e = events(spark, sf).filter("event_type = 'error'").withColumn("end_us", F.col("t_us") + F.col("k").cast("long") * 1000000)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.times import clock_text, offset_text, seconds_text
 from ..operators import decode as D
 from ..operators import series as S
+from ..sources import conversions as V
 from ..sources import csv_logs as C
 from ..sources import databases as B
 from ..sources import logs as L
@@ -206,19 +207,48 @@ def export_csv(spark, sf):
     return back.select(F.col("id").cast("long").alias("ordinal"), F.col("TIME").alias("time"), *(F.col(f"`{c} (m)`").cast("double").alias(c) for c in ("click", "view")))
 
 
-@query("S11", "SELECT ordinal, round(CASE k % 7 WHEN 0 THEN 3 + 2 * value WHEN 1 THEN (value * value + 1) / (value + 2) WHEN 2 THEN sqrt(value) + value * 2 WHEN 3 THEN CASE WHEN value <= 5 THEN 1.0::DOUBLE WHEN value <= 55 THEN 2.0 ELSE 3.0 END WHEN 4 THEN CASE WHEN value BETWEEN 0 AND 10 THEN 1.0::DOUBLE WHEN value BETWEEN 10 AND 50 THEN 2.0 ELSE -1.0 END WHEN 5 THEN CASE WHEN value <= 0 THEN 1.0::DOUBLE WHEN value >= 100 THEN 3.0 WHEN value < 10 THEN 1 + value / 10 ELSE 2 + (value - 10) / 90 END ELSE value END, 9) AS y FROM fr")
+_POINTS = [(0.0, 1.0), (10.0, 2.0), (100.0, 3.0)]
+_CONVERSION = "conversion_id int, kind string, p array<double>, text string, points array<struct<input:double,output:double>>, ranges array<struct<lo:double,hi:double,value:double>>, is_float boolean, fallback double, refs array<struct<lo:double,hi:double,exact:boolean,ref:int>>, fallback_ref int"
+
+
+def _conversion(i, kind, p=None, text=None, points=None, ranges=None, is_float=False, fallback=None, refs=None, fallback_ref=None):
+    return (i, kind, p, text, points, ranges, is_float, fallback, refs, fallback_ref)
+
+
+#: Conversions of every kind. 12 leads to others by ranges, one of them (13) on to others by values; 15 to 18 cannot be read.
+_CONVERSIONS = [
+    _conversion(0, "linear", [3.0, 2.0]), _conversion(1, "rational", [1.0, 0.0, 1.0, 0.0, 1.0, 2.0]), _conversion(2, "formula", text="-X^2 + 2*x"), _conversion(3, "nearest", points=_POINTS),
+    _conversion(4, "ranges", ranges=[(0.0, 10.0, 1.0), (10.0, 50.0, 2.0)], fallback=-1.0), _conversion(5, "interpolated", points=_POINTS), _conversion(7, "formula", text="X**2 / (X - X)"), _conversion(8, "formula", text="sin(X)"),
+    _conversion(9, "formula3", text="2 ^ -1 ^ 2 * x1"), _conversion(10, "rational3", [1.0, 2.0, 3.0, 4.0, 5.0, 6.0]), _conversion(11, "formula", text="1/(1/(X-X)) + X**2"),
+    _conversion(12, "nested", is_float=True, refs=[(0.0, 100.0, False, 13), (100.0, 300.0, False, 0), (300.0, 310.0, False, None)], fallback_ref=1),
+    _conversion(13, "nested", refs=[(0.0, 20.0, False, None), (20.0, 40.0, False, 2), (40.0, 60.0, False, 14)], fallback_ref=5), _conversion(14, "nested", refs=[(50.0, 50.0, True, 4)], fallback_ref=0),
+    _conversion(15, "nested", refs=[(0.0, 1.0, False, 8)]), _conversion(16, "nested", refs=[(0.0, 1.0, False, 17)]), _conversion(17, "nested", refs=[(0.0, 1.0, False, 16)]), _conversion(18, "unheard of"),
+]
+
+
+def _converted(spark, sf):
+    e = events(spark, sf).select("ordinal", "value", (F.col("k") % 19).alias("conversion_id"))
+    return V.convert(e, spark.createDataFrame(_CONVERSIONS, _CONVERSION), "value")
+
+
+@query("S11", """, c AS (SELECT ordinal, value AS x, k % 19 AS c FROM fr),
+ t AS (SELECT *, 3 + 2 * x AS linear, (x * x + 1) / (x + 2) AS rational, -(x * x) + 2 * x AS formula, CASE WHEN x BETWEEN 0 AND 10 THEN 1.0::DOUBLE WHEN x BETWEEN 10 AND 50 THEN 2.0 ELSE -1.0 END AS ranges,
+   CASE WHEN x <= 0 THEN 1.0::DOUBLE WHEN x >= 100 THEN 3.0 WHEN x < 10 THEN 1 + x / 10 ELSE 2 + (x - 10) / 90 END AS bent FROM c)
+ SELECT ordinal, round(CASE c WHEN 0 THEN linear WHEN 1 THEN rational WHEN 2 THEN formula WHEN 3 THEN CASE WHEN x <= 5 THEN 1.0::DOUBLE WHEN x <= 55 THEN 2.0 ELSE 3.0 END WHEN 4 THEN ranges WHEN 5 THEN bent
+   WHEN 9 THEN 0.5 * x WHEN 10 THEN (2 - 4 * (x - 11)) / (3 * (x - 11) - 1) WHEN 11 THEN x * x
+   WHEN 12 THEN CASE WHEN x >= 0 AND x < 100 THEN CASE WHEN x < 20 THEN x WHEN x < 40 THEN formula WHEN x < 60 THEN CASE WHEN x = 50 THEN ranges ELSE linear END ELSE bent END WHEN x >= 100 AND x < 300 THEN linear WHEN x >= 300 AND x < 310 THEN x ELSE rational END
+   WHEN 13 THEN CASE WHEN x >= 0 AND x <= 20 THEN x WHEN x >= 20 AND x <= 40 THEN formula WHEN x >= 40 AND x <= 60 THEN CASE WHEN x = 50 THEN ranges ELSE linear END ELSE bent END
+   WHEN 14 THEN CASE WHEN x = 50 THEN ranges ELSE linear END WHEN 6 THEN x END, 6) AS y FROM t WHERE c NOT IN (8, 15, 16, 17, 18)""")
 def conversions(spark, sf):
     """One dimension of conversions of every kind; each row names its own, one has none."""
-    points = [(0.0, 1.0), (10.0, 2.0), (100.0, 3.0)]
-    dim = spark.createDataFrame(
-        [
-            (0, "linear", [3.0, 2.0], None, None, None, None, None), (1, "rational", [1.0, 0.0, 1.0, 0.0, 1.0, 2.0], None, None, None, None, None), (2, "formula", None, "sqrt(X) + X * 2", None, None, None, None),
-            (3, "nearest", None, None, points, None, None, None), (4, "ranges", None, None, None, [(0.0, 10.0, 1.0), (10.0, 50.0, 2.0)], False, -1.0), (5, "interpolated", None, None, points, None, None, None),
-        ],
-        "conversion_id int, kind string, p array<double>, text string, points array<struct<input:double,output:double>>, ranges array<struct<lo:double,hi:double,value:double>>, is_float boolean, fallback double",
-    )
-    e = events(spark, sf).select("ordinal", "value", (F.col("k") % 7).alias("conversion_id"))
-    return M.convert(e, dim, "value").select("ordinal", F.round("y", 9).alias("y"))
+    return _converted(spark, sf)[0].select("ordinal", F.round("y", 6).alias("y"))
+
+
+@query("S11_unreadable", "SELECT (k % 19)::INTEGER AS conversion_id, count(*) AS n FROM fr WHERE k % 19 IN (8, 15, 16, 17, 18) GROUP BY 1")
+def unreadable(spark, sf):
+    """Conversions that reject their channels, and how many values are left out for each."""
+    e = events(spark, sf).select((F.col("k") % 19).alias("conversion_id"))
+    return e.join(_converted(spark, sf)[1], "conversion_id").groupBy("conversion_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("S12", "SELECT ordinal, CASE WHEN k BETWEEN 0 AND 9 THEN 1.0::DOUBLE WHEN k BETWEEN 10 AND 20 THEN 2.0 END AS whole, CASE WHEN k >= 0 AND k < 9 THEN 1.0::DOUBLE WHEN k >= 10 AND k < 20 THEN 2.0 END AS real FROM fr")
@@ -245,7 +275,20 @@ def invalidation(spark, sf):
 @query("S15", ", a AS (SELECT ordinal, k, unnest([raw, raw + 1, raw + 2, raw + 3, raw + 4, raw + 5]) AS value, unnest(range(6)) AS p FROM fr) SELECT ordinal, 'A[' || p // 3 || '][' || p % 3 || ']' AS signal_id, value FROM a WHERE p < k % 7")
 def arrays(spark, sf):
     e = events(spark, sf).select("ordinal", "k", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.col("raw") + i).alias("values"))
-    return M.flatten_array(e, "A", "values", (2, 3), True, F.col("k") % 7).select("ordinal", "signal_id", "value")
+    return M.flatten_array(e, "A", "values", (2, 3), True, size=F.col("k") % 7).select("ordinal", "signal_id", "value")
+
+
+@query("S15_deep", """, a AS (SELECT ordinal, k, raw, unnest(range(24)) AS p FROM fr)
+ SELECT ordinal, 'A[' || p // 12 || '][' || p // 4 % 3 || '][' || p % 4 || ']' AS signal_id, raw + p AS value FROM a WHERE p // 4 % 3 < k % 4 UNION ALL SELECT ordinal, 'B[' || p % 2 || '][' || p // 2 % 3 || '][' || p // 6 || ']', raw + p FROM a WHERE p // 6 < 2
+ UNION ALL SELECT ordinal, 'C[' || p // 4 || '][' || p % 4 || ']', raw + p FROM a WHERE p < 12 AND p % 4 <= p // 4 AND p // 4 < k % 3""")
+def deep_arrays(spark, sf):
+    """Three dimensions in either order with sizes of their own, and arrays in arrays of unequal lengths."""
+    e = events(spark, sf).select("ordinal", "k", "raw", F.transform(F.sequence(F.lit(0), F.lit(23)), lambda i: F.col("raw") + i).alias("values"))
+    a = M.flatten_array(e, "A", "values", (2, 3, 4), True, (None, F.col("k") % 4))
+    b = M.flatten_array(e, "B", "values", (2, 3, 4), False, (None, None, F.lit(2)))
+    ragged = e.withColumn("values", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.slice("values", i * 4 + 1, i + 1)))
+    c = M.flatten_nested(ragged, "C", "values", (F.col("k") % 3,))
+    return a.unionByName(b).unionByName(c).select("ordinal", "signal_id", "value")
 
 
 @query("S16", "SELECT c.ordinal, m.t_us AS master_us FROM fr c LEFT JOIN fr m ON m.ordinal = c.ordinal + c.k * 200")

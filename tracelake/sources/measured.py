@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from ..functions.bits import byte_at
-from ..functions.expression import compile_expression
 from ..operators.decode import small
 from ..schemas import FD_LENGTHS
 
@@ -20,10 +22,6 @@ def rational(x: Column, p: list) -> Column:
     return F.try_divide(p[0] * x * x + p[1] * x + p[2], p[3] * x * x + p[4] * x + p[5])
 
 
-def formula(x: Column, text: str) -> Column:
-    return compile_expression(text.replace("X", "[X]"), {"X": x})
-
-
 def table_nearest(x: Column, points: Column) -> Column:
     """Output of the nearest of ``points array<struct<input, output>>``, the lower one on a tie."""
     below = F.array_max(F.filter(points, lambda p: p["input"] <= x))
@@ -51,27 +49,6 @@ def range_value(x: Column, ranges: Column, is_float: Column | bool, default: Col
     return F.when(F.size(holding) > 0, F.get(holding, F.lit(0))["value"]).otherwise(fallback)
 
 
-def convert(rows: DataFrame, conversions: DataFrame, x: str = "raw", key: str = "conversion_id") -> DataFrame:
-    """``rows`` with ``y``: each raw number by the conversion that its ``key`` names; as it is where there is none.
-
-    ``conversions`` has a row for each: ``kind`` (``linear``, ``rational``, ``formula``, ``interpolated``, ``nearest`` or ``ranges``),
-    ``p array<double>`` (linear: a, b; rational: p1 to p6), ``text`` (formula of X), ``points array<struct<input, output>>``
-    and ``ranges array<struct<lo, hi, value>>`` with ``is_float`` and ``fallback``. It is joined by its key; the few different formula
-    texts are compiled on the driver.
-    """
-    texts = [r["text"] for r in conversions.filter("kind = 'formula'").select("text").distinct().collect()]
-    v = F.col(x).cast("double")
-    p = [F.get("__c.p", F.lit(i)) for i in range(6)]
-    y = F.when(F.col("__c.kind") == "linear", linear(v, p[0], p[1])).when(F.col("__c.kind") == "rational", rational(v, p))
-    y = y.when(F.col("__c.kind") == "interpolated", table_interpolated(v, F.col("__c.points"))).when(F.col("__c.kind") == "nearest", table_nearest(v, F.col("__c.points")))
-    y = y.when(F.col("__c.kind") == "ranges", range_value(v, F.col("__c.ranges"), F.col("__c.is_float"), F.col("__c.fallback")))
-    for text in texts:
-        y = y.when((F.col("__c.kind") == "formula") & (F.col("__c.text") == text), formula(v, text))
-    dim = conversions.select(F.col(key).alias("__key"), F.struct(*conversions.columns).alias("__c"))
-    found = rows.join(small(dim), F.col(key) == F.col("__key"), "left")
-    return found.withColumn("y", F.when(F.col("__c").isNull(), v).otherwise(y)).drop("__c", "__key")
-
-
 def value_labels(rows: DataFrame, labels: DataFrame, default: str | None, x: str = "raw", key: str | None = None) -> DataFrame:
     """``rows`` with ``label``: the first by ``place`` of ``labels(raw, place, label)`` for a raw number, else the default."""
     on = [key] if key else []
@@ -112,14 +89,41 @@ def validity(value: Column, flags: Column, bit: Column, all_invalid: Column) ->
     return F.when(all_invalid | set_, F.lit(float("nan"))).otherwise(value)
 
 
-def flatten_array(rows: DataFrame, name: str, array: str, shape: tuple[int, int], row_major: bool = True, size: Column | None = None) -> DataFrame:
-    """One signal per element named ``Name[i][j]``; with a dynamic size only present elements."""
-    n, m = shape
-    at = rows.select(*[c for c in rows.columns if c != array], F.posexplode(array).alias("p", "value"))
+def flatten_array(rows: DataFrame, name: str, array: str, shape: Sequence[int], row_major: bool = True, sizes: Sequence[Column | None] = (), size: Column | None = None) -> DataFrame:
+    """One signal per element of a flat array with a ``shape`` of any depth, named ``Name[i][j]...``.
+
+    ``sizes`` tells how many places of each dimension a record really has (null or left out: all), ``size`` how many elements in all; others are left out.
+    """
+    at = rows.select(*[c for c in rows.columns if c != array], F.posexplode(array).alias("__p", "value"))
     if size is not None:
-        at = at.filter(F.col("p") < size)
-    i, j = (F.floor(F.col("p") / m), F.col("p") % m) if row_major else (F.col("p") % n, F.floor(F.col("p") / n))
-    return at.withColumn("signal_id", F.concat(F.lit(f"{name}["), i, F.lit("]["), j, F.lit("]"))).drop("p")
+        at = at.filter(F.col("__p") < size)
+    steps = [1] * len(shape)
+    order = range(len(shape) - 2, -1, -1) if row_major else range(1, len(shape))
+    for d in order:
+        steps[d] = steps[d + 1] * shape[d + 1] if row_major else steps[d - 1] * shape[d - 1]
+    places = [F.floor(F.col("__p") / step) % n for n, step in zip(shape, steps)]
+    for place, present in zip(places, sizes):
+        if present is not None:
+            at = at.filter(place < F.coalesce(present, F.lit(2**31 - 1)))
+    text = F.concat(F.lit(name), *[x for place in places for x in (F.lit("["), place, F.lit("]"))])
+    return at.withColumn("signal_id", text).drop("__p")
+
+
+def flatten_nested(rows: DataFrame, name: str, array: str, sizes: Sequence[Column | None] = ()) -> DataFrame:
+    """One signal per leaf of arrays in arrays, as deep as the column's type: a ``posexplode`` for each level.
+
+    ``sizes`` as above, from the outermost level; inner arrays may have different lengths.
+    """
+    kept = [c for c in rows.columns if c != array]
+    at, kind = rows.select(*kept, F.col(array).alias("value"), F.lit(name).alias("signal_id")), rows.schema[array].dataType
+    level = 0
+    while isinstance(kind, ArrayType):
+        at = at.select(*kept, "signal_id", F.posexplode("value").alias("__p", "value"))
+        if level < len(sizes) and sizes[level] is not None:
+            at = at.filter(F.col("__p") < F.coalesce(sizes[level], F.lit(2**31 - 1)))
+        at = at.withColumn("signal_id", F.concat("signal_id", F.lit("["), "__p", F.lit("]"))).drop("__p")
+        kind, level = kind.elementType, level + 1
+    return at
 
 
 def normalise_record(rows: DataFrame) -> DataFrame:
