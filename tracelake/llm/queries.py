@@ -105,7 +105,7 @@ def queries() -> dict[str, Query]:
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 _OP3 = rf"""
-WITH sizes AS (
+WITH RECURSIVE sizes AS (
   SELECT doc_id, source, len({_WORDS})::BIGINT AS size, row_number() OVER () AS rid,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':mix'), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656.0 AS u
   FROM documents),
@@ -130,13 +130,24 @@ per AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size::DOUBLE)::BIGINT ELSE 0 END AS whole,
          CASE WHEN source_size > 0 THEN target / source_size::DOUBLE - floor(target / source_size::DOUBLE) ELSE 0 END AS phi
   FROM per5),
+squares AS (SELECT source, sum(size::DOUBLE * size) AS squares FROM sizes GROUP BY source),
+chances AS (
+  SELECT s.doc_id, s.source, s.size, s.rid, s.u, p.source_size, p.target, p.whole, p.phi, p.target - p.whole * p.source_size AS rest,
+         s.size * ((p.target - p.whole * p.source_size) / q.squares) AS chance
+  FROM sizes s JOIN per p ON s.source IS NOT DISTINCT FROM p.source JOIN squares q ON s.source IS NOT DISTINCT FROM q.source),
+odds AS (
+  SELECT *, CASE WHEN phi > 0 AND size > 0 THEN CASE WHEN chance >= 1 THEN 0.0::DOUBLE ELSE (u / (1 - u)) / (chance / (1 - chance)) END END AS odds FROM chances),
 ranked AS (
-  SELECT s.doc_id, s.source, s.size, s.rid, p.source_size, p.target, p.whole, p.phi, p.target - p.whole * p.source_size AS rest,
-         CASE WHEN p.phi > 0 THEN (u / (1 - u)) / (p.phi / (1 - p.phi)) END AS odds
-  FROM sizes s JOIN per p ON s.source IS NOT DISTINCT FROM p.source),
+  SELECT *, CASE WHEN odds IS NOT NULL THEN row_number() OVER (PARTITION BY source ORDER BY odds NULLS LAST, doc_id, size, rid) END AS place FROM odds),
+walk AS (
+  SELECT source, any_value(rest) AS gap, 0::BIGINT AS place FROM ranked GROUP BY source
+  UNION ALL
+  SELECT source, gap, place FROM (
+    SELECT w.source, w.gap - r.size AS gap, r.place, row_number() OVER (PARTITION BY w.source ORDER BY r.place) AS n
+    FROM walk w JOIN ranked r ON r.source IS NOT DISTINCT FROM w.source AND r.place > w.place AND r.size <= w.gap) WHERE n = 1),
 drawn AS (
-  SELECT *, phi > 0 AND sum(size) OVER (PARTITION BY source ORDER BY odds, doc_id, size, rid ROWS UNBOUNDED PRECEDING) <= rest AS taken_first
-  FROM ranked),
+  SELECT r.*, w.place IS NOT NULL AS taken_first
+  FROM ranked r LEFT JOIN walk w ON w.source IS NOT DISTINCT FROM r.source AND w.place = r.place AND w.place > 0),
 gaps AS (
   SELECT source, any_value(rest) - sum(CASE WHEN taken_first THEN size ELSE 0 END) AS gap FROM drawn GROUP BY source),
 best AS (
