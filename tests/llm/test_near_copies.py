@@ -55,6 +55,9 @@ def test_odd_rows(odd, none):  # noqa: F811
 def test_families_that_share_passages(spark, monkeypatch, common):
     """Copies with words changed, around the threshold, all holding one passage; chains and a large family among them."""
     monkeypatch.setattr(near_copies, "COMMON_IN_SAMPLE", common)
+    if common == 1:
+        # Every large group is cut into tiles.
+        monkeypatch.setattr(near_copies, "TILE", 7)
     rnd = random.Random(11)
     passage = prose(rnd, 12).split()
     rows = []

@@ -146,24 +146,15 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["gram", "sid", "n", "pos"])
 
 
+#: Rows of one gram in a tile, about.
+TILE = 20_000
+
+
 def _plain(column: pa.Array) -> np.ndarray:
     """Numbers of a column; lists of one length as rows of a matrix."""
     if pa.types.is_list(column.type):
         return column.flatten().to_numpy().reshape(len(column), -1)
-    return column.to_numpy()
-
-
-def _mixed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows, sorted by gram, of groups that the first comparison did not settle: large ones with more than one root."""
-    names = ("gram", "sid", "n", "pos", "root")
-    for rows in _by_group(batches, names):
-        if not len(rows[0]):
-            continue
-        starts = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]])
-        sizes = np.diff(np.r_[starts, len(rows[0])])
-        several = np.minimum.reduceat(rows[4], starts) < np.maximum.reduceat(rows[4], starts)
-        keep = np.repeat(several & (sizes > SMALL_GROUP), sizes)
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in rows], list(names))
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _by_group(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
@@ -190,55 +181,84 @@ def _may_link(n: np.ndarray, pos: np.ndarray, a: np.ndarray, b: np.ndarray, simi
     return (num + den) * most >= num * (n[a].astype(np.int64) + n[b])
 
 
-def _pairs(similarity: tuple[int, int], every: bool):
-    """Candidate pairs ``a, b``: in each group the neighbours and all with the first, or every pair of different roots.
+def _batch(a: np.ndarray, b: np.ndarray, sid: np.ndarray) -> pa.RecordBatch:
+    pairs = np.unique(np.stack([np.minimum(sid[a], sid[b]), np.maximum(sid[a], sid[b])]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+
 
-    In the second case rows carry their bitmaps, and pairs that these rule out never leave the task.
+def _chained(similarity: tuple[int, int]):
+    """Candidate pairs ``a, b`` of rows sorted by gram: each with the one before it and with the first of its gram.
+
+    Two rows are held from one batch to the next, however many share a gram.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            got = [_plain(batch.column(i)) for i in range(4)]
+            rows = got if held is None or held[0][-1] != got[0][0] else [np.r_[h, g] for h, g in zip(held, got)]
+            gram, sid, n, pos = rows
+            starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+            first = np.repeat(starts, np.diff(np.r_[starts, len(gram)]))
+            row = np.arange(len(gram))
+            inner = row[row > first]
+            a, b = np.r_[first[inner], inner - 1], np.r_[inner, inner]
+            ok = _may_link(n, pos, a, b, similarity) & (sid[a] != sid[b])
+            yield _batch(a[ok], b[ok], sid)
+            held = [x[[first[-1], len(gram) - 1]] for x in rows]
+
+    return run
+
+
+def _compared(similarity: tuple[int, int]):
+    """Candidate pairs ``a, b`` of different roots in each group of tiles, as far as the bitmaps allow them.
+
+    A group is one tile with itself or two tiles with each other, so it is bounded.
+    """
     num, den = similarity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "sid", "n", "pos") + (("root", "bits") if every else ())
-        for rows in _by_group(batches, names):
-            gram, sid, n, pos = rows[:4]
-            starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]]) if len(gram) else np.empty(0, int)
+        for gram, root, sid, n, pos, tile, apart, bits in _by_group(batches, ("gram", "root", "sid", "n", "pos", "tile", "apart", "bits")):
+            if not len(gram):
+                continue
+            # Each row with all of later roots in its group, a bounded number of pairs at a time.
+            starts = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
             sizes = np.diff(np.r_[starts, len(gram)])
-            first = np.repeat(starts, sizes)
-            row = np.arange(len(gram))
-            if every and len(gram):
-                # Each row with all of later roots in its group, a bounded number of pairs at a time.
-                root = rows[4]
-                runs = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (root[1:] != root[:-1])])
-                run_end = np.repeat(np.r_[runs[1:], len(gram)], np.diff(np.r_[runs, len(gram)]))
-                later = np.repeat(starts + sizes, sizes) - run_end
-                ends = np.cumsum(later)
-                at, parts = 0, []
-                while at < len(row):
-                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // BITMAP_WORDS)))
-                    parts.append((at, to))
-                    at = to
-            else:
-                parts = [(0, len(row))]
-            for at, to in parts:
-                if every and len(gram):
-                    per = later[at:to]
-                    a = np.repeat(row[at:to], per)
-                    b = np.repeat(run_end[at:to], per) + np.arange(len(a)) - np.repeat(np.cumsum(per) - per, per)
-                else:
-                    inner = row[row > first]
-                    a, b = np.r_[first[inner], inner - 1], np.r_[inner, inner]
-                ok = _may_link(n, pos, a, b, similarity)
-                if every and len(gram):
-                    a, b = a[ok], b[ok]
-                    ok = np.bitwise_count(rows[5][a] ^ rows[5][b]).sum(1, dtype=np.int64) * (num + den) <= (n[a].astype(np.int64) + n[b]) * (den - num)
-                low, high = np.minimum(sid[a], sid[b])[ok], np.maximum(sid[a], sid[b])[ok]
-                pairs = np.unique(np.stack([low, high]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            runs = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (root[1:] != root[:-1])])
+            run_end = np.repeat(np.r_[runs[1:], len(gram)], np.diff(np.r_[runs, len(gram)]))
+            later = np.repeat(starts + sizes, sizes) - run_end
+            ends, at = np.cumsum(later), 0
+            while at < len(gram):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // BITMAP_WORDS)))
+                per = later[at:to]
+                a = np.repeat(np.arange(at, to), per)
+                b = np.repeat(run_end[at:to], per) + np.arange(len(a)) - np.repeat(np.cumsum(per) - per, per)
+                ok = _may_link(n, pos, a, b, similarity) & (~apart[a] | (tile[a] != tile[b]))
+                a, b = a[ok], b[ok]
+                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * (num + den) <= (n[a].astype(np.int64) + n[b]) * (den - num)
+                yield _batch(a[ok], b[ok], sid)
+                at = to
 
     return run
 
 
+def tiled(rooted: DataFrame, tile: int | None = None) -> DataFrame:
+    """Rows ``gram, root, sid, n, pos`` of large grams with more than one root, dealt to groups of bounded size.
+
+    A gram that more than ``tile`` rows hold is cut by a hash into tiles, and each pair of tiles is a group; ``gram`` then names the group,
+    ``tile`` the row's own tile, and ``apart`` says that only rows of different tiles are to be compared.
+    """
+    tile = tile or TILE
+    stats = rooted.groupBy("gram").agg(F.count(F.lit(1)).alias("__n"), F.min("root").alias("__low"), F.max("root").alias("__high"))
+    stats = materialise(stats.filter((F.col("__n") > SMALL_GROUP) & (F.col("__low") < F.col("__high"))).select("gram", F.ceil(F.col("__n") / tile).cast("int").alias("tiles")))
+    rows = rooted.join(broadcast_if_small(stats, MAX_BROADCAST_SETS), "gram")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int")).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    group = F.xxhash64("gram", F.least("tile", "__other"), F.greatest("tile", "__other"))
+    return rows.select(group.alias("gram"), "root", "sid", "n", "pos", "tile", (F.col("tile") != F.col("__other")).alias("apart"))
+
+
 def anchor_pairs(distinct: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of set ids of ``distinct(sid, fp)`` whose fingerprints are linked over anchors, or are equal."""
     prints = materialise(distinct.groupBy("fp").agg(F.min("sid").alias("first")))
@@ -313,14 +333,13 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE_WORDS, si
     """
     grams = distinct.filter("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sid", "n", "pos")
     shared = materialise(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, sid long, n int, pos int"))
-    first = shared.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_pairs(similarity, False), "a long, b long")
+    first = shared.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_chained(similarity), "a long, b long")
     met = anchor_pairs(distinct.filter("n > 0").select("sid", "fp"))
     found = confirmed(met.union(first), docs, distinct, shingle, similarity)
     roots = materialise(connected_components(found).withColumnRenamed("node", "sid"))
     rooted = shared.join(broadcast_if_small(roots, MAX_BROADCAST_SETS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    mixed = rooted.repartition("gram").sortWithinPartitions("gram").mapInArrow(_mixed, "gram long, sid long, n int, pos int, root long")
-    signed = mixed.join(distinct.select("sid", "bits"), "sid")
-    rest = signed.repartition("gram").sortWithinPartitions("gram", "root", "sid").mapInArrow(_pairs(similarity, True), "a long, b long")
+    signed = tiled(rooted).join(distinct.select("sid", "bits"), "sid")
+    rest = signed.repartition("gram").sortWithinPartitions("gram", "root", "sid").mapInArrow(_compared(similarity), "a long, b long")
     more = confirmed(rest, docs, distinct, shingle, similarity)
     discard(shared, roots)
     return found.union(more)
