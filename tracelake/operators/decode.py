@@ -41,31 +41,69 @@ def localised(dim: DataFrame, max_rows: int = MAX_LOCAL_ROWS) -> tuple[DataFrame
     return dim.sparkSession.createDataFrame(rows, dim.schema), rows
 
 
+#: Tables that Spark estimates at no more bytes are dealt over all cores before long expressions.
+SPREAD_BYTES = 64 << 20
+
+
+def spread(df: DataFrame, key: str = "ordinal") -> DataFrame:
+    """A small table on all cores: one small file would be one task, however long its expressions. Larger ones have tasks enough and stay as they are."""
+    if df.isStreaming or df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SPREAD_BYTES:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def effective_layouts(layouts: DataFrame) -> DataFrame:
     """Where definitions share a CAN key the last by ``def_id`` wins; scale and offset texts become fractions."""
     last = layouts.withColumn("__last", F.max("def_id").over(Window.partitionBy("can_id", "extended")))
-    kept = last.filter("def_id = __last").drop("__last")
+    return _with_fractions(last.filter("def_id = __last").drop("__last"))
+
+
+def _with_fractions(layouts: DataFrame) -> DataFrame:
     num, den = scale.scale_parts(F.col("scale"))
     o_num, o_den = scale.scale_parts(F.when(F.col("offset").rlike(r"^[+-]?0*\.?0*$"), "1").otherwise(F.col("offset")))
     zero = F.col("offset").rlike(r"^[+-]?0*\.?0*$")
-    return kept.withColumn("shift_bits", scale.power_of_two(num, den)).withColumns({
+    return layouts.withColumn("shift_bits", scale.power_of_two(num, den)).withColumns({
         "num": num, "den": den, "o_num": F.when(zero, F.lit(0).cast(scale.DECIMAL)).otherwise(o_num), "o_den": F.when(zero, F.lit(1).cast(scale.DECIMAL)).otherwise(o_den),
     })
 
 
+_SELECTOR = ("byte_offset", "bit_offset", "length_bits", "byte_order")
+
+
+def _dimension(layouts: DataFrame) -> tuple[DataFrame, list | None]:
+    """(winning layouts with fractions and the ``selector`` of their CAN key, the rows of ``layouts`` if they are few).
+
+    Few layouts are joined here and enter the plan as a local table, which Spark works out while it plans, without a job.
+    """
+    rows = layouts.limit(MAX_LOCAL_ROWS + 1).collect()
+    if len(rows) > MAX_LOCAL_ROWS:
+        dims = effective_layouts(layouts)
+        selectors = dims.filter("mux_role = 'selector'").select("can_id", "extended", F.struct(*_SELECTOR).alias("selector"))
+        return dims.join(selectors, ["can_id", "extended"], "left"), None
+    last: dict = {}
+    for r in rows:
+        key = (r["can_id"], r["extended"])
+        last[key] = max(last.get(key, r["def_id"]), r["def_id"])
+    kept = [r for r in rows if r["def_id"] == last[(r["can_id"], r["extended"])]]
+    selectors: dict = {}
+    for r in kept:
+        if r["mux_role"] == "selector":
+            selectors.setdefault((r["can_id"], r["extended"]), []).append(tuple(r[c] for c in _SELECTOR))
+    joined = [(*r, s) for r in kept for s in selectors.get((r["can_id"], r["extended"]), [None])]
+    fields = T.StructType([layouts.schema[c] for c in _SELECTOR])
+    schema = T.StructType([*layouts.schema.fields, T.StructField("selector", fields)])
+    return _with_fractions(layouts.sparkSession.createDataFrame(joined, schema)), kept
+
+
 def decode_all(frames: DataFrame, layouts: DataFrame) -> DataFrame:
     """One row per frame and signal with ``raw``, ``value``, ``active`` and ``status`` (null where a sample results).
 
     One broadcast equi-join on the CAN key; everything else is a column of the same stage. Conditional
     signals are active when the selector, read unsigned from the same payload, lies in any of their ranges.
     """
-    dims = effective_layouts(layouts)
-    selectors = dims.filter("mux_role = 'selector'").select(
-        "can_id", "extended", F.struct("byte_offset", "bit_offset", "length_bits", "byte_order").alias("selector")
-    )
-    dims, known = localised(dims.join(selectors, ["can_id", "extended"], "left"))
+    dims, known = _dimension(layouts)
     # The payload is cut into words once a frame; its fields are then shifts.
-    worded = with_computed(frames, {"__big": bits.words(F.col("data"))})
+    worded = with_computed(spread(frames), {"__big": bits.words(F.col("data"))})
     worded = with_computed(worded, {"__little": F.transform("__big", bits.swap_bytes)})
     rows = worded.join(small(dims), ["can_id", "extended"])
     payload = (F.col("__big"), F.col("__little"), F.length("data"))

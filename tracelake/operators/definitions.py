@@ -115,11 +115,16 @@ def keys_to_decode(old: DataFrame, new: DataFrame, changed: DataFrame) -> DataFr
     return both.join(small(changed.select("def_id").distinct()), "def_id", "left_semi").select("can_id", "extended").distinct()
 
 
-def needs_full_rebuild(old: DataFrame, new: DataFrame) -> bool:
-    """Whether ``settings(kind, id, ...)`` of plugins, CSV sources or routing differ; then no part of the samples can stay."""
+def rebuild_reasons(old: DataFrame, new: DataFrame) -> DataFrame:
+    """``kind, changes``: how many ``settings(kind, id, ...)`` of plugins, CSV sources or routing differ, by kind; kinds without a change are left out."""
     mine = F.col("kind").isin(*REBUILD_KINDS)
-    o, n = (d.filter(mine).withColumn("__id", F.concat_ws("/", "kind", "id")) for d in (old, new))
-    return changed_definitions(o, n, "__id").limit(1).count() > 0
+    o, n = (d.filter(mine).withColumn("__id", F.struct("kind", "id")) for d in (old, new))
+    return changed_definitions(o, n, "__id").groupBy("__id.kind").agg(F.count(F.lit(1)).alias("changes"))
+
+
+def needs_full_rebuild(old: DataFrame, new: DataFrame) -> bool:
+    """Whether any such setting differs; then no part of the samples can stay."""
+    return rebuild_reasons(old, new).limit(1).count() > 0
 
 
 #: Versions of project texts that can be read.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import discard, written
 from .asof import neighbours
 from .decode import small
 from .ranges import Ranged, totals, with_halo
@@ -114,6 +114,7 @@ def lineage(edges: DataFrame, roots: DataFrame, spark: SparkSession) -> DataFram
         open_ = waiting.join(done, "input", "left").groupBy("node").agg(F.count("input").alias("n"), F.count("settled").alias("settled"))
         fresh = written(open_.filter("n = settled").select("node", F.lit(depth).alias("level")))
         if not fresh.limit(1).count():
+            discard(fresh)
             break
         level = level.union(fresh)
         waiting = waiting.join(fresh.select("node"), "node", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import written
+from ..storage import discard, written
 from .decode import small
 from .ranges import Ranged, totals
 
@@ -219,9 +219,11 @@ def thin(samples: DataFrame, keys: list[str], limit: int, breaks: DataFrame | No
         tried = runs.join(counted(runs, "got"), keys).withColumn("next", F.least("n", F.floor(F.col("runs") * limit / F.col("got"))))
         tried = written(tried.withColumn("try", (F.col("got") < 0.9 * limit) & (F.col("next") > F.col("runs"))))
         if not tried.filter("try").limit(1).count():
+            discard(tried)
             break
         after = counted(tried.filter("try").select(*keys, F.col("next").alias("runs")), "then")
-        runs = written(tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs")))
+        before, runs = runs, written(tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs")))
+        discard(before, tried)
     short = s.filter(F.col("n") <= limit)
     large = s.join(_kept_places(s, keys, runs.select(*keys, "runs")), [*keys, "p"], "left_semi")
     return short.unionByName(large).select(*samples.columns)

@@ -68,11 +68,15 @@ def bound_levels(spark, sf):
     return O.bindings_in_use(O.resolve_levels(chains, binding, ["binding_id"]), O.resolve_levels(chains, frame, ["can_id", "extended"])).select("place", "binding_id")
 
 
-@query("L1_parents", "SELECT * FROM (VALUES ('root', ''), ('root/log1', 'root'), ('root/log1/ch2', 'root/log1'), ('root/log', 'root'), ('', NULL)) t(folder, parent) WHERE EXISTS (SELECT 1 FROM fr)")
+@query("L1_parents", """, f AS (SELECT DISTINCT 'root/' || source_id || '/u' || user_id AS folder FROM fr UNION SELECT DISTINCT 'root/' || source_id FROM fr WHERE user_id % 4 < 2 UNION SELECT DISTINCT x FROM fr, (VALUES (''), ('root')) t(x))
+ SELECT c.folder, arg_max(p.folder, length(p.folder)) AS parent FROM f c LEFT JOIN f p ON c.folder <> p.folder AND (p.folder = '' OR starts_with(c.folder, p.folder || '/')) GROUP BY c.folder""")
 def parents(spark, sf):
-    """Levels that logs of the events lie in, and the level above each."""
-    found = events(spark, sf).select(F.explode(F.array(*map(F.lit, ("", "root", "root/log1", "root/log1/ch2", "root/log")))).alias("folder")).distinct()
-    return O.parent_level(found)
+    """Levels that the logs of the events lie in, some of them without a level for their log, and the level above each."""
+    e = events(spark, sf)
+    log = F.concat(F.lit("root/"), "source_id")
+    user = e.select(F.concat(log, F.lit("/u"), "user_id").alias("folder"))
+    some = e.filter("user_id % 4 < 2").select(log.alias("folder"))
+    return O.parent_level(user.union(some).union(e.select(F.explode(F.array(F.lit(""), F.lit("root"))))).distinct())
 
 
 @query("L3", "SELECT user_id * 100 + k AS signal_id, count(DISTINCT can_id) AS frames FROM fr GROUP BY 1 HAVING count(DISTINCT can_id) > 1")
@@ -99,15 +103,14 @@ def keys_to_decode(spark, sf):
     return O.keys_to_decode(old, new, O.changed_definitions(old, new))
 
 
-@query("L6_rebuild", "SELECT 'definition' AS kind, false AS rebuild UNION ALL SELECT 'plugin', count(*) > 0 FROM part UNION ALL SELECT 'csv', count(*) > 0 FROM part UNION ALL SELECT 'routing', count(*) > 0 FROM part", base=False)
+@query("L6_rebuild", "SELECT kind, count(*) AS changes FROM part, (VALUES ('plugin', 5), ('csv', 7), ('routing', 1000000000)) t(kind, n) WHERE p_partkey % n = 0 AND p_partkey > 0 GROUP BY kind", base=False)
 def full_rebuild(spark, sf):
-    """A change of any setting of a kind, for each kind."""
-    p = spark.read.parquet(f"{sf}/part.parquet")
-    out = []
-    for kind in ("definition", "plugin", "csv", "routing"):
-        old = p.select(F.lit(kind).alias("kind"), F.col("p_partkey").alias("id"), "p_size")
-        out.append((kind, O.needs_full_rebuild(old, old.withColumn("p_size", F.col("p_size") + (F.col("id") % 10 == 0).cast("int")))))
-    return spark.createDataFrame(out, "kind string, rebuild boolean")
+    """Settings of four kinds, some changed: those of definitions never call for a rebuild."""
+    p = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey > 0")
+    every = spark.createDataFrame([("definition", 3), ("plugin", 5), ("csv", 7), ("routing", 1000000000)], "kind string, n int")
+    old = p.join(F.broadcast(every), F.lit(True)).select("kind", F.col("p_partkey").alias("id"), "p_size", "n")
+    new = old.withColumn("p_size", F.col("p_size") + (F.col("id") % F.col("n") == 0).cast("int"))
+    return O.rebuild_reasons(old, new).select("kind", "changes")
 
 
 def _restored(spark, sf):

@@ -26,4 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back: later steps do not compute it again."""
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables made by ``written``; no plan may read them afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
