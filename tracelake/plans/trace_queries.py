@@ -41,7 +41,7 @@ _TIMES = f"tm AS (SELECT {START} + 2200000000 * p_partkey AS at_us FROM (SELECT
  SELECT at_us, {", ".join("ks." + c.strip() for c in _KEY.split(","))}, count(f.ordinal) FILTER (t_us >= {START}) AS count, arg_max(f.ordinal, t_us) FILTER (t_us >= {START}) AS ordinal, (at_us - max(t_us) FILTER (t_us >= {START})) / 1000.0::DOUBLE AS age_ms,
    min(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS min_ms, max(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS max_ms,
    CASE WHEN count(f.ordinal) FILTER (t_us >= {START}) > 0 THEN greatest(max(t_us) FILTER (ch), min(t_us) FILTER (t_us >= {START})) END AS changed_us
- FROM tm CROSS JOIN ks LEFT JOIN f ON f.t_us <= tm.at_us AND {" AND ".join(f"f.{c.strip()} = ks.{c.strip()}" for c in _KEY.split(","))} GROUP BY ALL""")
+ FROM tm CROSS JOIN ks LEFT JOIN f ON f.t_us <= tm.at_us AND {" AND ".join(f"f.{c.strip()} = ks.{c.strip()}" for c in _KEY.split(","))} GROUP BY at_us, {", ".join("ks." + c.strip() for c in _KEY.split(","))}""")
 def trace_many(spark, sf):
     """Up to a thousand times at once, taken from a table."""
     p = spark.read.parquet(f"{sf}/part.parquet").filter("p_partkey < 1000")
