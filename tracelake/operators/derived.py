@@ -77,11 +77,11 @@ def low_pass(rows: DataFrame, keys: list[str], tau: float, value: str = "value",
         ends.lag(**{f"__sum{i}": last[0], f"__tb{i}": last[1]})
         last = f"__sum{i}", f"__tb{i}"
         carry = carry + F.coalesce(F.col(last[0]) * F.exp((F.col(last[1]) - F.col("__tb_end")) / tau), F.lit(0.0))
-    carried = ends.done().select(*scope, "__block", carry.alias("__carry"))
+    carried = ends.done().select(*scope, "__block", carry.alias("__brought"))
     r = r.join(carried, [*scope, "__block"])
-    y = F.exp(-(F.col(time) - F.col("__tb")) / tau) * (F.col("__carry") + F.col("__s"))
+    y = F.exp(-(F.col(time) - F.col("__tb")) / tau) * (F.col("__brought") + F.col("__s"))
     r = Ranged(r.withColumn("y", y), scope, (time, "ordinal")).lag(previous="y").done()
-    return r.withColumnRenamed("__step", "delta_s").drop("__before", "__t0", "__block", "__tb", "__u", "__s", "__carry")
+    return r.withColumnRenamed("__step", "delta_s").drop("__before", "__t0", "__block", "__tb", "__u", "__s", "__brought")
 
 
 def sample_at(probes: DataFrame, series: DataFrame, keys: list[str], linear: bool = True) -> DataFrame:
