@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracelake import plans
 from tracelake.operators import ranges
 
-NAMES = "C3 C4 C5 C6 C7 J1_thinned J3 J4 P4 E4 E5 E6 E7 E9 E10 F10 F11 G5 G6 G9 G10 G11 G12 G13 G14 G17 G18 G20 G24 Q2 R4 T1 T1_bulk T2 T3 T4 T7".split()
+NAMES = "C3 C4 C5 C6 C7 G12_budget J1_thinned J3 J4 J3_clip P6 P6_drawn P6_zoom P6_joined P4 E4 E5 E6 E7 E9 E10 F10 F11 G5 G6 G9 G10 G11 G12 G13 G14 G17 G18 G20 G24 Q2 R4 T1 T1_bulk T2 T3 T4 T7".split()
 
 
 @pytest.fixture

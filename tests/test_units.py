@@ -198,3 +198,47 @@ def test_decode_last_definition_wins(spark, sf_dir):
     twice = l.union(l.withColumn("def_id", F.lit("zz")).withColumn("scale", F.lit("1")))
     got = decode.decode(frames(spark, sf_dir), twice).select("def_id").distinct().toPandas()
     assert isinstance(got, pd.DataFrame) and got["def_id"].tolist() == ["zz"]
+
+
+def test_drawn_edges(spark):
+    """Series wholly beside a view or clip, samples on an edge, ranges that share nothing, turned bounds, empty tables."""
+    from tracelake.operators import views
+
+    rows = [("a", "s", i, t, float(i), "valid") for i, t in enumerate((10, 20, 20, 30, 40))] + [("b", "s", 9, 5, 1.0, "valid")]
+    s = spark.createDataFrame(rows, "target string, signal_id string, ordinal long, t_us long, value double, quality string")
+    k = ["target", "signal_id"]
+
+    def drawn(clips=None, shown=None):
+        bounds = [x and spark.createDataFrame([(*r,) for r in x], "target string, start_us long, end_us long") for x in (shown, clips)]
+        return sorted((r.target, r.ordinal, r.inside, r.carried) for r in views.drawn(s, k, *bounds).filter("target = 'a'").collect())
+
+    whole = [("a", i, True, False) for i in range(5)]
+    assert drawn() == whole and drawn(clips=[("b", 0, 1)]) == whole
+    assert drawn(clips=[("a", 30, 20)]) == [("a", 1, True, False), ("a", 2, True, False), ("a", 3, True, False)]
+    assert drawn(clips=[("a", 21, 29)]) == [("a", 2, False, True), ("a", 3, False, True)]
+    assert drawn(clips=[("a", 50, 60)]) == [("a", 4, False, True)] and drawn(clips=[("a", 0, 5)]) == [("a", 0, False, True)]
+    assert drawn(shown=[("a", 20, 30)]) == [("a", 0, False, False)] + whole[1:4] + [("a", 4, False, False)]
+    assert drawn(shown=[("a", 50, 60)]) == [("a", 4, False, False)]
+    assert drawn(clips=[("a", 15, 35)], shown=[("a", 18, 25)]) == [("a", 0, False, True), ("a", 1, True, False), ("a", 2, True, False), ("a", 3, False, False)]
+    assert drawn(clips=[("a", 10, 20)], shown=[("a", 30, 40)]) == []
+    assert views.drawn(s.limit(0), k).count() == 0
+
+
+def test_thin_small_limits(spark):
+    """Limits too small for a run take samples at even places; each series may have a limit of its own."""
+    from tracelake.operators import series
+
+    s = spark.range(40).selectExpr("concat('m', id % 8) AS signal_id", "id AS ordinal", "id div 8 AS t_us", "cast(id AS double) AS value", "'valid' AS quality", "id % 8 AS most")
+    got = {r.signal_id: (r.n, r.places) for r in series.thin(s, ["signal_id"], "most").groupBy("signal_id").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list("t_us")).alias("places")).collect()}
+    assert "m0" not in got and got["m1"][1] == [0] and got["m2"][1] == [0, 4] and got["m3"][1] == [0, 2, 4]
+    assert got["m4"][1] == [0, 1, 3, 4] and all(got[f"m{i}"][0] == 5 for i in (5, 6, 7))
+
+
+def test_clip_path_without_inside(spark):
+    """Carried points give no edge without a point inside, and go where the clip has no bounds."""
+    from tracelake.operators import views
+
+    p = spark.createDataFrame([(0, 1, 1.0, 2.0, True), (10, 1, 3.0, 6.0, False), (20, 1, 5.0, 0.0, True)], "t_us long, k int, x double, y double, carried boolean")
+    assert sorted(tuple(r) for r in views.clip_path(p, 5, 15).collect()) == [(5, 2.0, 4.0, True), (10, 3.0, 6.0, False), (15, 4.0, 3.0, True)]
+    assert views.clip_path(p.filter("carried"), 5, 15).count() == 0
+    assert [tuple(r) for r in views.clip_path(p, None, None).collect()] == [(10, 3.0, 6.0, False)]

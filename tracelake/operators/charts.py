@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .asof import neighbours
 from .decode import small
 from .ranges import Ranged, totals
-from .series import ORDER, usable
+from .series import ORDER, thin, usable
 
 
 def normalise(samples: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,35 +93,34 @@ def drawable_runs(samples: DataFrame, keys: list[str], threshold_us: Column, shi
 
 
 def trajectory(x: DataFrame, y: DataFrame, z: DataFrame | None = None, invert: tuple[bool, bool, bool] = (False, False, False)) -> DataFrame:
-    """Points of shared times, k-th sample with k-th; pairs with an unusable sample are dropped."""
+    """Points of shared times, k-th sample with k-th; pairs with an unusable sample are dropped.
+
+    Where the axes tell which samples are ``carried`` into a clip, a point is carried if any of its samples is.
+    """
     out = None
     for name, s, flip in zip("xyz", (x, y, z), invert):
         if s is None:
             continue
         k = F.row_number().over(Window.partitionBy("t_us").orderBy("ordinal"))
-        s = s.select("t_us", k.alias("k"), (-F.col("value") if flip else F.col("value")).alias(name), usable().alias(f"ok_{name}"))
+        carried = [F.col("carried").alias(f"from_{name}")] if "carried" in s.columns else []
+        s = s.select("t_us", k.alias("k"), (-F.col("value") if flip else F.col("value")).alias(name), usable().alias(f"ok_{name}"), *carried)
         out = s if out is None else out.join(s, ["t_us", "k"])
     good = " and ".join(c for c in out.columns if c.startswith("ok_"))
-    return out.filter(good).drop(*[c for c in out.columns if c.startswith("ok_")])
+    flags = [c for c in out.columns if c.startswith("from_")]
+    if flags:
+        out = out.withColumn("carried", F.expr(" or ".join(flags)))
+    return out.filter(good).drop(*flags, *[c for c in out.columns if c.startswith("ok_")])
 
 
 def thin_points(points: DataFrame, limit: int) -> DataFrame:
     """At most ``limit`` points of a path that keep the extremes of every axis; a shorter path is kept whole.
 
-    The path is cut into equal runs; each keeps its first and last point and the lowest and highest one of each axis,
-    the earlier on a tie.
+    Runs keep their first and last point and the lowest and highest one of each axis, the earlier on a tie; a path
+    without z is cut as if it had a constant one.
     """
     axes = [c for c in ("x", "y", "z") if c in points.columns]
-    runs = max(1, limit // (2 + 2 * len(axes)))
-    p = totals(Ranged(points, [], ("t_us", "k")).position("p").done(), [], n=F.count(F.lit(1)))
-    p = p.withColumn("__run", F.floor(((F.col("p") + 1) * runs - 1) / F.col("n")))
-    ends = [F.min("p").alias("first"), F.max("p").alias("last")]
-    for c in axes:
-        ends += [F.min(F.struct(F.col(c).alias("v"), "p")).alias(f"lo_{c}"), F.min(F.struct((-F.col(c)).alias("v"), "p")).alias(f"hi_{c}")]
-    kept = p.filter(F.col("n") > limit).groupBy("__run").agg(*ends)
-    places = F.array("first", "last", *(f"{side}_{c}.p" for c in axes for side in ("lo", "hi")))
-    kept = kept.select(F.explode(F.array_distinct(places)).alias("p"))
-    return p.join(small(kept), "p", "left_semi").unionByName(p.filter(F.col("n") <= limit)).select(*points.columns)
+    one = points.withColumn("__path", F.lit(0))
+    return thin(one, ["__path"], limit, measures=axes, order=("t_us", "k"), per_run=10).drop("__path")
 
 
 def recent(points: DataFrame, at_us: int, span_us: int) -> DataFrame:
@@ -143,15 +142,6 @@ def point_budget(targets: int, signals: int, total: int = 100_000, least: int =
     return max(least, min(most, total // max(1, targets * signals)))
 
 
-def compared_series(samples: DataFrame, ids: list[str], target: str = "source_id", total: int = 100_000) -> DataFrame:
-    """A thinned series per target for each of the signals asked for, known by their ids, within a budget for all."""
-    from .series import thin
-
-    wanted = samples.filter(F.col("signal_id").isin(ids))
-    n = wanted.select(target).distinct().count()
-    return thin(wanted, [target, "signal_id"], point_budget(n, len(ids), total))
-
-
 def unique_targets(targets: DataFrame, keys: list[str], order: str = "ordinal") -> DataFrame:
     """The first of targets that name the same thing."""
     w = Window.partitionBy(*keys).orderBy(order)

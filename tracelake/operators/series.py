@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,12 +34,13 @@ def wide(samples: DataFrame, row: list[str], ids: list[str], value: str = "value
     return samples.filter(F.col("signal_id").isin(ids)).groupBy(*row).pivot("signal_id", ids).agg(F.max_by(value, "seq"))
 
 
-def even_positions(n: Column, limit: int) -> Column:
-    """Positions ``round(i * (n - 1) / (limit - 1))`` without repeats."""
-    i = F.sequence(F.lit(0), F.lit(limit - 1))
-    return F.when(n <= limit, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(
-        F.array_distinct(F.transform(i, lambda x: F.floor(x * (n - 1) / (limit - 1) + 0.5)))
-    )
+def even_positions(n: Column, limit: int | Column) -> Column:
+    """Positions ``round(i * (n - 1) / (limit - 1))`` without repeats; the first alone for a limit of 1, none below."""
+    most = F.lit(limit).cast("long") if isinstance(limit, int) else limit
+    i = F.sequence(F.lit(0).cast("long"), most - 1)
+    spread = F.array_distinct(F.transform(i, lambda x: F.floor(x * (n - 1) / (most - 1) + 0.5)))
+    none = F.array().cast("array<bigint>")
+    return F.when((most <= 0) | (n <= 0), none).when(n <= most, F.sequence(F.lit(0).cast("long"), n - 1)).when(most == 1, F.array(F.lit(0).cast("long"))).otherwise(spread)
 
 
 def thin_evenly(samples: DataFrame, keys: list[str], limit: int) -> DataFrame:
@@ -171,27 +174,25 @@ def intersected(ranges: DataFrame, start_us: int | None, end_us: int | None) ->
     return ranges.withColumns({"start_us": start, "end_us": end}).filter("start_us is null or end_us is null or start_us <= end_us")
 
 
-def _numbered(samples: DataFrame, keys: list[str], breaks: DataFrame | None) -> DataFrame:
+def _numbered(samples: DataFrame, keys: list[str], breaks: DataFrame | None, order: Sequence[str] = ORDER) -> DataFrame:
     """Samples with their place ``p`` in the series, its length ``n`` and whether they are break samples."""
-    s = totals(Ranged(samples, keys, ORDER).position("p").done(), keys, n=F.count(F.lit(1)))
+    s = totals(Ranged(samples, keys, order).position("p").done(), keys, n=F.count(F.lit(1)))
     if breaks is None:
         return s.withColumn("broken", F.lit(False))
     s = s.join(breaks.select(*keys, "ordinal", F.lit(True).alias("__b")), [*keys, "ordinal"], "left")
     return s.withColumn("broken", F.coalesce("__b", F.lit(False))).drop("__b")
 
 
-def _kept_places(numbered: DataFrame, keys: list[str], runs: DataFrame) -> DataFrame:
+def _kept_places(numbered: DataFrame, keys: list[str], runs: DataFrame, measures: Sequence[str] = ("value",)) -> DataFrame:
     """``keys, p`` of the samples that stay when each series is cut into ``runs(keys, runs)``."""
     s = numbered.join(small(runs), keys).withColumn("run", F.floor(((F.col("p") + 1) * F.col("runs") - 1) / F.col("n")))
-    finite = ~F.isnan("value") & F.col("value").isNotNull() & (F.abs("value") < float("inf"))
-    v = F.when(finite, F.col("value"))
-    kept = s.groupBy(*keys, "run").agg(
-        F.min("p").alias("a"), F.max("p").alias("b"),
-        F.min(F.when(finite, F.struct(v.alias("v"), F.col("p").alias("p")))).alias("lo"),
-        F.min(F.when(finite, F.struct((-v).alias("v"), F.col("p").alias("p")))).alias("hi"),
-        F.min(F.when(F.col("broken"), F.col("p"))).alias("c"), F.max(F.when(F.col("broken"), F.col("p"))).alias("d"),
-    )
-    places = F.array_compact(F.array("a", "b", "lo.p", "hi.p", "c", "d"))
+    ends = [F.min("p").alias("a"), F.max("p").alias("b"), F.min(F.when(F.col("broken"), F.col("p"))).alias("c"), F.max(F.when(F.col("broken"), F.col("p"))).alias("d")]
+    for i, m in enumerate(measures):
+        v = F.col(m)
+        finite = ~F.isnan(v) & v.isNotNull() & (F.abs(v) < float("inf"))
+        ends += [F.min(F.when(finite, F.struct(side.alias("v"), F.col("p").alias("p")))).alias(f"{name}{i}") for name, side in (("lo", v), ("hi", -v))]
+    kept = s.groupBy(*keys, "run").agg(*ends)
+    places = F.array_compact(F.array("a", "b", "c", "d", *(f"{name}{i}.p" for i in range(len(measures)) for name in ("lo", "hi"))))
     return kept.select(*keys, F.explode(F.array_distinct(places)).alias("p"))
 
 
@@ -204,29 +205,43 @@ def extremes(samples: DataFrame, keys: list[str], runs: DataFrame, breaks: DataF
     return s.join(_kept_places(s, keys, runs), [*keys, "p"], "left_semi").select(*samples.columns)
 
 
-def thin(samples: DataFrame, keys: list[str], limit: int, breaks: DataFrame | None = None) -> DataFrame:
+def thin(
+    samples: DataFrame, keys: list[str], limit: int | str, breaks: DataFrame | None = None,
+    measures: Sequence[str] = ("value",), order: Sequence[str] = ORDER, per_run: int = 6,
+) -> DataFrame:
     """Thinning that keeps peaks: starts with the runs that surely fit, then up to three times more while it fits.
 
-    The samples are numbered once and written; the counts that steer it are one row per series. Short series are kept whole.
+    ``limit`` is a number, or a column with one number a series. Short series are kept whole, limits under
+    ``per_run`` (the most samples that a run keeps) take samples at even places. The samples are numbered once and
+    written; the counts that steer it are one row per series.
     """
-    s = written(_numbered(samples, keys, breaks))
-    runs = written(s.filter(F.col("n") > limit).groupBy(*keys).agg(F.first("n").alias("n")).withColumn("runs", F.lit(limit // 6).cast("long")))
-
-    def counted(runs: DataFrame, name: str) -> DataFrame:
-        return _kept_places(s, keys, runs.select(*keys, "runs")).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-
-    for _ in range(3):
-        tried = runs.join(counted(runs, "got"), keys).withColumn("next", F.least("n", F.floor(F.col("runs") * limit / F.col("got"))))
-        tried = written(tried.withColumn("try", (F.col("got") < 0.9 * limit) & (F.col("next") > F.col("runs"))))
-        if not tried.filter("try").limit(1).count():
-            discard(tried)
-            break
-        after = counted(tried.filter("try").select(*keys, F.col("next").alias("runs")), "then")
-        before, runs = runs, written(tried.join(after, keys, "left").select(*keys, "n", F.when(F.col("then") <= limit, F.col("next")).otherwise(F.col("runs")).alias("runs")))
-        discard(before, tried)
-    short = s.filter(F.col("n") <= limit)
-    large = s.join(_kept_places(s, keys, runs.select(*keys, "runs")), [*keys, "p"], "left_semi")
-    return short.unionByName(large).select(*samples.columns)
+    most = F.lit(limit) if isinstance(limit, int) else F.col(limit)
+    s = written(_numbered(samples.withColumn("__most", most.cast("long")), keys, breaks, order))
+    parts = [s.filter(F.col("n") <= F.col("__most"))]
+    if not isinstance(limit, int) or limit < per_run:
+        parts.append(s.filter((F.col("n") > F.col("__most")) & (F.col("__most") < per_run) & F.array_contains(even_positions(F.col("n"), F.col("__most")), F.col("p"))))
+    if not isinstance(limit, int) or limit >= per_run:
+        long = s.filter((F.col("n") > F.col("__most")) & (F.col("__most") >= per_run))
+        runs = written(long.groupBy(*keys).agg(F.first("n").alias("n"), F.first("__most").alias("__most")).withColumn("runs", F.floor(F.col("__most") / per_run)))
+
+        def counted(runs: DataFrame, name: str) -> DataFrame:
+            return _kept_places(s, keys, runs.select(*keys, "runs"), measures).groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+
+        for _ in range(3):
+            tried = runs.join(counted(runs, "got"), keys).withColumn("next", F.least("n", F.floor(F.col("runs") * F.col("__most") / F.col("got"))))
+            tried = written(tried.withColumn("try", (F.col("got") < 0.9 * F.col("__most")) & (F.col("next") > F.col("runs"))))
+            if not tried.filter("try").limit(1).count():
+                discard(tried)
+                break
+            after = counted(tried.filter("try").select(*keys, F.col("next").alias("runs")), "then")
+            fits = F.when(F.col("then") <= F.col("__most"), F.col("next")).otherwise(F.col("runs"))
+            before, runs = runs, written(tried.join(after, keys, "left").select(*keys, "n", "__most", fits.alias("runs")))
+            discard(before, tried)
+        parts.append(s.join(_kept_places(s, keys, runs.select(*keys, "runs"), measures), [*keys, "p"], "left_semi").select(s.columns))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select(*samples.columns)
 
 
 def pyramid(samples: DataFrame, keys: list[str], block: int = 64) -> DataFrame:

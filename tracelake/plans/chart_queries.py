@@ -7,9 +7,11 @@ from ..functions import units as U
 from ..operators import charts as O
 from ..operators import series as S
 from ..operators import frames as FR
+from ..operators import views as V
 from .registry import query
 from .series_queries import FROM, KEY, TO
 from .tables import events, frames, order_samples, samples
+from .thinning_sql import broken_sql, thinned_sql
 
 _UNITS = """, un AS (SELECT ordinal, value, k, CASE k % 8 WHEN 0 THEN 'km/h' WHEN 1 THEN ' mm ' WHEN 2 THEN 'fahrenheit' WHEN 3 THEN 'PSI' WHEN 4 THEN 'furlong' WHEN 5 THEN 'kW' WHEN 6 THEN 'mm^2' ELSE 'kmh' END AS unit FROM fr),
  ru AS (SELECT * FROM (VALUES ('km/h', 'speed', 'm/s', 1 / 3.6::DOUBLE, 0.0::DOUBLE), (' mm ', 'length', 'm', 0.001::DOUBLE, 0), ('fahrenheit', 'temperature', '°C', 5 / 9.0::DOUBLE, -160 / 9.0::DOUBLE), ('mm^2', 'area', 'm²', 0.000001::DOUBLE, 0), ('kmh', 'speed', 'm/s', 1 / 3.6::DOUBLE, 0), ('PSI', 'pressure', 'kPa', 6.894757293::DOUBLE, 0), ('kW', 'power', 'kW', 1.0::DOUBLE, 0)) t(unit, family, canonical, scale, shift))"""
@@ -171,9 +173,7 @@ def points(spark, sf):
     return _points(spark, sf)
 
 
-@query("J1_thinned", _TRJ + """, p AS (SELECT *, row_number() OVER (ORDER BY t_us, k) - 1 AS p, count(*) OVER () AS n FROM pt), r AS (SELECT *, ((p + 1) * 7 - 1) // n AS run FROM p),
- e AS (SELECT unnest([min(p), max(p), arg_min(p, {'v': x, 'p': p}), arg_min(p, {'v': -x, 'p': p}), arg_min(p, {'v': y, 'p': p}), arg_min(p, {'v': -y, 'p': p}), arg_min(p, {'v': z, 'p': p}), arg_min(p, {'v': -z, 'p': p})]) AS p FROM r GROUP BY run)
- SELECT t_us, k, x, y, z FROM r WHERE p IN (SELECT p FROM e)""")
+@query("J1_thinned", _TRJ + ", th_src AS (SELECT *, 0 AS path, row_number() OVER (ORDER BY t_us, k) - 1 AS p, count(*) OVER () AS n, 60 AS most, false AS broken FROM pt)" + thinned_sql(["path"], ("x", "y", "z"), 10) + " SELECT t_us, k, x, y, z FROM th_src JOIN th_kept USING (path, p)")
 def thinned_points(spark, sf):
     return O.thin_points(_points(spark, sf), 60)
 
@@ -198,6 +198,23 @@ def clip_edges(spark, sf):
     return e.select("t_us", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"), "carried")
 
 
+_CLIP_TO = TO - 300000000
+
+
+@query("J3_clip", f""", tb AS (SELECT (t_us // 600000000) * 600000000 AS t_us, ordinal, value AS x, -user_id::DOUBLE AS y, k::DOUBLE AS z, k % 17 <> 0 AS ok FROM fr),
+ ins AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY t_us ORDER BY ordinal) AS k FROM tb WHERE t_us BETWEEN {FROM} AND {_CLIP_TO}) WHERE ok),
+ far AS (SELECT {FROM} AS edge, * FROM (SELECT * FROM tb WHERE t_us < {FROM} ORDER BY t_us DESC, ordinal DESC LIMIT 1) UNION ALL SELECT {_CLIP_TO}, * FROM (SELECT * FROM tb WHERE t_us > {_CLIP_TO} ORDER BY t_us, ordinal LIMIT 1)),
+ near AS (SELECT {FROM} AS edge, * FROM (SELECT * FROM ins ORDER BY t_us, k LIMIT 1) UNION ALL SELECT {_CLIP_TO}, * FROM (SELECT * FROM ins ORDER BY t_us DESC, k DESC LIMIT 1)),
+ cr AS (SELECT edge, f.x + (n.x - f.x) * ((edge - f.t_us)::DOUBLE / (n.t_us - f.t_us)) AS x, f.y + (n.y - f.y) * ((edge - f.t_us)::DOUBLE / (n.t_us - f.t_us)) AS y, f.z + (n.z - f.z) * ((edge - f.t_us)::DOUBLE / (n.t_us - f.t_us)) AS z FROM far f JOIN near n USING (edge) WHERE f.ok AND NOT EXISTS (SELECT 1 FROM tb WHERE tb.t_us = edge))
+ SELECT t_us, x, y, z, false AS carried FROM ins UNION ALL SELECT edge, round(x, 9), round(y, 9), round(z, 9), true FROM cr""")
+def clip_path(spark, sf):
+    """The path of a clip from its axes and their carried samples, ended at the clip's edges."""
+    clips = spark.createDataFrame([(1, FROM, _CLIP_TO)], "one int, start_us long, end_us long")
+    axes = [V.drawn(_axis(spark, sf, name).withColumn("one", F.lit(1)), ["one"], clips=clips) for name in ("value", "user_id", "k")]
+    p = V.clip_path(O.trajectory(*axes, invert=(False, True, False)), FROM, _CLIP_TO)
+    return p.select("t_us", *(F.round(c, 9).alias(c) for c in "xyz"), "carried")
+
+
 @query("J4", _ONE + """, w AS (SELECT *, sqrt((x - lag(x) OVER o) ** 2 + (y - lag(y) OVER o) ** 2) AS piece FROM p1 WINDOW o AS (ORDER BY t_us)),
  ends AS (SELECT min(t_us) AS a, max(t_us) AS b FROM p1), pa AS (SELECT p1.* FROM p1, ends WHERE t_us = a), pb AS (SELECT p1.* FROM p1, ends WHERE t_us = b)
  SELECT pb.x - pa.x AS dx, pb.y - pa.y AS dy, round(sqrt((pb.x - pa.x) ** 2 + (pb.y - pa.y) ** 2), 6) AS straight, round((SELECT sum(piece) FROM w), 4) AS path, round((SELECT sum(piece) FROM w) / ((pb.t_us - pa.t_us) / 1e6), 6) AS speed FROM pa, pb""")
@@ -251,10 +268,60 @@ def owners(spark, sf):
     return O.signal_owners(e, "signal", "target").withColumn("owners", F.array_join("owners", ","))
 
 
-@query("P6", "SELECT source_id, signal_id, ordinal FROM sa WHERE signal_id IN ('click', 'view') QUALIFY count(*) OVER (PARTITION BY source_id, signal_id) <= least(4000, 100000 // (SELECT 2 * count(DISTINCT source_id) FROM sa WHERE signal_id IN ('click', 'view')))")
+_PAIR = ["source_id", "signal_id"]
+_WANTED = ", wa AS (SELECT * FROM sa WHERE signal_id IN ('click', 'view')), ta AS (SELECT count(DISTINCT source_id) AS targets FROM wa)"
+_KEPT = " SELECT source_id, signal_id, ordinal FROM th_src JOIN th_kept USING (source_id, signal_id, p)"
+
+
+@query("P6", _WANTED + broken_sql("wa", _PAIR, "(SELECT greatest(2, least(4000, 100000 // (2 * targets))) FROM ta)") + thinned_sql(_PAIR) + _KEPT)
 def per_target(spark, sf):
-    """Series within the budget of all targets and signals are whole (the SQL has only those); beyond it they are thinned as in G12_budget."""
-    return O.compared_series(samples(spark, sf), ["click", "view"]).select("source_id", "signal_id", "ordinal")
+    """Series of each target within the budget of all targets and signals."""
+    return V.compared_series(samples(spark, sf), ["click", "view"]).select("source_id", "signal_id", "ordinal")
+
+
+_VIEWS = """, vw AS (SELECT source_id, lo + (hi - lo) // 4 AS start_us, hi - (hi - lo) // 4 AS end_us FROM (SELECT source_id, min(t_us) AS lo, max(t_us) AS hi FROM sa GROUP BY 1) WHERE source_id <> 'log3'),
+ cp AS (SELECT source_id, CASE source_id WHEN 'log1' THEN lo + (hi - lo) // 3 WHEN 'log2' THEN lo - 10 ELSE lo END AS start_us, CASE source_id WHEN 'log1' THEN hi + 10 WHEN 'log2' THEN lo - 1 ELSE hi - (hi - lo) // 3 END AS end_us FROM (SELECT source_id, min(t_us) AS lo, max(t_us) AS hi FROM sa GROUP BY 1) WHERE source_id <> 'log0'),
+ sl AS (SELECT wa.*, cp.start_us AS c0, cp.end_us AS c1, coalesce(greatest(cp.start_us, vw.start_us), cp.start_us, vw.start_us) AS v0, coalesce(least(cp.end_us, vw.end_us), cp.end_us, vw.end_us) AS v1 FROM wa LEFT JOIN cp USING (source_id) LEFT JOIN vw USING (source_id)),
+ kc AS (SELECT *, c0 IS NOT NULL AND NOT t_us BETWEEN c0 AND c1 AS carried FROM (SELECT *, max(CASE WHEN t_us < c0 THEN {'t': t_us, 'o': ordinal} END) OVER w AS lc, min(CASE WHEN t_us > c1 THEN {'t': t_us, 'o': ordinal} END) OVER w AS rc,
+   coalesce(bool_or(t_us = c0) OVER w, false) AS e0, coalesce(bool_or(t_us = c1) OVER w, false) AS e1 FROM sl WINDOW w AS (PARTITION BY source_id, signal_id))
+   WHERE c0 IS NULL OR t_us BETWEEN c0 AND c1 OR (NOT e0 AND lc = {'t': t_us, 'o': ordinal}) OR (NOT e1 AND rc = {'t': t_us, 'o': ordinal})),
+ dr AS (SELECT *, v0 IS NULL OR t_us BETWEEN v0 AND v1 AS inside FROM (SELECT *, max(CASE WHEN t_us < v0 THEN {'t': t_us, 'o': ordinal} END) OVER w AS lv, min(CASE WHEN t_us > v1 THEN {'t': t_us, 'o': ordinal} END) OVER w AS rv FROM kc WINDOW w AS (PARTITION BY source_id, signal_id))
+   WHERE v0 IS NULL OR (v0 <= v1 AND (t_us BETWEEN v0 AND v1 OR lv = {'t': t_us, 'o': ordinal} OR rv = {'t': t_us, 'o': ordinal})))"""
+
+
+def _views(s):
+    """Views of three targets and clips of three: one target has a view alone, one a clip alone, one a clip beside its samples."""
+    ends = s.groupBy("source_id").agg(F.min("t_us").alias("lo"), F.max("t_us").alias("hi"))
+    views = ends.filter("source_id <> 'log3'").selectExpr("source_id", "lo + (hi - lo) div 4 AS start_us", "hi - (hi - lo) div 4 AS end_us")
+    start = "CASE source_id WHEN 'log1' THEN lo + (hi - lo) div 3 WHEN 'log2' THEN lo - 10 ELSE lo END AS start_us"
+    end = "CASE source_id WHEN 'log1' THEN hi + 10 WHEN 'log2' THEN lo - 1 ELSE hi - (hi - lo) div 3 END AS end_us"
+    return views, ends.filter("source_id <> 'log0'").selectExpr("source_id", start, end)
+
+
+@query("P6_drawn", _WANTED + _VIEWS + " SELECT source_id, signal_id, ordinal, inside, carried FROM dr")
+def drawn_samples(spark, sf):
+    """What each target draws of its view and its clip, before thinning."""
+    s = samples(spark, sf)
+    d = V.drawn(s.filter(F.col("signal_id").isin("click", "view")), _PAIR, *_views(s))
+    return d.select("source_id", "signal_id", "ordinal", "inside", "carried")
+
+
+@query("P6_zoom", _WANTED + _VIEWS + broken_sql("dr", _PAIR, "(SELECT 400 // (2 * targets) FROM ta)") + thinned_sql(_PAIR) + " SELECT source_id, signal_id, ordinal, dr.inside, dr.carried FROM th_src JOIN th_kept USING (source_id, signal_id, p) JOIN dr USING (source_id, signal_id, ordinal)")
+def zoomed(spark, sf):
+    """Zoomed and clipped series, thinned over the part that shows."""
+    s = samples(spark, sf)
+    views, clips = _views(s)
+    return V.compared_series(s, ["click", "view"], total=400, views=views, clips=clips).select("source_id", "signal_id", "ordinal", "inside", "carried")
+
+
+@query("P6_joined", _WANTED.replace("wa AS (SELECT *", "wa AS (SELECT * REPLACE ((t_us // 1800000000) * 1800000000 AS t_us)") + broken_sql("wa", _PAIR, "(SELECT 60 // count(DISTINCT signal_id) FROM wa w WHERE w.source_id = th_b.source_id)") + thinned_sql(_PAIR) + """,
+ tm AS (SELECT DISTINCT source_id, t_us FROM th_src JOIN th_kept USING (source_id, signal_id, p)),
+ sh AS (SELECT wa.*, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY source_id, signal_id) AS m FROM wa SEMI JOIN tm USING (source_id, t_us) WINDOW w AS (PARTITION BY source_id, signal_id ORDER BY t_us, ordinal))
+ SELECT source_id, signal_id, ordinal FROM sh WHERE m <= 60 OR i IN (SELECT floor(j * (m - 1) / 59.0 + 0.5) FROM range(60) g(j))""")
+def joined_axes(spark, sf):
+    """Two axes of a trajectory thinned together, on times that both share."""
+    s = samples(spark, sf).withColumn("t_us", F.expr("t_us div 1800000000 * 1800000000"))
+    return V.compared_series(s, ["click", "view"], joined=True, points=60).select("source_id", "signal_id", "ordinal")
 
 
 @query("P6_budget", "SELECT source_id, signal_id, true AS within FROM sa WHERE signal_id IN ('click', 'view') GROUP BY ALL")
@@ -262,7 +329,7 @@ def per_target_budget(spark, sf):
     """A tenth of the budget: every series keeps its extremes and stays inside."""
     s = samples(spark, sf)
     total = 400
-    g = O.compared_series(s, ["click", "view"], total=total).groupBy("source_id", "signal_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(S.usable(), F.col("value"))).alias("hi"))
+    g = V.compared_series(s, ["click", "view"], total=total).groupBy("source_id", "signal_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(S.usable(), F.col("value"))).alias("hi"))
     whole = s.groupBy("source_id", "signal_id").agg(F.max(F.when(S.usable(), F.col("value"))).alias("top"))
     n = s.select("source_id").distinct().count()
     return g.join(whole, ["source_id", "signal_id"]).select("source_id", "signal_id", ((F.col("n") <= O.point_budget(n, 2, total)) & (F.col("hi") == F.col("top"))).alias("within"))

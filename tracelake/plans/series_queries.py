@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..operators import series as O
+from ..operators.views import thinned_for_graph
 from .registry import query
 from .tables import events, order_samples, samples
+from .thinning_sql import broken_sql, thinned_sql
 
 IDS = ["click", "view", "signup"]
 KEY = ["signal_id"]
@@ -125,11 +127,10 @@ def thin_runs(spark, sf):
     return O.extremes(s, KEY, runs).select("signal_id", "ordinal")
 
 
-@query("G12_budget")
+@query("G12_budget", broken_sql("sa", KEY, "200") + thinned_sql(KEY) + " SELECT signal_id, ordinal FROM th_src JOIN th_kept USING (signal_id, p)")
 def thin_budget(spark, sf):
-    """Thinning to a budget with the reruns; checked in tests for its bound and its extremes."""
-    s = samples(spark, sf)
-    return O.thin(s, KEY, 200, O.break_samples(s, KEY, O.cadence(s, KEY))).select("signal_id", "ordinal", "t_us", "quality")
+    """Thinning to a budget, with break samples and the reruns."""
+    return thinned_for_graph(samples(spark, sf), KEY, 200).select("signal_id", "ordinal")
 
 
 @query("G13", _RUNS + " SELECT sa.signal_id, sa.ordinal FROM sa WHERE t_us IN (SELECT t_us FROM kept JOIN sa USING (signal_id, ordinal))")
