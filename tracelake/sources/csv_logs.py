@@ -103,11 +103,16 @@ def read_csv_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     diagnostics = spark.createDataFrame(report, REPORT).union(late)
     if clock is None or not kept:
         return spark.createDataFrame([], SAMPLES), diagnostics
-    timed = rows.select("row", t_us.alias("t_us"), *(F.col(f"c{i}").alias(headings[i]) for i in kept)).filter("t_us is not null")
-    long = timed.unpivot(["row", "t_us"], [f"`{headings[i].replace('`', '``')}`" for i in kept], "column", "cell")
-    value = F.when(F.coalesce("cell", F.lit("")) == "", F.lit(float("nan"))).otherwise(F.col("cell").try_cast("double"))
-    name, unit_text = name_and_unit(F.col("column"))
-    return long.select("row", "column", name.alias("name"), unit_text.alias("unit"), "t_us", value.alias("value"), F.lit(clock).alias("clock")), diagnostics
+    # Names and units are literals of each heading, folded by the planner. An unpivot here (Spark's Expand) fails to compile.
+    cells = []
+    for i in kept:
+        name, unit_text = name_and_unit(F.lit(headings[i]))
+        cell = F.col(f"c{i}")
+        value = F.when(F.coalesce(cell, F.lit("")) == "", F.lit(float("nan"))).otherwise(cell.try_cast("double"))
+        cells.append(F.struct(F.lit(headings[i]).alias("column"), name.alias("name"), unit_text.alias("unit"), value.alias("value")))
+    timed = rows.select("row", t_us.alias("t_us"), *(f"c{i}" for i in kept)).filter("t_us is not null")
+    long = timed.select("row", "t_us", F.inline(F.array(*cells)))
+    return long.select("row", "column", "name", "unit", "t_us", "value", F.lit(clock).alias("clock")), diagnostics
 
 
 def suggest_time_base(first: Column, unit_seconds: Column | float) -> Column:
