@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.once import with_computed
 from ..functions.text import significant
 from ..functions.times import clock_of, export_time, parse_clock, time_label, timestamp_of_clock_text, timestamp_us
+from ..operators.decode import spread
 
 #: Words that name a time column wherever they stand, and words that do so as the first of a heading (fixed values).
 TIME_WORDS = {"time", "timestamp"}
@@ -69,7 +70,7 @@ def read_csv_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     rows = df.select(row.alias("row"), place_in_files, *(F.col(f"`{h.replace('`', '``')}`").alias(f"c{i}") for i, h in enumerate(headings)))
     rows = rows.select("row", "place", *(F.trim(f"c{i}").alias(f"c{i}") for i in range(len(headings))))
     text = F.col(f"c{place}")
-    rows = with_computed(rows, {"__clock": clock_of(text), "number": text.try_cast("double") * unit})
+    rows = with_computed(spread(rows, "row"), {"__clock": clock_of(text), "number": text.try_cast("double") * unit})
     us, utc, number = F.col("__clock.us"), F.col("__clock.utc"), F.col("number")
     finite = number.isNotNull() & ~F.isnan(number) & (F.abs(number) < float("inf"))
 

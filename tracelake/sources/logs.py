@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.fields import DIGITS, HEX, made_of, words
 from ..functions.once import with_computed
 from ..functions.times import parse_date_line
-from ..operators.decode import small
+from ..operators.decode import small, spread
 from ..operators.frames import id_text, payload_text
 from ..storage import written
 
@@ -65,7 +65,8 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     between such lines are a small table that lines meet in a range join. Rows that cannot be read in
     full become diagnostics; none is dropped silently or filled up.
     """
-    l = with_computed(lines, {"word": words(F.col("value"))})
+    dealt = spread(lines, "line")
+    l = with_computed(dealt, {"word": words(F.col("value"))})
     at = lambda i: F.get("word", F.lit(i))
     first, n = F.lower(at(0)), F.size("word")
     fd_row = (F.lower(at(1)) == "canfd") & _seconds(at(0)).isNotNull() & (n > 2)
@@ -77,7 +78,9 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         .when(comment, "ignored").when(fd_row, "fd").when(classic_row, "classic").otherwise("other")
     )
     l = with_computed(l, {"kind": kind}).filter("kind <> 'ignored'")
-    toggles = l.filter("kind = 'base'").select("source_id", F.col("line").alias("from_line"), F.when(F.array_contains(F.transform("word", F.lower), "dec"), "dec").otherwise("hex").alias("base"))
+    # Read from the lines that begin so, not from all lines cut into words.
+    heads = lines.filter(F.lower(F.ltrim(F.translate("value", "\t\r\n\f\x0b", "     "))).startswith("base")).withColumn("word", words(F.col("value"))).filter((first == "base") & (n > 1))
+    toggles = heads.select("source_id", F.col("line").alias("from_line"), F.when(F.array_contains(F.transform("word", F.lower), "dec"), "dec").otherwise("hex").alias("base"))
     toggles = toggles.withColumn("to_line", F.lead("from_line").over(Window.partitionBy("source_id").orderBy("from_line")))
     t = small(toggles.withColumnRenamed("source_id", "__s"))
     l = l.join(t, (F.col("source_id") == F.col("__s")) & (F.col("line") > F.col("from_line")) & (F.col("to_line").isNull() | (F.col("line") < F.col("to_line"))), "left")
