@@ -119,3 +119,28 @@ def preferred(rows: DataFrame, keys: list[str], unit_col: str, order: str) -> Da
         F.min(F.col("family").isNotNull()).alias("known"), F.first("canonical", True).alias("canonical"),
     )
     return g.select(*keys, F.when(F.col("n") == 1, F.col("first_unit")).when((F.col("families") == 1) & F.col("known"), F.col("canonical")).otherwise(F.col("first_unit")).alias("unit"))
+
+
+#: Names of families that are not just their words (fixed values).
+FAMILY_NAMES = {"length": "Distance / length", "flow": "Flow rate", "percentage": "Ratio"}
+
+
+def unit_groups(rows: DataFrame, unit_col: str) -> DataFrame:
+    """Adds ``group_key, group_label, group_order`` of the axis that a unit belongs to.
+
+    Units of a family share an axis; any other text has one of its own, whatever its case; no unit, or a blank
+    one, is ``empty``. Families come first in the order of their axes, then other texts, then no unit.
+    """
+    taken = "__g_"
+    r = resolve(rows, unit_col, taken)
+    family, text = F.col(f"{taken}family"), F.trim(F.coalesce(F.col(unit_col), F.lit("")))
+    words = F.translate(family, "-", " ")
+    name = F.concat(F.upper(F.substring(words, 1, 1)), F.substring(words, F.lit(2), F.length(words)))
+    for key, given in FAMILY_NAMES.items():
+        name = F.when(family == key, given).otherwise(name)
+    known = family.isNotNull()
+    return r.withColumns({
+        "group_key": F.when(known, F.concat(F.lit("family:"), family)).when(text != "", F.concat(F.lit("unit:"), F.lower(text))).otherwise("empty"),
+        "group_label": F.when(known, name).when(text != "", text).otherwise("No unit"),
+        "group_order": F.when(known, F.col(f"{taken}axis")).when(text != "", 10_000).otherwise(20_000),
+    }).drop(*[taken + c for c in RULE])

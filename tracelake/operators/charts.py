@@ -175,14 +175,12 @@ def path_measure(points: DataFrame, first_us: int, second_us: int) -> DataFrame:
 
 
 def edge_points(points: DataFrame, start_us: int, end_us: int) -> DataFrame:
-    """Points inside a clip, and where the line crosses each of its edges."""
-    p = Ranged(points, [], ("t_us", "k")).lead(n=F.struct("t_us", "x", "y")).done()
-    parts = [points.filter(F.col("t_us").between(start_us, end_us)).select("t_us", "x", "y", F.lit(False).alias("carried"))]
-    for edge in (start_us, end_us):
-        part = (F.lit(edge) - F.col("t_us")) / (F.col("n.t_us") - F.col("t_us"))
-        cut = p.filter((F.col("t_us") < edge) & (F.col("n.t_us") > edge))
-        parts.append(cut.select(F.lit(edge).alias("t_us"), *[(F.col(c) + (F.col(f"n.{c}") - F.col(c)) * part).alias(c) for c in "xy"], F.lit(True).alias("carried")))
-    return parts[0].union(parts[1]).union(parts[2])
+    """Points inside a clip, and where the line crosses each of its edges; nothing for a clip without a point inside."""
+    from .views import clip_path, drawn
+
+    clip = points.sparkSession.createDataFrame([(0, start_us, end_us)], "__path int, start_us long, end_us long")
+    path = points.withColumns({"__path": F.lit(0), "ordinal": F.col("k")})
+    return clip_path(drawn(path, ["__path"], clips=clip), start_us, end_us)
 
 
 def snap(anchors: DataFrame, times: DataFrame, keys: list[str]) -> DataFrame:

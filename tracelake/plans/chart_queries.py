@@ -44,11 +44,17 @@ def preferred(spark, sf):
     return U.preferred(rows, ["key"], "unit", "ordinal")
 
 
-@query("U4", _UNITS + " SELECT CASE WHEN family IS NOT NULL THEN 'family:' || family ELSE 'unit:' || trim(unit) END AS axis, count(*) AS n FROM un LEFT JOIN ru USING (unit) GROUP BY 1")
+@query("U4", _UNITS + """, ut AS (SELECT ordinal, family, CASE WHEN k % 8 = 4 AND ordinal % 2 = 0 THEN 'Furlong' WHEN k % 8 = 7 AND ordinal % 3 = 0 THEN '  ' WHEN k % 8 = 7 AND ordinal % 3 = 1 THEN NULL ELSE unit END AS unit FROM un LEFT JOIN ru USING (unit)),
+ gr AS (SELECT ordinal, CASE WHEN coalesce(trim(unit), '') = '' THEN NULL ELSE family END AS family, coalesce(trim(unit), '') AS unit FROM ut)
+ SELECT CASE WHEN family IS NOT NULL THEN 'family:' || family WHEN unit <> '' THEN 'unit:' || lower(unit) ELSE 'empty' END AS axis, count(*) AS n,
+  arg_min(CASE WHEN family = 'length' THEN 'Distance / length' WHEN family IS NOT NULL THEN upper(family[1]) || family[2:] WHEN unit <> '' THEN unit ELSE 'No unit' END, ordinal) AS label,
+  min(CASE family WHEN 'speed' THEN 1 WHEN 'length' THEN 0 WHEN 'temperature' THEN 23 WHEN 'pressure' THEN 13 WHEN 'power' THEN 11 WHEN 'area' THEN 21 ELSE CASE WHEN unit <> '' THEN 10000 ELSE 20000 END END) AS axis_order FROM gr GROUP BY 1""")
 def axes(spark, sf):
-    r = U.resolve(_with_units(spark, sf), "unit")
-    axis = F.when(F.col("family").isNotNull(), F.concat(F.lit("family:"), "family")).when(F.trim("unit") != "", F.concat(F.lit("unit:"), F.trim("unit"))).otherwise("empty")
-    return r.groupBy(axis.alias("axis")).agg(F.count(F.lit(1)).alias("n"))
+    """Signals by the axis of their unit: families, other texts in any case, and those without a unit."""
+    other = F.when((F.col("k") % 8 == 4) & (F.col("ordinal") % 2 == 0), "Furlong").when((F.col("k") % 8 == 7) & (F.col("ordinal") % 3 == 0), "  ")
+    rows = _with_units(spark, sf).withColumn("unit", F.when((F.col("k") % 8 == 7) & (F.col("ordinal") % 3 == 1), None).otherwise(F.coalesce(other, "unit")))
+    g = U.unit_groups(rows, "unit").groupBy(F.col("group_key").alias("axis"))
+    return g.agg(F.count(F.lit(1)).alias("n"), F.min_by("group_label", "ordinal").alias("label"), F.min("group_order").alias("axis_order"))
 
 
 @query("U6", """, f AS (SELECT * FROM (VALUES ('f1', 291, false, 'Speed'), ('f2', 419385573, true, ''), ('f3', 784, false, 'Empty')) t(frame_id, can_id, extended, name)),

@@ -287,8 +287,7 @@ def numbers(spark, sf):
 def quoted(spark, sf):
     p = spark.read.parquet(f"{sf}/part.parquet")
     raw = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(', "x"'))).otherwise(F.col("p_name"))
-    cell = F.when(raw.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(raw, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(raw)
-    return p.select(F.col("p_partkey").alias("part"), cell.alias("cell"))
+    return p.select(F.col("p_partkey").alias("part"), X.csv_cell(raw).alias("cell"))
 
 
 _PROJECTS = "WITH p AS (SELECT *, p_partkey % 6 AS v FROM part) "
