@@ -178,7 +178,7 @@ def edge_points(points: DataFrame, start_us: int, end_us: int) -> DataFrame:
     """Points inside a clip, and where the line crosses each of its edges; nothing for a clip without a point inside."""
     from .views import clip_path, drawn
 
-    clip = points.sparkSession.createDataFrame([(0, start_us, end_us)], "__path int, start_us long, end_us long")
+    clip = points.sparkSession.range(1).select(F.lit(0).alias("__path"), F.lit(start_us).cast("long").alias("start_us"), F.lit(end_us).cast("long").alias("end_us"))
     path = points.withColumns({"__path": F.lit(0), "ordinal": F.col("k")})
     return clip_path(drawn(path, ["__path"], clips=clip), start_us, end_us)
 

@@ -215,7 +215,7 @@ _CLIP_TO = TO - 300000000
  SELECT t_us, x, y, z, false AS carried FROM ins UNION ALL SELECT edge, round(x, 9), round(y, 9), round(z, 9), true FROM cr""")
 def clip_path(spark, sf):
     """The path of a clip from its axes and their carried samples, ended at the clip's edges."""
-    clips = spark.createDataFrame([(1, FROM, _CLIP_TO)], "one int, start_us long, end_us long")
+    clips = spark.range(1).selectExpr("1 AS one", f"{FROM} AS start_us", f"{_CLIP_TO} AS end_us")
     axes = [V.drawn(_axis(spark, sf, name).withColumn("one", F.lit(1)), ["one"], clips=clips) for name in ("value", "user_id", "k")]
     p = V.clip_path(O.trajectory(*axes, invert=(False, True, False)), FROM, _CLIP_TO)
     return p.select("t_us", *(F.round(c, 9).alias(c) for c in "xyz"), "carried")
