@@ -17,7 +17,7 @@ def _mux_labels(spark):
     return ids.crossJoin(F.broadcast(spark.createDataFrame([("0", "idle"), ("0x1", "run")], "raw_text string, label string")))
 
 
-@query("D1", "SELECT ordinal, raw, user_id & 255 AS low_byte, user_id AS be_user, (raw >> 3) & 4095 AS mid FROM fr")
+@query("D1", "SELECT ordinal, raw, user_id & 255 AS low_byte, user_id & 65535 AS be_user, (raw >> 3) & 4095 AS mid FROM fr")
 def extract(spark, sf):
     f = frames(spark, sf)
 
