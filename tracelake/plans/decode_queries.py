@@ -133,7 +133,7 @@ def tags(spark, sf):
     return D.with_labels(s, _mux_labels(spark)).select("ordinal", D.tag().alias("tag"))
 
 
-@query("D14", """SELECT ordinal, raw::DOUBLE / 100 AS value, raw::BIGINT AS raw, user_id::DOUBLE AS input_user, k::DOUBLE AS input_k, 'byte 0 bit 0, 32 bits little endian unsigned' AS bits,
+@query("D14", """SELECT ordinal, raw::DOUBLE / 100 AS value, raw::BIGINT AS raw, (user_id & 65535)::DOUBLE AS input_user, k::DOUBLE AS input_k, 'byte 0 bit 0, 32 bits little endian unsigned' AS bits,
  raw || ' × 0.01 + 0 = ' || CASE WHEN raw % 100 = 0 THEN (raw // 100)::VARCHAR WHEN raw % 10 = 0 THEN (raw // 100)::VARCHAR || '.' || (raw % 100 // 10)::VARCHAR ELSE (raw // 100)::VARCHAR || '.' || lpad((raw % 100)::VARCHAR, 2, '0') END || ' m' AS calculation FROM fr""")
 def explained(spark, sf):
     l = _layout(spark, "name in ('Value', 'User', 'K')")
