@@ -33,7 +33,7 @@ def signed(spark, sf):
     return frames(spark, sf).select("ordinal", bits.sign(raw, F.lit(6), F.lit("signed")).alias("signed6"))
 
 
-@query("D3", "SELECT ordinal, raw::DOUBLE AS exact, (user_id + 1)::DOUBLE / 4 AS quarter FROM fr")
+@query("D3", "SELECT ordinal, raw::DOUBLE AS exact, ((user_id & 65535) + 1)::DOUBLE / 4 AS quarter FROM fr")
 def ieee(spark, sf):
     f = frames(spark, sf).join(D.small(layouts(spark).select("can_id", "extended").distinct()), ["can_id", "extended"])
     raw = bits.extract_unsigned(F.col("data"), F.lit(0), F.lit(0), F.lit(32), F.lit("little"))
