@@ -7,7 +7,7 @@ from conftest import SF, rows_of
 
 from tracelake import plans
 
-NAMES = ["D1", "D14", "D3"]
+NAMES = ["D1", "D14", "D3", "D9"]
 
 
 @pytest.fixture(scope="module")

@@ -101,7 +101,7 @@ def multiplexed(spark, sf):
 
 
 @query("D9", """, x AS (SELECT ordinal, event_type || '.value' AS signal_id, raw::DOUBLE / 100 AS value FROM fr
- UNION ALL SELECT ordinal, event_type || '.user', user_id::DOUBLE FROM fr UNION ALL SELECT ordinal, event_type || '.k', k::DOUBLE FROM fr
+ UNION ALL SELECT ordinal, event_type || '.user', (user_id & 65535)::DOUBLE FROM fr UNION ALL SELECT ordinal, event_type || '.k', k::DOUBLE FROM fr
  UNION ALL SELECT ordinal, event_type || '.mux', mux::DOUBLE FROM fr UNION ALL SELECT ordinal, event_type || '.when_one', floor((k % 16) / 2)::DOUBLE FROM fr WHERE mux = 1)
  SELECT * FROM x""")
 def decode(spark, sf):
