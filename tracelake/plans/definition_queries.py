@@ -125,7 +125,7 @@ def _restored(spark, sf):
 
 
 _SIGNALS = """, d AS (SELECT *, CASE event_type WHEN 'error' THEN 'signup' WHEN 'signup' THEN 'extra' ELSE event_type END AS df FROM fr),
- v AS (SELECT ordinal, df || '.value' AS signal_id, raw::DOUBLE / CASE WHEN df = 'view' THEN 10 ELSE 100 END AS value FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.user', user_id::DOUBLE FROM d
+ v AS (SELECT ordinal, df || '.value' AS signal_id, raw::DOUBLE / CASE WHEN df = 'view' THEN 10 ELSE 100 END AS value FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.user', (user_id & 65535)::DOUBLE FROM d
  UNION ALL SELECT ordinal, df || '.k', k::DOUBLE FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.mux', mux::DOUBLE FROM d WHERE df <> 'extra' UNION ALL SELECT ordinal, df || '.when_one', floor((k % 16) / 2)::DOUBLE FROM d WHERE mux = 1 AND df <> 'extra')"""
 
 
