@@ -273,7 +273,7 @@ def can_ids(spark, sf):
     return e.withColumn("text", id_text(F.col("can_id"), F.col("extended")))
 
 
-@query("N2", "SELECT ordinal, printf('%02X %02X %02X %02X %02X %02X %02X %02X', raw & 255, (raw >> 8) & 255, (raw >> 16) & 255, raw >> 24, user_id >> 8, user_id & 255, k, mux) AS payload FROM fr")
+@query("N2", "SELECT ordinal, printf('%02X %02X %02X %02X %02X %02X %02X %02X', raw & 255, (raw >> 8) & 255, (raw >> 16) & 255, raw >> 24, (user_id >> 8) & 255, user_id & 255, k, mux) AS payload FROM fr")
 def payloads(spark, sf):
     return frames(spark, sf).select("ordinal", payload_text(F.col("data")).alias("payload"))
 
