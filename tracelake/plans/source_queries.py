@@ -16,7 +16,7 @@ from .registry import query
 from .tables import events, frames, layouts, order_samples, samples
 
 
-@query("S1", "SELECT ordinal, t_us, can_id, extended, channel, direction, 8 AS data_length, printf('%02X%02X%02X%02X%02X%02X%02X%02X', raw & 255, (raw >> 8) & 255, (raw >> 16) & 255, raw >> 24, user_id >> 8, user_id & 255, k, mux) AS payload FROM fr")
+@query("S1", "SELECT ordinal, t_us, can_id, extended, channel, direction, 8 AS data_length, printf('%02X%02X%02X%02X%02X%02X%02X%02X', raw & 255, (raw >> 8) & 255, (raw >> 16) & 255, raw >> 24, (user_id >> 8) & 255, user_id & 255, k, mux) AS payload FROM fr")
 def asc(spark, sf):
     f, _, _ = L.parse_asc(L.asc_lines(frames(spark, sf)))
     return f.select("ordinal", "t_us", "can_id", "extended", "channel", "direction", "data_length", F.hex("data").alias("payload"))
