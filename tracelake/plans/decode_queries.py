@@ -50,7 +50,7 @@ def ieee(spark, sf):
     return f.select("ordinal", bits.ieee754(double_bits, F.lit(64)).alias("exact"), bits.ieee754(single_bits, F.lit(32)).alias("quarter"))
 
 
-@query("D4", """, b AS (SELECT *, raw::HUGEINT * 137438953472 + user_id AS big FROM fr)
+@query("D4", """, b AS (SELECT *, raw::HUGEINT * 137438953472 + (user_id & 65535) AS big FROM fr)
  SELECT ordinal, ((raw * 3)::DOUBLE + 5) / 10 AS scaled, ((raw * 1)::DOUBLE * 100 - 300) / 10000 AS cents, ((big * 3 + 1)::VARCHAR || 'e-1')::DOUBLE AS large, ((big * 1234567890123456789 + 5 * 1000000000000000000)::VARCHAR || 'e-19')::DOUBLE AS long_scale,
   round(((big * 7)::DECIMAL(38, 0) / 3)::DOUBLE / 1e6) AS thirds FROM b""")
 def exact_scale(spark, sf):
