@@ -12,7 +12,7 @@ _KEY = "source_id, can_id, extended, channel, direction"
 
 def _per(keys, name=""):
     """CTEs of the aggregates per key."""
-    return f""", f{name} AS (SELECT *, lag(t_us) OVER w AS bt, row(raw, user_id, k, mux) IS DISTINCT FROM lag(row(raw, user_id, k, mux)) OVER w AS ch FROM fr WHERE t_us <= {AT} WINDOW w AS (PARTITION BY {keys} ORDER BY t_us, ordinal)),
+    return f""", f{name} AS (SELECT *, lag(t_us) OVER w AS bt, row(raw, user_id & 65535, k, mux) IS DISTINCT FROM lag(row(raw, user_id & 65535, k, mux)) OVER w AS ch FROM fr WHERE t_us <= {AT} WINDOW w AS (PARTITION BY {keys} ORDER BY t_us, ordinal)),
  g{name} AS (SELECT {keys}, count(*) FILTER (t_us >= {START}) AS n, arg_max(ordinal, t_us) FILTER (t_us >= {START}) AS ordinal, max(t_us) FILTER (t_us >= {START}) AS last_us, min(t_us) FILTER (t_us >= {START}) AS first_us,
    arg_max(CASE WHEN bt >= {START} THEN {{'d': t_us - bt}} ELSE {{'d': NULL}} END, t_us) FILTER (t_us >= {START}) AS latest,
    min(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) AS lo, max(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) AS hi, max(t_us) FILTER (ch) AS changed FROM f{name} GROUP BY ALL),
@@ -36,7 +36,7 @@ _TIMES = f"tm AS (SELECT {START} + 2200000000 * p_partkey AS at_us FROM (SELECT
 
 
 @query("T1_bulk", f""", {_TIMES},
- f AS (SELECT *, lag(t_us) OVER w AS bt, row(raw, user_id, k, mux) IS DISTINCT FROM lag(row(raw, user_id, k, mux)) OVER w AS ch FROM fr WINDOW w AS (PARTITION BY {_KEY} ORDER BY t_us, ordinal)),
+ f AS (SELECT *, lag(t_us) OVER w AS bt, row(raw, user_id & 65535, k, mux) IS DISTINCT FROM lag(row(raw, user_id & 65535, k, mux)) OVER w AS ch FROM fr WINDOW w AS (PARTITION BY {_KEY} ORDER BY t_us, ordinal)),
  ks AS (SELECT DISTINCT {_KEY} FROM fr)
  SELECT at_us, {", ".join("ks." + c.strip() for c in _KEY.split(","))}, count(f.ordinal) FILTER (t_us >= {START}) AS count, arg_max(f.ordinal, t_us) FILTER (t_us >= {START}) AS ordinal, (at_us - max(t_us) FILTER (t_us >= {START})) / 1000.0::DOUBLE AS age_ms,
    min(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS min_ms, max(t_us - bt) FILTER (t_us >= {START} AND bt >= {START}) / 1000.0::DOUBLE AS max_ms,
