@@ -10,6 +10,7 @@ from ..functions.once import with_computed
 from ..functions.times import parse_date_line
 from ..operators.decode import small, spread
 from ..operators.frames import id_text, payload_text
+from ..operators.ranges import Ranged
 from ..storage import written
 
 
@@ -56,14 +57,34 @@ def _payload(tokens: Column, length: Column) -> Column:
     return F.when(good, F.unhex(F.array_join(F.transform(part, lambda b: F.lpad(b, 2, "0")), "")))
 
 
+#: Lines in a block; a line is compared with the ``base`` lines of its own block only.
+BASE_BLOCK = 256
+
+
+def _with_base(rows: DataFrame, lines: DataFrame, toggles: DataFrame) -> DataFrame:
+    """``rows`` with the ``base`` that the last of ``toggles(source_id, from_line, base)`` before their line switched to, ``hex`` before the first.
+
+    A log may switch very often. Each block of lines has the switches inside it and the one it begins with, carried over blocks,
+    so a line meets one row in an equi-join on its block.
+    """
+    block = lambda line: F.floor(F.col(line) / BASE_BLOCK).alias("__block")
+    inside = toggles.groupBy("source_id", block("from_line")).agg(F.array_sort(F.collect_list(F.struct("from_line", "base"))).alias("__inside"))
+    blocks = written(lines.select("source_id", block("line")).distinct().join(inside, ["source_id", "__block"], "left"))
+    last = F.when(F.col("__inside").isNotNull(), F.struct("__block", F.element_at("__inside", -1)["base"].alias("base")))
+    blocks = Ranged(blocks, ["source_id"], ("__block",)).running(__upto=(F.max, last)).lag(__before="__upto").done()
+    known = written(blocks.filter("__upto is not null").select("source_id", "__block", "__inside", F.col("__before.base").alias("__begins")))
+    rows = rows.withColumn("__block", block("line")).join(small(known), ["source_id", "__block"], "left")
+    here = F.try_element_at(F.filter("__inside", lambda t: t["from_line"] < F.col("line")), F.lit(-1))["base"]
+    return rows.withColumn("base", F.coalesce(here, F.col("__begins"), F.lit("hex"))).drop("__block", "__inside", "__begins")
+
+
 def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(frames, diagnostics, time references) of numbered text lines ``source_id, line, value``.
 
     A line is cut into words and its fields are read by their place: ``time channel id direction d|r length
     bytes`` for classic rows, ``time CANFD channel direction id [name] brs esi dlc length bytes`` for FD rows.
-    ``base`` lines switch how ids and FD lengths are written for all lines after them; the stretches
-    between such lines are a small table that lines meet in a range join. Rows that cannot be read in
-    full become diagnostics; none is dropped silently or filled up.
+    ``base`` lines switch how ids and FD lengths are written for all lines after them. Rows that cannot be
+    read in full become diagnostics; none is dropped silently or filled up.
     """
     dealt = spread(lines, "line")
     l = with_computed(dealt, {"word": words(F.col("value"))})
@@ -81,10 +102,7 @@ def parse_asc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     # Read from the lines that begin so, not from all lines cut into words.
     heads = lines.filter(F.lower(F.ltrim(F.translate("value", "\t\r\n\f\x0b", "     "))).startswith("base")).withColumn("word", words(F.col("value"))).filter((first == "base") & (n > 1))
     toggles = heads.select("source_id", F.col("line").alias("from_line"), F.when(F.array_contains(F.transform("word", F.lower), "dec"), "dec").otherwise("hex").alias("base"))
-    toggles = toggles.withColumn("to_line", F.lead("from_line").over(Window.partitionBy("source_id").orderBy("from_line")))
-    t = small(toggles.withColumnRenamed("source_id", "__s"))
-    l = l.join(t, (F.col("source_id") == F.col("__s")) & (F.col("line") > F.col("from_line")) & (F.col("to_line").isNull() | (F.col("line") < F.col("to_line"))), "left")
-    l = l.withColumn("base", F.coalesce("base", F.lit("hex"))).filter("kind <> 'base'")
+    l = _with_base(l, lines, written(toggles)).filter("kind <> 'base'")
     is_fd = F.col("kind") == "fd"
     named = F.coalesce(~made_of(at(5), DIGITS) & at(5).isNotNull(), F.lit(False)).cast("int")
     l = with_computed(l, {"skip": F.when(is_fd, named).otherwise(0)})
