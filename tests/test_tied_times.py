@@ -23,7 +23,7 @@ def tied(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["E9", "E10"])
+@pytest.mark.parametrize("name", ["E9", "E10", "G24_breaks"])
 def test_ties_are_settled_by_ordinal(spark, tied, name):
     folder, con = tied
     assert rows_of(plans.queries()[name](spark, folder).toPandas()) == rows_of(con.sql(plans.oracle_sql()[name]).df())

@@ -230,7 +230,7 @@ def view(spark, sf):
 @query("G24_breaks", f""", b AS (SELECT *, lag(t_us) OVER w AS bt, lag(usable) OVER w AS bok FROM sa WINDOW w AS (PARTITION BY signal_id ORDER BY t_us, ordinal))
  SELECT signal_id, bt AS start_us, t_us AS end_us FROM b WHERE bt >= {FROM} AND t_us <= {TO} AND NOT (usable AND bok AND t_us - bt <= 5400000000)""")
 def view_breaks(spark, sf):
-    """Breaks of a view, found from summaries and the samples of blocks that have any."""
+    """Breaks of a view, found from summaries and the samples of blocks that have any; as many rows as breaks, equal ones too."""
     s = samples(spark, sf)
     limits = s.select("signal_id").distinct().withColumn("threshold_us", F.lit(5400000000))
     return O.view_breaks(s, O.levels(s, KEY, 8, 4), KEY, limits, FROM, TO)
