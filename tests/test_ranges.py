@@ -48,3 +48,20 @@ def test_low_pass_cut_equals_whole(spark, sf_dir, monkeypatch):
             y = x if y is None else y + (1 - math.exp(-(t - last) / tau)) * (x - y)
             assert abs(g - y) < 1e-9 * max(1, abs(y)) and (was is None) == (before is None) and (was is None or abs(step - (t - last)) < 1e-6)
             last = t
+
+
+def test_short_series_are_only_counted(spark, monkeypatch):
+    """Quantiles are taken of series that are cut and of no other: very many short series cost a count."""
+    monkeypatch.setattr(ranges, "RANGE_BYTES", -1)
+    monkeypatch.setattr(ranges, "RANGE_ROWS", 60)
+    monkeypatch.setattr(ranges, "MOST_RANGES", 50)
+    short = spark.range(3000).select(F.floor(F.col("id") / 10).alias("key"), F.col("id").alias("t_us"))
+    mixed = short.union(spark.range(300).select(F.lit(-1).cast("long"), "id"))
+    assert [r["key"] for r in ranges.range_bounds(mixed, ["key"], "t_us").collect()] == [-1]
+
+    def refused(*_):
+        raise AssertionError("quantiles of short series")
+
+    monkeypatch.setattr(F, "percentile_approx", refused)
+    assert ranges.range_bounds(short, ["key"], "t_us") is None
+    assert ranges.range_bounds(short, ["key"], "t_us", coarse=["key"]) is None

@@ -42,7 +42,7 @@ def moving_average(rows: DataFrame, keys: list[str], seconds: float, value: str
     An epoch with very many rows is cut into ranges of time; each gets the last ``seconds`` before it as well.
     """
     reach = round(seconds * 1e6)
-    r = with_halo(rows, [*keys, "epoch"], time_us, reach)
+    r = with_halo(rows, [*keys, "epoch"], time_us, reach, keys)
     w = Window.partitionBy(*keys, "epoch", "__r").orderBy(time_us).rangeBetween(-reach, 0)
     r = r.withColumns({"y": F.avg(value).over(w), "count": F.count(value).over(w), "sum": F.sum(value).over(w)})
     return r.filter("__own").drop("__r", "__own")
@@ -50,7 +50,7 @@ def moving_average(rows: DataFrame, keys: list[str], seconds: float, value: str
 
 def with_evidence(filtered: DataFrame, keys: list[str], time_us: str = "t_us") -> DataFrame:
     """What a filter started from: ``previous`` output and ``delta_us`` since; null for the first of an epoch."""
-    r = Ranged(filtered, [*keys, "epoch"], (time_us, "ordinal")).lag(previous="y", __before=time_us).done()
+    r = Ranged(filtered, [*keys, "epoch"], (time_us, "ordinal"), keys).lag(previous="y", __before=time_us).done()
     return r.withColumn("delta_us", F.col(time_us) - F.col("__before")).drop("__before")
 
 
@@ -63,15 +63,15 @@ def low_pass(rows: DataFrame, keys: list[str], tau: float, value: str = "value",
     block or the table of blocks has very many rows: a range composes to one sum, and a small table carries sums over.
     """
     scope = [*keys, "epoch"]
-    r = Ranged(rows, scope, (time, "ordinal")).lag(__before=time).done()
+    r = Ranged(rows, scope, (time, "ordinal"), keys).lag(__before=time).done()
     r = totals(r.withColumn("__step", F.col(time) - F.col("__before")), scope, __t0=F.min(time))
     r = r.withColumn("__block", F.floor((F.col(time) - F.col("__t0")) / (20 * tau)))
     b = F.when(F.col("__step").isNull(), F.col(value)).otherwise((1 - F.exp(-F.col("__step") / tau)) * F.col(value))
     r = r.withColumn("__tb", F.col("__t0") + F.col("__block") * 20 * tau)
     r = r.withColumn("__u", b * F.exp((F.col(time) - F.col("__tb")) / tau))
-    r = Ranged(r, [*scope, "__block"], (time, "ordinal")).running_sum(__s=F.col("__u")).done()
+    r = Ranged(r, [*scope, "__block"], (time, "ordinal"), keys).running_sum(__s=F.col("__u")).done()
     ends = r.groupBy(*scope, "__block").agg(F.sum("__u").alias("__sum"), F.first("__tb").alias("__tb_end"))
-    ends = Ranged(ends, scope, ("__block",))
+    ends = Ranged(ends, scope, ("__block",), keys)
     carry, last = F.lit(0.0), ("__sum", "__tb_end")
     for i in (1, 2, 3):
         ends.lag(**{f"__sum{i}": last[0], f"__tb{i}": last[1]})
@@ -80,7 +80,7 @@ def low_pass(rows: DataFrame, keys: list[str], tau: float, value: str = "value",
     carried = ends.done().select(*scope, "__block", carry.alias("__brought"))
     r = r.join(carried, [*scope, "__block"])
     y = F.exp(-(F.col(time) - F.col("__tb")) / tau) * (F.col("__brought") + F.col("__s"))
-    r = Ranged(r.withColumn("y", y), scope, (time, "ordinal")).lag(previous="y").done()
+    r = Ranged(r.withColumn("y", y), scope, (time, "ordinal"), keys).lag(previous="y").done()
     return r.withColumnRenamed("__step", "delta_s").drop("__before", "__t0", "__block", "__tb", "__u", "__s", "__brought")
 
 
