@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .once import let
+
 DECIMAL = "decimal(38,0)"
 
 
@@ -18,16 +20,24 @@ def scale_parts(text: Column) -> tuple[Column, Column]:
 
     Zero and sizes outside 1e-15 to 1e15 are refused. Decimals count up to 30 places below 1e8, else up to 20.
     """
-    t = F.trim(text)
+    parts = let(F.trim(text), _parts)
+    return parts["num"], parts["den"]
+
+
+def _parts(t: Column) -> Column:
+    """Numerator and denominator of a trimmed scale text; each step is computed once, and in no method too long to be compiled."""
     ratio = F.split(t, r"\s*/\s*")
     is_ratio = t.rlike(r"^[+-]?\d{1,38}\s*/\s*\d{1,38}$")
     plain = F.coalesce(t.try_cast("decimal(38,30)").cast("string"), t.try_cast("decimal(38,20)").cast("string"))
+
+    def pair(short: Column) -> Column:
+        num = F.when(is_ratio, F.get(ratio, F.lit(0)).try_cast(DECIMAL)).otherwise(F.replace(short, F.lit("."), F.lit("")).try_cast(DECIMAL))
+        den = F.when(is_ratio, F.get(ratio, F.lit(1)).try_cast(DECIMAL)).otherwise(_ten_to(F.length(short) - F.instr(short, ".")))
+        return F.struct(num.alias("num"), den.alias("den"))
+
     # The text without the zeros at its end; what it says is digits and where the point stands.
-    short = F.regexp_replace(plain, r"0+$", "")
-    num = F.when(is_ratio, F.get(ratio, F.lit(0)).try_cast(DECIMAL)).otherwise(F.replace(short, F.lit("."), F.lit("")).try_cast(DECIMAL))
-    den = F.when(is_ratio, F.get(ratio, F.lit(1)).try_cast(DECIMAL)).otherwise(_ten_to(F.length(short) - F.instr(short, ".")))
-    size = F.abs(F.try_divide(num.cast("double"), den.cast("double")))
-    return F.when(size.between(1e-15, 1e15), num), F.when(size.between(1e-15, 1e15), den)
+    made = let(F.regexp_replace(plain, r"0+$", ""), pair)
+    return let(made, lambda p: F.when(F.abs(F.try_divide(p["num"].cast("double"), p["den"].cast("double"))).between(1e-15, 1e15), p))
 
 
 def power_of_two(num: Column, den: Column) -> Column:

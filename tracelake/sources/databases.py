@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scale
 from ..functions.fields import DIGITS, HEX, after, before, digits, made_of, words
-from ..functions.once import with_computed
+from ..functions.once import let, with_computed
 from ..functions.text import significant
 from ..operators.decode import small
 from ..storage import written
@@ -39,10 +39,9 @@ def message_id(text: Column) -> tuple[Column, Column]:
     t = F.lower(text)
     figures = F.substring(t, F.lit(3), F.length(t))
     raw = F.when(t.startswith("0x"), F.when(made_of(figures, HEX) & (F.length(figures) <= 15), F.conv(figures, 16, 10))).when(digits(t), t).try_cast("long")
-    flagged = raw >= 0x80000000
-    number = F.when(flagged, raw - 0x80000000).otherwise(raw)
-    known = (raw <= 0xFFFFFFFF) & (number <= 0x1FFFFFFF)
-    return F.when(known, number).cast("int"), F.when(known, flagged | (number > 0x7FF))
+    number = lambda n: F.when(n >= 0x80000000, n - 0x80000000).otherwise(n)
+    known = lambda n: (n <= 0xFFFFFFFF) & (number(n) <= 0x1FFFFFFF)
+    return let(raw, lambda n: F.when(known(n), number(n)).cast("int")), let(raw, lambda n: F.when(known(n), (n >= 0x80000000) | (number(n) > 0x7FF)))
 
 
 def slug(name: Column) -> Column:
@@ -224,16 +223,20 @@ def dbc_lines(layouts: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     head = rows.select("can_id", "extended", "message_name", "frame_bytes").distinct().select("can_id", "extended", F.lit(0).alias("place"), F.format_string("BO_ %d %s: %d Vector__XXX", number, "message_name", "frame_bytes").alias("value"))
     start = F.col("byte_offset") * 8 + F.when(F.col("byte_order") == "little", F.col("bit_offset")).otherwise(7 - F.col("bit_offset"))
     marker = F.when(F.col("mux_role") == "selector", " M").when(F.col("mux_role") == "conditional", F.concat(F.lit(" m"), F.get("mux_ranges", F.lit(0))["lo"].cast("string"))).otherwise("")
+    # Scale, ends and their texts each stand in columns of their own: nested, the text of a scale would be read some hundred times a row.
     parts = scale.scale_parts(F.col("scale"))
-    factor, shift = parts[0].cast("double") / parts[1].cast("double"), F.coalesce(F.col("offset").try_cast("double"), F.lit(0.0))
+    lines = with_computed(rows, {"__num": parts[0].cast("double"), "__den": parts[1].cast("double")})
+    lines = with_computed(lines, {"__factor": F.col("__num") / F.col("__den"), "__shift": F.coalesce(F.col("offset").try_cast("double"), F.lit(0.0))})
+    factor, shift = F.col("__factor"), F.col("__shift")
     signed, is_float = F.col("signedness") == "signed", F.col("signedness") == "float"
     top = F.pow(F.lit(2.0), F.col("length_bits") - signed.cast("int")) - 1
     ends = [F.when(signed, -top - 1).otherwise(0.0) * factor + shift, top * factor + shift]
     low = F.coalesce("minimum", F.when(is_float, 0.0).otherwise(F.least(*ends)))
     high = F.coalesce("maximum", F.when(is_float, 0.0).otherwise(F.greatest(*ends)))
-    shown = [significant(x, 12) for x in (factor, shift, low, high)]
+    lines = with_computed(lines, {"__shown": F.transform(F.array(factor, shift, low, high), lambda x: significant(x, 12))})
+    shown = [F.get("__shown", F.lit(i)) for i in range(4)]
     value = F.format_string(' SG_ %s%s : %d|%d@%s%s (%s,%s) [%s|%s] "%s" Vector__XXX', "signal_name", marker, start, "length_bits", F.when(F.col("byte_order") == "little", "1").otherwise("0"), F.when(F.col("signedness") == "unsigned", "+").otherwise("-"), *shown, escaped(F.col("unit")))
-    out = head.union(rows.select("can_id", "extended", F.lit(1).alias("place"), value.alias("value")))
+    out = head.union(lines.select("can_id", "extended", F.lit(1).alias("place"), value.alias("value")))
     if labels is not None:
         entry = F.struct(F.col("raw_text").try_cast("decimal(38,0)").alias("raw"), F.format_string('%s "%s"', "raw_text", escaped(F.col("label"))).alias("text"))
         joined = labels.groupBy("signal_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
