@@ -75,3 +75,22 @@ def test_families_that_share_passages(spark, monkeypatch, common):
     docs = make(spark, rows)
     want = kept_by_jaccard(docs.collect())
     assert got(docs) == want and 30 < len(want) < len(rows)
+
+
+def test_a_family_in_pieces_makes_few_pairs(spark, monkeypatch):
+    """Where the first comparison joins nothing, a family grows together over some pairs a row, not over all."""
+    rnd = random.Random(5)
+    words = prose(rnd, 120).split()
+    rows = []
+    for i in range(150):
+        own = list(words)
+        own[rnd.randrange(len(own))] = f"w{i}"
+        rows.append((i, " ".join(own), "en", "a"))
+    docs = make(spark, rows)
+    pairs, confirmed = [], near_copies.confirmed
+    nothing = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(near_copies, "anchor_pairs", lambda distinct: nothing)
+    monkeypatch.setattr(near_copies, "_chained", lambda similarity: lambda batches: iter(()))
+    monkeypatch.setattr(near_copies, "confirmed", lambda found, *rest: (pairs.append(found.count()), confirmed(found, *rest))[1])
+    assert got(docs) == kept_by_jaccard(docs.collect()) == [0]
+    assert 0 < sum(pairs) < 150 * 100

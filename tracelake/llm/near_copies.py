@@ -35,6 +35,8 @@ BITMAP_WORDS = 16
 WIDE_FROM = 256
 #: In groups up to this size the first comparison already takes all pairs.
 SMALL_GROUP = 3
+#: Rounds in which each row meets only its nearest row of another component, before all pairs that are left.
+NEAREST_ROUNDS = 2
 
 
 def set_id(grams: np.ndarray) -> int:
@@ -212,10 +214,29 @@ def _chained(similarity: tuple[int, int]):
     return run
 
 
-def _compared(similarity: tuple[int, int]):
+class _Nearest:
+    """For each of some rows the partner at the least distance seen so far."""
+
+    def __init__(self, rows: int):
+        self.least, self.mate = np.full(rows, np.inf), np.full(rows, -1)
+
+    def add(self, a: np.ndarray, b: np.ndarray, distance: np.ndarray) -> None:
+        for x, y in ((a, b), (b, a)):
+            order = np.lexsort((distance, x))
+            order = order[np.r_[True, x[order][1:] != x[order][:-1]]] if len(order) else order
+            order = order[distance[order] < self.least[x[order]]]
+            self.least[x[order]], self.mate[x[order]] = distance[order], y[order]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        row = np.flatnonzero(self.mate >= 0)
+        return row, self.mate[row]
+
+
+def _compared(similarity: tuple[int, int], nearest: bool = False):
     """Candidate pairs ``a, b`` of different roots in each group of tiles, as far as the bitmaps allow them.
 
-    A group is one tile with itself or two tiles with each other, so it is bounded.
+    A group is one tile with itself or two tiles with each other, so it is bounded. With ``nearest`` each row gives one pair at
+    most, with the row whose bitmap differs least for their sizes.
     """
     num, den = similarity
 
@@ -230,6 +251,7 @@ def _compared(similarity: tuple[int, int]):
             run_end = np.repeat(np.r_[runs[1:], len(gram)], np.diff(np.r_[runs, len(gram)]))
             later = np.repeat(starts + sizes, sizes) - run_end
             ends, at = np.cumsum(later), 0
+            best = _Nearest(len(gram)) if nearest else None
             while at < len(gram):
                 to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK // BITMAP_WORDS)))
                 per = later[at:to]
@@ -237,9 +259,15 @@ def _compared(similarity: tuple[int, int]):
                 b = np.repeat(run_end[at:to], per) + np.arange(len(a)) - np.repeat(np.cumsum(per) - per, per)
                 ok = _may_link(n, pos, a, b, similarity) & (~apart[a] | (tile[a] != tile[b]))
                 a, b = a[ok], b[ok]
-                ok = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64) * (num + den) <= (n[a].astype(np.int64) + n[b]) * (den - num)
-                yield _batch(a[ok], b[ok], sid)
+                differ, size = np.bitwise_count(bits[a] ^ bits[b]).sum(1, dtype=np.int64), n[a].astype(np.int64) + n[b]
+                ok = differ * (num + den) <= size * (den - num)
+                if best is None:
+                    yield _batch(a[ok], b[ok], sid)
+                else:
+                    best.add(a[ok], b[ok], differ[ok] / size[ok])
                 at = to
+            if best is not None:
+                yield _batch(*best.pairs(), sid)
 
     return run
 
@@ -329,20 +357,23 @@ def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE_WORDS, si
 
     First come the pairs that meet at SimHash anchors, and each prefix group's sets with the group's first and
     their neighbours; what that joins need not be compared again, so that large families of copies cost
-    little. Then the other pairs of groups whose sets are not all in one component.
+    little. Then, in groups whose sets are not all in one component, each set with its nearest of another component,
+    so that a family in pieces grows together over as many pairs as it has sets. Last come all other pairs between components.
     """
     grams = distinct.filter("n > 0").select("sid", "n", F.posexplode("prefix").alias("pos", "gram")).select("gram", "sid", "n", "pos")
     shared = materialise(grams.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shared, "gram long, sid long, n int, pos int"))
     first = shared.repartition("gram").sortWithinPartitions("gram", "sid").mapInArrow(_chained(similarity), "a long, b long")
     met = anchor_pairs(distinct.filter("n > 0").select("sid", "fp"))
     found = confirmed(met.union(first), docs, distinct, shingle, similarity)
-    roots = materialise(connected_components(found).withColumnRenamed("node", "sid"))
-    rooted = shared.join(broadcast_if_small(roots, MAX_BROADCAST_SETS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
-    signed = tiled(rooted).join(distinct.select("sid", "bits"), "sid")
-    rest = signed.repartition("gram").sortWithinPartitions("gram", "root", "sid").mapInArrow(_compared(similarity), "a long, b long")
-    more = confirmed(rest, docs, distinct, shingle, similarity)
-    discard(shared, roots)
-    return found.union(more)
+    for nearest in (*[True] * NEAREST_ROUNDS, False):
+        roots = materialise(connected_components(found).withColumnRenamed("node", "sid"))
+        rooted = shared.join(broadcast_if_small(roots, MAX_BROADCAST_SETS), "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+        signed = tiled(rooted).join(distinct.select("sid", "bits"), "sid")
+        rest = signed.repartition("gram").sortWithinPartitions("gram", "root", "sid").mapInArrow(_compared(similarity, nearest), "a long, b long")
+        found = found.union(confirmed(rest, docs, distinct, shingle, similarity))
+        discard(roots)
+    discard(shared)
+    return found
 
 
 def near_copies(
