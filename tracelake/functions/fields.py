@@ -24,6 +24,11 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, "\t\r\n\f\x0b", "     "), " "), lambda w: w != "")
 
 
+def first_word(text: Column) -> Column:
+    """The first of a line's words; empty if it has none."""
+    return F.substring_index(F.ltrim(F.translate(text, "\t\r\n\f\x0b", "     ")), " ", 1)
+
+
 def after(text: Column, mark: str) -> Column:
     """What stands behind the first ``mark``; empty if there is none."""
     at = F.instr(text, mark)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scale
-from ..functions.fields import DIGITS, HEX, after, before, digits, made_of, words
+from ..functions.fields import DIGITS, HEX, after, before, digits, first_word, made_of, words
 from ..functions.once import let, with_computed
 from ..functions.text import significant
 from ..operators.decode import small
@@ -56,9 +56,11 @@ def statements(lines: DataFrame) -> DataFrame:
     A statement begins with a keyword, a word of capitals that ends in ``_`` (``BO_``, ``SG_``, ``VAL_`` ...) or
     in a colon; any other line, as of value labels over several lines, continues the one before.
     """
-    first = F.get(words(F.col("value")), F.lit(0))
+    # Cut off, and once a row: all words of a line cost many times as much.
+    rows = with_computed(lines, {"__first": first_word(F.col("value"))})
+    first = F.col("__first")
     keyword = F.when(made_of(first, "ABCDEFGHIJKLMNOPQRSTUVWXYZ_") & first.endswith("_"), first).when(first.endswith(":") | (first == "VERSION"), first)
-    rows = with_computed(lines, {"keyword": keyword})
+    rows = with_computed(rows, {"keyword": keyword}).drop("__first")
     w = Window.partitionBy("source_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("statement", F.count("keyword").over(w))
 
@@ -79,7 +81,7 @@ def parse_dbc(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     types and labels that name no signal or do not fit it, and multiplexing ranges.
     """
     rows = statements(lines)
-    word = words(F.translate("value", ":", " "))
+    word = F.when(F.col("keyword") == "BO_", words(F.translate("value", ":", " ")))
     get = lambda i: F.get("word", F.lit(i))
 
     # Messages, carried to the signals below them.
