@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decode import small
-from .ranges import with_ranges
+from .ranges import settled, with_ranges
 
 
 def neighbours(probes: DataFrame, series: DataFrame, keys: list[str], time: str = "t_us", order: list[str] | None = None) -> DataFrame:
@@ -31,7 +30,7 @@ def neighbours(probes: DataFrame, series: DataFrame, keys: list[str], time: str
         ends = both.groupBy(*keys, "__r").agg(F.max(row).alias("__last"), F.min(row).alias("__first"))
         up, down = (Window.partitionBy(*keys).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("__r"), F.desc("__r")))
         ends = ends.select(*keys, "__r", F.last("__last", True).over(up)["__row"].alias("__earlier"), F.last("__first", True).over(down)["__row"].alias("__later"))
-        found = found.join(small(ends), [*keys, "__r"]).withColumn("before", F.coalesce("before", "__earlier")).withColumn("after", F.coalesce("after", "__later"))
+        found = found.join(settled(ends), [*keys, "__r"]).withColumn("before", F.coalesce("before", "__earlier")).withColumn("after", F.coalesce("after", "__later"))
     both = found
     out = both.filter("__side = 2")
     return out.select(*keys, F.col("__t").alias(time), *[F.col(f"__probe.{c}").alias(c) for c in extra], "before", "after")

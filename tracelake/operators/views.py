@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..storage import written
 from .decode import small
 from .ranges import Ranged
-from .series import ORDER, break_samples, cadence, thin, thin_evenly
+from .series import ORDER, thin_evenly, thin_with_breaks
 
 
 def _with_bounds(samples: DataFrame, keys: list[str], bounds: DataFrame | None, low: str, high: str) -> DataFrame:
@@ -51,7 +51,7 @@ def drawn(samples: DataFrame, keys: list[str], views: DataFrame | None = None, c
 
 def thinned_for_graph(samples: DataFrame, keys: list[str], limit: int | str) -> DataFrame:
     """Each series thinned to ``limit`` with its peaks and the samples at both ends of each break of its line."""
-    return thin(samples, keys, limit, break_samples(samples, keys, cadence(samples, keys)))
+    return thin_with_breaks(samples, keys, limit)
 
 
 def thinned_together(samples: DataFrame, target: list[str], series: str, limit: int, counts: DataFrame | None = None) -> DataFrame:

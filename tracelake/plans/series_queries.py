@@ -102,7 +102,7 @@ def cadence(spark, sf):
  SELECT signal_id, ordinal FROM kp WHERE keep""")
 def breaks(spark, sf):
     s = samples(spark, sf)
-    return O.break_samples(s, KEY, O.cadence(s, KEY)).select("signal_id", "ordinal")
+    return O.break_samples(s, KEY).select("signal_id", "ordinal")
 
 
 @query("G11", _CADENCE + """, g AS (SELECT signal_id, bt AS a, t_us AS b FROM br WHERE breaks),
@@ -111,7 +111,7 @@ def breaks(spark, sf):
  SELECT signal_id, min(a) AS start_us, max(b) AS end_us FROM h GROUP BY signal_id, i""")
 def gap_list(spark, sf):
     s = samples(spark, sf)
-    return O.gaps(s, KEY, O.cadence(s, KEY), 600000000)
+    return O.gaps(s, KEY, None, 600000000)
 
 
 _RUNS = """, p AS (SELECT signal_id, ordinal, value, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY signal_id) AS n FROM sa WINDOW w AS (PARTITION BY signal_id ORDER BY t_us, ordinal)),
