@@ -137,17 +137,8 @@ def calculated_id(calculation: Column) -> Column:
     return F.concat(F.lit("calculated:"), F.replace(F.url_encode(calculation), F.lit("+"), F.lit("%20")))
 
 
-def calculate(samples: DataFrame, definitions: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(calculated samples, report) across signals by a table of calculations.
-
-    ``samples``: ``source_id, signal_id, t_us, ordinal, value, ok`` (usable). ``definitions``: ``id, enabled, inputs map<name, signal_id>, axis`` (signal that gives
-    the times), ``interpolation`` (``exact`` or ``linear``), ``kind`` (``expression`` with ``text``, or ``lookup`` with ``input, table_id, outside``). ``points``: ``table_id, input, output``.
-
-    A result at each usable time of the axis at which every input has a sample: one of exactly that time, else, if linear, between its
-    two usable neighbours, never beyond. A calculation may use others, named ``calculated:<id>``. Each stage is one as-of join of
-    all its axis times with all its inputs, whatever the number of calculations. The report has ``id, code`` of calculations that are left
-    out: on a cycle, behind a missing signal, or unreadable.
-    """
+def planned(samples: DataFrame, definitions: DataFrame, points: DataFrame) -> tuple[dict[int, list], dict, list]:
+    """(stages of calculations, their signal ids, ``(id, code)`` of those left out) of ``calculate``: of the samples only the signals count."""
     spark = samples.sparkSession
     all_rows = [d for d in _rows(definitions, ["id"]) if d["enabled"]]
     ids = dict(zip([d["id"] for d in all_rows], [r[0] for r in spark.createDataFrame([(d["id"],) for d in all_rows], "id string").select(calculated_id(F.col("id"))).collect()])) if all_rows else {}
@@ -180,6 +171,30 @@ def calculate(samples: DataFrame, definitions: DataFrame, points: DataFrame) ->
         mine = {ids[w["id"]] for w in waiting}
         lost = [s for s in [*d["inputs"].values(), d["axis"]] if s not in level and s not in mine]
         report.append((d["id"], "CALCULATION_INPUT_MISSING" if lost else "CALCULATION_CYCLE"))
+    return stages, ids, report
+
+
+_REPORT = "id string, code string"
+
+
+def calculation_report(samples: DataFrame, definitions: DataFrame, points: DataFrame) -> DataFrame:
+    """The report of ``calculate`` alone; nothing is calculated for it."""
+    return samples.sparkSession.createDataFrame(planned(samples, definitions, points)[2], _REPORT)
+
+
+def calculate(samples: DataFrame, definitions: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calculated samples, report) across signals by a table of calculations.
+
+    ``samples``: ``source_id, signal_id, t_us, ordinal, value, ok`` (usable). ``definitions``: ``id, enabled, inputs map<name, signal_id>, axis`` (signal that gives
+    the times), ``interpolation`` (``exact`` or ``linear``), ``kind`` (``expression`` with ``text``, or ``lookup`` with ``input, table_id, outside``). ``points``: ``table_id, input, output``.
+
+    A result at each usable time of the axis at which every input has a sample: one of exactly that time, else, if linear, between its
+    two usable neighbours, never beyond. A calculation may use others, named ``calculated:<id>``. Each stage is one as-of join of
+    all its axis times with all its inputs, whatever the number of calculations. The report has ``id, code`` of calculations that are left
+    out: on a cycle, behind a missing signal, or unreadable.
+    """
+    spark = samples.sparkSession
+    stages, ids, report = planned(samples, definitions, points)
     columns = ["source_id", "signal_id", "t_us", "ordinal", "value", "ok"]
     series = samples.select(*columns)
     made = []
@@ -206,4 +221,4 @@ def calculate(samples: DataFrame, definitions: DataFrame, points: DataFrame) ->
     out = made[0] if made else samples.select(*columns).filter("false")
     for m in made[1:]:
         out = out.unionByName(m)
-    return out, spark.createDataFrame(report, "id string, code string")
+    return out, spark.createDataFrame(report, _REPORT)
