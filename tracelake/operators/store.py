@@ -12,10 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .decode import decode, small
+from .decode import decode, small, spread
 from .definitions import changed_definitions, keys_to_decode
 
 
+#: Frames of which a task decodes and sorts the samples, about.
+TASK_FRAMES = 100_000
+
+
+def dealt(frames: DataFrame, rows: int = TASK_FRAMES) -> DataFrame:
+    """``frames`` in tasks of some ``rows``: a task sorts its samples by definition to write them, and a split of a file may hold millions of frames."""
+    tasks = -(-frames.count() // rows)
+    return frames.repartition(tasks, "ordinal") if tasks > frames.sparkSession.sparkContext.defaultParallelism else spread(frames)
+
+
 class SampleStore:
     """``path`` is a folder that the driver and all executors share; ``samples`` have a ``def_id``."""
 
@@ -113,6 +123,6 @@ def redecode(store: SampleStore, frames: DataFrame, old: DataFrame, new: DataFra
     both = old.select("def_id", "can_id", "extended").union(new.select("def_id", "can_id", "extended"))
     touched = both.join(small(keys), ["can_id", "extended"], "left_semi").select("def_id").distinct()
     layouts = new.join(small(keys), ["can_id", "extended"], "left_semi")
-    fresh = decode(frames.join(small(keys), ["can_id", "extended"], "left_semi"), layouts)
+    fresh = decode(dealt(frames.join(small(keys), ["can_id", "extended"], "left_semi")), layouts, True)
     store.replace(fresh, touched)
     return touched

@@ -120,7 +120,7 @@ def _restored(spark, sf):
     new = new.withColumn("can_id", F.when(F.col("def_id") == "def_signup", F.lit(CAN_IDS["error"])).otherwise(F.col("can_id")))
     extra = new.filter("def_id = 'def_click' AND name = 'User'").withColumns({"def_id": F.lit("def_extra"), "signal_id": F.lit("extra.user"), "can_id": F.lit(CAN_IDS["signup"])})
     new = new.union(extra.select(*new.columns))
-    store = R.SampleStore(spark, shared_folder(spark)).create(D.decode(f, old))
+    store = R.SampleStore(spark, shared_folder(spark)).create(D.decode(R.dealt(f), old, True))
     return store, f, old, new
 
 
