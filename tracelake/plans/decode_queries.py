@@ -39,15 +39,20 @@ def ieee(spark, sf):
     raw = bits.extract_unsigned(F.col("data"), F.lit(0), F.lit(0), F.lit(32), F.lit("little"))
     user = bits.extract_unsigned(F.col("data"), F.lit(4), F.lit(0), F.lit(16), F.lit("big"))
 
-    def to_bits(v, mantissa, bias):
+    def exponent(v):
         e = F.floor(F.log2(v)).cast("long")
-        e = F.when(F.pow(F.lit(2.0), e) > v, e - 1).when(F.pow(F.lit(2.0), e + 1) <= v, e + 1).otherwise(e)
-        m = ((v / F.pow(F.lit(2.0), e) - 1) * F.pow(F.lit(2.0), F.lit(mantissa))).cast("long")
-        return F.call_function("shiftleft", e + bias, F.lit(mantissa)) + m
+        return F.when(F.pow(F.lit(2.0), e) > v, e - 1).when(F.pow(F.lit(2.0), e + 1) <= v, e + 1).otherwise(e)
 
-    double_bits = to_bits(raw.cast("double"), 52, 1023)
-    single_bits = to_bits((user + 1).cast("double") / 4, 23, 127)
-    return f.select("ordinal", bits.ieee754(double_bits, F.lit(64)).alias("exact"), bits.ieee754(single_bits, F.lit(32)).alias("quarter"))
+    def to_bits(v, e, mantissa, bias):
+        m = ((v / F.pow(F.lit(2.0), e) - 1) * F.pow(F.lit(2.0), F.lit(mantissa))).cast("long")
+        # Zero has no logarithm; all its bits are zero.
+        return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", e + bias, F.lit(mantissa)) + m)
+
+    # In steps: each reads the columns of the one before several times.
+    f = f.select("ordinal", raw.cast("double").alias("raw"), ((user + 1).cast("double") / 4).alias("user"))
+    f = f.withColumns({"raw_e": exponent(F.col("raw")), "user_e": exponent(F.col("user"))})
+    f = f.select("ordinal", to_bits(F.col("raw"), F.col("raw_e"), 52, 1023).alias("raw"), to_bits(F.col("user"), F.col("user_e"), 23, 127).alias("user"))
+    return f.select("ordinal", bits.ieee754(F.col("raw"), F.lit(64)).alias("exact"), bits.ieee754(F.col("user"), F.lit(32)).alias("quarter"))
 
 
 @query("D4", """, b AS (SELECT *, raw::HUGEINT * 137438953472 + (user_id & 65535) AS big FROM fr)
