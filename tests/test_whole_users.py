@@ -23,7 +23,7 @@ def wide(tmp_path_factory):
     return folder, con
 
 
-@pytest.mark.parametrize("name", ["X2"])
+@pytest.mark.parametrize("name", ["X2", "W5"])
 def test_a_session_adds_up_whole_users(spark, wide, name):
     folder, con = wide
     assert "65535" not in plans.oracle_sql()[name]  # nor does the SQL cut them
