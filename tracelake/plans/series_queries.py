@@ -83,18 +83,22 @@ def clip(spark, sf):
     return O.clip_with_carried(samples(spark, sf), KEY, FROM, TO).select("signal_id", "ordinal", "carried")
 
 
-_CADENCE = """, p AS (SELECT *, row_number() OVER w - 1 AS p, t_us - lag(t_us) OVER w AS step, usable AND lag(usable) OVER w AS two, lag(usable) OVER w AS bu, lag(t_us) OVER w AS bt, count(*) OVER (PARTITION BY signal_id) AS n
+_STEPS = """, p AS (SELECT *, row_number() OVER w - 1 AS p, t_us - lag(t_us) OVER w AS step, usable AND lag(usable) OVER w AS two, lag(usable) OVER w AS bu, lag(t_us) OVER w AS bt, count(*) OVER (PARTITION BY signal_id) AS n
   FROM sa WINDOW w AS (PARTITION BY signal_id ORDER BY t_us, ordinal)),
- c AS (SELECT DISTINCT signal_id, n, least(2048, n - 1) AS c FROM p),
+"""
+_THRESHOLD = """ th AS (SELECT signal_id, step * 4 AS threshold_us FROM st WHERE r = m // 2),
+ br AS (SELECT p.*, threshold_us, bu IS NOT NULL AND NOT (usable AND bu AND step <= threshold_us) AS breaks FROM p JOIN th USING (signal_id))"""
+_PICKED_CADENCE = _STEPS + """ c AS (SELECT DISTINCT signal_id, n, least(2048, n - 1) AS c FROM p),
  pk AS (SELECT signal_id, 1 + (i * (n - 1)) // c AS p FROM c, (SELECT unnest(range(2048)) AS i) WHERE i < c),
  st AS (SELECT p.signal_id, step, row_number() OVER (PARTITION BY p.signal_id ORDER BY step, p.p) - 1 AS r, count(*) OVER (PARTITION BY p.signal_id) AS m FROM p JOIN pk ON p.signal_id = pk.signal_id AND p.p = pk.p WHERE two AND step > 0),
- th AS (SELECT signal_id, step * 4 AS threshold_us FROM st WHERE r = m // 2),
- br AS (SELECT p.*, threshold_us, bu IS NOT NULL AND NOT (usable AND bu AND step <= threshold_us) AS breaks FROM p JOIN th USING (signal_id))"""
+""" + _THRESHOLD
+_CADENCE = _STEPS + """ st AS (SELECT signal_id, step, row_number() OVER (PARTITION BY signal_id ORDER BY step, p) - 1 AS r, count(*) OVER (PARTITION BY signal_id) AS m FROM p WHERE two AND step > 0),
+""" + _THRESHOLD
 
 
-@query("G9", _CADENCE + " SELECT * FROM th")
+@query("G9", _PICKED_CADENCE + " SELECT * FROM th")
 def cadence(spark, sf):
-    return O.cadence(samples(spark, sf), KEY)
+    return O.cadence(samples(spark, sf), KEY, O.PICKED_PAIRS)
 
 
 @query("G10", _CADENCE + """, mk AS (SELECT *, breaks AND (usable OR bu) AS mark FROM br),
@@ -105,7 +109,7 @@ def breaks(spark, sf):
     return O.break_samples(s, KEY).select("signal_id", "ordinal")
 
 
-@query("G11", _CADENCE + """, g AS (SELECT signal_id, bt AS a, t_us AS b FROM br WHERE breaks),
+@query("G11", _PICKED_CADENCE + """, g AS (SELECT signal_id, bt AS a, t_us AS b FROM br WHERE breaks),
  f AS (SELECT *, CASE WHEN a - coalesce(max(b) OVER (PARTITION BY signal_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -9e15) > 600000000 THEN 1 ELSE 0 END AS fresh FROM g),
  h AS (SELECT *, sum(fresh) OVER (PARTITION BY signal_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS i FROM f)
  SELECT signal_id, min(a) AS start_us, max(b) AS end_us FROM h GROUP BY signal_id, i""")
