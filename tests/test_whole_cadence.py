@@ -36,7 +36,7 @@ def cut(request, monkeypatch):
 
 
 #: Samples at both ends of the invalid stretch and of the one pause; those two as intervals.
-@pytest.mark.parametrize("name, rows", [("G10", 6)])
+@pytest.mark.parametrize("name, rows", [("G10", 6), ("G11", 2)])
 def test_breaks_are_told_by_all_neighbours(spark, uneven, cut, name, rows):
     folder, con = uneven
     assert "2048" not in plans.oracle_sql()[name]
