@@ -44,6 +44,13 @@ def test_breaks_are_told_by_all_neighbours(spark, uneven, cut, name, rows):
     assert len(got) == rows and rows_of(got) == rows_of(con.sql(plans.oracle_sql()[name]).df())
 
 
+def test_thinning_keeps_breaks_that_all_neighbours_tell(spark, uneven, cut):
+    folder, con = uneven
+    assert "2048" not in plans.oracle_sql()["G12_budget"]
+    got = plans.queries()["G12_budget"](spark, folder).toPandas()
+    assert {4000, 4001} <= set(got["ordinal"]) and rows_of(got) == rows_of(con.sql(plans.oracle_sql()["G12_budget"]).df())
+
+
 def test_the_upper_median_of_many_steps(spark, cut):
     steps = {"a": [i * 7919 % 3001 + 1 for i in range(3000)], "b": [5, 5, 5, 9], "c": [3], "d": [], "e": [4, 1]}
     rows, at = [], dict.fromkeys(steps, 0)

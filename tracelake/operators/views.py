@@ -49,12 +49,15 @@ def drawn(samples: DataFrame, keys: list[str], views: DataFrame | None = None, c
     return s.filter((in_clip | carried) & (inside | near) & shares).select(*samples.columns, "inside", "carried")
 
 
-def thinned_for_graph(samples: DataFrame, keys: list[str], limit: int | str) -> DataFrame:
-    """Each series thinned to ``limit`` with its peaks and the samples at both ends of each break of its line."""
-    return thin_with_breaks(samples, keys, limit)
+def thinned_for_graph(samples: DataFrame, keys: list[str], limit: int | str, pairs: int | None = None) -> DataFrame:
+    """Each series thinned to ``limit`` with its peaks and the samples at both ends of each break of its line.
+
+    Breaks are told by the series' ``cadence``, of all neighbours or of ``pairs``.
+    """
+    return thin_with_breaks(samples, keys, limit, pairs)
 
 
-def thinned_together(samples: DataFrame, target: list[str], series: str, limit: int, counts: DataFrame | None = None) -> DataFrame:
+def thinned_together(samples: DataFrame, target: list[str], series: str, limit: int, counts: DataFrame | None = None, pairs: int | None = None) -> DataFrame:
     """Axes of one trajectory thinned together: a time kept for one series is kept for all series of its target.
 
     Each series of a target first gets an equal part of ``limit``; then all samples at the kept times stay, at even
@@ -66,7 +69,7 @@ def thinned_together(samples: DataFrame, target: list[str], series: str, limit:
         counts = samples.select(*keys).distinct().groupBy(*target).agg(F.count(F.lit(1)).alias("series_count"))
     part = F.floor(F.lit(limit) / F.greatest(F.lit(1), F.coalesce("series_count", F.lit(1)))).alias("__part")
     s = samples.join(small(counts.select(*target, part)), target, "left")
-    kept = thinned_for_graph(s, keys, "__part").select(*target, "t_us").distinct()
+    kept = thinned_for_graph(s, keys, "__part", pairs).select(*target, "t_us").distinct()
     shared = samples.join(kept, [*target, "t_us"], "left_semi")
     return thin_evenly(shared, keys, limit).select(*samples.columns)
 
@@ -74,12 +77,13 @@ def thinned_together(samples: DataFrame, target: list[str], series: str, limit:
 def compared_series(
     samples: DataFrame, ids: list[str], target: str = "source_id", total: int = 100_000,
     views: DataFrame | None = None, clips: DataFrame | None = None, joined: bool = False, points: int | None = None,
+    pairs: int | None = None,
 ) -> DataFrame:
     """Series per target of the signals asked for, known by their ids, within a budget of points for all of them.
 
     ``views`` and ``clips`` (``target, start_us, end_us``) are the part of its own time that each target shows and the clip it is
     bound to; thinning covers that part only. ``joined`` thins the signals of a target together, ``points`` sets the budget of
-    each series instead of its share of ``total``. The result has ``inside`` and ``carried`` as ``drawn`` gives them.
+    each series instead of its share of ``total``, ``pairs`` is that of ``thinned_for_graph``. The result has ``inside`` and ``carried`` as ``drawn`` gives them.
     """
     from .charts import point_budget
 
@@ -88,7 +92,7 @@ def compared_series(
     counts = written(wanted.select(*keys).distinct().groupBy(target).agg(F.count(F.lit(1)).alias("series_count")))
     limit = points if points is not None else point_budget(counts.count(), len(ids), total)
     shown = written(drawn(wanted, keys, views, clips))
-    return thinned_together(shown, [target], "signal_id", limit, counts) if joined else thinned_for_graph(shown, keys, limit)
+    return thinned_together(shown, [target], "signal_id", limit, counts, pairs) if joined else thinned_for_graph(shown, keys, limit, pairs)
 
 
 def clip_path(points: DataFrame, start_us: int | None, end_us: int | None) -> DataFrame:

@@ -131,7 +131,7 @@ def thin_runs(spark, sf):
     return O.extremes(s, KEY, runs).select("signal_id", "ordinal")
 
 
-@query("G12_budget", broken_sql("sa", KEY, "200") + thinned_sql(KEY) + " SELECT signal_id, ordinal FROM th_src JOIN th_kept USING (signal_id, p)")
+@query("G12_budget", broken_sql("sa", KEY, "200", pairs=None) + thinned_sql(KEY) + " SELECT signal_id, ordinal FROM th_src JOIN th_kept USING (signal_id, p)")
 def thin_budget(spark, sf):
     """Thinning to a budget, with break samples and the reruns."""
     return thinned_for_graph(samples(spark, sf), KEY, 200).select("signal_id", "ordinal")
